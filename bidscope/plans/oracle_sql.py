@@ -138,3 +138,127 @@ FROM (SELECT *, row_number() OVER (PARTITION BY rfq_id, item_name
       FROM items WHERE unit_price IS NOT NULL AND item_name IS NOT NULL)
 WHERE rn = 1
 """)
+
+cte("req_keys", "req_items")(r"""
+SELECT DISTINCT rfq_id, lower(regexp_replace(item_name, '^\s+|\s+$', '', 'g')) AS item_key
+FROM req_items WHERE item_name IS NOT NULL AND item_name <> ''
+""")
+
+cte("quoted_keys", "qi")(r"""
+SELECT DISTINCT rfq_id, quote_seq, lower(regexp_replace(item_name, '^\s+|\s+$', '', 'g')) AS item_key
+FROM qi WHERE item_name IS NOT NULL AND item_name <> ''
+""")
+
+cte("miss", "quotes", "req_keys", "quoted_keys")("""
+SELECT q.rfq_id, q.quote_seq, count(*) AS n_missing,
+       string_agg(r.item_key, ', ' ORDER BY r.item_key) AS missing_items
+FROM quotes q JOIN req_keys r ON q.rfq_id = r.rfq_id
+WHERE NOT EXISTS (SELECT 1 FROM quoted_keys k WHERE k.rfq_id = q.rfq_id
+                  AND k.quote_seq = q.quote_seq AND k.item_key = r.item_key)
+GROUP BY q.rfq_id, q.quote_seq
+""")
+
+cte("flags", "qi")("""
+SELECT rfq_id, quote_seq,
+       count(*) FILTER (WHERE packaging IS NULL OR packaging = '') AS n_pack,
+       string_agg(item_name, ', ' ORDER BY item_pos, item_name)
+           FILTER (WHERE (packaging IS NULL OR packaging = '') AND item_name <> '') AS l_pack,
+       count(*) FILTER (WHERE portion IS NULL OR portion = '') AS n_port,
+       string_agg(item_name, ', ' ORDER BY item_pos, item_name)
+           FILTER (WHERE (portion IS NULL OR portion = '') AND item_name <> '') AS l_port
+FROM qi GROUP BY rfq_id, quote_seq
+""")
+
+cte("gaps", "quotes", "miss", "flags", "rfq")("""
+SELECT q.rfq_id, q.quote_seq,
+       CASE WHEN q.supplier_name IS NULL OR q.supplier_name = '' THEN 'Unknown Supplier'
+            ELSE q.supplier_name END AS supplier_name,
+       coalesce(m.missing_items, 'None') AS missing_items,
+       coalesce(nullif(concat_ws(', ',
+           CASE WHEN q.delivery_terms IS NULL OR q.delivery_terms = '' THEN 'Delivery terms' END,
+           CASE WHEN q.payment_terms IS NULL OR q.payment_terms = '' THEN 'Payment terms' END,
+           CASE WHEN q.warranty IS NULL OR q.warranty = '' THEN 'Warranty' END,
+           CASE WHEN coalesce(q.delivery_lead_time_days, 0) = 0 THEN 'Delivery lead time' END), ''),
+           'None') AS missing_fields,
+       coalesce(f.l_pack, 'None') AS items_missing_packaging,
+       coalesce(f.l_port, 'None') AS items_missing_portion,
+       coalesce(nullif(r.deadline_date, ''), 'Not specified') AS rfq_deadline,
+       round(CAST(3 * coalesce(m.n_missing, 0)
+             + (CASE WHEN q.delivery_terms IS NULL OR q.delivery_terms = '' THEN 1 ELSE 0 END)
+             + (CASE WHEN q.payment_terms IS NULL OR q.payment_terms = '' THEN 1 ELSE 0 END)
+             + (CASE WHEN q.warranty IS NULL OR q.warranty = '' THEN 1 ELSE 0 END)
+             + (CASE WHEN coalesce(q.delivery_lead_time_days, 0) = 0 THEN 1 ELSE 0 END)
+             + 0.5 * coalesce(f.n_pack, 0) + 0.5 * coalesce(f.n_port, 0) AS DOUBLE), 1) AS gap_score
+FROM quotes q
+LEFT JOIN miss m ON m.rfq_id = q.rfq_id AND m.quote_seq = q.quote_seq
+LEFT JOIN flags f ON f.rfq_id = q.rfq_id AND f.quote_seq = q.quote_seq
+LEFT JOIN rfq r ON r.rfq_id = q.rfq_id
+""")
+
+cte("outlay", "cost_rank", "quotes")(r"""
+SELECT rfq_id, supplier_name, total_quoted_cost,
+       coalesce(nullif(payment_terms, ''), 'Not specified') AS payment_terms,
+       pct AS advance_payment_pct,
+       CASE WHEN total_quoted_cost IS NOT NULL AND pct IS NOT NULL THEN CAST(up AS DOUBLE) END
+           AS upfront_cash_required,
+       CASE WHEN total_quoted_cost IS NOT NULL AND pct IS NOT NULL
+            THEN CAST(CAST(total_quoted_cost AS DECIMAL(20,2)) - up AS DOUBLE) END
+           AS balance_on_delivery,
+       delivery_lead_time_days
+FROM (
+  SELECT *, round(CAST(total_quoted_cost AS DECIMAL(20,2)) * CAST(pct AS DECIMAL(6,2))
+                  * CAST(0.01 AS DECIMAL(3,2)), 2) AS up
+  FROM (
+    SELECT c.rfq_id, c.supplier_name, c.total_quoted_cost, t.payment_terms,
+           t.delivery_lead_time_days,
+           CASE WHEN regexp_extract(t.payment_terms,
+                 '(?i)(\d{1,3})\s*%\s*(?:advance|upfront|in advance)', 1) <> ''
+                THEN least(CAST(regexp_extract(t.payment_terms,
+                 '(?i)(\d{1,3})\s*%\s*(?:advance|upfront|in advance)', 1) AS DOUBLE), 100.0)
+           END AS pct
+    FROM cost_rank c LEFT JOIN (
+      SELECT rfq_id, supplier_name,
+             arg_max(payment_terms, quote_seq) AS payment_terms,
+             arg_max(delivery_lead_time_days, quote_seq) AS delivery_lead_time_days
+      FROM quotes GROUP BY rfq_id, supplier_name) t
+    ON c.rfq_id = t.rfq_id AND c.supplier_name = t.supplier_name))
+""")
+
+cte("recommend", "cost_rank", "gaps")("""
+SELECT rfq_id, supplier_name, total_quoted_cost, savings_vs_cheapest, rank, gap_score,
+       round(0.6 * (CASE WHEN cmax IS NULL THEN 0.0
+                         ELSE (total_quoted_cost - cmin)
+                              / (CASE WHEN cmax - cmin = 0 THEN 1.0 ELSE cmax - cmin END) END)
+             + 0.4 * ((gap_score - gmin)
+                      / (CASE WHEN gmax - gmin = 0 THEN 1.0 ELSE gmax - gmin END)), 6)
+           AS composite_score
+FROM (
+  SELECT *, min(total_quoted_cost) OVER w AS cmin, max(total_quoted_cost) OVER w AS cmax,
+         min(gap_score) OVER w AS gmin, max(gap_score) OVER w AS gmax
+  FROM (
+    SELECT c.*, coalesce(g.gap_score, max(g.gap_score) OVER (PARTITION BY c.rfq_id)) AS gap_score
+    FROM cost_rank c LEFT JOIN gaps g
+      ON c.rfq_id = g.rfq_id AND c.supplier_name = g.supplier_name)
+  WINDOW w AS (PARTITION BY rfq_id))
+""")
+
+sql("missing_items", "quotes", "miss")("""
+SELECT q.rfq_id, q.quote_seq, CAST(coalesce(m.n_missing, 0) AS INTEGER) AS n_missing,
+       coalesce(m.missing_items, 'None') AS missing_items
+FROM quotes q LEFT JOIN miss m ON m.rfq_id = q.rfq_id AND m.quote_seq = q.quote_seq
+""")
+
+sql("gap_analysis", "gaps")("SELECT * FROM gaps")
+
+sql("cash_outlay", "outlay")("SELECT * FROM outlay")
+
+sql("recommendation", "recommend")("SELECT * FROM recommend")
+
+sql("best_supplier", "recommend")("""
+SELECT rfq_id, supplier_name, composite_score, total_quoted_cost, gap_score
+FROM (SELECT *, row_number() OVER (PARTITION BY rfq_id
+                 ORDER BY composite_score ASC NULLS LAST, supplier_name,
+                          total_quoted_cost NULLS FIRST, gap_score NULLS FIRST) AS rn
+      FROM recommend)
+WHERE rn = 1
+""")

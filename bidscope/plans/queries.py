@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import compare
+from ..operators import compare, gaps, outlay, recommend
 from ..sources import star_adapter as star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,4 +48,35 @@ def q_cheapest_per_item(spark, d):
     return compare.cheapest_per_item(_items(spark, d))
 
 
-FLAGSHIP = "total_cost_rank"
+def _gaps(spark, d):
+    return gaps.gap_analysis(star.rfqs(spark, d), star.rfq_items(spark, d),
+                             star.quotations(spark, d), star.quote_items(spark, d))
+
+
+@query("missing_items")
+def q_missing_items(spark, d):
+    return gaps.missing_items_text(star.rfq_items(spark, d), star.quotations(spark, d),
+                                   star.quote_items(spark, d))
+
+
+@query("gap_analysis")
+def q_gap_analysis(spark, d):
+    return _gaps(spark, d)
+
+
+@query("cash_outlay")
+def q_cash_outlay(spark, d):
+    return outlay.cash_outlay(star.quotations(spark, d), compare.total_cost_summary(_items(spark, d)))
+
+
+@query("recommendation")
+def q_recommendation(spark, d):
+    return recommend.recommendation(compare.total_cost_summary(_items(spark, d)), _gaps(spark, d))
+
+
+@query("best_supplier")
+def q_best_supplier(spark, d):
+    return recommend.best_supplier(q_recommendation(spark, d))
+
+
+FLAGSHIP = "recommendation"
