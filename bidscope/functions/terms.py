@@ -54,7 +54,7 @@ def normalize_date(c, iso_first: bool = False) -> Column:
 
 def parse_iso_date(c) -> Column:
     """yyyy-MM-dd text -> DATE, NULL when it does not parse (ANSI-safe)."""
-    return F.try_to_date(col_(c), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(col_(c), "yyyy-MM-dd")
 
 
 def advance_pct(c) -> Column:

@@ -217,10 +217,10 @@ FROM (
                  '(?i)(\d{1,3})\s*%\s*(?:advance|upfront|in advance)', 1) AS DOUBLE), 100.0)
            END AS pct
     FROM cost_rank c LEFT JOIN (
-      SELECT rfq_id, supplier_name,
-             arg_max(payment_terms, quote_seq) AS payment_terms,
-             arg_max(delivery_lead_time_days, quote_seq) AS delivery_lead_time_days
-      FROM quotes GROUP BY rfq_id, supplier_name) t
+      SELECT rfq_id, supplier_name, lt.p AS payment_terms, lt.l AS delivery_lead_time_days
+      FROM (SELECT rfq_id, supplier_name,
+                   arg_max({'p': payment_terms, 'l': delivery_lead_time_days}, quote_seq) AS lt
+            FROM quotes GROUP BY rfq_id, supplier_name)) t
     ON c.rfq_id = t.rfq_id AND c.supplier_name = t.supplier_name))
 """)
 
