@@ -22,12 +22,15 @@ def v(x: str) -> str:
     return f"CAST({x} AS VARCHAR)"
 
 
+WS = r"[\s\x{0B}\x{85}\x{A0}\x{1C}-\x{1F}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
 def nk(x: str) -> str:
-    return rf"lower(regexp_replace({strip(x)}, '\s+', ' ', 'g'))"
+    return f"lower(regexp_replace({strip(x)}, '{WS}+', ' ', 'g'))"
 
 
 def clean(x: str) -> str:

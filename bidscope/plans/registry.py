@@ -1,7 +1,7 @@
 """All registered queries and their SQL oracles."""
 from __future__ import annotations
 
-from . import extract_queries, oracle_extract  # noqa: F401  (registration)
+from . import extract_queries, oracle_extract, oracle_retrieve, retrieve_queries  # noqa: F401
 from .oracle_sql import SQL
 from .queries import FLAGSHIP, QUERIES
 
