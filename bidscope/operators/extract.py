@@ -193,7 +193,7 @@ def extract_records(doc_text: DataFrame, cells: DataFrame | None = None) -> Data
         *[F.col(f) for f in HEADER_FIELDS if f != "currency"],
         F.coalesce(F.col("currency"), infer_currency("raw_text")).alias("currency"),
         items.alias("items"),
-        F.lit(HEURISTIC_NOTE).alias("notes"))
+        F.lit(HEURISTIC_NOTE).alias("notes"), "raw_text")
 
 
 def explode_items(records: DataFrame, keys=("rfq_id", "quote_seq", "supplier_name")) -> DataFrame:
@@ -201,3 +201,33 @@ def explode_items(records: DataFrame, keys=("rfq_id", "quote_seq", "supplier_nam
     keep = [k for k in keys if k in records.columns]
     return records.select(*keep, F.posexplode("items").alias("item_pos", "it")).select(
         *keep, "item_pos", *[F.col(f"it.{f}").alias(f) for f in ITEM_FIELDS])
+
+
+# ---- model output (JSON) -> record -------------------------------------------
+
+# Fixed text: note on a record whose model output was not JSON.
+NON_JSON_NOTE = "LLM returned non-JSON output; raw response saved."
+
+RECORD_JSON_SCHEMA = (
+    "supplier_name string, quotation_ref string, rfq_ref string, deadline_date string, "
+    "currency string, items array<struct<item_name string, quantity string, unit string, "
+    "unit_price string, total_price string, portion string, packaging string>>, "
+    "delivery_terms string, delivery_lead_time_days string, payment_terms string, "
+    "warranty string, notes string, _corrupt string")
+
+
+def coerce_json(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Model output text -> the record's fields. Only known keys are kept;
+    a non-list ``items`` becomes empty; text that is not a JSON object gives
+    an empty record with a note, and the raw text is kept in ``raw_output``.
+    Scalar values stay text, as the model wrote them."""
+    t = F.col(text_col)
+    valid = F.json_object_keys(t).isNotNull()
+    p = F.from_json(t, RECORD_JSON_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
+    fields = [f for f in HEADER_FIELDS] + ["notes"]
+    cols = {f: F.when(valid, p[f]) for f in fields}
+    cols["notes"] = F.when(valid, p["notes"]).otherwise(F.lit(NON_JSON_NOTE))
+    items = F.when(valid, F.coalesce(p["items"], F.array())).otherwise(F.array())
+    return df.select("*", *[c.alias(n) for n, c in cols.items()],
+                     items.alias("items"), valid.alias("is_valid"),
+                     F.when(~valid, t).alias("raw_output"))
