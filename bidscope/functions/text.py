@@ -21,9 +21,14 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Every character Python's str.isspace() accepts (derived by rule).
+WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def strip(c) -> Column:
-    """Python-style ``str.strip()``: Spark ``trim`` only removes U+0020."""
-    return F.regexp_replace(col_(c), f"^{_WS}+|{_WS}+$", "")
+    """Python-style ``str.strip()`` (Spark ``trim`` only removes U+0020):
+    ``btrim`` with the whitespace set, no regex."""
+    return F.btrim(col_(c), F.lit(WHITESPACE))
 
 
 def blank_to_null(c) -> Column:

@@ -1,7 +1,7 @@
 """Supplier recommendation: min-max normalised cost and gap score per RFQ,
 combined 60/40; lowest composite wins.
 
-Per-RFQ extremes are grouped aggregates joined back (``group_extremes``),
+Per-RFQ extremes are one grouped aggregate joined back,
 and the winner per RFQ is a ``min(struct)`` aggregate, so no window holds a
 whole RFQ.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hot_window import argmin_struct, group_extremes
+from .hot_window import argmin_struct
 
 # Fixed weights of the composite score.
 COST_WEIGHT, GAP_WEIGHT = 0.6, 0.4
@@ -30,11 +30,13 @@ def recommendation(totals: DataFrame, gaps: DataFrame) -> DataFrame:
     """
     g = gaps.select("rfq_id", "supplier_name", "gap_score")
     m = totals.join(g, ["rfq_id", "supplier_name"], "left")
-    gmax = m.groupBy("rfq_id").agg(F.max("gap_score").alias("_gfill"))
-    m = (m.join(gmax, "rfq_id", "left")
-          .withColumn("gap_score", F.coalesce("gap_score", "_gfill")).drop("_gfill"))
-    m = group_extremes(m, ["rfq_id"], "total_quoted_cost", "_c")
-    m = group_extremes(m, ["rfq_id"], "gap_score", "_g")
+    # One per-RFQ aggregate gives every extreme: a missing gap score is
+    # filled with the RFQ's highest, which leaves min and max unchanged.
+    ext = m.groupBy("rfq_id").agg(
+        F.min("total_quoted_cost").alias("_cmin"), F.max("total_quoted_cost").alias("_cmax"),
+        F.min("gap_score").alias("_gmin"), F.max("gap_score").alias("_gmax"))
+    m = (m.join(ext, "rfq_id", "left")
+          .withColumn("gap_score", F.coalesce("gap_score", "_gmax")))
     cost_norm = F.when(F.col("_cmax").isNull(), F.lit(0.0)).otherwise(
         _norm("total_quoted_cost", "_cmin", "_cmax"))
     gap_norm = _norm("gap_score", "_gmin", "_gmax")

@@ -20,8 +20,7 @@ def _langs():
 
 @query("gap_email")
 def q_gap_email(spark, d):
-    g = gaps.gap_analysis(star.rfqs(spark, d), star.rfq_items(spark, d),
-                          star.quotations(spark, d), star.quote_items(spark, d), with_lists=True)
+    g = _gaps(spark, d, with_lists=True)
     r = star.rfqs(spark, d)
     rows = g.join(r, "rfq_id", "left").withColumn("lang", F.explode(_langs()))
     return drafts.gap_email(rows).select("rfq_id", "quote_seq", "lang", "subject", "body", "status")

@@ -48,15 +48,16 @@ def q_cheapest_per_item(spark, d):
     return compare.cheapest_per_item(_items(spark, d))
 
 
-def _gaps(spark, d):
+def _gaps(spark, d, qi=None, with_lists=False):
+    qi = qi if qi is not None else star.quote_items(spark, d)
     return gaps.gap_analysis(star.rfqs(spark, d), star.rfq_items(spark, d),
-                             star.quotations(spark, d), star.quote_items(spark, d))
+                             star.quotations(spark, d, qi), qi, with_lists=with_lists)
 
 
 @query("missing_items")
 def q_missing_items(spark, d):
-    return gaps.missing_items_text(star.rfq_items(spark, d), star.quotations(spark, d),
-                                   star.quote_items(spark, d))
+    qi = star.quote_items(spark, d)
+    return gaps.missing_items_text(star.rfq_items(spark, d), star.quotations(spark, d, qi), qi)
 
 
 @query("gap_analysis")
@@ -66,12 +67,16 @@ def q_gap_analysis(spark, d):
 
 @query("cash_outlay")
 def q_cash_outlay(spark, d):
-    return outlay.cash_outlay(star.quotations(spark, d), compare.total_cost_summary(_items(spark, d)))
+    qi = star.quote_items(spark, d)
+    return outlay.cash_outlay(star.quotations(spark, d, qi),
+                              compare.total_cost_summary(compare.item_comparison(qi)))
 
 
 @query("recommendation")
 def q_recommendation(spark, d):
-    return recommend.recommendation(compare.total_cost_summary(_items(spark, d)), _gaps(spark, d))
+    qi = star.quote_items(spark, d)
+    return recommend.recommendation(compare.total_cost_summary(compare.item_comparison(qi)),
+                                    _gaps(spark, d, qi))
 
 
 @query("best_supplier")

@@ -19,13 +19,21 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # per-group lists (collect_list) stay hash-based for many groups per task
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "bidscope") -> SparkSession:
-    """A local-mode session for tests and the bench (UI off, no ports)."""
+    """A local-mode session for tests and the bench (UI off, no ports).
+
+    Shuffles here are a few MB, so AQE's default 1 MB minimum would merge
+    them into one or two partitions and idle the other cores; a smaller
+    minimum keeps one partition per core.
+    """
     b = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
+         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))

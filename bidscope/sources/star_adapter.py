@@ -61,21 +61,17 @@ def _supplier_terms(sup: DataFrame) -> DataFrame:
     )
 
 
-def quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quotations(spark: SparkSession, sf_dir: str, qi: DataFrame | None = None) -> DataFrame:
     """One row per (brand, supplier) pair that has lines.
 
-    The pair set is a distinct over the joined scan with map-side partial
-    aggregation, so each task ships at most its own distinct pairs.
+    Derived from ``quote_items`` (pass the same DataFrame the query already
+    uses, so the scan and join are one shared subtree whose exchanges Spark
+    reuses); the pair set is a distinct with map-side partial aggregation.
     """
-    li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey")
-    part = read_table(spark, sf_dir, "part", "p_partkey", "p_brand")
-    sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
-    pairs = (li.join(part, li.l_partkey == part.p_partkey)
-               .select(F.col("p_brand").alias("rfq_id"), F.col("l_suppkey").alias("quote_seq"))
-               .distinct())
-    terms = _supplier_terms(sup)
-    names = sup.select(F.col("s_suppkey").alias("quote_seq"), F.col("s_name").alias("supplier_name"))
-    return (pairs.join(names, "quote_seq").join(terms, "quote_seq")
+    qi = qi if qi is not None else quote_items(spark, sf_dir)
+    sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
+    pairs = qi.select("rfq_id", "quote_seq", "supplier_name").distinct()
+    return (pairs.join(_supplier_terms(sup), "quote_seq")
             .select("rfq_id", "quote_seq", "supplier_name", "delivery_terms",
                     "delivery_lead_time_days", "payment_terms", "warranty"))
 
