@@ -231,3 +231,17 @@ def coerce_json(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select("*", *[c.alias(n) for n, c in cols.items()],
                      items.alias("items"), valid.alias("is_valid"),
                      F.when(~valid, t).alias("raw_output"))
+
+
+def quote_tables(records: DataFrame, rfq_id: str = "rfq_id", seq: str = "quote_seq"):
+    """Extracted quotation records -> (quotations, quote_items) in the model
+    the analytics read. A blank supplier takes the file-name stem when the
+    record has a ``source`` column."""
+    from ..sources.ingest import default_supplier
+    recs = records
+    if "source" in recs.columns:
+        recs = recs.withColumn("supplier_name", default_supplier("supplier_name", "source"))
+    quotes = recs.select(rfq_id, seq, *HEADER_FIELDS)
+    items = explode_items(recs.select(rfq_id, seq, "supplier_name", "items"),
+                          keys=(rfq_id, seq, "supplier_name"))
+    return quotes, items

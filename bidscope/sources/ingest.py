@@ -230,3 +230,50 @@ def assemble_pages(pages: DataFrame, name_col: str = "name") -> DataFrame:
 
 def rows_to_dataframe(spark: SparkSession, rows: list[dict], schema=None) -> DataFrame:
     return spark.createDataFrame(rows, schema)
+
+
+def sheet_text(cells: DataFrame, files: DataFrame) -> DataFrame:
+    """Workbook text for search: a file marker, then per sheet a sheet
+    marker and its rows (cells in column order, space separated). Column
+    padding of a printed table is not reproduced."""
+    row_txt = cells.groupBy("doc_id", "table_no", "sheet", "row_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "value"))),
+                                 lambda s: s["value"]), "  ").alias("line"))
+    sheets = row_txt.groupBy("doc_id", "table_no", "sheet").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))),
+                                 lambda s: s["line"]), "\n").alias("body"))
+    per_doc = sheets.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
+        "table_no", F.concat(F.lit("\n--- Sheet: "), F.col("sheet"), F.lit(" ---\n"), F.col("body"))
+        .alias("t")))).alias("_s"))
+    names = files.select(F.col("path").alias("doc_id"), "name")
+    return per_doc.join(names, "doc_id").select(
+        "doc_id", F.lit("excel").alias("file_type"),
+        F.concat(F.lit("Excel file: "), F.col("name"), F.lit("\n"),
+                 F.array_join(F.transform("_s", lambda s: s["t"]), "\n")).alias("raw_text"))
+
+
+def decode_files(files: DataFrame, out_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Decode landed files once and store the result as parquet tables
+    ``doc_text(doc_id, file_type, raw_text)`` and ``doc_cells(doc_id,
+    table_no, row_no, col_no, value)`` under ``out_dir``.
+
+    The written tables cut the lineage: the many later reads of the cells
+    (routing, header maps, items) scan the stored table instead of
+    re-decoding the files, and a lost executor never forces a re-decode.
+    """
+    spark = files.sparkSession
+    out = out_dir.rstrip("/")
+    workbook_cells(files).write.mode("overwrite").parquet(f"{out}/sheet_cells")
+    raw = spark.read.parquet(f"{out}/sheet_cells")
+    x = files.filter(file_suffix("path") == ".docx").select("path", "name", "content")
+    (x.mapInPandas(_decode_docx, "kind string, doc_id string, raw_text string, table_no int, "
+                                 "row_no long, col_no int, value string")
+      .write.mode("overwrite").parquet(f"{out}/word_parts"))
+    w = spark.read.parquet(f"{out}/word_parts")
+    text = sheet_text(raw, files).unionByName(
+        w.filter("kind = 'text'").select("doc_id", F.lit("docx").alias("file_type"), "raw_text"))
+    cells = sheet_table(raw).select("doc_id", "table_no", "row_no", "col_no", "value").unionByName(
+        w.filter("kind = 'cell'").select("doc_id", "table_no", "row_no", "col_no", "value"))
+    text.write.mode("overwrite").parquet(f"{out}/doc_text")
+    cells.write.mode("overwrite").parquet(f"{out}/doc_cells")
+    return spark.read.parquet(f"{out}/doc_text"), spark.read.parquet(f"{out}/doc_cells")
