@@ -35,7 +35,26 @@ def append_records(df: DataFrame, path: str) -> None:
     prepare_records(df).write.mode("append").partitionBy("record_type").parquet(path)
 
 
+EMPTY_SCHEMA = "id string, created_at timestamp, record_type string"
+
+
+def _fs_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _has_data(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs_path(spark, path)
+    return fs.exists(p) and any(not st.getPath().getName().startswith(("_", "."))
+                                for st in fs.listStatus(p))
+
+
 def list_records(spark: SparkSession, path: str, record_type: str | None = None) -> DataFrame:
+    """All records, or those of one type (a partition filter: only that
+    type's folder is read). An empty store reads as no rows."""
+    if not _has_data(spark, path):
+        return spark.createDataFrame([], EMPTY_SCHEMA)
     df = spark.read.parquet(path)
     return df.filter(F.col("record_type") == record_type) if record_type else df
 
@@ -48,7 +67,8 @@ def latest_by_id(df: DataFrame) -> DataFrame:
 
 
 def delete_all_records(spark: SparkSession, path: str) -> None:
-    """Replace the table by an empty one with the same schema."""
-    df = spark.read.parquet(path)
-    df.limit(0).write.mode("overwrite").partitionBy("record_type").parquet(path + "__empty")
-    spark.read.parquet(path + "__empty").write.mode("overwrite").partitionBy("record_type").parquet(path)
+    """Empty the store (the table's folder is removed; later appends
+    recreate it)."""
+    fs, p = _fs_path(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)
