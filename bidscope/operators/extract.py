@@ -245,3 +245,48 @@ def quote_tables(records: DataFrame, rfq_id: str = "rfq_id", seq: str = "quote_s
     items = explode_items(recs.select(rfq_id, seq, "supplier_name", "items"),
                           keys=(rfq_id, seq, "supplier_name"))
     return quotes, items
+
+
+# Fixed value: characters of document text sent to a model for extraction.
+MODEL_INPUT_CHARS = 12000
+
+
+def extract_with_model(doc_text: DataFrame, model_fn, cells: DataFrame | None = None) -> DataFrame:
+    """Plug point for a model-based extractor.
+
+    ``model_fn(list[str]) -> list[str | None]`` turns a batch of document
+    texts (first 12,000 characters each) into JSON strings; it runs inside
+    ``mapInPandas`` on the executors, one call per Arrow batch. Output that
+    is not a JSON object yields an empty record with a note (``coerce_json``);
+    a failed call (``None``) falls back to the heuristic record of that
+    document.
+    """
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            outs = model_fn([t[:MODEL_INPUT_CHARS] if t else "" for t in b["raw_text"]])
+            yield pd.DataFrame({"doc_id": b["doc_id"], "model_output": outs})
+
+    id_type = dict(doc_text.dtypes)["doc_id"]
+    answers = doc_text.select("doc_id", "raw_text").mapInPandas(
+        run, f"doc_id {id_type}, model_output string")
+    coerced = coerce_json(answers.filter(F.col("model_output").isNotNull()), "model_output")
+    model_recs = coerced.select("doc_id", *HEADER_FIELDS, "items", "notes", "raw_output")
+    heur = extract_records(doc_text, cells)
+    failed = heur.join(answers.filter(F.col("model_output").isNull()).select("doc_id"), "doc_id",
+                       "left_semi")
+    item_t = ("array<struct<item_name:string,quantity:double,unit:string,unit_price:double,"
+              "total_price:double,portion:string,packaging:string>>")
+    model_recs = model_recs.select(
+        "doc_id", *[clean_number(f).try_cast("int").alias(f) if f == "delivery_lead_time_days" else f
+                    for f in HEADER_FIELDS],
+        F.transform("items", lambda x: F.struct(
+            x["item_name"].alias("item_name"), clean_number(x["quantity"]).alias("quantity"),
+            x["unit"].alias("unit"), clean_number(x["unit_price"]).alias("unit_price"),
+            clean_number(x["total_price"]).alias("total_price"), x["portion"].alias("portion"),
+            x["packaging"].alias("packaging"))).cast(item_t).alias("items"),
+        "notes", "raw_output")
+    fallback = failed.select("doc_id", *HEADER_FIELDS, F.col("items").cast(item_t).alias("items"),
+                             "notes", F.lit(None).cast("string").alias("raw_output"))
+    return model_recs.unionByName(fallback)

@@ -151,3 +151,14 @@ def embed_texts(corpus: DataFrame, text_col: str = "text", dims: int = 1 << 10):
         out = model.transform(df)
         return out.withColumn("embedding", vector_to_array("_vec")).drop("_tok", "_tf", "_idf", "_vec")
     return embed
+
+
+def qa_context(hits: DataFrame) -> DataFrame:
+    """Per query, the context handed to an answering model: each hit as
+    ``[label]`` + newline + full chunk text, in rank order, separated by a
+    blank line."""
+    piece = F.concat(F.lit("["), snippet_label(), F.lit("]\n"), F.col("text"))
+    per = hits.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", piece.alias("p")))).alias("_p"))
+    return per.select("query_id", F.array_join(F.transform("_p", lambda s: s["p"]), "\n\n")
+                      .alias("context"))
