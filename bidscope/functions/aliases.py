@@ -60,10 +60,25 @@ def match_normalized(nk: Column, alias_map: dict[str, list[str]],
 
 
 def match_alias(c, alias_map: dict[str, list[str]], longest_prefix: bool = False) -> Column:
-    """Column of raw header text -> canonical field name (or NULL)."""
+    """Column of raw header text -> canonical field name (or NULL).
+
+    For DataFrames prefer ``with_alias_field``: it computes the normalised
+    key once as its own column, while this inline form repeats the key
+    expression in every branch of the match."""
     return match_normalized(normalize_key(c), alias_map, longest_prefix)
 
 
+def with_alias_field(df, src, out: str, alias_map: dict[str, list[str]],
+                     longest_prefix: bool = False):
+    """Adds ``out`` = field matched from the text column ``src``. The key is
+    normalised once into a column, so the generated code of the match stays
+    small and each row normalises its text a single time."""
+    tmp = f"_nk_{out}"
+    return (df.withColumn(tmp, normalize_key(src))
+              .withColumn(out, match_normalized(F.col(tmp), alias_map, longest_prefix))
+              .drop(tmp))
+
+
 def sql_match(nk_sql: str, alias_map: dict[str, list[str]]) -> str:
     """The same rule as a SQL CASE over an already normalised key (used by
     the oracle statements)."""

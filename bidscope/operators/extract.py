@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aliases import (HEADER_FIELD_ALIASES, HEADER_FIELDS, ITEM_COLUMN_ALIASES,
-                                 ITEM_FIELDS, match_alias)
+                                 ITEM_FIELDS, with_alias_field)
 from ..functions.terms import clean_number, infer_currency, normalize_date
 from ..functions.text import normalize_key, strip
 
@@ -45,8 +45,9 @@ def kv_lines(doc_text: DataFrame) -> DataFrame:
     lines = text_lines(doc_text).filter(F.instr("line", ":") > 0)
     key = F.substring_index("line", ":", 1)
     value = F.expr("substr(line, instr(line, ':') + 1)")
-    kv = lines.select("doc_id", "file_type", "line_no",
-                      match_alias(key, HEADER_FIELD_ALIASES).alias("field"), value.alias("value"))
+    kv = with_alias_field(lines.select("doc_id", "file_type", "line_no", key.alias("_key"),
+                                       value.alias("value")),
+                          "_key", "field", HEADER_FIELD_ALIASES).drop("_key")
     return kv.filter(F.col("field").isNotNull() & (strip("value") != "")
                      & ((F.col("file_type") != "pdf") | ~F.col("value").contains("Qty")))
 
@@ -95,7 +96,7 @@ def header_map(cells: DataFrame, alias_map=ITEM_COLUMN_ALIASES) -> DataFrame:
         "doc_id", "table_no", "col_no", F.col("value").alias("header"))
     keys = hdr.groupBy("doc_id", "table_no", "header").agg(
         F.min("col_no").alias("key_pos"), F.max("col_no").alias("col_no"))
-    return keys.withColumn("field", match_alias("header", alias_map)).filter(
+    return with_alias_field(keys, "header", "field", alias_map).filter(
         F.col("field").isNotNull())
 
 
@@ -127,8 +128,9 @@ def table_items(cells: DataFrame) -> DataFrame:
 def route_tables(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split tables into (field/value tables, item tables): a table whose
     normalised headers include both 'field' and 'value' holds header fields."""
-    hk = normalize_key("value")
-    flags = (cells.filter(F.col("row_no") == 0).groupBy("doc_id", "table_no")
+    hk = F.col("_hk")
+    flags = (cells.filter(F.col("row_no") == 0).withColumn("_hk", normalize_key("value"))
+             .groupBy("doc_id", "table_no")
              .agg((F.max((hk == "field").cast("int")) * F.max((hk == "value").cast("int")))
                   .alias("_kv")))
     kv_tables = flags.filter(F.col("_kv") == 1).select("doc_id", "table_no")
@@ -146,8 +148,8 @@ def kv_table_rows(kv_cells: DataFrame) -> DataFrame:
         F.max_by("value", F.when(F.col("col_no") == F.element_at("_c", 1), F.col("col_no"))).alias("k"),
         F.max_by("value", F.when(F.col("col_no") == F.element_at("_c", 2), F.col("col_no"))).alias("v")))
     pair = pair.filter(F.col("k").isNotNull() & F.col("v").isNotNull())
-    return pair.select("doc_id", match_alias("k", HEADER_FIELD_ALIASES).alias("field"),
-                       F.col("v").alias("value"),
+    pair = with_alias_field(pair, "k", "field", HEADER_FIELD_ALIASES)
+    return pair.select("doc_id", "field", F.col("v").alias("value"),
                        (F.col("table_no") * F.lit(1 << 32) + F.col("row_no")).alias("line_no")
                        ).filter(F.col("field").isNotNull())
 

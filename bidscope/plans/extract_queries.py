@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.aliases import HEADER_FIELD_ALIASES, ITEM_COLUMN_ALIASES, match_alias
+from ..functions.aliases import HEADER_FIELD_ALIASES, ITEM_COLUMN_ALIASES, with_alias_field
 from ..functions.terms import advance_pct, clean_number, infer_currency, normalize_date, parse_iso_date
 from ..functions.text import normalize_key
 from ..operators import extract
@@ -21,9 +21,10 @@ def q_normalize_keys(spark, d):
 @query("alias_match")
 def q_alias_match(spark, d):
     h = dt.header_texts(spark, d)
-    return h.select("p_partkey", normalize_key("header").alias("header_key"),
-                    match_alias("header", HEADER_FIELD_ALIASES).alias("header_field"),
-                    match_alias("header", ITEM_COLUMN_ALIASES).alias("item_field"))
+    h = with_alias_field(h, "header", "header_field", HEADER_FIELD_ALIASES)
+    h = with_alias_field(h, "header", "item_field", ITEM_COLUMN_ALIASES)
+    return h.select("p_partkey", normalize_key("header").alias("header_key"), "header_field",
+                    "item_field")
 
 
 @query("clean_numbers")

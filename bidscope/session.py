@@ -37,7 +37,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", os.environ.get("BIDSCOPE_DRIVER_MEM", "16g")))
+         .config("spark.driver.memory", os.environ.get("BIDSCOPE_DRIVER_MEM", "16g"))
+         .config("spark.driver.extraJavaOptions", os.environ.get("BIDSCOPE_DRIVER_JAVA_OPTS", "")))
     for k, v in ENGINE_CONF.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

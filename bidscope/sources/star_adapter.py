@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import read_table
+from .adapter_store import stored as _stored, quote_items_table
 
 
-def quote_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quote_items_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
                     "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
                     "l_returnflag", "l_linestatus")
@@ -69,6 +70,9 @@ def quotations(spark: SparkSession, sf_dir: str, qi: DataFrame | None = None) ->
     reuses); the pair set is a distinct with map-side partial aggregation.
     """
     qi = qi if qi is not None else quote_items(spark, sf_dir)
+    stored = _stored(spark, sf_dir, "quotations")
+    if stored is not None:
+        return stored
     sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     pairs = qi.select("rfq_id", "quote_seq", "supplier_name").distinct()
     return (pairs.join(_supplier_terms(sup), "quote_seq")
@@ -93,3 +97,10 @@ def rfqs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("p_brand").alias("rfq_id"),
                     F.concat(F.lit("RFQ-"), F.regexp_replace("p_brand", "#", "-")).alias("rfq_ref"),
                     deadline.alias("deadline_date")))
+
+
+def quote_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quote lines of ``sf_dir``: a stored table built once per input
+    (see ``adapter_store``), else the join view."""
+    t = quote_items_table(spark, sf_dir, quote_items_view)
+    return t if t is not None else quote_items_view(spark, sf_dir)
