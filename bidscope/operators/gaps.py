@@ -1,7 +1,7 @@
 """Compliance gaps of each quotation against its RFQ.
 
-Per quotation: required items not quoted (anti join on a normalised name
-key), missing header fields, items lacking packaging / portion, the RFQ
+Per quotation: required items not quoted (set difference of key arrays on a
+normalised name key), missing header fields, items lacking packaging / portion, the RFQ
 deadline and a weighted gap score. Joins are on ``rfq_id`` (+ ``quote_seq``),
 aggregates are grouped by quotation; nothing is windowed over a whole RFQ.
 """
@@ -36,13 +36,34 @@ def _named(df: DataFrame) -> DataFrame:
     return df.filter(~is_falsy_str("item_name"))
 
 
+def missing_item_lists(rfq_items: DataFrame, quotations: DataFrame,
+                       quote_items: DataFrame) -> DataFrame:
+    """Per quotation: sorted array of required item keys it does not quote.
+
+    Set difference on arrays instead of a quotation x required-item pair
+    join: one sorted key array per RFQ (the RFQ's own item list) and one
+    key set per quotation, then ``array_except`` row by row. Both arrays
+    are partial aggregates, the RFQ array is joined on ``rfq_id`` (one row
+    per RFQ, so AQE broadcasts it when small), and no pair rows are built.
+    """
+    req = (_named(rfq_items).select("rfq_id", item_key().alias("k"))
+           .groupBy("rfq_id").agg(F.array_sort(F.collect_set("k")).alias("_req")))
+    quoted = (_named(quote_items).select("rfq_id", "quote_seq", item_key().alias("k"))
+              .groupBy("rfq_id", "quote_seq").agg(F.collect_set("k").alias("_got")))
+    empty = F.array().cast("array<string>")
+    return (quotations.select("rfq_id", "quote_seq")
+            .join(req, "rfq_id", "left")
+            .join(quoted, ["rfq_id", "quote_seq"], "left")
+            .select("rfq_id", "quote_seq",
+                    F.array_except(F.coalesce("_req", empty), F.coalesce("_got", empty))
+                    .alias("missing_item_list")))
+
+
 def missing_items(rfq_items: DataFrame, quotations: DataFrame,
                   quote_items: DataFrame) -> DataFrame:
     """Long form: one row per (quotation, required item key not quoted)."""
-    req = _named(rfq_items).select("rfq_id", item_key().alias("item_key")).distinct()
-    quoted = _named(quote_items).select("rfq_id", "quote_seq", item_key().alias("item_key")).distinct()
-    return (quotations.select("rfq_id", "quote_seq").join(req, "rfq_id")
-            .join(quoted, ["rfq_id", "quote_seq", "item_key"], "left_anti"))
+    return missing_item_lists(rfq_items, quotations, quote_items).select(
+        "rfq_id", "quote_seq", F.explode("missing_item_list").alias("item_key"))
 
 
 def _joined_or_none(arr):
@@ -71,9 +92,7 @@ def item_flags(quote_items: DataFrame) -> DataFrame:
 
 def gap_analysis(rfqs: DataFrame, rfq_items: DataFrame, quotations: DataFrame,
                  quote_items: DataFrame, with_lists: bool = False) -> DataFrame:
-    miss = (missing_items(rfq_items, quotations, quote_items)
-            .groupBy("rfq_id", "quote_seq")
-            .agg(F.array_sort(F.collect_list("item_key")).alias("missing_item_list")))
+    miss = missing_item_lists(rfq_items, quotations, quote_items)
     flags = item_flags(quote_items)
     deadline = rfqs.select("rfq_id", or_default("deadline_date", "Not specified").alias("rfq_deadline"))
     q = quotations.select("rfq_id", "quote_seq",
@@ -104,11 +123,6 @@ def gap_analysis(rfqs: DataFrame, rfq_items: DataFrame, quotations: DataFrame,
 def missing_items_text(rfq_items: DataFrame, quotations: DataFrame,
                        quote_items: DataFrame) -> DataFrame:
     """Per quotation: sorted, comma-joined missing item keys and their count."""
-    miss = (missing_items(rfq_items, quotations, quote_items)
-            .groupBy("rfq_id", "quote_seq")
-            .agg(F.array_sort(F.collect_list("item_key")).alias("_l")))
-    return (quotations.select("rfq_id", "quote_seq").join(miss, ["rfq_id", "quote_seq"], "left")
-            .select("rfq_id", "quote_seq",
-                    F.coalesce(F.size("_l"), F.lit(0)).alias("n_missing"),
-                    _joined_or_none(F.coalesce(F.col("_l"), F.array().cast("array<string>")))
-                    .alias("missing_items")))
+    m = missing_item_lists(rfq_items, quotations, quote_items)
+    return m.select("rfq_id", "quote_seq", F.size("missing_item_list").alias("n_missing"),
+                    _joined_or_none(F.col("missing_item_list")).alias("missing_items"))

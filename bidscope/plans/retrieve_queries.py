@@ -68,12 +68,14 @@ def q_embed_topk(spark, d):
 
 @query("index_append")
 def q_index_append(spark, d):
-    """Build the chunk index from the first half of the documents, append
-    the rest, load it back (all chunks of all documents)."""
+    """Build the chunk index from all documents, then append the benchmark
+    passages as new documents, and load it back."""
     path = f"{shared_dir(spark)}/chunk_index_{uuid.uuid4().hex}"
     docs = _docs(spark, d)
     embed = retrieve.embed_texts(chunking.chunk_recursive(docs), "text", 256)
-    first = docs.filter(F.col("doc_id") % 2 == 0)
-    index_store.build_index(first, embed, path)
-    return index_store.add_documents(docs.filter(F.col("doc_id") % 2 == 1), embed, path).select(
+    index_store.build_index(docs, embed, path)
+    extra = read_table(spark, d, "benchmark", "item_id", "text").select(
+        (-F.col("item_id") - 1).alias("doc_id"), F.col("text").alias("raw_text"),
+        F.lit("benchmark").alias("source"))
+    return index_store.add_documents(extra, embed, path).select(
         "doc_id", "chunk_index", "source", "text", "embedding")
