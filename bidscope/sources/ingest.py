@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col_
+from ..functions.text import col_, strip
 
 # Suffix -> document type.
 FILE_TYPES = {".xlsx": "excel", ".xls": "excel", ".xlsm": "excel",
@@ -136,9 +136,10 @@ def workbook_cells(files: DataFrame) -> DataFrame:
 def sheet_table(cells: DataFrame) -> DataFrame:
     """Sheet -> table: drop all-empty rows, then all-empty columns, promote
     the first remaining row to the (stripped) header row 0, renumber rows
-    1..n; empty means NULL or blank text."""
+    1..n; empty means NULL or the empty string (whitespace counts as a value,
+    as in a data-frame reader)."""
     keys = ["doc_id", "table_no"]
-    filled = cells.filter(F.col("value").isNotNull() & (F.trim("value") != ""))
+    filled = cells.filter(F.col("value").isNotNull() & (F.col("value") != ""))
     rows = filled.select(*keys, "row_no").distinct()
     cols = filled.select(*keys, "col_no").distinct()
     kept = cells.join(rows, keys + ["row_no"], "left_semi").join(cols, keys + ["col_no"], "left_semi")
@@ -146,8 +147,8 @@ def sheet_table(cells: DataFrame) -> DataFrame:
     k = kept.join(first, keys)
     dr = F.dense_rank().over(Window.partitionBy(*keys).orderBy("row_no"))
     k = k.withColumn("row_no", (dr - 1).cast("long"))
-    return k.withColumn("value", F.when(F.col("row_no") == 0, F.trim("value")).otherwise(F.col("value"))
-                        ).drop("_h")
+    return k.withColumn("value", F.when(F.col("row_no") == 0, strip("value"))
+                        .otherwise(F.col("value"))).drop("_h")
 
 
 # ---- Word (.docx) ------------------------------------------------------------
@@ -252,7 +253,8 @@ def sheet_text(cells: DataFrame, files: DataFrame) -> DataFrame:
                  F.array_join(F.transform("_s", lambda s: s["t"]), "\n")).alias("raw_text"))
 
 
-def decode_files(files: DataFrame, out_dir: str) -> tuple[DataFrame, DataFrame]:
+def decode_files(files: DataFrame, out_dir: str, xlsx_decoder=None,
+                 docx_decoder=None) -> tuple[DataFrame, DataFrame]:
     """Decode landed files once and store the result as parquet tables
     ``doc_text(doc_id, file_type, raw_text)`` and ``doc_cells(doc_id,
     table_no, row_no, col_no, value)`` under ``out_dir``.
@@ -260,13 +262,18 @@ def decode_files(files: DataFrame, out_dir: str) -> tuple[DataFrame, DataFrame]:
     The written tables cut the lineage: the many later reads of the cells
     (routing, header maps, items) scan the stored table instead of
     re-decoding the files, and a lost executor never forces a re-decode.
+    ``xlsx_decoder`` / ``docx_decoder`` replace the built-in ``mapInPandas``
+    bodies (same input columns and output schema), e.g. to plug in another
+    parser.
     """
     spark = files.sparkSession
     out = out_dir.rstrip("/")
-    workbook_cells(files).write.mode("overwrite").parquet(f"{out}/sheet_cells")
+    xl = files.filter(file_suffix("path").isin(".xlsx", ".xlsm")).select("path", "content")
+    xl.mapInPandas(xlsx_decoder or _decode_xlsx, CELL_SCHEMA).write.mode("overwrite").parquet(
+        f"{out}/sheet_cells")
     raw = spark.read.parquet(f"{out}/sheet_cells")
     x = files.filter(file_suffix("path") == ".docx").select("path", "name", "content")
-    (x.mapInPandas(_decode_docx, "kind string, doc_id string, raw_text string, table_no int, "
+    (x.mapInPandas(docx_decoder or _decode_docx, "kind string, doc_id string, raw_text string, table_no int, "
                                  "row_no long, col_no int, value string")
       .write.mode("overwrite").parquet(f"{out}/word_parts"))
     w = spark.read.parquet(f"{out}/word_parts")

@@ -17,10 +17,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-redistribute on ``key`` only when the scan yields fewer splits
     than the cluster has cores. Large inputs (many files / row groups)
     already have more splits and are left untouched (no extra shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        coarse = df.rdd.getNumPartitions() < cores
+    except Exception:  # sessions without an RDD view (e.g. remote clients)
+        return df
+    return df.repartition(cores, key) if coarse else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
