@@ -10,7 +10,6 @@ characters every ``size - overlap`` characters.
 """
 from __future__ import annotations
 
-import re
 from typing import Iterator
 
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import ship_package
 
 # Chunk size, overlap and separator order.
 CHUNK_SIZE = 800
@@ -117,6 +117,7 @@ def chunk_recursive(docs: DataFrame, size: int = CHUNK_SIZE,
                     overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """``docs(doc_id, raw_text[, source, file_type, supplier_name])`` ->
     ``chunks``; blank texts are skipped."""
+    ship_package(docs.sparkSession)
     return _meta(docs).mapInPandas(_chunk_batches(size, overlap), CHUNK_SCHEMA)
 
 

@@ -270,6 +270,8 @@ def extract_with_model(doc_text: DataFrame, model_fn, cells: DataFrame | None =
             outs = model_fn([t[:MODEL_INPUT_CHARS] if t else "" for t in b["raw_text"]])
             yield pd.DataFrame({"doc_id": b["doc_id"], "model_output": outs})
 
+    from ..session import ship_package
+    ship_package(doc_text.sparkSession)
     id_type = dict(doc_text.dtypes)["doc_id"]
     answers = doc_text.select("doc_id", "raw_text").mapInPandas(
         run, f"doc_id {id_type}, model_output string")

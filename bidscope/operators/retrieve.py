@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col_, strip
+from ..session import ship_package
 
 # Hits per question.
 DEFAULT_K = 6
@@ -62,6 +63,7 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K,
                     max_block: int = MAX_QUERY_BLOCK) -> DataFrame:
     """``(query_id, hit_id, rank, score)``: the k nearest corpus rows per
     query by squared L2 (ties by smaller id); scores rounded to 1e-9."""
+    ship_package(queries.sparkSession)
     q = queries.select(F.col(query_id).cast("long").alias("_qid"),
                        F.col(query_vec).alias("_qv"))
     n = q.count()

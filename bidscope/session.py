@@ -61,3 +61,37 @@ def shared_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
     return d.rstrip("/")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``bidscope`` importable on the Python workers (``addPyFile`` of a
+    zip of the package, once per application), so operators that run
+    Python in tasks work wherever the driver was started. A deployment that
+    already ships the package (``--py-files``) just gets a second copy."""
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    target = f"{shared_dir(spark)}/bidscope_{app}.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    out.write(bytearray(buf.getvalue()))
+    out.close()
+    sc.addPyFile(target)
+    _SHIPPED.add(app)

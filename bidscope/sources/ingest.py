@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col_, strip
+from ..session import ship_package
 
 # Suffix -> document type.
 FILE_TYPES = {".xlsx": "excel", ".xls": "excel", ".xlsm": "excel",
@@ -129,6 +130,7 @@ def _decode_xlsx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def workbook_cells(files: DataFrame) -> DataFrame:
     """Raw sheet cells of .xlsx/.xlsm files (1-based sheet rows)."""
+    ship_package(files.sparkSession)
     x = files.filter(file_suffix("path").isin(".xlsx", ".xlsm")).select("path", "content")
     return x.mapInPandas(_decode_xlsx, CELL_SCHEMA)
 
@@ -198,6 +200,7 @@ def _decode_docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def word_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(.docx text rows ``(doc_id, file_type, raw_text)``, table cells)."""
+    ship_package(files.sparkSession)
     x = files.filter(file_suffix("path") == ".docx").select("path", "name", "content")
     out = x.mapInPandas(_decode_docx, "kind string, doc_id string, raw_text string, table_no int, "
                                       "row_no long, col_no int, value string")
@@ -267,6 +270,7 @@ def decode_files(files: DataFrame, out_dir: str, xlsx_decoder=None,
     parser.
     """
     spark = files.sparkSession
+    ship_package(spark)
     out = out_dir.rstrip("/")
     xl = files.filter(file_suffix("path").isin(".xlsx", ".xlsm")).select("path", "content")
     xl.mapInPandas(xlsx_decoder or _decode_xlsx, CELL_SCHEMA).write.mode("overwrite").parquet(
