@@ -21,14 +21,18 @@ def _norm(x: str, lo: str, hi: str):
     return (F.col(x) - F.col(lo)) / F.when(rng == 0, F.lit(1.0)).otherwise(rng)
 
 
-def recommendation(totals: DataFrame, gaps: DataFrame) -> DataFrame:
+def recommendation(totals: DataFrame, gaps: DataFrame, per_supplier: bool = False) -> DataFrame:
     """``totals``: total_cost_summary output; ``gaps``: gap_analysis output.
 
     Left join on (rfq, supplier) - one row per gap row, as in the reference
-    when a supplier sent several quotations. A missing gap score takes the
+    when a supplier sent several quotations (``per_supplier=True`` keeps one
+    row per supplier with its lowest gap score). A missing gap score takes the
     RFQ's highest; cost normalisation is 0 for an RFQ without any total.
     """
     g = gaps.select("rfq_id", "supplier_name", "gap_score")
+    if per_supplier:
+        # one row per supplier: its lowest (best) gap score
+        g = g.groupBy("rfq_id", "supplier_name").agg(F.min("gap_score").alias("gap_score"))
     m = totals.join(g, ["rfq_id", "supplier_name"], "left")
     # One per-RFQ aggregate gives every extreme: a missing gap score is
     # filled with the RFQ's highest, which leaves min and max unchanged.
@@ -60,3 +64,18 @@ def ordered(df: DataFrame, value: str, *ties: str) -> DataFrame:
     """Presentation sort within each RFQ (value ascending, NULL last, then
     explicit tie-breaks, since the reference's sort is not stable)."""
     return df.orderBy("rfq_id", F.col(value).asc_nulls_last(), *ties)
+
+
+def sort_by_total(totals: DataFrame) -> DataFrame:
+    """Totals in ascending cost per RFQ, missing totals last."""
+    return ordered(totals, "total_quoted_cost", "supplier_name")
+
+
+def sort_by_gap(gaps: DataFrame) -> DataFrame:
+    """Most complete quotations first per RFQ."""
+    return ordered(gaps, "gap_score", "supplier_name", "quote_seq")
+
+
+def sort_by_composite(rec: DataFrame) -> DataFrame:
+    """Recommendation order per RFQ."""
+    return ordered(rec, "composite_score", "supplier_name")

@@ -94,8 +94,7 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K,
                         F.round("score", 9).alias("score")))
 
 
-def class_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedding",
-                    dim: int | None = None) -> DataFrame:
+def class_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
     """Mean vector per label: explode to (label, position, value), a grouped
     partial average, then re-assemble the short vector per label."""
     e = vectors.select(F.col(label).alias("query_id"), F.posexplode(vec).alias("pos", "x"))

@@ -27,4 +27,6 @@ def test_split_rank_no_group_in_one_window_partition(spark):
     df = spark.range(0, 2000).select(F.lit("x").alias("g"), (F.col("id") % 50).cast("double").alias("v"))
     out = split_rank(df, ["g"], "v", "r", splits=16)
     assert out.agg(F.max("r")).collect()[0][0] == 1961
+    # the single group's rows are ranked in several tasks, not one
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
     assert out.filter("v = 0").select("r").distinct().collect()[0][0] == 1
