@@ -1,7 +1,7 @@
 """Compliance gaps of each quotation against its RFQ.
 
-Per quotation: required items not quoted (set difference of key arrays on a
-normalised name key), missing header fields, items lacking packaging / portion, the RFQ
+Per quotation: required items not quoted (an output-sensitive set
+difference on a normalised name key), missing header fields, items lacking packaging / portion, the RFQ
 deadline and a weighted gap score. Joins are on ``rfq_id`` (+ ``quote_seq``),
 aggregates are grouped by quotation; nothing is windowed over a whole RFQ.
 """
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_falsy_num, is_falsy_str, or_default, strip
 from .compare import UNKNOWN_SUPPLIER
+from .hot_window import dense_index
 
 # Header fields checked for presence, with their labels, in
 # output order.
@@ -23,6 +24,9 @@ REQUIRED_FIELDS = [
 ]
 NUMERIC_FIELDS = {"delivery_lead_time_days"}
 
+# Required-item positions are compared in blocks of this many.
+MISSING_BLOCK = 4096
+
 # Fixed weights of the gap score.
 W_MISSING_ITEM, W_MISSING_FIELD, W_NO_PACKAGING, W_NO_PORTION = 3.0, 1.0, 0.5, 0.5
 
@@ -36,34 +40,90 @@ def _named(df: DataFrame) -> DataFrame:
     return df.filter(~is_falsy_str("item_name"))
 
 
-def missing_item_lists(rfq_items: DataFrame, quotations: DataFrame,
-                       quote_items: DataFrame) -> DataFrame:
-    """Per quotation: sorted array of required item keys it does not quote.
+def _required(rfq_items: DataFrame) -> DataFrame:
+    """Distinct named required item keys per RFQ."""
+    return _named(rfq_items).select("rfq_id", item_key().alias("k")).distinct()
+
+
+def _quoted(quote_items: DataFrame) -> DataFrame:
+    """Distinct named item keys per quotation (a partial aggregate)."""
+    return _named(quote_items).select("rfq_id", "quote_seq", item_key().alias("k")).distinct()
+
+
+def _rfq_sizes(req: DataFrame) -> DataFrame:
+    return req.groupBy("rfq_id").agg(F.count(F.lit(1)).alias("_n"))
 
-    Set difference on arrays instead of a quotation x required-item pair
-    join: one sorted key array per RFQ (the RFQ's own item list) and one
-    key set per quotation, then ``array_except`` row by row. Both arrays
-    are partial aggregates, the RFQ array is joined on ``rfq_id`` (one row
-    per RFQ, so AQE broadcasts it when small), and no pair rows are built.
+
+def missing_item_counts(rfq_items: DataFrame, quotations: DataFrame,
+                        quote_items: DataFrame) -> DataFrame:
+    """Per quotation: number of required keys it does not quote.
+
+    n(required) - n(required keys it quotes): a semi join on (rfq, key) and
+    two counts. No quotation x item pairs and no item list is built, so this
+    is what the gap score needs at any RFQ size.
     """
-    req = (_named(rfq_items).select("rfq_id", item_key().alias("k"))
-           .groupBy("rfq_id").agg(F.array_sort(F.collect_set("k")).alias("_req")))
-    quoted = (_named(quote_items).select("rfq_id", "quote_seq", item_key().alias("k"))
-              .groupBy("rfq_id", "quote_seq").agg(F.collect_set("k").alias("_got")))
-    empty = F.array().cast("array<string>")
+    req = _required(rfq_items)
+    hit = (_quoted(quote_items).join(req, ["rfq_id", "k"], "left_semi")
+           .groupBy("rfq_id", "quote_seq").agg(F.count(F.lit(1)).alias("_hit")))
     return (quotations.select("rfq_id", "quote_seq")
-            .join(req, "rfq_id", "left")
-            .join(quoted, ["rfq_id", "quote_seq"], "left")
+            .join(_rfq_sizes(req), "rfq_id", "left")
+            .join(hit, ["rfq_id", "quote_seq"], "left")
+            .select("rfq_id", "quote_seq",
+                    (F.coalesce(F.col("_n"), F.lit(0)) - F.coalesce(F.col("_hit"), F.lit(0)))
+                    .cast("int").alias("n_missing")))
+
+
+def missing_items(rfq_items: DataFrame, quotations: DataFrame, quote_items: DataFrame,
+                  block: int = MISSING_BLOCK) -> DataFrame:
+    """Long form: one row per (quotation, required item key not quoted).
+
+    Output-sensitive set difference, without pairing every quotation with
+    every required item and without holding an RFQ's item list in one row:
+
+    1. the RFQ's distinct keys get dense positions 0..n-1 (``dense_index``,
+       spread over hash sub-buckets);
+    2. each quoted key is mapped to its position by an equi-join on
+       (rfq, key), and the hit positions are grouped per (quotation, block of
+       ``block`` positions): at most ``block`` values per row;
+    3. every quotation lists the blocks of its RFQ; per block, the missing
+       positions are ``sequence(block range)`` minus the hits, exploded;
+    4. positions go back to keys by an equi-join on (rfq, position).
+
+    Rows produced: hit keys + quotations x blocks + missing keys.
+    """
+    req = dense_index(_required(rfq_items), ["rfq_id"], "k")
+    hits = (_quoted(quote_items).join(req.select("rfq_id", "k", "pos"), ["rfq_id", "k"])
+            .withColumn("_blk", F.floor(F.col("pos") / block))
+            .groupBy("rfq_id", "quote_seq", "_blk")
+            .agg(F.collect_list("pos").alias("_hit")))
+    nblk = F.ceil(F.col("_n") / block).cast("long")
+    blocks = (quotations.select("rfq_id", "quote_seq")
+              .join(_rfq_sizes(_required(rfq_items)), "rfq_id")
+              .select("rfq_id", "quote_seq", "_n",
+                      F.explode(F.sequence(F.lit(0).cast("long"), nblk - 1)).alias("_blk")))
+    lo = F.col("_blk") * block
+    hi = F.least(F.col("_n"), lo + block) - 1
+    empty = F.array().cast("array<long>")
+    miss = (blocks.join(hits, ["rfq_id", "quote_seq", "_blk"], "left")
             .select("rfq_id", "quote_seq",
-                    F.array_except(F.coalesce("_req", empty), F.coalesce("_got", empty))
-                    .alias("missing_item_list")))
+                    F.explode(F.array_except(F.sequence(lo, hi), F.coalesce("_hit", empty)))
+                    .alias("pos")))
+    return (miss.join(req.select("rfq_id", "pos", "k"), ["rfq_id", "pos"])
+            .select("rfq_id", "quote_seq", F.col("k").alias("item_key")))
 
 
-def missing_items(rfq_items: DataFrame, quotations: DataFrame,
-                  quote_items: DataFrame) -> DataFrame:
-    """Long form: one row per (quotation, required item key not quoted)."""
-    return missing_item_lists(rfq_items, quotations, quote_items).select(
-        "rfq_id", "quote_seq", F.explode("missing_item_list").alias("item_key"))
+def missing_item_lists(rfq_items: DataFrame, quotations: DataFrame,
+                       quote_items: DataFrame) -> DataFrame:
+    """Per quotation: sorted array of the required item keys it does not
+    quote (empty when none). The array is the quotation's output cell; it is
+    grouped per quotation from the long form, never per RFQ."""
+    lists = (missing_items(rfq_items, quotations, quote_items)
+             .groupBy("rfq_id", "quote_seq")
+             .agg(F.array_sort(F.collect_list("item_key")).alias("_l")))
+    return (quotations.select("rfq_id", "quote_seq")
+            .join(lists, ["rfq_id", "quote_seq"], "left")
+            .select("rfq_id", "quote_seq",
+                    F.coalesce("_l", F.array().cast("array<string>")).alias("missing_item_list")))
 
 
 def _joined_or_none(arr):
@@ -90,6 +150,34 @@ def item_flags(quote_items: DataFrame) -> DataFrame:
         nq_n.alias("n_no_portion"), nq_l.alias("_l_port"))
 
 
+def _score(n_missing, n_fields, n_pack, n_port):
+    s = (n_missing * W_MISSING_ITEM + n_fields * W_MISSING_FIELD
+         + F.coalesce(n_pack, F.lit(0)) * W_NO_PACKAGING
+         + F.coalesce(n_port, F.lit(0)) * W_NO_PORTION)
+    return F.round(s.cast("double"), 1)
+
+
+def gap_scores(rfq_items: DataFrame, quotations: DataFrame,
+               quote_items: DataFrame) -> DataFrame:
+    """Per quotation: the gap score alone (what the recommendation reads).
+
+    Same score as ``gap_analysis``, from counts only: no item lists and no
+    text, so every aggregate is a partial count.
+    """
+    lack = lambda c: F.count_if(is_falsy_str(c))
+    flags = quote_items.groupBy("rfq_id", "quote_seq").agg(
+        lack("packaging").alias("n_no_packaging"), lack("portion").alias("n_no_portion"))
+    q = quotations.select("rfq_id", "quote_seq",
+                          or_default("supplier_name", UNKNOWN_SUPPLIER).alias("supplier_name"),
+                          F.size(missing_fields_array()).alias("_nf"))
+    j = (q.join(missing_item_counts(rfq_items, quotations, quote_items),
+                ["rfq_id", "quote_seq"], "left")
+          .join(flags, ["rfq_id", "quote_seq"], "left"))
+    return j.select("rfq_id", "quote_seq", "supplier_name",
+                    _score(F.coalesce(F.col("n_missing"), F.lit(0)), F.col("_nf"),
+                           F.col("n_no_packaging"), F.col("n_no_portion")).alias("gap_score"))
+
+
 def gap_analysis(rfqs: DataFrame, rfq_items: DataFrame, quotations: DataFrame,
                  quote_items: DataFrame, with_lists: bool = False) -> DataFrame:
     miss = missing_item_lists(rfq_items, quotations, quote_items)
@@ -103,9 +191,8 @@ def gap_analysis(rfqs: DataFrame, rfq_items: DataFrame, quotations: DataFrame,
           .join(deadline, "rfq_id", "left"))
     mi = F.coalesce(F.col("missing_item_list"), F.array().cast("array<string>"))
     names = lambda c: F.transform(F.coalesce(F.col(c), F.array()), lambda s: s["item_name"])
-    score = (F.size(mi) * W_MISSING_ITEM + F.size("missing_field_list") * W_MISSING_FIELD
-             + F.coalesce(F.col("n_no_packaging"), F.lit(0)) * W_NO_PACKAGING
-             + F.coalesce(F.col("n_no_portion"), F.lit(0)) * W_NO_PORTION)
+    score = _score(F.size(mi), F.size("missing_field_list"), F.col("n_no_packaging"),
+                   F.col("n_no_portion"))
     cols = [
         "rfq_id", "quote_seq", "supplier_name",
         _joined_or_none(mi).alias("missing_items"),
@@ -113,7 +200,7 @@ def gap_analysis(rfqs: DataFrame, rfq_items: DataFrame, quotations: DataFrame,
         _joined_or_none(names("_l_pack")).alias("items_missing_packaging"),
         _joined_or_none(names("_l_port")).alias("items_missing_portion"),
         F.coalesce(F.col("rfq_deadline"), F.lit("Not specified")).alias("rfq_deadline"),
-        F.round(score.cast("double"), 1).alias("gap_score"),
+        score.alias("gap_score"),
     ]
     if with_lists:
         cols += [mi.alias("missing_item_list"), "missing_field_list"]

@@ -75,8 +75,9 @@ def q_cash_outlay(spark, d):
 @query("recommendation")
 def q_recommendation(spark, d):
     qi = star.quote_items(spark, d)
+    scores = gaps.gap_scores(star.rfq_items(spark, d), star.quotations(spark, d, qi), qi)
     return recommend.recommendation(compare.total_cost_summary(compare.item_comparison(qi)),
-                                    _gaps(spark, d, qi))
+                                    scores)
 
 
 @query("best_supplier")
