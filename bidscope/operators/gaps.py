@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_falsy_num, is_falsy_str, or_default, strip
 from .compare import UNKNOWN_SUPPLIER
-from .hot_window import dense_index
 
 # Header fields checked for presence, with their labels, in
 # output order.
@@ -73,53 +72,58 @@ def missing_item_counts(rfq_items: DataFrame, quotations: DataFrame,
                     .cast("int").alias("n_missing")))
 
 
-def missing_items(rfq_items: DataFrame, quotations: DataFrame, quote_items: DataFrame,
-                  block: int = MISSING_BLOCK) -> DataFrame:
-    """Long form: one row per (quotation, required item key not quoted).
+def missing_blocks(rfq_items: DataFrame, quotations: DataFrame, quote_items: DataFrame,
+                   block: int = MISSING_BLOCK) -> DataFrame:
+    """Per (quotation, block of required keys with a miss): the missing keys.
 
     Output-sensitive set difference, without pairing every quotation with
     every required item and without holding an RFQ's item list in one row:
 
-    1. the RFQ's distinct keys get dense positions 0..n-1 (``dense_index``,
-       spread over hash sub-buckets);
-    2. each quoted key is mapped to its position by an equi-join on
-       (rfq, key), and the hit positions are grouped per (quotation, block of
-       ``block`` positions): at most ``block`` values per row;
-    3. every quotation lists the blocks of its RFQ; per block, the missing
-       positions are ``sequence(block range)`` minus the hits, exploded;
-    4. positions go back to keys by an equi-join on (rfq, position).
+    1. an RFQ with n distinct keys hashes them into ``ceil(n / block)``
+       blocks (about ``block`` keys per row, however large the RFQ);
+    2. quoted keys are matched to required keys by an equi-join on
+       (rfq, key) and grouped per (quotation, block);
+    3. every quotation lists its RFQ's blocks and meets each block's keys by
+       an equi-join on (rfq, block); blocks whose keys are all quoted are
+       dropped by count, the rest keep ``array_except(keys, hits)``.
 
-    Rows produced: hit keys + quotations x blocks + missing keys.
+    Rows: (rfq_id, quote_seq, _blk, missing ARRAY<STRING>), never empty.
     """
-    req = dense_index(_required(rfq_items), ["rfq_id"], "k")
-    hits = (_quoted(quote_items).join(req.select("rfq_id", "k", "pos"), ["rfq_id", "k"])
-            .withColumn("_blk", F.floor(F.col("pos") / block))
+    req = _required(rfq_items)
+    sizes = _rfq_sizes(req).withColumn("_nblk", F.ceil(F.col("_n") / block).cast("long"))
+    req = (req.join(sizes, "rfq_id")
+              .select("rfq_id", "k", F.pmod(F.xxhash64("k"), F.col("_nblk")).alias("_blk")))
+    req_blocks = req.groupBy("rfq_id", "_blk").agg(F.collect_list("k").alias("_keys"))
+    hits = (_quoted(quote_items).join(req, ["rfq_id", "k"])
             .groupBy("rfq_id", "quote_seq", "_blk")
-            .agg(F.collect_list("pos").alias("_hit")))
-    nblk = F.ceil(F.col("_n") / block).cast("long")
-    blocks = (quotations.select("rfq_id", "quote_seq")
-              .join(_rfq_sizes(_required(rfq_items)), "rfq_id")
-              .select("rfq_id", "quote_seq", "_n",
-                      F.explode(F.sequence(F.lit(0).cast("long"), nblk - 1)).alias("_blk")))
-    lo = F.col("_blk") * block
-    hi = F.least(F.col("_n"), lo + block) - 1
-    empty = F.array().cast("array<long>")
-    miss = (blocks.join(hits, ["rfq_id", "quote_seq", "_blk"], "left")
-            .select("rfq_id", "quote_seq",
-                    F.explode(F.array_except(F.sequence(lo, hi), F.coalesce("_hit", empty)))
-                    .alias("pos")))
-    return (miss.join(req.select("rfq_id", "pos", "k"), ["rfq_id", "pos"])
-            .select("rfq_id", "quote_seq", F.col("k").alias("item_key")))
+            .agg(F.collect_list("k").alias("_hit")))
+    blocks = (quotations.select("rfq_id", "quote_seq").join(sizes, "rfq_id")
+              .select("rfq_id", "quote_seq",
+                      F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nblk") - 1))
+                      .alias("_blk")))
+    empty = F.array().cast("array<string>")
+    return (blocks.join(hits, ["rfq_id", "quote_seq", "_blk"], "left")
+            .join(req_blocks, ["rfq_id", "_blk"])
+            .filter(F.coalesce(F.size("_hit"), F.lit(0)) < F.size("_keys"))
+            .select("rfq_id", "quote_seq", "_blk",
+                    F.array_except("_keys", F.coalesce("_hit", empty)).alias("missing")))
+
+
+def missing_items(rfq_items: DataFrame, quotations: DataFrame, quote_items: DataFrame,
+                  block: int = MISSING_BLOCK) -> DataFrame:
+    """Long form: one row per (quotation, required item key not quoted)."""
+    return missing_blocks(rfq_items, quotations, quote_items, block).select(
+        "rfq_id", "quote_seq", F.explode("missing").alias("item_key"))
 
 
 def missing_item_lists(rfq_items: DataFrame, quotations: DataFrame,
-                       quote_items: DataFrame) -> DataFrame:
+                       quote_items: DataFrame, block: int = MISSING_BLOCK) -> DataFrame:
     """Per quotation: sorted array of the required item keys it does not
     quote (empty when none). The array is the quotation's output cell; it is
-    grouped per quotation from the long form, never per RFQ."""
-    lists = (missing_items(rfq_items, quotations, quote_items)
+    assembled per quotation from its blocks, never per RFQ."""
+    lists = (missing_blocks(rfq_items, quotations, quote_items, block)
              .groupBy("rfq_id", "quote_seq")
-             .agg(F.array_sort(F.collect_list("item_key")).alias("_l")))
+             .agg(F.array_sort(F.flatten(F.collect_list("missing"))).alias("_l")))
     return (quotations.select("rfq_id", "quote_seq")
             .join(lists, ["rfq_id", "quote_seq"], "left")
             .select("rfq_id", "quote_seq",

@@ -48,34 +48,6 @@ def split_rank(df: DataFrame, groups: Sequence[str], value: str, out: str = "ran
                   .drop("_sr_bucket", "_sr_off"))
 
 
-def dense_index(df: DataFrame, groups: Sequence[str], key: str, out: str = "pos",
-                rows_per_split: int = 100000) -> DataFrame:
-    """Number the distinct ``key`` values of each group 0..n-1 (exact, dense,
-    deterministic; the order is by hash bucket, then key) and attach the
-    group size as ``_n``.
-
-    A group is cut into ``ceil(n / rows_per_split)`` hash sub-buckets; one
-    small running sum over a group's sub-buckets gives each its offset, and
-    ``row_number`` runs per (group, sub-bucket), so no task holds more than
-    about ``rows_per_split`` rows of a group. ``df`` must be distinct on
-    (groups, key).
-    """
-    groups = list(groups)
-    n = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    nsub = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_split)))
-    tagged = (df.join(n, groups)
-                .withColumn("_di_sub", F.pmod(F.xxhash64(F.col(key)), nsub.cast("long"))))
-    counts = tagged.groupBy(*groups, "_di_sub").agg(F.count(F.lit(1)).alias("_di_c"))
-    before = (Window.partitionBy(*groups).orderBy("_di_sub")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*groups, "_di_sub",
-                            F.coalesce(F.sum("_di_c").over(before), F.lit(0)).alias("_di_off"))
-    local = F.row_number().over(Window.partitionBy(*groups, "_di_sub").orderBy(F.col(key)))
-    return (tagged.join(offsets, groups + ["_di_sub"])
-                  .withColumn(out, (F.col("_di_off") + local - 1).cast("long"))
-                  .drop("_di_sub", "_di_off"))
-
-
 def group_extremes(df: DataFrame, groups: Sequence[str], value: str,
                    prefix: str = "") -> DataFrame:
     """Per-group min and max joined back to every row.

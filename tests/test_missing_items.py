@@ -1,12 +1,9 @@
 """Output-sensitive missing items equal a brute-force set difference, across
-many position blocks and hash sub-buckets, with a hot RFQ; dense_index is a
-dense exact numbering."""
+many key blocks, with a hot RFQ, blank names and duplicate lines."""
 import random
 
-from pyspark.sql import functions as F
 
 from bidscope.operators import gaps
-from bidscope.operators.hot_window import dense_index
 
 
 def _fixture(spark):
@@ -56,28 +53,9 @@ def test_missing_items_blocks_equal_brute_force(spark):
         for row in long.collect():
             got.setdefault((row.rfq_id, row.quote_seq), []).append(row.item_key)
         assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
-    lists = {(r.rfq_id, r.quote_seq): r.missing_item_list
-             for r in gaps.missing_item_lists(ri, qs, qi).collect()}
-    assert lists == want
+        lists = {(r.rfq_id, r.quote_seq): r.missing_item_list
+                 for r in gaps.missing_item_lists(ri, qs, qi, block=block).collect()}
+        assert lists == want
     counts = {(r.rfq_id, r.quote_seq): r.n_missing
               for r in gaps.missing_item_counts(ri, qs, qi).collect()}
     assert counts == {k: len(v) for k, v in want.items()}
-
-
-def test_dense_index_is_dense_and_spread(spark):
-    df = (spark.range(0, 5000)
-          .select(F.when(F.col("id") % 3 == 0, F.lit("g1")).otherwise(F.lit("hot")).alias("g"),
-                  F.concat(F.lit("k"), F.col("id").cast("string")).alias("k")))
-    out = dense_index(df, ["g"], "k", rows_per_split=200)
-    rows = out.collect()
-    by = {}
-    for r in rows:
-        by.setdefault(r.g, []).append(r.pos)
-        assert r._n == (1667 if r.g == "g1" else 3333)
-    for g, ps in by.items():
-        assert sorted(ps) == list(range(len(ps)))
-    # deterministic: a second evaluation numbers every key the same way
-    again = {(r.g, r.k): r.pos for r in out.collect()}
-    assert again == {(r.g, r.k): r.pos for r in rows}
-    # the hot group is numbered in several window partitions
-    assert out.filter("g = 'hot'").select(F.spark_partition_id()).distinct().count() > 1
