@@ -164,14 +164,16 @@ cte("cells")(rf"""
 SELECT doc_id, table_no, row_no, c.col_no AS col_no, CAST(c.value AS VARCHAR) AS value FROM (
   SELECT p_brand AS doc_id, CAST(p_size % 2 AS INTEGER) AS table_no, p_partkey + 1 AS row_no,
          unnest(CASE WHEN p_size % 2 = 0 THEN {_cells(_t0)} ELSE {_cells(_t1)} END) AS c
-  FROM part WHERE CAST(regexp_extract(p_brand, '(\d+)$', 1) AS INTEGER) % 3 = 0)
+  FROM part)
 UNION ALL
 SELECT doc_id, table_no, CAST(0 AS BIGINT) AS row_no, CAST(generate_subscripts(h, 1) AS INTEGER) AS col_no,
        unnest(h) AS value FROM (
   SELECT DISTINCT p_brand AS doc_id, CAST(p_size % 2 AS INTEGER) AS table_no,
-         CASE WHEN p_size % 2 = 0 THEN [{', '.join(lit(h) for h in TABLE_HEADERS[0])}]
-              ELSE [{', '.join(lit(h) for h in TABLE_HEADERS[1])}] END AS h
-  FROM part WHERE CAST(regexp_extract(p_brand, '(\d+)$', 1) AS INTEGER) % 3 = 0)
+         CASE CAST(p_size % 2 AS INTEGER)
+              + CASE WHEN CAST(regexp_extract(p_brand, '(\d+)$', 1) AS INTEGER) % 3 = 0 THEN 0 ELSE 2 END
+              {' '.join(f"WHEN {i} THEN [{', '.join(lit(h) for h in hs)}]" for i, hs in TABLE_HEADERS.items())}
+         END AS h
+  FROM part)
 """)
 
 # ---- extraction --------------------------------------------------------------

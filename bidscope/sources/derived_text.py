@@ -139,20 +139,24 @@ def item_lines(spark: SparkSession, d: str) -> DataFrame:
                     line.alias("line"))
 
 
-# Fixed test values: the two table layouts of the cell documents.
+# Fixed test values: the table layouts of the cell documents. Layouts 0 and 1
+# have an item column; 2 and 3 (same data columns) have none, so their
+# tables give no items and their documents take the text-line path.
 TABLE_HEADERS = {
     0: ["Item Name", "Quantity", "Unit", "Unit Price", "Total Price", "Portion", "Packaging"],
     1: ["Item Code", "Qty", "Unit Price (INR)", "Rate", "Remarks", "Packaging Spec", "Unit", "Qty"],
+    2: ["Line", "Quantity", "Unit", "Unit Price", "Total Price", "Portion", "Packaging"],
+    3: ["Code", "Qty", "Unit Price (INR)", "Rate", "Remarks", "Packaging Spec", "Unit", "Qty"],
 }
 
 
 def table_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Long cells ``(doc_id, table_no, row_no, col_no, value)`` of the table
-    documents (brands whose number is a multiple of 3); row 0 is the header,
-    one data row per part, table = part size parity."""
-    p = (read_table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size",
-                    "p_retailprice")
-         .filter(brand_number() % 3 == 0))
+    """Long cells ``(doc_id, table_no, row_no, col_no, value)``: one document
+    per brand, one data row per part (every part), table = part size parity,
+    row 0 is the header. Brands whose number is a multiple of 3 use layouts
+    with an item column; the others use the same tables without one."""
+    p = read_table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size",
+                   "p_retailprice")
     k, z, price = F.col("p_partkey"), s("p_size"), s(F.floor("p_retailprice"))
     t0 = [F.when(k % 13 == 0, F.lit("")).otherwise(F.col("p_name")), z, F.lit("pcs"),
           F.concat(F.lit("Rs. "), price, F.lit(".50")),
@@ -171,10 +175,16 @@ def table_cells(spark: SparkSession, d: str) -> DataFrame:
                      (k + 1).alias("row_no"),
                      F.explode(F.when(tno == 0, cells(t0)).otherwise(cells(t1))).alias("c"))
              .select("doc_id", "table_no", "row_no", "c.col_no", "c.value"))
-    tables = p.select(F.col("p_brand").alias("doc_id"), tno.alias("table_no")).distinct()
+    layout = F.when(brand_number() % 3 == 0, tno).otherwise(tno + 2)
+    tables = p.select(F.col("p_brand").alias("doc_id"), tno.alias("table_no"),
+                      layout.alias("layout")).distinct()
+    header = None
+    for i, names in TABLE_HEADERS.items():
+        arr = F.array(*map(F.lit, names))
+        header = (F.when(F.col("layout") == i, arr) if header is None
+                  else header.when(F.col("layout") == i, arr))
     heads = tables.select("doc_id", "table_no", F.lit(0).cast("bigint").alias("row_no"),
-                          F.posexplode(F.when(F.col("table_no") == 0, F.array(*map(F.lit, TABLE_HEADERS[0])))
-                                       .otherwise(F.array(*map(F.lit, TABLE_HEADERS[1])))))
+                          F.posexplode(header))
     heads = heads.select("doc_id", "table_no", "row_no", (F.col("pos") + 1).alias("col_no"),
                          F.col("col").alias("value"))
     return heads.unionByName(data)
