@@ -13,6 +13,7 @@ distributed pass over the corpus.
 """
 from __future__ import annotations
 
+import uuid
 from typing import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col_, strip
-from ..session import ship_package
+from ..session import shared_dir, ship_package
 
 # Hits per question.
 DEFAULT_K = 6
@@ -70,24 +71,33 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K,
     # hash blocks with 2x slack so no block exceeds the bound in practice
     blocks = 1 if n <= max_block else -(-2 * n // max_block)
     corp = corpus.select(F.col(corpus_id).cast("long").alias("_cid"), F.col(corpus_vec).alias("_cv"))
-    parts = []
-    for b in range(blocks):
-        blk = q.filter(F.pmod(F.xxhash64("_qid"), F.lit(blocks)) == b) if blocks > 1 else q
-        rows = blk.collect()
+    schema = "query_id long, hit_id long, score double"
+
+    def block_pass(rows):
         if len(rows) > max_block:
             raise ValueError("query block larger than the broadcast bound")
-        if not rows:
-            continue
         qids = np.array([r[0] for r in rows], dtype=np.int64)
         qv = np.stack([np.asarray(r[1], dtype=np.float64) for r in rows])
-        parts.append(corp.mapInPandas(_partial_topk(qids, qv, k, "_cid", "_cv"),
-                                      "query_id long, hit_id long, score double"))
-    if not parts:
-        return queries.sparkSession.createDataFrame(
-            [], "query_id long, hit_id long, rank int, score double")
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
+        return corp.mapInPandas(_partial_topk(qids, qv, k, "_cid", "_cv"), schema)
+
+    spark = queries.sparkSession
+    if blocks == 1:
+        rows = q.collect()
+        allp = block_pass(rows) if rows else spark.createDataFrame([], schema)
+    else:
+        # Many blocks: the query set is written once under the shared folder,
+        # partitioned by block (each block's read prunes to one folder), and
+        # every block's partial top-k is appended to a shared table, so the
+        # plan stays one pass per block and no result is recomputed.
+        base = f"{shared_dir(spark)}/topk_{uuid.uuid4().hex}"
+        (q.withColumn("_blk", F.pmod(F.xxhash64("_qid"), F.lit(blocks)))
+          .write.partitionBy("_blk").parquet(f"{base}/queries"))
+        stored = spark.read.parquet(f"{base}/queries")
+        for b in range(blocks):
+            rows = stored.filter(F.col("_blk") == b).select("_qid", "_qv").collect()
+            if rows:
+                block_pass(rows).write.mode("append").parquet(f"{base}/partial")
+        allp = spark.read.schema(schema).parquet(f"{base}/partial")
     w = Window.partitionBy("query_id").orderBy("score", "hit_id")
     return (allp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .select("query_id", "hit_id", F.col("rank").cast("int").alias("rank"),

@@ -50,13 +50,18 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints and written tables.
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).
-    Only when neither is set (local runs, tests) do we create our own.
+    Only a local-mode session (local runs, tests) without either gets a
+    folder of its own; on a cluster a machine-local folder would not be
+    shared, so an unset setting is an error there.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if not d:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                                   "(written tables and checkpoints go there)")
             d = tempfile.mkdtemp(prefix="bidscope-shared-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
