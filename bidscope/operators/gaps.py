@@ -72,47 +72,49 @@ def missing_item_counts(rfq_items: DataFrame, quotations: DataFrame,
                     .cast("int").alias("n_missing")))
 
 
-def missing_blocks(rfq_items: DataFrame, quotations: DataFrame, quote_items: DataFrame,
-                   block: int = MISSING_BLOCK) -> DataFrame:
-    """Per (quotation, block of required keys with a miss): the missing keys.
+def _block_rows(rfq_items: DataFrame, quotations: DataFrame, quote_items: DataFrame,
+                block: int) -> DataFrame:
+    """One row per (quotation, key block of its RFQ) with the block's missing
+    keys (possibly empty); a quotation whose RFQ has no required items gets
+    one row with an empty array.
 
     Output-sensitive set difference, without pairing every quotation with
     every required item and without holding an RFQ's item list in one row:
 
     1. an RFQ with n distinct keys hashes them into ``ceil(n / block)``
        blocks (about ``block`` keys per row, however large the RFQ);
-    2. quoted keys are matched to required keys by an equi-join on
-       (rfq, key) and grouped per (quotation, block);
+    2. quoted keys that are required (equi-join on (rfq, key), which also
+       bounds every hit set by its block) are collected as a set per
+       (quotation, block), a partial aggregate;
     3. every quotation lists its RFQ's blocks and meets each block's keys by
-       an equi-join on (rfq, block); blocks whose keys are all quoted are
-       dropped by count, the rest keep ``array_except(keys, hits)``.
-
-    Rows: (rfq_id, quote_seq, _blk, missing ARRAY<STRING>), never empty.
+       an equi-join on (rfq, block), keeping ``array_except(keys, hits)``.
     """
     req = _required(rfq_items)
-    sizes = _rfq_sizes(req).withColumn("_nblk", F.ceil(F.col("_n") / block).cast("long"))
+    sizes = _rfq_sizes(req).select(
+        "rfq_id", F.ceil(F.col("_n") / block).cast("long").alias("_nblk"))
     req = (req.join(sizes, "rfq_id")
               .select("rfq_id", "k", F.pmod(F.xxhash64("k"), F.col("_nblk")).alias("_blk")))
     req_blocks = req.groupBy("rfq_id", "_blk").agg(F.collect_list("k").alias("_keys"))
-    hits = (_quoted(quote_items).join(req, ["rfq_id", "k"])
+    hits = (_named(quote_items).select("rfq_id", "quote_seq", item_key().alias("k"))
+            .join(req, ["rfq_id", "k"])
             .groupBy("rfq_id", "quote_seq", "_blk")
-            .agg(F.collect_list("k").alias("_hit")))
-    blocks = (quotations.select("rfq_id", "quote_seq").join(sizes, "rfq_id")
-              .select("rfq_id", "quote_seq",
-                      F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nblk") - 1))
-                      .alias("_blk")))
+            .agg(F.collect_set("k").alias("_hit")))
+    rows = (quotations.select("rfq_id", "quote_seq").join(sizes, "rfq_id", "left")
+            .select("rfq_id", "quote_seq",
+                    F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("_nblk") - 1))
+                    .alias("_blk")))
     empty = F.array().cast("array<string>")
-    return (blocks.join(hits, ["rfq_id", "quote_seq", "_blk"], "left")
-            .join(req_blocks, ["rfq_id", "_blk"])
-            .filter(F.coalesce(F.size("_hit"), F.lit(0)) < F.size("_keys"))
+    return (rows.join(hits, ["rfq_id", "quote_seq", "_blk"], "left")
+            .join(req_blocks, ["rfq_id", "_blk"], "left")
             .select("rfq_id", "quote_seq", "_blk",
-                    F.array_except("_keys", F.coalesce("_hit", empty)).alias("missing")))
+                    F.array_except(F.coalesce("_keys", empty), F.coalesce("_hit", empty))
+                    .alias("missing")))
 
 
 def missing_items(rfq_items: DataFrame, quotations: DataFrame, quote_items: DataFrame,
                   block: int = MISSING_BLOCK) -> DataFrame:
     """Long form: one row per (quotation, required item key not quoted)."""
-    return missing_blocks(rfq_items, quotations, quote_items, block).select(
+    return _block_rows(rfq_items, quotations, quote_items, block).select(
         "rfq_id", "quote_seq", F.explode("missing").alias("item_key"))
 
 
@@ -121,13 +123,9 @@ def missing_item_lists(rfq_items: DataFrame, quotations: DataFrame,
     """Per quotation: sorted array of the required item keys it does not
     quote (empty when none). The array is the quotation's output cell; it is
     assembled per quotation from its blocks, never per RFQ."""
-    lists = (missing_blocks(rfq_items, quotations, quote_items, block)
-             .groupBy("rfq_id", "quote_seq")
-             .agg(F.array_sort(F.flatten(F.collect_list("missing"))).alias("_l")))
-    return (quotations.select("rfq_id", "quote_seq")
-            .join(lists, ["rfq_id", "quote_seq"], "left")
-            .select("rfq_id", "quote_seq",
-                    F.coalesce("_l", F.array().cast("array<string>")).alias("missing_item_list")))
+    return (_block_rows(rfq_items, quotations, quote_items, block)
+            .groupBy("rfq_id", "quote_seq")
+            .agg(F.array_sort(F.flatten(F.collect_list("missing"))).alias("missing_item_list")))
 
 
 def _joined_or_none(arr):
