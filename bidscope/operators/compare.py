@@ -39,17 +39,17 @@ def total_cost_summary(items: DataFrame, splits: int = 32) -> DataFrame:
     """Per (rfq, supplier): total in cents (NULL when no line has a total), savings
     against the cheapest supplier of the RFQ, and min-rank of the total.
 
-    Shuffles: one partial/final aggregate on (rfq, supplier); the per-RFQ
-    minimum is a second, tiny aggregate joined back; rank is ``split_rank``.
+    Shuffles: one partial/final aggregate on (rfq, supplier); rank is
+    ``split_rank``, whose per-RFQ aggregate also yields the RFQ's minimum.
     """
     totals = items.groupBy("rfq_id", "supplier_name").agg(
         F.round(F.sum("total_price"), 2).alias("total_quoted_cost"))
-    mins = totals.groupBy("rfq_id").agg(F.min("total_quoted_cost").alias("_min_total"))
-    with_savings = (totals.join(mins, "rfq_id", "left")
-                    .withColumn("savings_vs_cheapest",
-                                F.round(F.col("total_quoted_cost") - F.col("_min_total"), 2))
-                    .drop("_min_total"))
-    return split_rank(with_savings, ["rfq_id"], "total_quoted_cost", "rank", splits)
+    ranked = split_rank(totals, ["rfq_id"], "total_quoted_cost", "rank", splits,
+                        extra={"_min_total": F.min("total_quoted_cost")})
+    return ranked.select(
+        "rfq_id", "supplier_name", "total_quoted_cost",
+        F.round(F.col("total_quoted_cost") - F.col("_min_total"), 2).alias("savings_vs_cheapest"),
+        "rank")
 
 
 def price_matrix(items: DataFrame, value_col: str = "unit_price") -> DataFrame:

@@ -27,11 +27,14 @@ from pyspark.sql import functions as F
 
 
 def split_rank(df: DataFrame, groups: Sequence[str], value: str, out: str = "rank",
-               splits: int = 32) -> DataFrame:
+               splits: int = 32, extra: dict[str, Column] | None = None) -> DataFrame:
+    """``extra``: more per-group aggregates (name -> Column), computed in the
+    same aggregate as the boundaries and attached to every row."""
     groups = list(groups)
     fracs = [i / splits for i in range(1, splits)]
+    more = [c.alias(n) for n, c in (extra or {}).items()]
     bounds = df.groupBy(*groups).agg(
-        F.percentile_approx(value, fracs, 10000).alias("_sr_bounds"))
+        F.percentile_approx(value, fracs, 10000).alias("_sr_bounds"), *more)
     v = F.col(value)
     tagged = (df.join(bounds, groups, "left")
                 .withColumn("_sr_bucket",
