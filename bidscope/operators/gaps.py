@@ -81,27 +81,32 @@ def _block_rows(rfq_items: DataFrame, quotations: DataFrame, quote_items: DataFr
     Output-sensitive set difference, without pairing every quotation with
     every required item and without holding an RFQ's item list in one row:
 
-    1. an RFQ with n distinct keys hashes them into ``ceil(n / block)``
-       blocks (about ``block`` keys per row, however large the RFQ);
-    2. quoted keys that are required (equi-join on (rfq, key), which also
+    1. an RFQ with about n distinct keys hashes them into ``ceil(n / block)``
+       blocks (about ``block`` keys per row, however large the RFQ), each
+       block's key set a partial aggregate;
+    2. quoted keys that are required (a semi join on (rfq, key), which also
        bounds every hit set by its block) are collected as a set per
        (quotation, block), a partial aggregate;
     3. every quotation lists its RFQ's blocks and meets each block's keys by
        an equi-join on (rfq, block), keeping ``array_except(keys, hits)``.
     """
-    req = _required(rfq_items)
-    sizes = _rfq_sizes(req).select(
-        "rfq_id", F.ceil(F.col("_n") / block).cast("long").alias("_nblk"))
-    req = (req.join(sizes, "rfq_id")
-              .select("rfq_id", "k", F.pmod(F.xxhash64("k"), F.col("_nblk")).alias("_blk")))
-    req_blocks = req.groupBy("rfq_id", "_blk").agg(F.collect_list("k").alias("_keys"))
+    keys = _named(rfq_items).select("rfq_id", item_key().alias("k"))
+    # The block count only balances rows (any count gives the same result),
+    # so an approximate distinct count (HLL, a partial aggregate) sizes it.
+    sizes = keys.groupBy("rfq_id").agg(
+        F.ceil(F.approx_count_distinct("k") / block).cast("long").alias("_nblk"))
+    blk = F.pmod(F.xxhash64("k"), F.greatest(F.col("_nblk"), F.lit(1)))
+    req_blocks = (keys.join(sizes, "rfq_id")
+                  .groupBy("rfq_id", blk.alias("_blk")).agg(F.collect_set("k").alias("_keys")))
     hits = (_named(quote_items).select("rfq_id", "quote_seq", item_key().alias("k"))
-            .join(req, ["rfq_id", "k"])
-            .groupBy("rfq_id", "quote_seq", "_blk")
+            .join(keys, ["rfq_id", "k"], "left_semi")
+            .join(sizes, "rfq_id")
+            .groupBy("rfq_id", "quote_seq", blk.alias("_blk"))
             .agg(F.collect_set("k").alias("_hit")))
     rows = (quotations.select("rfq_id", "quote_seq").join(sizes, "rfq_id", "left")
             .select("rfq_id", "quote_seq",
-                    F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("_nblk") - 1))
+                    F.explode_outer(F.sequence(F.lit(0).cast("long"),
+                                               F.greatest(F.col("_nblk"), F.lit(1)) - 1))
                     .alias("_blk")))
     empty = F.array().cast("array<string>")
     return (rows.join(hits, ["rfq_id", "quote_seq", "_blk"], "left")
