@@ -168,21 +168,32 @@ def gap_scores(rfq_items: DataFrame, quotations: DataFrame,
                quote_items: DataFrame) -> DataFrame:
     """Per quotation: the gap score alone (what the recommendation reads).
 
-    Same score as ``gap_analysis``, from counts only: no item lists and no
-    text, so every aggregate is a partial count.
+    Same score as ``gap_analysis``, from counts only, with one pass over the
+    quote lines: a partial aggregate per (quotation, item key) counts lines
+    lacking packaging / portion (unnamed lines under a NULL key), a join
+    with the distinct required keys marks the keys that count as quoted,
+    and a second aggregate per quotation sums both. Missing items are
+    n(required) - n(marked keys); no item list is built.
     """
+    req = _required(rfq_items)
     lack = lambda c: F.count_if(is_falsy_str(c))
-    flags = quote_items.groupBy("rfq_id", "quote_seq").agg(
-        lack("packaging").alias("n_no_packaging"), lack("portion").alias("n_no_portion"))
+    per_key = (quote_items
+               .select("rfq_id", "quote_seq", "packaging", "portion",
+                       F.when(~is_falsy_str("item_name"), item_key()).alias("k"))
+               .groupBy("rfq_id", "quote_seq", "k")
+               .agg(lack("packaging").alias("_np"), lack("portion").alias("_nq")))
+    per_q = (per_key.join(req.withColumn("_req", F.lit(1)), ["rfq_id", "k"], "left")
+             .groupBy("rfq_id", "quote_seq")
+             .agg(F.sum("_np").alias("_np"), F.sum("_nq").alias("_nq"),
+                  F.count("_req").alias("_hit")))
     q = quotations.select("rfq_id", "quote_seq",
                           or_default("supplier_name", UNKNOWN_SUPPLIER).alias("supplier_name"),
                           F.size(missing_fields_array()).alias("_nf"))
-    j = (q.join(missing_item_counts(rfq_items, quotations, quote_items),
-                ["rfq_id", "quote_seq"], "left")
-          .join(flags, ["rfq_id", "quote_seq"], "left"))
+    j = (q.join(_rfq_sizes(req), "rfq_id", "left")
+          .join(per_q, ["rfq_id", "quote_seq"], "left"))
+    n_missing = F.coalesce(F.col("_n"), F.lit(0)) - F.coalesce(F.col("_hit"), F.lit(0))
     return j.select("rfq_id", "quote_seq", "supplier_name",
-                    _score(F.coalesce(F.col("n_missing"), F.lit(0)), F.col("_nf"),
-                           F.col("n_no_packaging"), F.col("n_no_portion")).alias("gap_score"))
+                    _score(n_missing, F.col("_nf"), F.col("_np"), F.col("_nq")).alias("gap_score"))
 
 
 def gap_analysis(rfqs: DataFrame, rfq_items: DataFrame, quotations: DataFrame,
