@@ -1,8 +1,8 @@
 """Compliance gaps of each quotation against its RFQ.
 
 Per quotation: required items not quoted (an output-sensitive set
-difference on a normalised name key), missing header fields, items lacking packaging / portion, the RFQ
-deadline and a weighted gap score. Joins are on ``rfq_id`` (+ ``quote_seq``),
+difference on a normalised name key), missing header fields, items lacking
+packaging / portion, the RFQ deadline and a weighted gap score. Joins are on ``rfq_id`` (+ ``quote_seq``),
 aggregates are grouped by quotation; nothing is windowed over a whole RFQ.
 """
 from __future__ import annotations
@@ -23,7 +23,7 @@ REQUIRED_FIELDS = [
 ]
 NUMERIC_FIELDS = {"delivery_lead_time_days"}
 
-# Required-item positions are compared in blocks of this many.
+# Required item keys are compared in hashed blocks of about this many.
 MISSING_BLOCK = 4096
 
 # Fixed weights of the gap score.
@@ -58,8 +58,8 @@ def missing_item_counts(rfq_items: DataFrame, quotations: DataFrame,
     """Per quotation: number of required keys it does not quote.
 
     n(required) - n(required keys it quotes): a semi join on (rfq, key) and
-    two counts. No quotation x item pairs and no item list is built, so this
-    is what the gap score needs at any RFQ size.
+    two counts. No quotation x item pairs and no item list is built.
+    ``gap_scores`` takes the same count inside its one-pass aggregate.
     """
     req = _required(rfq_items)
     hit = (_quoted(quote_items).join(req, ["rfq_id", "k"], "left_semi")
