@@ -3,10 +3,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, kk_shards, packing
+from . import decontam, html_main, kk_shards, packing, topk_kd, url_filter
 from .tables import table
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op6_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kk_shards.shard_by_bytes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -16,9 +20,17 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(scanned)
 
 
+def op8_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_kd.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op6_kk_shards, op7_decontamination, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op5_main_text, op6_kk_shards, op7_decontamination, op8_kd_topk, op9_url_filter, op10_pattern_packing)}
 SQL: dict[str, str] = {}
