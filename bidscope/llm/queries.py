@@ -3,10 +3,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_main, kk_shards, packing, topk_kd, url_filter
+from . import decontam, html_main, kk_shards, packing, simhash, topk_kd, url_filter
 from .tables import table
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
@@ -32,5 +36,5 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op5_main_text, op6_kk_shards, op7_decontamination, op8_kd_topk, op9_url_filter, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op5_main_text, op6_kk_shards, op7_decontamination, op8_kd_topk, op9_url_filter, op10_pattern_packing)}
 SQL: dict[str, str] = {}
