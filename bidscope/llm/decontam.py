@@ -16,18 +16,17 @@ item; repeated document rows give a row each; empty tables give no hits.
 """
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import with_columns
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Lower-cases A-Z and turns every byte outside of words into a space.
 _NORMAL = bytes(b if WORD.fullmatch(bytes([b])) else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-_SCAN = "doc_id {id}, n_words long, runs array<struct<first:long,last:long>>, spans array<struct<start:long,end:long>>, items array<string>, sha string"
+_SCAN = "n_words long, runs array<struct<first:long,last:long>>, spans array<struct<start:long,end:long>>, items array<string>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -107,34 +106,27 @@ def contamination(docs: DataFrame, bench: DataFrame, *, doc_id: str = "doc_id",
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     items = bench.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
-    schema = _SCAN.format(id=dict(source.dtypes)["doc_id"])
-    parts = []
-    for block in _blocks(items, block_bytes):
+    blocks, keep, parts = _blocks(items, block_bytes), ["doc_id"], []
+    if len(blocks) > 1:
+        source, keep = source.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)), ["doc_id", "sha"]
+    for block in blocks:
         shared = spark.sparkContext.broadcast(block)
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            automaton = Automaton(shared.value, window)
-            for b in batches:
-                rows = []
-                for d, t in zip(b["doc_id"], b["text"]):
-                    w = words(t)
-                    runs, own = automaton.scan(w)
-                    rows.append((d, len(w), [{"first": x, "last": y} for x, y in runs], spans_of(t, runs) if runs else [], sorted(own), ""))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_words", "runs", "spans", "items", "sha"])
-
-        parts.append((source, scan))
-    if len(parts) == 1:
-        return source.mapInPandas(parts[0][1], schema).drop("sha")
-    return _merged([source.mapInPandas(_with_sha(f), schema) for _, f in parts])
-
-
-def _with_sha(scan):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for out in scan(iter([b])):
-                out["sha"] = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).hexdigest() for t in b["text"]]
-                yield out
-    return run
+        parts.append(with_columns(source, keep, _SCAN, lambda shared=shared: _scan(Automaton(shared.value, window))))
+    return parts[0] if len(parts) == 1 else _merged(parts)
+
+
+def _scan(automaton: Automaton):
+    def step(c):
+        out: dict[str, list] = {k: [] for k in ("n_words", "runs", "spans", "items")}
+        for t in c["text"]:
+            w = words(t)
+            runs, own = automaton.scan(w)
+            out["n_words"].append(len(w))
+            out["runs"].append([{"first": x, "last": y} for x, y in runs])
+            out["spans"].append(spans_of(t, runs) if runs else [])
+            out["items"].append(sorted(own))
+        return None, out
+    return step
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:

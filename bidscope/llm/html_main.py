@@ -22,12 +22,12 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import with_columns
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
@@ -214,9 +214,10 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pag
     """Per page row: ``page_id, url, text, n_chars``."""
     source = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text = [main_text(x) for x in b["html"]]
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(x) for x in text]})
+    def start():
+        def step(c):
+            text = [main_text(x) for x in c["html"]]
+            return None, {"text": text, "n_chars": [len(x) for x in text]}
+        return step
 
-    return source.mapInPandas(run, f"page_id {dict(source.dtypes)['page_id']}, url string, text string, n_chars long")
+    return with_columns(source, ["page_id", "url"], "text string, n_chars long", start)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import drop, stored
+from .tables import drop, stored, with_columns
 
 
 def karmarkar_karp(sizes: list[int], shards: int) -> list[int]:
@@ -86,13 +86,17 @@ def _assign(shards: int):
     return run
 
 
-def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _number():
     task, seen = TaskContext.get().partitionId(), {}
-    for b in batches:
-        at = b.groupby("shard").cumcount() + b["shard"].map(lambda s: seen.get(s, 0))
-        for s, c in b["shard"].value_counts().items():
-            seen[s] = seen.get(s, 0) + int(c)
-        yield b.assign(task=task, at=at.astype("int64"))
+
+    def step(c):
+        at = []
+        for s in c["shard"]:
+            at.append(seen.get(s, 0))
+            seen[s] = at[-1] + 1
+        return None, {"task": [task] * len(at), "at": at}
+    step.reads = ("shard",)
+    return step
 
 
 def shard_by_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shards: int = 8, units: int = 8192) -> DataFrame:
@@ -108,8 +112,7 @@ def shard_by_bytes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     of_item = stored(sums.coalesce(1).mapInPandas(_assign(shards), "item string, shard int"), "kk-shards")
     of_group = items.join(of_item, "item").select("sig", "shard")
     placed = rows.join(of_group, "sig").select("doc_id", "size", "text_crc32", "shard")
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, size long, text_crc32 long, shard int, task int, at long"
-    placed = stored(placed.mapInPandas(_numbered, schema), "kk-placed")
+    placed = stored(with_columns(placed, placed.columns, "task int, at long", _number), "kk-placed")
     drop(rows, items, of_item)
     counts = placed.groupBy("shard", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

@@ -27,15 +27,13 @@ from __future__ import annotations
 import base64
 import zlib
 from bisect import insort
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import drop, stored
+from .tables import stored, with_columns
 
 _END = "<|endoftext|>"
 
@@ -223,33 +221,38 @@ class Plan:
 
 
 def _pieces(vocabulary: dict[str, str], seq_len: int, end_id: int, with_ids: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         encoder, task, seen = Encoder(**vocabulary), TaskContext.get().partitionId(), {}
-        for b in batches:
-            out = []
-            for d, text in zip(b["doc_id"], b["text"]):
+
+        def step(c):
+            rows, out = [], {k: [] for k in ("piece", "start", "length", "ids_crc32", "ids", "task", "at")}
+            for row, text in enumerate(c["text"]):
                 ids = np.array([*encoder.ids(text or ""), end_id], dtype="<u4")
                 cuts = [0, *range(len(ids) % seq_len or seq_len, len(ids) + 1, seq_len)]
                 for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
                     at = seen.get(y - x, 0)
                     seen[y - x] = at + 1
                     part = ids[x:y]
-                    out.append((d, k, x, y - x, zlib.crc32(part.tobytes()), part.tolist() if with_ids else None, task, at))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "task", "at"])
-    return run
+                    rows.append(row)
+                    for name, value in zip(out, (k, x, y - x, zlib.crc32(part.tobytes()), part.tolist() if with_ids else None, task, at)):
+                        out[name].append(value)
+            return rows, out
+        return step
+    return start
 
 
-def _lookup(shared, names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lookup(shared):
+    def start():
         runs = shared.value
         key = runs[:, 0] * (1 << 48) + runs[:, 1]
-        for b in batches:
-            at = np.searchsorted(key, b["length"].to_numpy() * (1 << 48) + b["rank"].to_numpy(), "right") - 1
-            found = runs[at]
-            b["sequence_id"] = found[:, 3] + b["rank"].to_numpy() - found[:, 1]
-            b["offset"] = found[:, 4]
-            yield b[names]
-    return run
+
+        def step(c):
+            rank = np.array(c["rank"], dtype=np.int64)
+            found = runs[np.searchsorted(key, np.array(c["length"], dtype=np.int64) * (1 << 48) + rank, "right") - 1]
+            return None, {"sequence_id": found[:, 3] + rank - found[:, 1], "offset": found[:, 4]}
+        step.reads = ("length",)
+        return step
+    return start
 
 
 def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", seq_len: int = 2048, end_id: int = 0,
@@ -257,9 +260,8 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", seq_len
     """Per piece: ``doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset``."""
     vocabulary = vocabulary or default_vocabulary()
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = dict(source.dtypes)["doc_id"]
-    fields = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids array<long>"
-    pieces = source.mapInPandas(_pieces(vocabulary, seq_len, end_id, with_ids), f"{fields}, task int, at long")
+    fields = "piece int, start long, length long, ids_crc32 long, ids array<long>, task int, at long"
+    pieces = with_columns(source, ["doc_id"], fields, _pieces(vocabulary, seq_len, end_id, with_ids))
     pieces = stored(pieces if with_ids else pieces.drop("ids"), "pack-pieces")
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most seq_len rows
@@ -268,7 +270,6 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", seq_len
     shared = docs.sparkSession.sparkContext.broadcast(runs)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    names = [c for c in pieces.columns if c not in ("task", "at")] + ["sequence_id", "offset"]
+    names = [c for c in pieces.columns if c not in ("task", "at")]
     ranked = pieces.join(starts, ["length", "task"]).withColumn("rank", F.col("first") + F.col("at"))
-    schema = ", ".join([f"{c} {t}" for c, t in ranked.select(names[:-2]).dtypes] + ["sequence_id long", "offset long"])
-    return ranked.mapInPandas(_lookup(shared, names), schema)
+    return with_columns(ranked.select(*names, "rank"), names, "sequence_id long, offset long", _lookup(shared))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import drop, stored
+from .tables import drop, stored, with_columns
 
 _HALVES = (np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000))
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -56,12 +56,10 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataF
     """(doc_id, fp): fp as a signed long."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+    def start():
+        return lambda c: (None, {"fp": np.array([fingerprint(t, shingle) for t in c["text"]], dtype=np.uint64).view(np.int64)})
 
-    return source.mapInPandas(run, f"doc_id {dict(source.dtypes)['doc_id']}, fp long")
+    return with_columns(source, ["doc_id"], "fp long", start)
 
 
 def _distance(fps: np.ndarray, vantage: np.uint64, mask: np.uint64) -> np.ndarray:

@@ -56,3 +56,36 @@ def _drop_all() -> None:
             _WRITTEN.pop(path)
         else:
             _delete(path)
+
+
+def with_columns(df: DataFrame, keep: list[str], fields: str, start) -> DataFrame:
+    """``keep`` columns untouched, with new ``fields`` computed in Arrow batches.
+
+    ``start()`` runs once per task and returns a function of a batch's columns
+    (name -> list) that gives (rows or None, name -> values). With ``rows``,
+    output row k repeats the kept columns of input row ``rows[k]``. Kept
+    columns never pass through pandas, where whole numbers beside nulls would
+    become floats.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(fields)
+    types = {f.name: to_arrow_type(f.dataType) for f in new}
+    used = df.columns
+    names = [*keep, *types]
+
+    def run(batches):
+        step = start()
+        for b in batches:
+            rows, made = step({c: b.column(c).to_pylist() for c in used if c not in keep or c in _needed(step)})
+            kept = [b.column(c) if rows is None else b.column(c).take(pa.array(rows, type=pa.int64())) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(made[c], type=t) for c, t in types.items())], names=names)
+
+    return df.mapInArrow(run, StructType([*(df.schema[c] for c in keep), *new]))
+
+
+def _needed(step) -> tuple[str, ...]:
+    """Kept columns that the step reads as well."""
+    return getattr(step, "reads", ())

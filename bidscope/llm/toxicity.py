@@ -36,6 +36,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import with_columns
+
 SYMBOLS = 155  # boundary, 26 letters, 128 high bytes
 _CLASS = np.zeros(256, dtype=np.int32)
 _CLASS[97:123] = np.arange(1, 27)
@@ -326,15 +328,13 @@ def scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     of_prefix = {k: (types[k], others.get(k, 0.0)) for k in below.value}
     model = spark.sparkContext.broadcast((of_word, of_prefix))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         restore, toxic_share = Restorer(char_model()), WordModel(*model.value)
-        for b in batches:
-            out = []
-            for t in b["text"]:
-                own = set(words(t or "")) | restore.readings(t or "")
-                out.append(max(map(toxic_share, own), default=BASE))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": out})
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return (rows.mapInPandas(score, f"doc_id {kind}, score double")
+        def step(c):
+            own = (set(words(t or "")) | restore.readings(t or "") for t in c["text"])
+            return None, {"score": [max(map(toxic_share, w), default=BASE) for w in own]}
+        return step
+
+    return (with_columns(rows, ["doc_id"], "score double", start)
             .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
