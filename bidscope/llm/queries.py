@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_main, kk_shards, packing, simhash, suffix_dedup, topk_kd, toxicity, url_filter
+from . import decontam, html_main, kk_shards, line_dedup, packing, simhash, suffix_dedup, topk_kd, toxicity, url_filter
 from .tables import table
 
 
@@ -11,6 +11,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_strings(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -44,5 +48,5 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_simhash, op4_toxicity, op5_main_text, op6_kk_shards, op7_decontamination, op8_kd_topk, op9_url_filter, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_simhash, op4_toxicity, op5_main_text, op6_kk_shards, op7_decontamination, op8_kd_topk, op9_url_filter, op10_pattern_packing)}
 SQL: dict[str, str] = {}
