@@ -115,6 +115,26 @@ def contamination(docs: DataFrame, bench: DataFrame, *, doc_id: str = "doc_id",
     return parts[0] if len(parts) == 1 else _merged(parts)
 
 
+def without_contaminated(docs: DataFrame, bench: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                         window: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
+    """``docs`` without the rows that hold a window of any item; all columns stay, and no row is shuffled."""
+    spark, columns = docs.sparkSession, docs.columns
+    flag = "hit" + "_" * max(len(c) for c in columns)
+    for block in _blocks(bench.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")), block_bytes):
+        shared = spark.sparkContext.broadcast(block)
+
+        def start(shared=shared):
+            automaton = Automaton(shared.value, window)
+
+            def step(c):
+                return None, {flag: [bool(automaton.scan(words(t))[0]) for t in c[text]]}
+            step.reads = (text,)
+            return step
+
+        docs = with_columns(docs, columns, f"`{flag}` boolean", start).where(~F.col(flag)).select(*[F.col(f"`{c}`") for c in columns])
+    return docs
+
+
 def _scan(automaton: Automaton):
     def step(c):
         out: dict[str, list] = {k: [] for k in ("n_words", "runs", "spans", "items")}

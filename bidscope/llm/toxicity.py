@@ -289,9 +289,9 @@ def _clean_words(shared):
     return run
 
 
-def scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-           train_rows: int = 60_000, threshold: float = 0.7) -> DataFrame:
-    """Per row: ``doc_id, held_out, score, predicted``."""
+def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
+           train_rows: int = 60_000, name: str = "score") -> DataFrame:
+    """``docs`` with a new column ``name``: the toxicity score from 0 to 1."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     trigrams = trigram_counts(rows, "text").toPandas()  # at most SYMBOLS**3 rows
@@ -332,9 +332,17 @@ def scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
         restore, toxic_share = Restorer(char_model()), WordModel(*model.value)
 
         def step(c):
-            own = (set(words(t or "")) | restore.readings(t or "") for t in c["text"])
-            return None, {"score": [max(map(toxic_share, w), default=BASE) for w in own]}
+            own = (set(words(t or "")) | restore.readings(t or "") for t in c[text])
+            return None, {name: [max(map(toxic_share, w), default=BASE) for w in own]}
+        step.reads = (text,)
         return step
 
-    return (with_columns(rows, ["doc_id"], "score double", start)
-            .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
+    return with_columns(docs, docs.columns, f"`{name}` double", start)
+
+
+def scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7, **options) -> DataFrame:
+    """Per row: ``doc_id, held_out, score, predicted``."""
+    rows = docs.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text))
+    found = scored(rows, labels, doc_id=doc_id, text=text, name="toxicity_score", **options)
+    score = F.col("toxicity_score")
+    return found.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
