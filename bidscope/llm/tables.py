@@ -34,11 +34,18 @@ def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     return out
 
 
+def again(t: DataFrame) -> DataFrame:
+    """A stored table read anew, so that it can meet itself in a join or cogroup."""
+    out = t.sparkSession.read.schema(t.schema).parquet(t._stored_path)
+    out._stored_path = t._stored_path
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove stored tables that nothing reads any more."""
     for t in tables:
         path = getattr(t, "_stored_path", None)
-        if path is not None:
+        if path in _WRITTEN:
             _delete(path)
 
 

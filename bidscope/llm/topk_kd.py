@@ -16,7 +16,8 @@ Scores are integer inner products: float64 matrix products where every
 partial sum is below 2**53, Python integers elsewhere.
 
 Defined cases: vectors that are null or hold null or non-finite components,
-or whose id is null, take no part; vectors of another length than the query's
+or whose id is null, take no part, nor do those with a component that a long
+can't hold; a score beyond a long is the nearest one; vectors of another length than the query's
 are no candidates; repeated rows are rows of their own; fewer than k
 candidates give all of them; an empty table gives an empty result.
 """
@@ -27,8 +28,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import drop, stored
+from .tables import again, drop, stored
 
+_MOST = (1 << 63) - 1
 _OUT = "query_row long, query_id {id}, row long, vec_id {id}, score long"
 
 
@@ -77,7 +79,7 @@ def search(points: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries: np.nd
                     edge = cut if edge is None else max(edge, cut)
                 good = np.flatnonzero(row > -np.inf if edge is None else (row >= edge) & (row > -np.inf))
                 if len(good):
-                    new = [(int(row[g]), -ids[members[g]], -rows[members[g]], members[g]) for g in good]
+                    new = [(max(min(int(row[g]), _MOST), -_MOST), -ids[members[g]], -rows[members[g]], members[g]) for g in good]
                     best[q] = sorted(best[q] + new, reverse=True)[:k]
                     if len(best[q]) == k:
                         kth[q] = best[q][-1][0] if kth[q] is None else max(kth[q], best[q][-1][0])
@@ -112,8 +114,7 @@ def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embed
           scale: int = 64, shard_rows: int = 8192, query_rows: int = 65536, leaf_rows: int = 256) -> DataFrame:
     """``query_id, rank, vec_id, score`` (ranks from 1, ties to the smaller vec_id)."""
     id_, x = F.col(vec_id), F.col(embedding)
-    # large finite numbers are not comparable with infinity in arrays of float, so compare as double
-    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) * scale < F.lit(2.0**62)))
     asked = is_query if is_query is not None else id_ % 20 == 0
     base = (vectors.where(id_.isNotNull() & x.isNotNull() & (F.size(x) > 0)).where(finite)
             .select(id_.alias("vec_id"), quantised(x, scale).alias("x"), asked.alias("asked"), F.monotonically_increasing_id().alias("row")))
@@ -122,8 +123,9 @@ def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embed
     shards, chunks = max(1, -(-sizes["n"] // shard_rows)), max(1, -(-sizes["q"] // query_rows))
     kind = dict(base.dtypes)["vec_id"]
     schema = _OUT.format(id=kind)
-    dealt = base.withColumn("dim", F.size("x")).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    queries = dealt.where("asked").withColumn("kth", F.lit(None).cast("long"))
+    deal = lambda t: t.withColumn("dim", F.size("x")).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    dealt = deal(base)
+    queries = deal(again(base)).where("asked").withColumn("kth", F.lit(None).cast("long"))
     pair = _search_pair(k, leaf_rows)
     keep = ["vec_id", "x", "row"]
 
