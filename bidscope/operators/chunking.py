@@ -25,7 +25,7 @@ CHUNK_OVERLAP = 120
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 CHUNK_SCHEMA = "doc_id long, source string, file_type string, supplier_name string, " \
-               "chunk_index int, text string"
+               "chunk_index int, start long, text string"
 
 
 def _pieces(text: str, sep: str) -> list[str]:
@@ -38,54 +38,55 @@ def _pieces(text: str, sep: str) -> list[str]:
     return [p for p in out if p]
 
 
-def _clean(s: str) -> str | None:
-    s = s.strip()
-    return s or None
+def _clean(at: int, s: str) -> list[tuple[int, str]]:
+    """The stripped text with its place, if anything is left."""
+    left = s.lstrip()
+    return [(at + len(s) - len(left), left.rstrip())] if left else []
 
 
-def _pack(pieces: list[str], size: int, overlap: int) -> list[str]:
+def _pack(pieces: list[tuple[int, str]], size: int, overlap: int) -> list[tuple[int, str]]:
     """Greedily join consecutive pieces into chunks of at most ``size``
     characters; each new chunk starts with the trailing pieces of the
     previous one that fit in ``overlap`` characters."""
-    chunks: list[str] = []
-    window: list[str] = []
+    chunks: list[tuple[int, str]] = []
+    window: list[tuple[int, str]] = []
     width = 0
-    for p in pieces:
+    for at, p in pieces:
         n = len(p)
         if width + n > size and window:
-            c = _clean("".join(window))
-            if c is not None:
-                chunks.append(c)
+            chunks += _clean(window[0][0], "".join(x for _, x in window))
             while window and (width > overlap or width + n > size):
-                width -= len(window[0])
-                window.pop(0)
-        window.append(p)
+                width -= len(window.pop(0)[1])
+        window.append((at, p))
         width += n
-    c = _clean("".join(window))
-    if c is not None:
-        chunks.append(c)
+    if window:
+        chunks += _clean(window[0][0], "".join(x for _, x in window))
     return chunks
 
 
-def recursive_split(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                    separators=SEPARATORS) -> list[str]:
+def recursive_spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                    separators=SEPARATORS, at: int = 0) -> list[tuple[int, str]]:
+    """Chunks with their place in the whole text (``at`` is the place of ``text``)."""
     seps = list(separators)
     # the first separator present in the text (the empty one always is)
     level = next(i for i, s in enumerate(seps) if s == "" or s in text)
     sep, finer = seps[level], seps[level + 1:]
-    out: list[str] = []
-    short: list[str] = []
+    out: list[tuple[int, str]] = []
+    short: list[tuple[int, str]] = []
     for piece in _pieces(text, sep):
         if len(piece) < size:
-            short.append(piece)
-            continue
-        if short:
-            out.extend(_pack(short, size, overlap))
+            short.append((at, piece))
+        else:
+            out += _pack(short, size, overlap)
             short = []
-        out.extend(recursive_split(piece, size, overlap, finer) if finer else [piece])
-    if short:
-        out.extend(_pack(short, size, overlap))
-    return out
+            out += recursive_spans(piece, size, overlap, finer, at) if finer else [(at, piece)]
+        at += len(piece)
+    return out + _pack(short, size, overlap)
+
+
+def recursive_split(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                    separators=SEPARATORS) -> list[str]:
+    return [c for _, c in recursive_spans(text, size, overlap, separators)]
 
 
 def _chunk_batches(size: int, overlap: int):
@@ -96,10 +97,10 @@ def _chunk_batches(size: int, overlap: int):
                     b["doc_id"], b["raw_text"], b["source"], b["file_type"], b["supplier_name"]):
                 if text is None or not text.strip():
                     continue
-                for i, c in enumerate(recursive_split(text, size, overlap)):
-                    rows.append((doc_id, source, ftype, supplier, i, c))
+                for i, (at, c) in enumerate(recursive_spans(text, size, overlap)):
+                    rows.append((doc_id, source, ftype, supplier, i, at + 1, c))
             yield pd.DataFrame(rows, columns=["doc_id", "source", "file_type", "supplier_name",
-                                              "chunk_index", "text"])
+                                              "chunk_index", "start", "text"])
     return run
 
 
@@ -116,7 +117,7 @@ def _meta(docs: DataFrame) -> DataFrame:
 def chunk_recursive(docs: DataFrame, size: int = CHUNK_SIZE,
                     overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """``docs(doc_id, raw_text[, source, file_type, supplier_name])`` ->
-    ``chunks``; blank texts are skipped."""
+    ``chunks`` (``start`` counts characters from 1); blank texts are skipped."""
     ship_package(docs.sparkSession)
     return _meta(docs).mapInPandas(_chunk_batches(size, overlap), CHUNK_SCHEMA)
 

@@ -7,6 +7,8 @@ per-``rfq_id`` result here.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,16 +41,18 @@ def total_cost_summary(items: DataFrame, splits: int = 32) -> DataFrame:
     """Per (rfq, supplier): total in cents (NULL when no line has a total), savings
     against the cheapest supplier of the RFQ, and min-rank of the total.
 
-    Shuffles: one partial/final aggregate on (rfq, supplier); rank is
+    Line totals are summed as decimals, so the order of addition never
+    matters. Shuffles: one partial/final aggregate on (rfq, supplier); rank is
     ``split_rank``, whose per-RFQ aggregate also yields the RFQ's minimum.
     """
+    cents = F.col("total_price").cast("decimal(20,2)")
     totals = items.groupBy("rfq_id", "supplier_name").agg(
-        F.round(F.sum("total_price"), 2).alias("total_quoted_cost"))
+        F.sum(cents).cast("decimal(28,2)").alias("total_quoted_cost"))
     ranked = split_rank(totals, ["rfq_id"], "total_quoted_cost", "rank", splits,
                         extra={"_min_total": F.min("total_quoted_cost")})
     return ranked.select(
-        "rfq_id", "supplier_name", "total_quoted_cost",
-        F.round(F.col("total_quoted_cost") - F.col("_min_total"), 2).alias("savings_vs_cheapest"),
+        "rfq_id", "supplier_name", F.col("total_quoted_cost").cast("double").alias("total_quoted_cost"),
+        (F.col("total_quoted_cost") - F.col("_min_total")).cast("double").alias("savings_vs_cheapest"),
         "rank")
 
 
@@ -62,25 +66,19 @@ def price_matrix(items: DataFrame, value_col: str = "unit_price") -> DataFrame:
             .agg(F.min_by(v, F.struct("quote_seq", "item_pos")).alias(value_col)))
 
 
-def price_pivot(items: DataFrame, value_col: str = "unit_price", suppliers=None,
-                max_columns: int = 10000) -> DataFrame:
-    """Wide matrix: one row per (rfq, item), one column per supplier.
-
-    The column list must be known to build the output schema. Pass
-    ``suppliers`` to fix it; otherwise the distinct supplier names are
-    computed by Spark (an aggregate) and checked against ``max_columns``
-    before the pivot, so an unbounded list never reaches the driver.
-    """
-    long = price_matrix(items, value_col)
-    if suppliers is None:
-        names = (long.select("supplier_name").distinct()
-                 .orderBy("supplier_name").limit(max_columns + 1).collect())
-        if len(names) > max_columns:
-            raise ValueError(f"more than {max_columns} suppliers: use price_matrix (long form)")
-        suppliers = [r[0] for r in names]
-    return (long.groupBy("rfq_id", "item_name")
-            .pivot("supplier_name", list(suppliers))
-            .agg(F.first(value_col)))
+def price_pivot(items: DataFrame, key: str, domain: Sequence, value_col: str = "unit_price", prefix: str = "") -> DataFrame:
+    """Wide matrix: one row per (rfq, item), one column per value of the
+    fixed ``domain`` of ``key``, and ``other`` for all else (and NULL), so no
+    priced line is lost. Cell: the first price in list order. The column
+    list is given, so nothing is computed at planning time; the supplier
+    grain is ``price_matrix`` (long)."""
+    v, order = F.col(value_col), F.struct("quote_seq", "item_pos")
+    known = F.coalesce(F.col(key).isin(list(domain)), F.lit(False))
+    cell = lambda hit: F.min_by(F.when(hit, v), F.when(hit, order))
+    return (items.filter(v.isNotNull() & F.col("item_name").isNotNull())
+            .groupBy("rfq_id", "item_name")
+            .agg(*[cell(F.col(key) == x).alias(f"{prefix}{x}") for x in domain],
+                 cell(~known).alias(f"{prefix}other")))
 
 
 def cheapest_per_item(items: DataFrame) -> DataFrame:

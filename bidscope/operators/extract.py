@@ -28,7 +28,7 @@ ITEM_LINE = (r"(?i)^([A-Za-z][A-Za-z0-9 /\-\.\(\)]{2,50}?)\s+"
 
 # Fixed text: provenance note of heuristic extraction.
 HEURISTIC_NOTE = ("Extracted with local heuristics from document structure "
-                  "(no OpenAI key configured) — spot-check before finalizing.")
+                  "(no model function given) — spot-check before finalizing.")
 
 NUMERIC_ITEM_FIELDS = ("quantity", "unit_price", "total_price")
 
@@ -249,48 +249,80 @@ def quote_tables(records: DataFrame, rfq_id: str = "rfq_id", seq: str = "quote_s
     return quotes, items
 
 
-# Fixed value: characters of document text sent to a model for extraction.
-MODEL_INPUT_CHARS = 12000
+# Fixed value: characters of document text in one model prompt.
+PROMPT_CHARS = 12000
+
+
+def text_parts(text):
+    """Consecutive parts of at most 12,000 characters; together the whole text."""
+    t = F.col(text)
+    n = F.greatest(F.lit(1), F.ceil(F.length(t) / PROMPT_CHARS).cast("int"))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(t, i * PROMPT_CHARS + 1, F.lit(PROMPT_CHARS)))
+
+
+# Fixed text: note on a record that stands in for a failed model call.
+MODEL_FAILED_NOTE = "The model call failed; extracted with local heuristics instead — spot-check before finalizing."
+
+_ITEMS_TYPE = ("array<struct<item_name:string,quantity:double,unit:string,unit_price:double,"
+               "total_price:double,portion:string,packaging:string>>")
 
 
 def extract_with_model(doc_text: DataFrame, model_fn, cells: DataFrame | None = None) -> DataFrame:
     """Plug point for a model-based extractor.
 
-    ``model_fn(list[str]) -> list[str | None]`` turns a batch of document
-    texts (first 12,000 characters each) into JSON strings; it runs inside
-    ``mapInPandas`` on the executors, one call per Arrow batch. Output that
-    is not a JSON object yields an empty record with a note (``coerce_json``);
-    a failed call (``None``) falls back to the heuristic record of that
-    document.
+    ``model_fn(list[str]) -> list[str | None]`` turns a batch of prompts
+    (consecutive parts of at most 12,000 characters, so the whole text is
+    read) into JSON strings; it runs inside ``mapInPandas`` on the executors.
+    The answers are written once under the shared folder, so each part is
+    sent once however the result is used. A document's parts are merged:
+    the first part that gives a header field wins, items follow in order.
+    Output that is not a JSON object is kept in ``raw_output`` with a note;
+    a document with a failed call (``None``) takes its heuristic record, and
+    its note says so.
     """
+    import uuid
+
     import pandas as pd
 
+    from ..session import shared_dir, ship_package
+
     def run(batches):
         for b in batches:
-            outs = model_fn([t[:MODEL_INPUT_CHARS] if t else "" for t in b["raw_text"]])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "model_output": outs})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "part_no": b["part_no"],
+                                "model_output": model_fn(list(b["part"]))})
 
-    from ..session import ship_package
-    ship_package(doc_text.sparkSession)
+    spark = doc_text.sparkSession
+    ship_package(spark)
     id_type = dict(doc_text.dtypes)["doc_id"]
-    answers = doc_text.select("doc_id", "raw_text").mapInPandas(
-        run, f"doc_id {id_type}, model_output string")
-    coerced = coerce_json(answers.filter(F.col("model_output").isNotNull()), "model_output")
-    model_recs = coerced.select("doc_id", *HEADER_FIELDS, "items", "notes", "raw_output")
-    heur = extract_records(doc_text, cells)
-    failed = heur.join(answers.filter(F.col("model_output").isNull()).select("doc_id"), "doc_id",
-                       "left_semi")
-    item_t = ("array<struct<item_name:string,quantity:double,unit:string,unit_price:double,"
-              "total_price:double,portion:string,packaging:string>>")
-    model_recs = model_recs.select(
-        "doc_id", *[clean_number(f).try_cast("int").alias(f) if f == "delivery_lead_time_days" else f
-                    for f in HEADER_FIELDS],
-        F.transform("items", lambda x: F.struct(
-            x["item_name"].alias("item_name"), clean_number(x["quantity"]).alias("quantity"),
-            x["unit"].alias("unit"), clean_number(x["unit_price"]).alias("unit_price"),
-            clean_number(x["total_price"]).alias("total_price"), x["portion"].alias("portion"),
-            x["packaging"].alias("packaging"))).cast(item_t).alias("items"),
-        "notes", "raw_output")
-    fallback = failed.select("doc_id", *HEADER_FIELDS, F.col("items").cast(item_t).alias("items"),
-                             "notes", F.lit(None).cast("string").alias("raw_output"))
-    return model_recs.unionByName(fallback)
+    parts = doc_text.select("doc_id", F.coalesce("raw_text", F.lit("")).alias("raw_text")).select(
+        "doc_id", F.posexplode(text_parts("raw_text")).alias("part_no", "part"))
+    path = f"{shared_dir(spark)}/model_answers_{uuid.uuid4().hex}"
+    schema = f"doc_id {id_type}, part_no int, model_output string"
+    parts.mapInPandas(run, schema).write.parquet(path)
+    answers = spark.read.schema(schema).parquet(path)
+
+    c = coerce_json(answers, "model_output")
+    c = c.withColumn("delivery_lead_time_days", clean_number("delivery_lead_time_days").try_cast("int"))
+    c = c.withColumn("items", F.transform("items", lambda x: F.struct(
+        x["item_name"].alias("item_name"), clean_number(x["quantity"]).alias("quantity"),
+        x["unit"].alias("unit"), clean_number(x["unit_price"]).alias("unit_price"),
+        clean_number(x["total_price"]).alias("total_price"), x["portion"].alias("portion"),
+        x["packaging"].alias("packaging"))).cast(_ITEMS_TYPE))
+
+    def first(f):
+        return F.min_by(f, F.when(F.col(f).isNotNull(), F.col("part_no"))).alias(f)
+
+    def in_order(f):
+        return F.transform(F.array_sort(F.collect_list(F.struct("part_no", f))), lambda s: s[f])
+
+    merged = c.groupBy("doc_id").agg(
+        F.max(F.col("model_output").isNull()).alias("_failed"), *[first(f) for f in HEADER_FIELDS], first("notes"),
+        F.flatten(in_order("items")).alias("items"),
+        F.when(F.count("raw_output") > 0, F.array_join(in_order("raw_output"), "\n")).alias("raw_output"))
+    model = F.struct(*HEADER_FIELDS, "items", "notes", "raw_output")
+    heuristic = extract_records(doc_text, cells).select("doc_id", F.struct(
+        *HEADER_FIELDS, F.col("items").cast(_ITEMS_TYPE).alias("items"), F.lit(MODEL_FAILED_NOTE).alias("notes"),
+        F.lit(None).cast("string").alias("raw_output")).alias("_heuristic"))
+    rec = heuristic.join(merged.select("doc_id", F.when(~F.col("_failed"), model).alias("_model")), "doc_id", "left")
+    best = F.coalesce("_model", "_heuristic")
+    return rec.select("doc_id", *[best[f].alias(f) for f in [*HEADER_FIELDS, "items", "notes", "raw_output"]])

@@ -2,18 +2,18 @@
 
 ``Window.partitionBy(g)`` sends every row of a group to a single task; a
 group holding a third of the data then runs alone. ``split_rank`` computes
-the same ``rank()`` (method "min", ascending, NULL value -> NULL rank) in
-three distributed steps:
-
-1. per group, approximate quantile boundaries of the value
-   (``percentile_approx`` is a partial aggregate: map-side combine);
-2. each row's sub-bucket = number of boundaries strictly below its value,
-   so equal values always share a sub-bucket and every value in a lower
-   sub-bucket is strictly smaller; rows per (group, sub-bucket) are counted
-   and an exclusive running sum over the (few) sub-buckets of a group gives
-   the offset;
-3. rank = offset + rank inside (group, sub-bucket), a window whose
-   partitions hold about 1/splits of a group.
+the same ``rank()`` (method "min", ascending, NULL value -> NULL rank):
+
+1. rows are aggregated to (group, distinct value, count): tied values are one
+   row from here on, however many rows share them;
+2. per group, approximate quantile boundaries of the distinct values
+   (``percentile_approx`` is a partial aggregate);
+3. each value's bucket = number of boundaries strictly below it, so every
+   value in a lower bucket is strictly smaller; counts per (group, bucket)
+   and an exclusive running sum over a group's buckets give the offset;
+4. rank = 1 + offset + the running count inside (group, bucket), a window
+   that holds about 1/splits of a group's distinct values; the rows join
+   their (group, value).
 
 The boundaries are only used for balance, so their approximation never
 changes the result.
@@ -28,41 +28,30 @@ from pyspark.sql import functions as F
 
 def split_rank(df: DataFrame, groups: Sequence[str], value: str, out: str = "rank",
                splits: int = 32, extra: dict[str, Column] | None = None) -> DataFrame:
-    """``extra``: more per-group aggregates (name -> Column), computed in the
-    same aggregate as the boundaries and attached to every row."""
+    """``extra``: more per-group aggregates over the distinct values (minimum,
+    maximum; name -> Column), computed with the boundaries and attached to
+    every row."""
     groups = list(groups)
     fracs = [i / splits for i in range(1, splits)]
     more = [c.alias(n) for n, c in (extra or {}).items()]
-    bounds = df.groupBy(*groups).agg(
+    per_value = df.groupBy(*groups, value).agg(F.count("*").alias("_sr_n"))
+    bounds = per_value.groupBy(*groups).agg(
         F.percentile_approx(value, fracs, 10000).alias("_sr_bounds"), *more)
     v = F.col(value)
-    tagged = (df.join(bounds, groups, "left")
-                .withColumn("_sr_bucket",
-                            F.coalesce(F.size(F.filter("_sr_bounds", lambda b: b < v)), F.lit(0)))
-                .drop("_sr_bounds"))
-    counts = tagged.groupBy(*groups, "_sr_bucket").agg(F.count(v).alias("_sr_n"))
+    tagged = (per_value.filter(v.isNotNull()).join(bounds.select(*groups, "_sr_bounds"), groups)
+              .withColumn("_sr_bucket", F.size(F.filter("_sr_bounds", lambda b: b < v))).drop("_sr_bounds"))
+    counts = tagged.groupBy(*groups, "_sr_bucket").agg(F.sum("_sr_n").alias("_sr_b"))
     before = (Window.partitionBy(*groups).orderBy("_sr_bucket")
               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*groups, "_sr_bucket",
-                            F.coalesce(F.sum("_sr_n").over(before), F.lit(0)).alias("_sr_off"))
-    local = F.rank().over(Window.partitionBy(*groups, "_sr_bucket").orderBy(v.asc_nulls_last()))
-    return (tagged.join(offsets, groups + ["_sr_bucket"], "left")
-                  .withColumn(out, F.when(v.isNotNull(), (F.col("_sr_off") + local).cast("int")))
-                  .drop("_sr_bucket", "_sr_off"))
-
-
-def group_extremes(df: DataFrame, groups: Sequence[str], value: str,
-                   prefix: str = "") -> DataFrame:
-    """Per-group min and max joined back to every row.
-
-    A grouped partial aggregate plus an equi-join on the group key instead of
-    an unbounded window: the aggregate is one row per group, so AQE
-    broadcasts it when small and otherwise splits a skewed join partition.
-    """
-    groups = list(groups)
-    ext = df.groupBy(*groups).agg(F.min(value).alias(f"{prefix}min"),
-                                  F.max(value).alias(f"{prefix}max"))
-    return df.join(ext, groups, "left")
+                            F.coalesce(F.sum("_sr_b").over(before), F.lit(0)).alias("_sr_off"))
+    inside = (Window.partitionBy(*groups, "_sr_bucket").orderBy(v)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    ranks = (tagged.join(offsets, groups + ["_sr_bucket"])
+             .select(*groups, value, (F.lit(1) + F.col("_sr_off") + F.coalesce(F.sum("_sr_n").over(inside), F.lit(0)))
+                     .cast("int").alias(out)))
+    ranked = df.join(ranks, groups + [value], "left")
+    return ranked.join(bounds.drop("_sr_bounds"), groups, "left") if more else ranked
 
 
 def argmin_struct(*order: Column | str) -> Column:

@@ -6,6 +6,8 @@ session's shared folder (``spark.checkpoint.dir``) unless given.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,24 +22,33 @@ def _chunks_with_vectors(docs: DataFrame, embedder) -> DataFrame:
 
 def build_index(docs: DataFrame, embedder, path: str) -> DataFrame:
     """Chunk, embed and save; an input without any text is an error."""
-    ch = _chunks_with_vectors(docs, embedder)
-    if ch.limit(1).count() == 0:
+    fs, root = _folder(docs.sparkSession, path)
+    fs.delete(root, True)
+    _chunks_with_vectors(docs, embedder).write.parquet(f"{path.rstrip('/')}/batch=first")
+    index = load_index(docs.sparkSession, path)
+    if index is None or index.isEmpty():
         raise ValueError("No text content found to index.")
-    ch.write.mode("overwrite").parquet(path)
-    return load_index(docs.sparkSession, path)
+    return index
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath) or len(fs.listStatus(hpath)) == 0:
+    fs, root = _folder(spark, path)
+    if not fs.exists(root) or len(fs.listStatus(root)) == 0:
         return None
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("batch")
+
+
+def _folder(spark: SparkSession, path: str):
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
 
+def add_documents(docs: DataFrame, embedder, path: str, part: str | None = None) -> DataFrame | None:
+    """Append chunks of new documents (nothing written when they hold no text).
 
-def add_documents(docs: DataFrame, embedder, path: str) -> DataFrame | None:
-    """Append chunks of new documents (nothing written when they hold no text)."""
+    The chunks go to a folder of their own below ``path`` (``batch=part``);
+    adding a part of the same name again replaces it.
+    """
     ch = _chunks_with_vectors(docs, embedder)
-    ch.write.mode("append").parquet(path)
+    ch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={part or uuid.uuid4().hex}")
     return load_index(docs.sparkSession, path)

@@ -6,14 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Stored text is cut to this many characters; default type.
-STORED_TEXT_CHARS = 5000
+# Length of the preview beside the whole text; default type.
+PREVIEW_CHARS = 5000
 DEFAULT_RECORD_TYPE = "document"
 
 
 def prepare_records(df: DataFrame) -> DataFrame:
     """Defaults: ``id`` = new UUID, ``created_at`` = now (UTC),
-    ``record_type`` = 'document'; ``raw_text`` cut to 5000 characters."""
+    ``record_type`` = 'document'. ``raw_text`` is stored whole, with its
+    beginning in ``raw_preview`` beside it."""
     out = df
     if "id" not in out.columns:
         out = out.withColumn("id", F.lit(None).cast("string"))
@@ -27,7 +28,7 @@ def prepare_records(df: DataFrame) -> DataFrame:
         "record_type": F.coalesce(F.col("record_type"), F.lit(DEFAULT_RECORD_TYPE)),
     })
     if "raw_text" in out.columns:
-        out = out.withColumn("raw_text", F.substring("raw_text", 1, STORED_TEXT_CHARS))
+        out = out.withColumn("raw_preview", F.substring("raw_text", 1, PREVIEW_CHARS))
     return out
 
 
@@ -61,8 +62,10 @@ def list_records(spark: SparkSession, path: str, record_type: str | None = None)
 
 def latest_by_id(df: DataFrame) -> DataFrame:
     """Upsert view: the newest version of each id (a window per id, whose
-    size is the number of writes of that id)."""
-    w = Window.partitionBy("id").orderBy(F.col("created_at").desc())
+    size is the number of writes of that id). Versions of the same instant
+    are ordered by a digest of their content."""
+    rest = [F.col(c) for c in sorted(df.columns) if c not in ("id", "created_at")]
+    w = Window.partitionBy("id").orderBy(F.col("created_at").desc(), F.xxhash64(*rest))
     return df.withColumn("_v", F.row_number().over(w)).filter("_v = 1").drop("_v")
 
 

@@ -3,18 +3,16 @@
 The store is a table ``(id, embedding ARRAY<FLOAT|DOUBLE>, ...)``; score is
 squared L2 distance, lower is better (an exact flat index).
 
-``similarity_topk`` never forms the query x corpus product as rows: the
-query block (size checked before it is broadcast) is shipped to every task,
-each task scores its corpus slice with numpy and keeps only its own k best
-per query (a map-side partial top-k), and a final per-query
-``row_number() <= k`` merges at most k x partitions rows per query.
-Query sets larger than one block are processed block after block, each a
-distributed pass over the corpus.
+``similarity_topk`` is one distributed plan. Queries and corpus become block
+rows (a bounded number of vectors each, as bytes). Every query block meets
+every corpus block by an equi-join on the corpus block's bucket. A task
+scores one pair of blocks at a time: a matrix product bounds all distances,
+and those that may be among the k best are computed exactly. Each pair of
+blocks gives at most k rows per query; a window per query merges them.
 """
 from __future__ import annotations
 
-import uuid
-from typing import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,96 +20,98 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col_, strip
-from ..session import shared_dir, ship_package
+from ..session import ship_package
 
 # Hits per question.
 DEFAULT_K = 6
-MAX_QUERY_BLOCK = 4096
+QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
 
+_BLOCK = "ids binary, vectors binary, n int"
 
-def _partial_topk(qids: np.ndarray, qvecs: np.ndarray, k: int, id_col: str, vec_col: str,
-                  budget: int = 1 << 22):
-    """mapInPandas body: k best (score, id) per query over this task's rows."""
-    nq, dim = qvecs.shape
-    step = max(1, budget // max(1, nq * dim))
 
+def _to_blocks(ids: Sequence[str], vec: str, size: int):
+    """mapInPandas body: rows -> blocks of at most ``size`` vectors of one length."""
+    def block(rows):
+        return (np.array([r[:-1] for r in rows], dtype="<i8").tobytes(),
+                np.array([r[-1] for r in rows], dtype="<f8").tobytes(), len(rows))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for b in batches:
+            out = []
+            for row in zip(*[b[c] for c in ids], b[vec]):
+                own = held.setdefault(len(row[-1]), [])
+                own.append(row)
+                if len(own) >= size:
+                    out.append(block(held.pop(len(row[-1]))))
+            if out:
+                yield pd.DataFrame(out, columns=["ids", "vectors", "n"])
+        yield pd.DataFrame([block(r) for r in held.values()], columns=["ids", "vectors", "n"])
+    return run
+
+
+def _block_topk(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int):
+    """Per query the k nearest rows of ``c``, ties by ids: (query no, row no, exact score)."""
+    norm_c, norm_q = (c * c).sum(1), (q * q).sum(1)
+    near = norm_q[:, None] - 2.0 * (q @ c.T) + norm_c[None, :]
+    slack = 1e-9 * (norm_q[:, None] + norm_c.max(initial=0.0)) + 1e-12
+    kth = np.partition(near, k - 1, axis=1)[:, k - 1:k] if near.shape[1] > k else np.full((len(q), 1), np.inf)
+    for i in range(len(q)):
+        own = np.flatnonzero(near[i] <= kth[i] + 2 * slack[i])
+        exact = ((c[own] - q[i]) ** 2).sum(1)
+        order = np.lexsort((*ids[own].T[::-1], exact))[:k]
+        yield from ((i, own[o], exact[o]) for o in order)
+
+
+def _score_pairs(k: int, m: int, names: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_s = np.empty((nq, 0))
-        best_i = np.empty((nq, 0), dtype=np.int64)
         for b in batches:
-            if len(b) == 0:
-                continue
-            C = np.stack([np.asarray(v, dtype=np.float64) for v in b[vec_col]])
-            ids = b[id_col].to_numpy(dtype=np.int64)
-            for lo in range(0, len(ids), step):
-                c, ci = C[lo:lo + step], ids[lo:lo + step]
-                # exact sum of squared differences, queries x corpus slice
-                d = ((c[None, :, :] - qvecs[:, None, :]) ** 2).sum(axis=2)
-                S = np.concatenate([best_s, d], axis=1)
-                I = np.concatenate([best_i, np.broadcast_to(ci, d.shape)], axis=1)
-                o = np.lexsort((I, S), axis=-1)[:, :k]
-                best_s = np.take_along_axis(S, o, axis=1)
-                best_i = np.take_along_axis(I, o, axis=1)
-        if best_s.shape[1]:
-            yield pd.DataFrame({"query_id": np.repeat(qids, best_s.shape[1]),
-                                "hit_id": best_i.ravel(), "score": best_s.ravel()})
+            for qi, qv, qn, ci, cv, cn in zip(b["q_ids"], b["q_vectors"], b["q_n"], b["ids"], b["vectors"], b["n"]):
+                q, c = (np.frombuffer(v, dtype="<f8").reshape(n, -1) for v, n in ((qv, qn), (cv, cn)))
+                if q.shape[1] != c.shape[1]:
+                    continue
+                qids, ids = np.frombuffer(qi, dtype="<i8"), np.frombuffer(ci, dtype="<i8").reshape(cn, m)
+                rows = [(qids[i], *ids[j], s) for i, j, s in _block_topk(q, c, ids, k)]
+                yield pd.DataFrame(rows, columns=names)
     return run
 
 
 def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K,
                     query_id: str = "query_id", query_vec: str = "embedding",
-                    corpus_id: str = "id", corpus_vec: str = "embedding",
-                    max_block: int = MAX_QUERY_BLOCK) -> DataFrame:
+                    corpus_id: str | Sequence[str] = "id", corpus_vec: str = "embedding",
+                    query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
     """``(query_id, hit_id, rank, score)``: the k nearest corpus rows per
-    query by squared L2 (ties by smaller id); scores rounded to 1e-9."""
-    ship_package(queries.sparkSession)
-    q = queries.select(F.col(query_id).cast("long").alias("_qid"),
-                       F.col(query_vec).alias("_qv"))
-    n = q.count()
-    # hash blocks with 2x slack so no block exceeds the bound in practice
-    blocks = 1 if n <= max_block else -(-2 * n // max_block)
-    corp = corpus.select(F.col(corpus_id).cast("long").alias("_cid"), F.col(corpus_vec).alias("_cv"))
-    schema = "query_id long, hit_id long, score double"
-
-    def block_pass(rows):
-        if len(rows) > max_block:
-            raise ValueError("query block larger than the broadcast bound")
-        qids = np.array([r[0] for r in rows], dtype=np.int64)
-        qv = np.stack([np.asarray(r[1], dtype=np.float64) for r in rows])
-        return corp.mapInPandas(_partial_topk(qids, qv, k, "_cid", "_cv"), schema)
-
+    query by squared L2 (ties by smaller id); scores rounded to 1e-9. With
+    several ``corpus_id`` columns these come instead of ``hit_id``. Rows
+    without a vector, and pairs of different lengths, take no part."""
     spark = queries.sparkSession
-    if blocks == 1:
-        rows = q.collect()
-        allp = block_pass(rows) if rows else spark.createDataFrame([], schema)
-    else:
-        # Many blocks: the query set is written once under the shared folder,
-        # partitioned by block (each block's read prunes to one folder), and
-        # every block's partial top-k is appended to a shared table, so the
-        # plan stays one pass per block and no result is recomputed.
-        base = f"{shared_dir(spark)}/topk_{uuid.uuid4().hex}"
-        (q.withColumn("_blk", F.pmod(F.xxhash64("_qid"), F.lit(blocks)))
-          .write.partitionBy("_blk").parquet(f"{base}/queries"))
-        stored = spark.read.parquet(f"{base}/queries")
-        for b in range(blocks):
-            rows = stored.filter(F.col("_blk") == b).select("_qid", "_qv").collect()
-            if rows:
-                block_pass(rows).write.mode("append").parquet(f"{base}/partial")
-        allp = spark.read.schema(schema).parquet(f"{base}/partial")
-    w = Window.partitionBy("query_id").orderBy("score", "hit_id")
-    return (allp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-                .select("query_id", "hit_id", F.col("rank").cast("int").alias("rank"),
-                        F.round("score", 9).alias("score")))
+    ship_package(spark)
+    one = isinstance(corpus_id, str)
+    hit = ["hit_id"] if one else list(corpus_id)
+    given = [corpus_id] if one else list(corpus_id)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    q = queries.filter(F.col(query_vec).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("v"))
+    c = corpus.filter(F.col(corpus_vec).isNotNull()).select(*[F.col(g).cast("long").alias(h) for g, h in zip(given, hit)], F.col(corpus_vec).alias("v"))
+    blocks = (q.mapInPandas(_to_blocks(["query_id"], "v", query_block), _BLOCK)
+              .select(*[F.col(x).alias(f"q_{x}") for x in ("ids", "vectors", "n")],
+                      F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket")))
+    slices = (c.mapInPandas(_to_blocks(hit, "v", corpus_block), _BLOCK)
+              .withColumn("bucket", F.pmod(F.xxhash64("ids"), F.lit(buckets)).cast("int")))
+    schema = ", ".join(["query_id long", *[f"{h} long" for h in hit], "score double"])
+    found = slices.join(blocks, "bucket").drop("bucket").mapInPandas(
+        _score_pairs(k, len(hit), ["query_id", *hit, "score"]), schema)
+    w = Window.partitionBy("query_id").orderBy("score", *hit)
+    return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select("query_id", *hit, F.col("rank").cast("int").alias("rank"), F.round("score", 9).alias("score")))
 
 
 def class_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
-    """Mean vector per label: explode to (label, position, value), a grouped
-    partial average, then re-assemble the short vector per label."""
-    e = vectors.select(F.col(label).alias("query_id"), F.posexplode(vec).alias("pos", "x"))
-    m = e.groupBy("query_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return m.groupBy("query_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"])
-        .alias("embedding"))
+    """Mean vector per label (one partial aggregate over vectors)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    v = array_to_vector(F.col(vec).cast("array<double>"))
+    return (vectors.groupBy(F.col(label).alias("query_id")).agg(Summarizer.mean(v).alias("m"))
+            .select("query_id", vector_to_array("m").alias("embedding")))
 
 
 def snippet_label(supplier="supplier_name", source="source"):
@@ -123,25 +123,37 @@ def snippet_label(supplier="supplier_name", source="source"):
 
 # Fixed texts of the excerpt answer.
 NO_HITS = "No relevant information found in the indexed documents."
-EXCERPTS_HEADER = "No OpenAI key configured — showing the most relevant raw excerpts instead:\n"
+EXCERPTS_HEADER = "No model function given — showing the most relevant raw excerpts instead:\n"
 PREVIEW_CHARS = 400
 
 
 def excerpt_answers(hits: DataFrame, queries: DataFrame, query_id: str = "query_id") -> DataFrame:
     """``hits(query_id, rank, text, supplier_name, source)`` -> one answer
-    per query: labelled 400-character previews in rank order; a query
-    without hits gets the fixed no-result message."""
-    piece = F.concat(F.lit("**"), snippet_label(), F.lit("**\n> "),
-                     strip(F.substring("text", 1, PREVIEW_CHARS)), F.lit("\n"))
-    per = hits.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", piece.alias("p")))).alias("_p"))
+    per query: labelled previews in rank order, and beside it the ``sources``
+    with rank, label, whole chunk text and preview; a query without hits gets
+    the fixed no-result message."""
+    preview = strip(F.substring("text", 1, PREVIEW_CHARS))
+    per = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", snippet_label().alias("label"), F.col("text"), preview.alias("preview")))).alias("_s"))
     q = queries.select(F.col(query_id).cast("long").alias("query_id")).distinct()
-    body = F.array_join(F.transform("_p", lambda s: s["p"]), "\n")
+    body = F.array_join(F.transform("_s", lambda s: F.concat(
+        F.lit("**"), s["label"], F.lit("**\n> "), s["preview"], F.lit("\n"))), "\n")
+    none = F.array().cast("array<struct<rank:int,label:string,text:string,preview:string>>")
     return (q.join(per, "query_id", "left")
              .select("query_id",
-                     F.when(F.col("_p").isNull(), F.lit(NO_HITS))
+                     F.when(F.col("_s").isNull(), F.lit(NO_HITS))
                       .otherwise(F.concat(F.lit(EXCERPTS_HEADER + "\n"), body)).alias("answer"),
-                     F.coalesce(F.size("_p"), F.lit(0)).alias("n_sources")))
+                     F.coalesce(F.size("_s"), F.lit(0)).alias("n_sources"), F.coalesce("_s", none).alias("sources")))
+
+
+def letter_profile(text: str = "text"):
+    """JVM-only embedder: the share of each letter a-z among a text's characters,
+    in whole thousandths (so distances are exact)."""
+    def embed(df: DataFrame) -> DataFrame:
+        t = F.lower(F.col(text))
+        share = [F.floor((F.length(t) - F.length(F.replace(t, F.lit(x)))) * 1000 / F.greatest(F.length(t), F.lit(1))).cast("double") for x in "abcdefghijklmnopqrstuvwxyz"]
+        return df.withColumn("embedding", F.array(*share))
+    return embed
 
 
 def embed_texts(corpus: DataFrame, text_col: str = "text", dims: int = 1 << 10):

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import drafts, extract, gaps, records, recommend
+from ..operators import drafts, extract, records
 from ..session import shared_dir
 from ..sources import derived_text as dt
 from ..sources import ingest
@@ -42,15 +42,11 @@ def q_localize(spark, d):
     return drafts.localize(docs.withColumn("key", k)).select("doc_id", "lang", "key", "text")
 
 
-# Fixed value: characters of document text sent to a model for extraction.
-PROMPT_CHARS = 12000
-
-
 @query("prompts")
 def q_prompts(spark, d):
+    """One prompt per consecutive part of a document; the parts make up the text."""
     docs = read_table(spark, d, "documents", "doc_id", "text")
-    return docs.select("doc_id", F.length("text").alias("n_chars"),
-                       F.substring("text", 1, PROMPT_CHARS).alias("user_content"))
+    return (docs.select("doc_id", F.length("text").alias("n_chars"), F.posexplode(extract.text_parts("text")).alias("part_no", "user_content")))
 
 
 def _record_batch(spark, d):
@@ -73,8 +69,9 @@ def _written(spark, d):
 @query("records_roundtrip")
 def q_records_roundtrip(spark, d):
     path = _written(spark, d)
-    return records.list_records(spark, path).select("id", "record_type", "created_at", "doc_id",
-                                                    "rfq_key", "raw_text")
+    return records.list_records(spark, path).select(
+        "record_type", "doc_id", "rfq_key", "raw_text", F.length("id").alias("id_chars"),
+        F.col("created_at").isNotNull().alias("has_time"))
 
 
 @query("records_by_type")
@@ -150,5 +147,3 @@ def q_coerce_json(spark, d):
                     F.get("items", 0)["quantity"].alias("first_item_quantity"),
                     "notes", "raw_output")
 
-
-_ = (recommend, _gaps)

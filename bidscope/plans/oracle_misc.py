@@ -65,12 +65,21 @@ LEFT JOIN (VALUES {_labels}) l(lang, key, text)
   ON l.key = d.key AND l.lang = CASE WHEN d.lang IN ('en', 'hi') THEN d.lang ELSE 'en' END
 """)
 
-sql("prompts")("SELECT doc_id, length(text) AS n_chars, substr(text, 1, 12000) AS user_content FROM documents")
+sql("prompts")("""
+SELECT doc_id, length(text) AS n_chars, CAST(p AS INTEGER) AS part_no, substr(text, p * 12000 + 1, 12000) AS user_content
+FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil(length(text) / 12000.0) AS BIGINT)))) AS p FROM documents WHERE text IS NOT NULL)
+""")
+
+sql("records_roundtrip", "rfq", "kv_docs")(f"""
+SELECT 'quotation' AS record_type, doc_id, NULL AS rfq_key, raw_text, 36 AS id_chars, true AS has_time FROM kv_docs
+UNION ALL
+SELECT 'rfq', NULL, rfq_id, concat_ws({NL}, 'RFQ Ref: ' || rfq_ref, 'Deadline: ' || deadline_date), 36, true FROM rfq
+""")
 
 sql("records_by_type", "kv_head")("""
 SELECT h.doc_id, 'quotation' AS record_type, supplier_name, quotation_ref, rfq_ref, deadline_date,
        delivery_terms, delivery_lead_time_days, payment_terms, warranty,
-       CAST(least(length(k.raw_text), 5000) AS INTEGER) AS stored_chars
+       CAST(length(k.raw_text) AS INTEGER) AS stored_chars
 FROM kv_docs k JOIN kv_head h ON h.doc_id = k.doc_id
 """)
 

@@ -64,7 +64,7 @@ FROM (SELECT DISTINCT p_brand AS rfq_id,
 """)
 
 cte("totals", "items")("""
-SELECT rfq_id, supplier_name, round(sum(total_price), 2) AS total_quoted_cost
+SELECT rfq_id, supplier_name, CAST(sum(CAST(total_price AS DECIMAL(20,2))) AS DOUBLE) AS total_quoted_cost
 FROM items GROUP BY rfq_id, supplier_name
 """)
 
@@ -120,13 +120,12 @@ FROM items WHERE unit_price IS NOT NULL AND item_name IS NOT NULL
 GROUP BY rfq_id, item_name, supplier_name
 """)
 
-sql("price_pivot", "items")("""
-SELECT * FROM (
-  PIVOT (SELECT rfq_id, item_name, supplier_name,
-                arg_min(unit_price, {'q': quote_seq, 'p': item_pos}) AS v
-         FROM items WHERE unit_price IS NOT NULL AND item_name IS NOT NULL
-         GROUP BY rfq_id, item_name, supplier_name)
-  ON supplier_name USING first(v) GROUP BY rfq_id, item_name)
+_cell = "arg_min(unit_price, {{'q': quote_seq, 'p': item_pos}}) FILTER (WHERE {}) AS nation_{}".format
+sql("price_pivot", "items")(f"""
+SELECT rfq_id, item_name, {', '.join(_cell(f's_nationkey = {n}', n) for n in range(25))},
+       {_cell('s_nationkey IS NULL OR s_nationkey NOT BETWEEN 0 AND 24', 'other')}
+FROM items JOIN supplier ON s_suppkey = quote_seq
+WHERE unit_price IS NOT NULL AND item_name IS NOT NULL GROUP BY rfq_id, item_name
 """)
 
 sql("cheapest_per_item", "items")("""

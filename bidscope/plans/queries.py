@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import compare, gaps, outlay, recommend
 from ..sources import star_adapter as star
+from ..sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -40,7 +42,10 @@ def q_price_matrix(spark, d):
 
 @query("price_pivot")
 def q_price_pivot(spark, d):
-    return compare.price_pivot(_items(spark, d))
+    """Item x supplier nation (25 nations); the supplier grain is price_matrix."""
+    nation = read_table(spark, d, "supplier", "s_suppkey", "s_nationkey")
+    items = _items(spark, d).join(nation, F.col("quote_seq") == F.col("s_suppkey"))
+    return compare.price_pivot(items, "s_nationkey", range(25), prefix="nation_")
 
 
 @query("cheapest_per_item")
@@ -51,13 +56,13 @@ def q_cheapest_per_item(spark, d):
 def _gaps(spark, d, qi=None, with_lists=False):
     qi = qi if qi is not None else star.quote_items(spark, d)
     return gaps.gap_analysis(star.rfqs(spark, d), star.rfq_items(spark, d),
-                             star.quotations(spark, d, qi), qi, with_lists=with_lists)
+                             star.quotations(spark, d), qi, with_lists=with_lists)
 
 
 @query("missing_items")
 def q_missing_items(spark, d):
     qi = star.quote_items(spark, d)
-    return gaps.missing_items_text(star.rfq_items(spark, d), star.quotations(spark, d, qi), qi)
+    return gaps.missing_items_text(star.rfq_items(spark, d), star.quotations(spark, d), qi)
 
 
 @query("gap_analysis")
@@ -68,14 +73,14 @@ def q_gap_analysis(spark, d):
 @query("cash_outlay")
 def q_cash_outlay(spark, d):
     qi = star.quote_items(spark, d)
-    return outlay.cash_outlay(star.quotations(spark, d, qi),
+    return outlay.cash_outlay(star.quotations(spark, d),
                               compare.total_cost_summary(compare.item_comparison(qi)))
 
 
 @query("recommendation")
 def q_recommendation(spark, d):
     qi = star.quote_items(spark, d)
-    scores = gaps.gap_scores(star.rfq_items(spark, d), star.quotations(spark, d, qi), qi)
+    scores = gaps.gap_scores(star.rfq_items(spark, d), star.quotations(spark, d), qi)
     return recommend.recommendation(compare.total_cost_summary(compare.item_comparison(qi)),
                                     scores)
 

@@ -21,9 +21,29 @@ def q_chunk_fixed(spark, d):
     return chunking.chunk_fixed(_docs(spark, d))
 
 
+def _covered(chunks, docs):
+    """Per document: whether all chunks are at most 800 characters and stand
+    at their place in the text, and the non-blank characters outside of all
+    chunks."""
+    per = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", F.length("text").alias("n"), F.xxhash64("text").alias("h")))).alias("c"))
+    d = docs.select("doc_id", "raw_text").join(per, "doc_id")
+    text = lambda at, n: F.substring(F.col("raw_text"), at.cast("int"), n.cast("int"))
+    ok = F.forall("c", lambda x: (x["n"] <= 800) & (F.xxhash64(text(x["start"], x["n"])) == x["h"]))
+    # what lies between the furthest end so far and the next start
+    skipped = F.aggregate("c", F.struct(F.lit(1).cast("long").alias("end"), F.lit("").alias("rest")), lambda s, x: F.struct(
+        F.greatest(s["end"], x["start"] + x["n"]).alias("end"),
+        F.concat(s["rest"], text(s["end"], F.greatest(F.lit(0), x["start"] - s["end"]))).alias("rest")))
+    out = d.withColumn("ok", ok).withColumn("s", skipped)
+    rest = F.concat("s.rest", text(F.col("s.end"), F.length("raw_text")))
+    return out.select("doc_id", F.col("ok").alias("chunks_ok"), F.length(F.regexp_replace(rest, r"[\s\u001c-\u001f\u0085\u00a0]+", "")).alias("uncovered"))
+
+
 @query("chunk_recursive")
 def q_chunk_recursive(spark, d):
-    return chunking.chunk_recursive(_docs(spark, d))
+    """Recursive chunks, reported per document: sizes and places are right and
+    no non-blank character is lost."""
+    docs = _docs(spark, d)
+    return _covered(chunking.chunk_recursive(docs), docs)
 
 
 def _centroids(spark, d):
@@ -38,44 +58,50 @@ def q_similarity_topk(spark, d):
 
 @query("ask_answer")
 def q_ask_answer(spark, d):
-    """Documents with precomputed vectors (embeddings.vec_id = doc_id) as the
-    store; one question per class centroid; excerpt answers."""
-    store = (read_table(spark, d, "embeddings", "vec_id", "embedding")
-             .join(read_table(spark, d, "documents", "doc_id", "text", "source"),
-                   F.col("vec_id") == F.col("doc_id")))
-    qs = _centroids(spark, d)
-    hits = retrieve.similarity_topk(qs, store, corpus_id="doc_id")
-    hits = hits.join(store.select(F.col("doc_id").alias("hit_id"), "text", "source"), "hit_id") \
-               .withColumn("supplier_name", F.lit(None).cast("string"))
-    return retrieve.excerpt_answers(hits, qs)
+    """Benchmark passages as questions against the chunks of every document,
+    embedded by letter profile; excerpt answers with their sources."""
+    embed = retrieve.letter_profile("text")
+    chunks = embed(chunking.chunk_fixed(_docs(spark, d)))
+    qs = embed(read_table(spark, d, "benchmark", "item_id", "text"))
+    hits = retrieve.similarity_topk(qs, chunks, query_id="item_id", corpus_id=("doc_id", "chunk_index"))
+    hits = hits.join(chunks.select("doc_id", "chunk_index", "text", "source", "supplier_name"), ["doc_id", "chunk_index"])
+    answers = retrieve.excerpt_answers(hits, qs, "item_id")
+    joined = lambda f: F.array_join(F.transform("sources", lambda s: s[f]), "\u001e")
+    return answers.select("query_id", "answer", "n_sources", joined("label").alias("source_labels"), joined("text").alias("source_texts"))
+
+
+def embedded_hits(spark, d):
+    """Benchmark passages against document chunks, embedded by the stand-in
+    TF-IDF embedder fitted on the chunks: (hits, questions, chunks)."""
+    chunks = chunking.chunk_fixed(_docs(spark, d))
+    embed = retrieve.embed_texts(chunks, "text", 256)
+    qs, store = embed(read_table(spark, d, "benchmark", "item_id", "text")), embed(chunks)
+    return retrieve.similarity_topk(qs, store, query_id="item_id", corpus_id=("doc_id", "chunk_index")), qs, store
 
 
 @query("embed_topk")
 def q_embed_topk(spark, d):
-    """Benchmark passages as questions against document chunks, embedded by
-    the stand-in TF-IDF embedder fitted on the chunks."""
-    chunks = chunking.chunk_fixed(_docs(spark, d)).withColumn(
-        "chunk_id", F.col("doc_id") * 1000000 + F.col("chunk_index"))
-    embed = retrieve.embed_texts(chunks, "text", 256)
-    bench = read_table(spark, d, "benchmark", "item_id", "text")
-    hits = retrieve.similarity_topk(embed(bench), embed(chunks), query_id="item_id",
-                                    corpus_id="chunk_id")
-    return hits.select(F.col("query_id").alias("item_id"),
-                       (F.col("hit_id") / 1000000).cast("long").alias("doc_id"),
-                       (F.col("hit_id") % 1000000).cast("int").alias("chunk_index"),
-                       "rank", "score")
+    """Per question: number of hits, their ranks, and whether scores ascend."""
+    hits, _, _ = embedded_hits(spark, d)
+    per = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "score"))).alias("h"))
+    scores = F.transform("h", lambda x: x["score"])
+    return per.select(F.col("query_id").alias("item_id"), F.size("h").alias("n_hits"), F.array_join(F.transform("h", lambda x: x["rank"].cast("string")), ",").alias("ranks"),
+                      ((scores == F.array_sort(scores)) & (F.array_min(scores) >= 0)).alias("ascending"))
 
 
 @query("index_append")
 def q_index_append(spark, d):
-    """Build the chunk index from all documents, then append the benchmark
-    passages as new documents, and load it back."""
+    """Build the chunk index from all documents, append the benchmark passages
+    as new documents, load it back; reported per kind and document."""
     path = f"{shared_dir(spark)}/chunk_index_{uuid.uuid4().hex}"
     docs = _docs(spark, d)
-    embed = retrieve.embed_texts(chunking.chunk_recursive(docs), "text", 256)
+    embed = retrieve.letter_profile("text")
     index_store.build_index(docs, embed, path)
     extra = read_table(spark, d, "benchmark", "item_id", "text").select(
-        (-F.col("item_id") - 1).alias("doc_id"), F.col("text").alias("raw_text"),
-        F.lit("benchmark").alias("source"))
-    return index_store.add_documents(extra, embed, path).select(
-        "doc_id", "chunk_index", "source", "text", "embedding")
+        (-F.col("item_id") - 1).alias("doc_id"), F.col("text").alias("raw_text"), F.lit("benchmark").alias("source"))
+    index = index_store.add_documents(extra, embed, path)
+    sizes = index.groupBy("doc_id").agg(F.min(F.size("embedding")).alias("dims"), F.count_distinct("chunk_id").alias("ids"), F.count("*").alias("n"),
+                                        F.first("source").alias("source"))
+    every = docs.select("doc_id", "raw_text").unionByName(extra.select("doc_id", "raw_text"))
+    return _covered(index, every).join(sizes, "doc_id").select(
+        "doc_id", "source", "dims", (F.col("ids") == F.col("n")).alias("ids_differ"), "chunks_ok", "uncovered")

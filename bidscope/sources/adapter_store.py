@@ -8,7 +8,9 @@ the input files' paths, sizes and modification times. The analytics then
 scan a columnar table with many splits and prune to the columns they need,
 instead of re-running the fact-dimension joins in every branch of a plan.
 Build: write to a fresh temporary folder, then rename into place, so a
-concurrent or failed build never leaves a half-written table visible.
+concurrent or failed build never leaves a half-written table visible; a
+build that fails, fails the query. The key is taken from the files at every
+call, so changed input is never read from an old table.
 """
 from __future__ import annotations
 
@@ -16,12 +18,10 @@ import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
 _INPUTS = ("lineitem", "part", "supplier")
-_MEMO: dict[tuple[int, str], str | None] = {}
 
 
 def _fs(spark: SparkSession, path: str):
@@ -43,15 +43,13 @@ def _key(spark: SparkSession, sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
-def _base(spark: SparkSession, sf_dir: str, builder) -> str | None:
-    memo = (id(spark), sf_dir)
-    if memo in _MEMO:
-        return _MEMO[memo]
-    try:
-        base = f"{shared_dir(spark)}/adapter_{_key(spark, sf_dir)}"
-        fs, p = _fs(spark, base)
-        if not fs.exists(_fs(spark, base + "/_BUILT")[1]):
-            tmp = f"{base}.tmp-{uuid.uuid4().hex}"
+def _base(spark: SparkSession, sf_dir: str, builder) -> str:
+    """Folder of the stored tables for the input as it is now (built if new)."""
+    base = f"{shared_dir(spark)}/adapter_{_key(spark, sf_dir)}"
+    fs, p = _fs(spark, base)
+    if not fs.exists(_fs(spark, base + "/_BUILT")[1]):
+        tmp = f"{base}.tmp-{uuid.uuid4().hex}"
+        try:
             builder(spark, sf_dir).write.mode("overwrite").parquet(f"{tmp}/quote_items")
             qi = spark.read.parquet(f"{tmp}/quote_items")
             (qi.select("rfq_id", "quote_seq", "supplier_name").distinct()
@@ -60,30 +58,14 @@ def _base(spark: SparkSession, sf_dir: str, builder) -> str | None:
             tfs.create(tp).close()
             if not fs.exists(p):
                 fs.rename(_fs(spark, tmp)[1], p)
-        _MEMO[memo] = base
-    except Exception:  # no writable shared folder: callers fall back to the view
-        _MEMO[memo] = None
-    return _MEMO[memo]
+        finally:  # a failed build, or one that another build overtook
+            fs.delete(_fs(spark, tmp)[1], True)
+    return base
 
 
-def quote_items_table(spark: SparkSession, sf_dir: str, builder) -> DataFrame | None:
-    base = _base(spark, sf_dir, builder)
-    return spark.read.parquet(f"{base}/quote_items") if base else None
+def quote_items_table(spark: SparkSession, sf_dir: str, builder) -> DataFrame:
+    return spark.read.parquet(f"{_base(spark, sf_dir, builder)}/quote_items")
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
-    """Stored quotation list (pairs + supplier terms) when the store exists."""
-    memo = (id(spark), sf_dir)
-    base = _MEMO.get(memo)
-    if not base or name != "quotations":
-        return None
-    from .star_adapter import _supplier_terms
-    from .tables import read_table
-    pairs = spark.read.parquet(f"{base}/quote_pairs")
-    sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
-    return (pairs.join(_supplier_terms(sup), "quote_seq")
-            .select("rfq_id", "quote_seq", "supplier_name", "delivery_terms",
-                    "delivery_lead_time_days", "payment_terms", "warranty"))
-
-
-_ = F
+def quote_pairs_table(spark: SparkSession, sf_dir: str, builder) -> DataFrame:
+    return spark.read.parquet(f"{_base(spark, sf_dir, builder)}/quote_pairs")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import read_table
-from .adapter_store import stored as _stored, quote_items_table
+from .adapter_store import quote_items_table, quote_pairs_table
 
 
 def quote_items_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,19 +62,13 @@ def _supplier_terms(sup: DataFrame) -> DataFrame:
     )
 
 
-def quotations(spark: SparkSession, sf_dir: str, qi: DataFrame | None = None) -> DataFrame:
+def quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (brand, supplier) pair that has lines.
 
-    Derived from ``quote_items`` (pass the same DataFrame the query already
-    uses, so the scan and join are one shared subtree whose exchanges Spark
-    reuses); the pair set is a distinct with map-side partial aggregation.
+    The pair set is the one stored with the quote lines.
     """
-    qi = qi if qi is not None else quote_items(spark, sf_dir)
-    stored = _stored(spark, sf_dir, "quotations")
-    if stored is not None:
-        return stored
     sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
-    pairs = qi.select("rfq_id", "quote_seq", "supplier_name").distinct()
+    pairs = quote_pairs_table(spark, sf_dir, quote_items_view)
     return (pairs.join(_supplier_terms(sup), "quote_seq")
             .select("rfq_id", "quote_seq", "supplier_name", "delivery_terms",
                     "delivery_lead_time_days", "payment_terms", "warranty"))
@@ -101,6 +95,5 @@ def rfqs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quote_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quote lines of ``sf_dir``: a stored table built once per input
-    (see ``adapter_store``), else the join view."""
-    t = quote_items_table(spark, sf_dir, quote_items_view)
-    return t if t is not None else quote_items_view(spark, sf_dir)
+    (see ``adapter_store``)."""
+    return quote_items_table(spark, sf_dir, quote_items_view)

@@ -1,5 +1,6 @@
 """Parquet table access: one reader, columns named up front so the scan's
-ReadSchema is exactly what the plan needs."""
+ReadSchema is exactly what the plan needs. Scan parallelism is the
+session's (``spark.sql.files.maxPartitionBytes``)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,28 +9,6 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
-# Tables that drive the work of a plan, with a key to spread them on when
-# their scan is too coarse (e.g. a single row group) to use all cores.
-SPREAD_KEYS = {"lineitem": "l_orderkey", "documents": "doc_id"}
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-redistribute on ``key`` only when the scan yields fewer splits
-    than the cluster has cores. Large inputs (many files / row groups)
-    already have more splits and are left untouched (no extra shuffle)."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        coarse = df.rdd.getNumPartitions() < cores
-    except Exception:  # sessions without an RDD view (e.g. remote clients)
-        return df
-    return df.repartition(cores, key) if coarse else df
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if columns:
-        df = df.select(*columns)
-    key = SPREAD_KEYS.get(name)
-    if key and key in df.columns:
-        df = spread(df, key)
-    return df
+    return df.select(*columns) if columns else df

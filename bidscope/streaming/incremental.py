@@ -2,10 +2,12 @@
 
 New documents / records dropped into a landing folder are chunked,
 embedded and appended to the chunk index, or stamped and appended to the
-record store. Both use the built-in parquet file sink: its metadata log
-commits each micro-batch exactly once, and the checkpoint folder (under
-the session's shared folder) lets a restarted query resume where it
-stopped. ``trigger(availableNow=True)`` processes what has landed and stops,
+record store. The index takes each micro-batch through the append function
+that batch jobs use, into a folder of the batch's own number that a repeated
+batch overwrites, so batch and stream appends share one table and a restart
+adds nothing twice. The record store uses the parquet file sink. The
+checkpoint folder (under the session's shared folder) lets a restarted query
+resume where it stopped. ``trigger(availableNow=True)`` processes what has landed and stops,
 which suits scheduled runs; drop it for a continuously running query.
 """
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.chunking import chunk_recursive
+from ..operators import index_store
 from ..operators.records import prepare_records
 
 DOC_SCHEMA = "doc_id long, raw_text string, source string, file_type string, supplier_name string"
@@ -24,12 +26,14 @@ def index_stream(spark: SparkSession, landing_dir: str, index_path: str, checkpo
     """Stream documents from ``landing_dir`` (parquet) into the chunk index.
     ``embedder`` must be stateless per row (e.g. a fitted pipeline model)."""
     docs = spark.readStream.schema(schema).parquet(landing_dir)
-    chunks = embedder(chunk_recursive(docs))
-    w = (chunks.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-         .outputMode("append"))
+
+    def append(batch, number):
+        index_store.add_documents(batch, embedder, index_path, part=f"stream-{number}")
+
+    w = docs.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).outputMode("append")
     if once:
         w = w.trigger(availableNow=True)
-    return w.start(index_path)
+    return w.start()
 
 
 def records_stream(spark: SparkSession, landing_dir: str, store_path: str, checkpoint: str,
