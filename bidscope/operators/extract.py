@@ -58,7 +58,7 @@ def header_fields(kv: DataFrame, pos: str = "line_no") -> DataFrame:
     last value for the others: ``max_by`` over position, pivoted on the
     fixed field list (a partial aggregate)."""
     f, v = F.col("field"), F.col("value")
-    parsed = (F.when(f == "deadline_date", normalize_date(v))
+    parsed = (F.when(f == "deadline_date", normalize_date(strip(v), iso_first=True))
                .when(f == "delivery_lead_time_days", clean_number(v).try_cast("int").cast("string"))
                .otherwise(strip(v)))
     rows = kv.select("doc_id", "field", F.col(pos).alias("_pos"), parsed.alias("_v")).filter(
@@ -167,9 +167,11 @@ def extract_records(doc_text: DataFrame, cells: DataFrame | None = None) -> Data
     kv_txt = kv_lines(docs.filter(F.col("file_type").isin("docx", "pdf"))).select(
         "doc_id", "field", "value", "line_no")
     if cells is not None:
-        kv_cells, item_cells = route_tables(cells)
+        # only workbooks have field/value sheets; all tables of other types may hold items
         excel = docs.filter(F.col("file_type") == "excel").select("doc_id")
-        kv_tab = kv_table_rows(kv_cells.join(excel, "doc_id", "left_semi"))
+        kv_cells, item_cells = route_tables(cells.join(excel, "doc_id", "left_semi"))
+        item_cells = item_cells.unionByName(cells.join(excel, "doc_id", "left_anti"))
+        kv_tab = kv_table_rows(kv_cells)
         kv_all = kv_txt.unionByName(kv_tab)
         titems = table_items(item_cells).select(
             "doc_id", F.col("table_no").cast("bigint").alias("_t"), F.col("row_no").alias("_r"),
@@ -198,6 +200,30 @@ def extract_records(doc_text: DataFrame, cells: DataFrame | None = None) -> Data
         F.lit(HEURISTIC_NOTE).alias("notes"), "raw_text")
 
 
+def link_records(records: DataFrame, rfqs: DataFrame, order: str = "doc_id", folder=None) -> tuple[DataFrame, DataFrame]:
+    """Extracted quotations -> (linked, unmatched).
+
+    A record belongs to the RFQ whose ``rfq_ref`` equals its own (stripped,
+    case-insensitive), else to the RFQ of its landing ``folder`` (a Column of
+    ``records``; ``rfqs`` then has a ``folder`` column). ``quote_seq`` numbers
+    an RFQ's records from 0 by ``order``, a unique number such as the upload
+    time; it is ranked in value ranges, so no RFQ is gathered in one task.
+    """
+    from .hot_window import split_rank
+    ref = lambda c: F.lower(strip(c))
+    by_ref = rfqs.filter(ref("rfq_ref") != "").groupBy(ref("rfq_ref").alias("_ref")).agg(F.min("rfq_id").alias("_by_ref"))
+    out = records.withColumn("_ref", ref("rfq_ref")).join(by_ref, "_ref", "left")
+    found = F.col("_by_ref")
+    if folder is not None:
+        by_folder = rfqs.filter(F.col("folder").isNotNull()).groupBy(F.col("folder").alias("_folder")).agg(F.min("rfq_id").alias("_by_folder"))
+        out = out.withColumn("_folder", folder).join(by_folder, "_folder", "left")
+        found = F.coalesce(found, F.col("_by_folder"))
+    out = out.withColumn("rfq_id", found).select(*records.columns, "rfq_id")
+    ranked = split_rank(out.filter(F.col("rfq_id").isNotNull()), ["rfq_id"], order, "_rank")
+    return (ranked.withColumn("quote_seq", (F.col("_rank") - 1).cast("long")).select(*records.columns, "rfq_id", "quote_seq"),
+            out.filter(F.col("rfq_id").isNull()).drop("rfq_id"))
+
+
 def explode_items(records: DataFrame, keys=("rfq_id", "quote_seq", "supplier_name")) -> DataFrame:
     """Nested records -> long quote lines with their list position."""
     keep = [k for k in keys if k in records.columns]

@@ -64,6 +64,36 @@ def q_line_items_from_text(spark, d):
     return extract.line_items(dt.item_lines(spark, d)).join(with_tables, "doc_id", "left_anti")
 
 
+@query("extract_documents")
+def q_extract_documents(spark, d):
+    """Whole documents: routing, field/value sheets, last value wins, text
+    lines only where the tables gave no item."""
+    text, cells = dt.whole_documents(spark, d)
+    r = extract.extract_records(text, cells)
+    return r.select("doc_id", "file_type", "supplier_name", "deadline_date", "warranty", F.size("items").alias("n_items"),
+                    F.round(F.aggregate("items", F.lit(0.0), lambda s, x: s + F.coalesce(x["quantity"], F.lit(0.0))), 2).alias("quantity"),
+                    F.array_min(F.transform("items", lambda x: x["item_name"])).alias("first_name"))
+
+
+@query("link_records")
+def q_link_records(spark, d):
+    """Two quotations per supplier, linked to RFQs by reference, else by
+    folder; the unmatched ones have no RFQ. ``last_terms``: of the supplier's
+    last quotation in the RFQ."""
+    nation = read_table(spark, d, "nation", "n_nationkey")
+    k = F.col("n_nationkey")
+    rfqs = nation.filter(k % 3 != 2).select(
+        k.alias("rfq_id"), F.when(k % 3 == 0, F.concat(F.lit(" rfq-"), k.cast("string"))).alias("rfq_ref"),
+        F.when(k % 3 == 1, F.concat(F.lit("in/"), k.cast("string"))).alias("folder"))
+    recs = extract.extract_records(dt.versioned_records(spark, d)).select("doc_id", "supplier_name", "rfq_ref", "payment_terms")
+    linked, rest = extract.link_records(recs, rfqs, folder=F.concat(F.lit("in/"), F.regexp_extract("rfq_ref", r"(\d+)$", 1)))
+    last = linked.groupBy("rfq_id", "supplier_name").agg(F.max_by("payment_terms", "quote_seq").alias("last_terms"))
+    linked = linked.join(last, ["rfq_id", "supplier_name"])
+    none = F.lit(None).cast("long")
+    return linked.select("doc_id", "rfq_id", "quote_seq", "last_terms").unionByName(
+        rest.select("doc_id", none.alias("rfq_id"), none.alias("quote_seq"), F.lit(None).cast("string").alias("last_terms")))
+
+
 @query("infer_currency")
 def q_infer_currency(spark, d):
     docs = read_table(spark, d, "documents", "doc_id", "text")

@@ -181,7 +181,7 @@ SELECT doc_id, table_no, CAST(0 AS BIGINT) AS row_no, CAST(generate_subscripts(h
 _fields9 = list(HEADER_FIELD_ALIASES)
 cte("kv_rows", "kv_docs")(f"""
 SELECT doc_id, line_no, field, value,
-       CASE field WHEN 'deadline_date' THEN {ndate('value')}
+       CASE field WHEN 'deadline_date' THEN {ndate(strip('value'), True)}
                   WHEN 'delivery_lead_time_days' THEN {v(f'CAST(trunc({clean("value")}) AS INTEGER)')}
                   ELSE {strip('value')} END AS pv
 FROM (
@@ -274,3 +274,24 @@ SELECT doc_id,
             WHEN contains(text, '$') OR regexp_matches(text, '(?i)\bUSD\b') THEN 'USD' END AS currency
 FROM documents
 """)
+
+_brand_n = r"CAST(regexp_extract(p_brand, '(\d+)$', 1) AS INTEGER)"
+_two = "lpad(CAST({} AS VARCHAR), 2, '0')".format
+sql("extract_documents", "tab_items", "line_items_all")(f"""
+SELECT d.doc_id, file_type, 'Maker ' || {v('n')} AS supplier_name,
+       CASE WHEN file_type = 'pdf' THEN '2026-' || {_two('n % 12 + 1')} || '-' || {_two('n % 9 + 1')}
+            ELSE '2027-' || {_two('n % 12 + 1')} || '-' || {_two('n % 28 + 1')} END AS deadline_date,
+       CASE WHEN file_type = 'excel' AND n % 4 = 0 THEN '2 years' END AS warranty,
+       CAST(coalesce(t.c, l.c, 0) AS INTEGER) AS n_items, round(coalesce(t.q, l.q, 0), 2) AS quantity, coalesce(t.f, l.f) AS first_name
+FROM (SELECT p_brand AS doc_id, min({_brand_n}) AS n, CASE WHEN min({_brand_n}) % 2 = 0 THEN 'excel' ELSE 'pdf' END AS file_type FROM part GROUP BY p_brand) d
+LEFT JOIN (SELECT doc_id, count(*) AS c, sum(coalesce(quantity, 0)) AS q, min(item_name) AS f FROM tab_items GROUP BY doc_id) t ON t.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS c, sum(coalesce(quantity, 0)) AS q, min(item_name) AS f FROM line_items_all GROUP BY doc_id) l
+       ON l.doc_id = d.doc_id AND d.file_type = 'pdf' AND t.doc_id IS NULL
+""")
+
+sql("link_records")("""
+SELECT doc_id, rfq_id, CASE WHEN rfq_id IS NOT NULL THEN row_number() OVER (PARTITION BY rfq_id ORDER BY doc_id) - 1 END AS quote_seq,
+       CASE WHEN rfq_id IS NOT NULL THEN '70% advance' END AS last_terms
+FROM (SELECT s_suppkey + v * 1099511627776 AS doc_id, CASE WHEN s_nationkey % 3 <> 2 THEN s_nationkey END AS rfq_id
+      FROM supplier, (VALUES (0), (1)) t(v))
+""")

@@ -188,3 +188,34 @@ def table_cells(spark: SparkSession, d: str) -> DataFrame:
     heads = heads.select("doc_id", "table_no", "row_no", (F.col("pos") + 1).alias("col_no"),
                          F.col("col").alias("value"))
     return heads.unionByName(data)
+
+
+def whole_documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_text, doc_cells): one document per brand, over every part. Even
+    brands are workbooks with a field/value sheet beside their tables, odd
+    ones PDF texts with the priced lines; both have the tables of
+    ``table_cells``. Deadlines are ISO, and in the sheet a later d/m/y row."""
+    n = brand_number("doc_id")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    iso = F.concat(F.lit("2026-"), two(n % 12 + 1), F.lit("-"), two(n % 9 + 1))
+    dmy = F.concat(two(n % 28 + 1), F.lit("/"), two(n % 12 + 1), F.lit("/2027"))
+    maker = F.concat(F.lit("Maker "), n.cast("string"))
+    lines = item_lines(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    body = F.array_join(F.transform("l", lambda x: x["line"]), NL)
+    text = lines.select(
+        "doc_id", F.when(n % 2 == 0, F.lit("excel")).otherwise(F.lit("pdf")).alias("file_type"),
+        F.concat_ws(NL, F.concat(F.lit("Supplier: "), maker), F.concat(F.lit("Deadline: "), iso), body).alias("raw_text"))
+    rows = [(F.lit("Field"), F.lit("Value")), (F.lit("Supplier"), maker), (F.lit("Deadline"), iso),
+            (F.lit("Closing Date"), F.lit("soon")), (F.lit("Deadline"), dmy), (F.lit("Warranty"), F.when(n % 4 == 0, F.lit("2 years")))]
+    sheet = text.filter("file_type = 'excel'").select("doc_id", F.posexplode(F.array(*[F.array(a, v) for a, v in rows])).alias("row_no", "r"))
+    sheet = sheet.select("doc_id", F.lit(9).alias("table_no"), F.col("row_no").cast("long").alias("row_no"), F.posexplode("r").alias("c", "value")).select(
+        "doc_id", "table_no", "row_no", (F.col("c") + 1).alias("col_no"), "value").filter("value IS NOT NULL")
+    return text, table_cells(spark, d).unionByName(sheet)
+
+
+def versioned_records(spark: SparkSession, d: str) -> DataFrame:
+    """Extraction inputs with two quotations per supplier: (doc_id, file_type, raw_text), the second with other terms."""
+    kv = kv_documents(spark, d)
+    later = kv.select((F.col("doc_id") + F.lit(1 << 40)).alias("doc_id"), "file_type",
+                      F.concat("raw_text", F.lit(NL + "Payment Terms: 70% advance")).alias("raw_text"))
+    return kv.unionByName(later)

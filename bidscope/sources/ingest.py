@@ -3,9 +3,10 @@ Word files into long cell / text tables, assemble extracted PDF pages.
 
 Bytes are read by Spark's ``binaryFile`` source; decoding runs per file in
 ``mapInPandas`` with the standard library (zip + XML), so files are decoded
-in parallel on the executors. A file type without a decoder (legacy .xls /
-.doc binaries, or anything unsupported) goes to a quarantine output instead
-of failing the job.
+in parallel on the executors, and a file's rows leave the task before the
+next one is read. Every landed file ends in exactly one place: decoded,
+covered by given PDF pages, or in quarantine with a reason (no decoder for
+the type, or broken content).
 """
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ import io
 import posixpath
 import re
 import zipfile
+from datetime import datetime, time, timedelta
 from typing import Iterator
 from xml.etree import ElementTree as ET
 
@@ -57,18 +59,45 @@ def default_supplier(supplier, path) -> Column:
     return F.when(s.isNull() | (s == ""), file_stem(path)).otherwise(s)
 
 
-def land(spark: SparkSession, glob: str) -> DataFrame:
-    """Uploaded files; a name stored again replaces the older copy (newest
-    modification time wins per file name)."""
-    raw = spark.read.format("binaryFile").load(glob)
-    w = Window.partitionBy("name").orderBy(F.col("modificationTime").desc(), F.col("path").desc())
-    return (raw.withColumn("name", base_name("path"))
-               .withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-               .withColumn("file_type", classify("path")))
-
-
-def quarantine(files: DataFrame) -> DataFrame:
-    return files.filter(F.col("file_type").isNull() | file_suffix("path").isin(".xls", ".doc"))
+def folder(path) -> Column:
+    return F.regexp_extract(col_(path), r"^(.*)[/\\\\][^/\\\\]*$", 1)
+
+
+def land(spark: SparkSession, glob: str, unit: Column | None = None) -> DataFrame:
+    """Uploaded files. A name stored again in the same ``unit`` (default: the
+    folder) replaces the older copy: the newest modification time wins.
+    Winners are picked on path and time alone; then the bytes of these files
+    are read, once, and never shuffled. The picked paths pass through the
+    driver, as Spark's file listing does anyway."""
+    key = unit if unit is not None else folder("path")
+    listed = spark.read.format("binaryFile").load(glob).select("path", "modificationTime")
+    newest = listed.groupBy(key.alias("unit"), base_name("path").alias("name")).agg(
+        F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
+    paths = [r["path"] for r in newest.select("path").toLocalIterator()]
+    if not paths:
+        raw = spark.read.format("binaryFile").load(glob)
+    else:
+        raw = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths])
+    return raw.withColumn("name", base_name("path")).withColumn("file_type", classify("path"))
+
+
+def quarantine(files: DataFrame, decoded: DataFrame | None = None, broken: DataFrame | None = None,
+               pages: DataFrame | None = None) -> DataFrame:
+    """Files that nothing else covers, with a ``reason``. ``decoded(doc_id)``
+    and ``pages(doc_id)`` cover files; ``broken(doc_id, error)`` names those
+    whose decoding failed."""
+    sfx = file_suffix("path")
+    none = F.lit(None).cast("string")
+    out = files.withColumn("reason", F.when(F.col("file_type").isNull(), F.lit("unsupported type"))
+                           .when(sfx.isin(".xls", ".doc"), F.lit("legacy binary: no decoder"))
+                           .when(sfx == ".pdf", F.lit("no extracted pages")).otherwise(none))
+    if broken is not None:
+        out = (out.join(broken.select(F.col("doc_id").alias("path"), "error"), "path", "left")
+               .withColumn("reason", F.coalesce("reason", F.concat(F.lit("broken: "), F.col("error")))).drop("error"))
+    for covered in (decoded, pages):
+        if covered is not None:
+            out = out.join(covered.select(F.col("doc_id").alias("path")).distinct(), "path", "left_anti")
+    return out.filter(F.col("reason").isNotNull())
 
 
 # ---- workbook (.xlsx) ------------------------------------------------------
@@ -86,127 +115,178 @@ def _col_index(ref: str) -> int:
     return n
 
 
+# Built-in number formats that show a date or time.
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Cell style numbers whose number format shows a date."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    own = {}
+    for f in root.iter(f"{{{_NS['m']}}}numFmt"):
+        code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode") or "")
+        own[int(f.get("numFmtId"))] = bool(re.search(r"[dmyhs]", code.lower())) and "general" not in code.lower()
+    xfs = root.find("m:cellXfs", _NS)
+    ids = [int(x.get("numFmtId") or 0) for x in (xfs if xfs is not None else [])]
+    return {i for i, n in enumerate(ids) if own.get(n, n in _DATE_FORMATS)}
+
+
+def _date_text(serial: str, from_1904: bool) -> str:
+    """Day (and time, if any) of a serial number; other text stays."""
+    try:
+        days = float(serial)
+        start = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30)
+        at = start + timedelta(days=int(days), seconds=round((days - int(days)) * 86400))
+    except (ValueError, OverflowError):
+        return serial
+    return str(at.date()) if at.time() == time() else str(at)
+
+
 def _xlsx_cells(data: bytes):
-    """Yield (sheet_no, sheet_name, row, col, text) for every non-empty cell."""
+    """Yield (sheet_no, sheet_name, row, col, text) for every non-empty cell.
+    Dates are ISO text, booleans True / False; a cell without a place follows
+    the one before it."""
     z = zipfile.ZipFile(io.BytesIO(data))
+    tag = f"{{{_NS['m']}}}"
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
         for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-            shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
+            shared.append("".join(t.text or "" for t in si.iter(f"{tag}t")))
+    dates = _date_styles(z)
     rels = {r.get("Id"): r.get("Target") for r in
             ET.fromstring(z.read("xl/_rels/workbook.xml.rels")).findall("rel:Relationship", _NS)}
     wb = ET.fromstring(z.read("xl/workbook.xml"))
+    props = wb.find("m:workbookPr", _NS)
+    from_1904 = props is not None and props.get("date1904") in ("1", "true")
     for sheet_no, sh in enumerate(wb.find("m:sheets", _NS).findall("m:sheet", _NS)):
         target = rels[sh.get(f"{{{_NS['r']}}}id")].lstrip("/")
         target = target if target.startswith("xl/") else posixpath.join("xl", target)
-        root = ET.fromstring(z.read(target))
-        for c in root.iter(f"{{{_NS['m']}}}c"):
-            ref, t = c.get("r"), c.get("t")
-            if t == "inlineStr":
-                text = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
-            else:
-                v = c.find("m:v", _NS)
-                if v is None or v.text is None:
-                    continue
-                text = shared[int(v.text)] if t == "s" else v.text
-            row = int(re.search(r"\d+", ref).group(0))
-            yield sheet_no, sh.get("name"), row, _col_index(ref), text
-
-
-CELL_SCHEMA = "doc_id string, table_no int, sheet string, row_no long, col_no int, value string"
+        row = 0
+        for r in ET.fromstring(z.read(target)).iter(f"{tag}row"):
+            row = int(r.get("r") or row + 1)
+            col = 0
+            for c in r.findall("m:c", _NS):
+                ref, t = c.get("r"), c.get("t")
+                col = _col_index(ref) if ref else col + 1
+                if t == "inlineStr":
+                    text = "".join(x.text or "" for x in c.iter(f"{tag}t"))
+                else:
+                    v = c.find("m:v", _NS)
+                    if v is None or v.text is None:
+                        continue
+                    text = v.text
+                    if t == "s":
+                        text = shared[int(text)]
+                    elif t == "b":
+                        text = "True" if text in ("1", "true") else "False"
+                    elif t in (None, "n") and int(c.get("s") or 0) in dates:
+                        text = _date_text(text, from_1904)
+                yield sheet_no, sh.get("name"), row, col, text
+
+
+CELL_SCHEMA = "doc_id string, table_no int, sheet string, row_no long, col_no int, value string, error string"
+_CELL_COLUMNS = ["doc_id", "table_no", "sheet", "row_no", "col_no", "value", "error"]
 
 
 def _decode_xlsx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One frame per file: its cells, or one row with the error that broke it."""
     for b in batches:
-        rows = []
         for path, content in zip(b["path"], b["content"]):
             try:
-                for sn, name, r, c, v in _xlsx_cells(bytes(content)):
-                    rows.append((path, sn, name, r, c, v))
-            except (zipfile.BadZipFile, KeyError, ET.ParseError):
-                continue
-        yield pd.DataFrame(rows, columns=["doc_id", "table_no", "sheet", "row_no", "col_no", "value"])
+                rows = [(path, sn, name, r, c, v, None) for sn, name, r, c, v in _xlsx_cells(bytes(content))]
+            except Exception as x:  # whatever malformed content raises, the file goes to quarantine
+                rows = [(path, None, None, None, None, None, f"{type(x).__name__}: {x}")]
+            yield pd.DataFrame(rows, columns=_CELL_COLUMNS).astype({"table_no": "Int32", "row_no": "Int64", "col_no": "Int32"})
 
 
 def workbook_cells(files: DataFrame) -> DataFrame:
     """Raw sheet cells of .xlsx/.xlsm files (1-based sheet rows)."""
     ship_package(files.sparkSession)
     x = files.filter(file_suffix("path").isin(".xlsx", ".xlsm")).select("path", "content")
-    return x.mapInPandas(_decode_xlsx, CELL_SCHEMA)
+    return x.mapInPandas(_decode_xlsx, CELL_SCHEMA).filter("error IS NULL").drop("error")
 
 
 def sheet_table(cells: DataFrame) -> DataFrame:
-    """Sheet -> table: drop all-empty rows, then all-empty columns, promote
-    the first remaining row to the (stripped) header row 0, renumber rows
-    1..n; empty means NULL or the empty string (whitespace counts as a value,
-    as in a data-frame reader)."""
+    """Sheet -> table: drop all-empty rows; the first remaining row is the
+    header (stripped), row 0; drop columns without data below it; number the
+    data rows 1..n. A data column without a header cell is named
+    ``Unnamed: <position from 0>``. Empty means NULL or the empty string
+    (whitespace counts as a value, as in a data-frame reader)."""
     keys = ["doc_id", "table_no"]
     filled = cells.filter(F.col("value").isNotNull() & (F.col("value") != ""))
     rows = filled.select(*keys, "row_no").distinct()
-    cols = filled.select(*keys, "col_no").distinct()
-    kept = cells.join(rows, keys + ["row_no"], "left_semi").join(cols, keys + ["col_no"], "left_semi")
-    first = rows.groupBy(*keys).agg(F.min("row_no").alias("_h"))
-    k = kept.join(first, keys)
+    head = rows.groupBy(*keys).agg(F.min("row_no").alias("_h"))
+    cols = (filled.join(head, keys).filter(F.col("row_no") > F.col("_h"))
+            .select(*keys, "col_no").distinct())
+    kept = cells.join(rows, keys + ["row_no"], "left_semi").join(cols, keys + ["col_no"], "left_semi").join(head, keys)
     dr = F.dense_rank().over(Window.partitionBy(*keys).orderBy("row_no"))
-    k = k.withColumn("row_no", (dr - 1).cast("long"))
-    return k.withColumn("value", F.when(F.col("row_no") == 0, strip("value"))
-                        .otherwise(F.col("value"))).drop("_h")
+    data = kept.filter(F.col("row_no") > F.col("_h")).withColumn("row_no", dr.cast("long")).drop("_h")
+    titles = kept.filter(F.col("row_no") == F.col("_h")).select(*keys, "col_no", strip("value").alias("title"))
+    names = (data.groupBy(*keys, "col_no").agg(F.first("sheet").alias("sheet")) if "sheet" in cells.columns
+             else data.select(*keys, "col_no").distinct())
+    header = names.join(titles, keys + ["col_no"], "left").withColumn(
+        "value", F.when(F.coalesce(F.col("title"), F.lit("")) == "", F.concat(F.lit("Unnamed: "), (F.col("col_no") - 1).cast("string")))
+        .otherwise(F.col("title"))).drop("title").withColumn("row_no", F.lit(0).cast("long"))
+    return data.unionByName(header.select(*data.columns))
 
 
 # ---- Word (.docx) ------------------------------------------------------------
 
 def _docx_parts(data: bytes):
-    """(paragraph texts, tables as rows of cell texts) in body order."""
-    root = ET.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml"))
-    w = _NS["w"]
-    body = root.find(f"{{{w}}}body")
+    """(paragraph texts, tables as rows of cell texts) in body order. Breaks
+    are line breaks, tabs are tabs; a cell that spans columns or rows is
+    repeated in each."""
+    w = f"{{{_NS['w']}}}"
+    body = ET.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).find(f"{w}body")
+    inline = {f"{w}br": "\n", f"{w}cr": "\n", f"{w}tab": "\t", f"{w}noBreakHyphen": "-"}
 
     def ptext(p):
-        return "".join(t.text or "" for t in p.iter(f"{{{w}}}t"))
+        return "".join((x.text or "") if x.tag == f"{w}t" else inline.get(x.tag, "") for run in p.iter(f"{w}r") for x in run)
+
+    def prop(cell, name):
+        found = cell.find(f"{w}tcPr/{w}{name}")
+        return None if found is None else found.get(f"{w}val") or "continue"
+
+    def rows(table):
+        above: list[str] = []
+        for tr in table.findall(f"{w}tr"):
+            row: list[str] = []
+            for tc in tr.findall(f"{w}tc"):
+                text = "\n".join(ptext(p) for p in tc.findall(f"{w}p")).strip()
+                if prop(tc, "vMerge") == "continue" and len(row) < len(above):
+                    text = above[len(row)]
+                row += [text] * int(prop(tc, "gridSpan") or 1)
+            above = row
+            yield row
+
     paras, tables = [], []
     for el in body:
-        if el.tag == f"{{{w}}}p":
+        if el.tag == f"{w}p":
             paras.append(ptext(el))
-        elif el.tag == f"{{{w}}}tbl":
-            tables.append([["\n".join(ptext(p) for p in tc.findall(f"{{{w}}}p")).strip()
-                            for tc in tr.findall(f"{{{w}}}tc")]
-                           for tr in el.findall(f"{{{w}}}tr")])
+        elif el.tag == f"{w}tbl":
+            tables.append(list(rows(el)))
     return paras, tables
 
 
+WORD_SCHEMA = "kind string, doc_id string, raw_text string, table_no int, row_no long, col_no int, value string, error string"
+
+
 def _decode_docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One frame per file: its text and table cells, or one row with the error that broke it."""
     for b in batches:
-        texts, cells = [], []
         for path, name, content in zip(b["path"], b["name"], b["content"]):
             try:
                 paras, tables = _docx_parts(bytes(content))
-            except (zipfile.BadZipFile, KeyError, ET.ParseError):
-                continue
-            chunks = [f"Word file: {name}"] + [p for p in paras if p.strip()]
-            for ti, t in enumerate(tables):
-                chunks.append(f"\n[Table {ti + 1}]\n" + "\n".join(" | ".join(r) for r in t))
-                for ri, r in enumerate(t):
-                    for ci, v in enumerate(r):
-                        cells.append((path, ti, None, ri, ci + 1, v))
-            texts.append((path, "\n".join(chunks)))
-        yield pd.DataFrame({"kind": ["text"] * len(texts) + ["cell"] * len(cells),
-                            "doc_id": [t[0] for t in texts] + [c[0] for c in cells],
-                            "raw_text": [t[1] for t in texts] + [None] * len(cells),
-                            "table_no": [None] * len(texts) + [c[1] for c in cells],
-                            "row_no": [None] * len(texts) + [c[3] for c in cells],
-                            "col_no": [None] * len(texts) + [c[4] for c in cells],
-                            "value": [None] * len(texts) + [c[5] for c in cells]})
-
-
-def word_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(.docx text rows ``(doc_id, file_type, raw_text)``, table cells)."""
-    ship_package(files.sparkSession)
-    x = files.filter(file_suffix("path") == ".docx").select("path", "name", "content")
-    out = x.mapInPandas(_decode_docx, "kind string, doc_id string, raw_text string, table_no int, "
-                                      "row_no long, col_no int, value string")
-    text = out.filter("kind = 'text'").select("doc_id", F.lit("docx").alias("file_type"), "raw_text")
-    cells = out.filter("kind = 'cell'").select("doc_id", "table_no", "row_no", "col_no", "value")
-    return text, cells
+                chunks = [f"Word file: {name}"] + [p for p in paras if p.strip()]
+                chunks += [f"\n[Table {i + 1}]\n" + "\n".join(" | ".join(r) for r in t) for i, t in enumerate(tables)]
+                rows = [("text", path, "\n".join(chunks), None, None, None, None, None)]
+                rows += [("cell", path, None, ti, ri, ci + 1, v, None) for ti, t in enumerate(tables) for ri, r in enumerate(t) for ci, v in enumerate(r)]
+            except Exception as x:  # whatever malformed content raises, the file goes to quarantine
+                rows = [("error", path, None, None, None, None, None, f"{type(x).__name__}: {x}")]
+            yield pd.DataFrame(rows, columns=["kind", "doc_id", "raw_text", "table_no", "row_no", "col_no", "value", "error"]).astype(
+                {"table_no": "Int32", "row_no": "Int64", "col_no": "Int32"})
 
 
 # ---- PDF pages ------------------------------------------------------------------
@@ -232,8 +312,12 @@ def assemble_pages(pages: DataFrame, name_col: str = "name") -> DataFrame:
                                F.array_join(F.transform("_p", lambda s: s["p"]), "\n")).alias("raw_text"))
 
 
-def rows_to_dataframe(spark: SparkSession, rows: list[dict], schema=None) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def page_cells(pages: DataFrame) -> DataFrame:
+    """The tables of extracted pages as ``doc_cells`` (tables in page order)."""
+    t = pages.filter(F.col("tables").isNotNull()).select("doc_id", "page_no", F.posexplode("tables").alias("t", "rows"))
+    r = t.select("doc_id", (F.col("page_no") * 10000 + F.col("t")).cast("int").alias("table_no"), F.posexplode("rows").alias("row_no", "row"))
+    return r.select("doc_id", "table_no", F.col("row_no").cast("long").alias("row_no"), F.posexplode("row").alias("c", "value")).select(
+        "doc_id", "table_no", "row_no", (F.col("c") + 1).cast("int").alias("col_no"), "value")
 
 
 def sheet_text(cells: DataFrame, files: DataFrame) -> DataFrame:
@@ -256,11 +340,13 @@ def sheet_text(cells: DataFrame, files: DataFrame) -> DataFrame:
                  F.array_join(F.transform("_s", lambda s: s["t"]), "\n")).alias("raw_text"))
 
 
-def decode_files(files: DataFrame, out_dir: str, xlsx_decoder=None,
-                 docx_decoder=None) -> tuple[DataFrame, DataFrame]:
+def decode_files(files: DataFrame, out_dir: str, xlsx_decoder=None, docx_decoder=None,
+                 pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Decode landed files once and store the result as parquet tables
-    ``doc_text(doc_id, file_type, raw_text)`` and ``doc_cells(doc_id,
-    table_no, row_no, col_no, value)`` under ``out_dir``.
+    ``doc_text(doc_id, file_type, raw_text)``, ``doc_cells(doc_id, table_no,
+    row_no, col_no, value)`` and ``quarantine(doc_id, name, reason)`` under
+    ``out_dir``. ``pages`` (see ``assemble_pages``) gives the text and tables
+    of PDF files.
 
     The written tables cut the lineage: the many later reads of the cells
     (routing, header maps, items) scan the stored table instead of
@@ -273,18 +359,25 @@ def decode_files(files: DataFrame, out_dir: str, xlsx_decoder=None,
     ship_package(spark)
     out = out_dir.rstrip("/")
     xl = files.filter(file_suffix("path").isin(".xlsx", ".xlsm")).select("path", "content")
-    xl.mapInPandas(xlsx_decoder or _decode_xlsx, CELL_SCHEMA).write.mode("overwrite").parquet(
-        f"{out}/sheet_cells")
-    raw = spark.read.parquet(f"{out}/sheet_cells")
+    xl.mapInPandas(xlsx_decoder or _decode_xlsx, CELL_SCHEMA).write.mode("overwrite").parquet(f"{out}/sheet_cells")
     x = files.filter(file_suffix("path") == ".docx").select("path", "name", "content")
-    (x.mapInPandas(docx_decoder or _decode_docx, "kind string, doc_id string, raw_text string, table_no int, "
-                                 "row_no long, col_no int, value string")
-      .write.mode("overwrite").parquet(f"{out}/word_parts"))
-    w = spark.read.parquet(f"{out}/word_parts")
+    x.mapInPandas(docx_decoder or _decode_docx, WORD_SCHEMA).write.mode("overwrite").parquet(f"{out}/word_parts")
+    sheets, w = spark.read.parquet(f"{out}/sheet_cells"), spark.read.parquet(f"{out}/word_parts")
+    raw = sheets.filter("error IS NULL").drop("error")
+    columns = ["doc_id", "table_no", "row_no", "col_no", "value"]
     text = sheet_text(raw, files).unionByName(
         w.filter("kind = 'text'").select("doc_id", F.lit("docx").alias("file_type"), "raw_text"))
-    cells = sheet_table(raw).select("doc_id", "table_no", "row_no", "col_no", "value").unionByName(
-        w.filter("kind = 'cell'").select("doc_id", "table_no", "row_no", "col_no", "value"))
+    cells = sheet_table(raw).select(columns).unionByName(w.filter("kind = 'cell'").select(columns))
+    if pages is not None:
+        text = text.unionByName(assemble_pages(pages))
+        if "tables" in pages.columns:
+            cells = cells.unionByName(page_cells(pages))
     text.write.mode("overwrite").parquet(f"{out}/doc_text")
     cells.write.mode("overwrite").parquet(f"{out}/doc_cells")
-    return spark.read.parquet(f"{out}/doc_text"), spark.read.parquet(f"{out}/doc_cells")
+    stored = spark.read.parquet(f"{out}/doc_text")
+    broken = sheets.filter("error IS NOT NULL").select("doc_id", "error").unionByName(
+        w.filter("kind = 'error'").select("doc_id", "error"))
+    kept = quarantine(files.drop("content"), stored, broken, pages)
+    # a workbook without any cell has no text row: it is decoded, and empty
+    kept.select(F.col("path").alias("doc_id"), "name", "reason").write.mode("overwrite").parquet(f"{out}/quarantine")
+    return stored, spark.read.parquet(f"{out}/doc_cells"), spark.read.parquet(f"{out}/quarantine")

@@ -16,7 +16,7 @@ def demo(spark, tmp_path_factory):
     write_demo(folder)
     store = str(tmp_path_factory.mktemp("store"))
     files = ingest.land(spark, folder + "/*")
-    text, cells = ingest.decode_files(files, store + "/decoded")
+    text, cells, _ = ingest.decode_files(files, store + "/decoded")
     pages = spark.createDataFrame([("mem://Quotation_SwiftTrade.pdf", "Quotation_SwiftTrade.pdf", 0,
                                     "\n".join(C_LINES))],
                                   "doc_id string, name string, page_no int, text string")
@@ -33,12 +33,11 @@ def _by_name(df, col="supplier_name"):
 
 def _tables(spark, recs):
     rfq = recs.filter(F.col("doc_id").contains("RFQ_"))
-    seq = F.when(F.col("doc_id").contains("Bharat"), 0).when(F.col("doc_id").contains("Northline"), 1) \
-           .otherwise(2)
-    quotes = (recs.filter(~F.col("doc_id").contains("RFQ_"))
-              .withColumn("rfq_id", F.lit("R1")).withColumn("quote_seq", seq))
-    q, qi = extract.quote_tables(quotes)
     rfqs = rfq.select(F.lit("R1").alias("rfq_id"), "rfq_ref", "deadline_date")
+    order = F.when(F.col("doc_id").contains("Bharat"), 10).when(F.col("doc_id").contains("Northline"), 20).otherwise(30)
+    quotes, unmatched = extract.link_records(recs.filter(~F.col("doc_id").contains("RFQ_")).withColumn("uploaded", order), rfqs, order="uploaded")
+    assert unmatched.count() == 0 and {r.quote_seq for r in quotes.collect()} == {0, 1, 2}
+    q, qi = extract.quote_tables(quotes)
     rfq_items = extract.explode_items(rfq.withColumn("rfq_id", F.lit("R1")), keys=("rfq_id",))
     return rfqs, rfq_items, q, qi
 

@@ -23,10 +23,13 @@ def test_split_rank_matches_window(spark):
     assert a == b
 
 
-def test_split_rank_no_group_in_one_window_partition(spark):
-    df = spark.range(0, 2000).select(F.lit("x").alias("g"), (F.col("id") % 50).cast("double").alias("v"))
-    out = split_rank(df, ["g"], "v", "r", splits=16)
-    assert out.agg(F.max("r")).collect()[0][0] == 1961
-    # the single group's rows are ranked in several tasks, not one
-    assert out.select(F.spark_partition_id()).distinct().count() > 1
-    assert out.filter("v = 0").select("r").distinct().collect()[0][0] == 1
+def test_tied_value_is_one_row_before_the_window(spark):
+    """One value holds most of a group: its rows meet no window, only its count does."""
+    df = spark.range(0, 20000).select(F.lit("x").alias("g"), F.when(F.col("id") % 10 < 9, 5.0).otherwise((F.col("id") % 50).cast("double")).alias("v"), "id")
+    out = split_rank(df, ["g"], "v", "r", splits=16, extra={"low": F.min("v")})
+    w = Window.partitionBy("g").orderBy("v")
+    assert sorted(out.select("id", "r").collect()) == sorted(df.select("id", F.rank().over(w).alias("r")).collect())
+    assert {r.low for r in out.select("low").distinct().collect()} == {df.agg(F.min("v")).first()[0]}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # every window stands on grouped values
+    assert "Window" in plan and plan.count("Aggregate") >= 3

@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from bidscope.operators.chunking import chunk_recursive
+from bidscope.operators.index_store import add_documents, load_index
 from bidscope.operators.retrieve import embed_texts
 from bidscope.streaming.incremental import DOC_SCHEMA, index_stream, records_stream
 
@@ -24,6 +25,10 @@ def test_index_stream_appends_exactly_once(spark, tmp_path):
     assert n1 < got.count() == want
     assert got.select("doc_id").distinct().count() == 5
     assert "embedding" in got.columns
+    # a batch append goes to the same table
+    index = add_documents(_docs(spark, [77]), embed, idx)
+    assert index.select("doc_id").distinct().count() == 6 and index.filter("chunk_id IS NULL").count() == 0
+    assert load_index(spark, idx).count() == want + chunk_recursive(_docs(spark, [77])).count()
 
 
 def test_records_stream(spark, tmp_path):
