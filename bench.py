@@ -22,6 +22,7 @@ HEADLINE = [
     "missing_items", "gap_analysis", "cash_outlay", "recommendation", "best_supplier",
     "kv_header_fields", "items_from_cells", "line_items_from_text", "infer_currency",
     "chunk_fixed", "chunk_recursive", "similarity_topk", "ask_answer", "gap_email",
+    "price_pivot", "embed_topk", "index_append", "award_email", "records_by_type", "extract_documents", "link_records",
 ]
 
 
