@@ -31,12 +31,6 @@ def strip(c) -> Column:
     return F.btrim(col_(c), F.lit(WHITESPACE))
 
 
-def blank_to_null(c) -> Column:
-    """NULL for NULL, empty, or whitespace-only strings; else the stripped text."""
-    s = strip(c)
-    return F.when(s == "", None).otherwise(s)
-
-
 def is_falsy_str(c) -> Column:
     """Python truthiness for an optional string: None or '' is falsy."""
     c = col_(c)

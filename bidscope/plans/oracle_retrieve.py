@@ -1,7 +1,7 @@
 """SQL oracle statements for the retrieval queries (DuckDB dialect)."""
 from __future__ import annotations
 
-from .oracle_extract import WS, strip
+from .oracle_extract import strip
 from .oracle_sql import cte, sql
 
 sql("chunk_fixed")(f"""
@@ -87,4 +87,3 @@ sql("embed_topk")("""
 SELECT item_id, 6 AS n_hits, '1,2,3,4,5,6' AS ranks, true AS ascending FROM benchmark
 """)
 
-_ = WS

@@ -7,6 +7,7 @@ import os
 import zipfile
 from xml.sax.saxutils import escape
 
+# The demo documents that the golden results belong to.
 RFQ_INFO = [("Field", "Value"), ("RFQ Ref", "RFQ-2026-014"), ("Deadline", "15/09/2026"),
             ("Currency", "INR"), ("Delivery Terms Required", "FOB Delhi, within 20 days"),
             ("Payment Terms Required", "30% advance, balance on delivery")]

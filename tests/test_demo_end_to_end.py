@@ -82,9 +82,11 @@ def test_cheapest_and_pivot(spark, demo):
             ch["Corrugated Packaging Box (L)"].total_price) == (B, 17.9, 89500.0)
     assert (ch["Industrial Sealant Tube"].best_price_supplier, ch["Industrial Sealant Tube"].total_price) == (C, 111200.0)
     assert ch["Pallet Wrap Film"].best_price_supplier == B and ch["Steel Rod 12mm"].best_unit_price == 59.5
-    pv = {r.item_name: r for r in compare.price_pivot(items).collect()}
+    pv = {r.item_name: r for r in compare.price_pivot(items, "supplier_name", [A, B]).collect()}
     assert len(pv) == 4 and pv["Industrial Sealant Tube"][B] is None
-    assert pv["Steel Rod 12mm"][A] == 62.0
+    assert pv["Steel Rod 12mm"][A] == 62.0 and pv["Steel Rod 12mm"].other == 61.0
+    # no priced line is lost: every cell of the long matrix is in a column
+    assert compare.price_matrix(items).count() == sum(x is not None for r in pv.values() for x in (r[A], r[B], r.other))
 
 
 def test_gaps_outlay_recommendation(spark, demo):

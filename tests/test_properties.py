@@ -42,7 +42,7 @@ def test_composite_in_unit_interval(spark):
 
 def test_score_only_path_equals_full_gap_analysis(spark):
     qi = star.quote_items(spark, SF)
-    args = (star.rfq_items(spark, SF), star.quotations(spark, SF, qi), qi)
+    args = (star.rfq_items(spark, SF), star.quotations(spark, SF), qi)
     full = gaps.gap_analysis(star.rfqs(spark, SF), *args, with_lists=True)
     fast = gaps.gap_scores(*args)
     counts = gaps.missing_item_counts(*args)
