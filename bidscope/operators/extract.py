@@ -306,11 +306,9 @@ def extract_with_model(doc_text: DataFrame, model_fn, cells: DataFrame | None =
     a document with a failed call (``None``) takes its heuristic record, and
     its note says so.
     """
-    import uuid
-
     import pandas as pd
 
-    from ..session import shared_dir, ship_package
+    from ..session import scratch, ship_package
 
     def run(batches):
         for b in batches:
@@ -322,7 +320,7 @@ def extract_with_model(doc_text: DataFrame, model_fn, cells: DataFrame | None =
     id_type = dict(doc_text.dtypes)["doc_id"]
     parts = doc_text.select("doc_id", F.coalesce("raw_text", F.lit("")).alias("raw_text")).select(
         "doc_id", F.posexplode(text_parts("raw_text")).alias("part_no", "part"))
-    path = f"{shared_dir(spark)}/model_answers_{uuid.uuid4().hex}"
+    path = scratch(spark, "model_answers")
     schema = f"doc_id {id_type}, part_no int, model_output string"
     parts.mapInPandas(run, schema).write.parquet(path)
     answers = spark.read.schema(schema).parquet(path)

@@ -2,12 +2,10 @@
 file classification, page assembly, model-output coercion."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import drafts, extract, records
-from ..session import shared_dir
+from ..session import scratch
 from ..sources import derived_text as dt
 from ..sources import ingest
 from ..sources import star_adapter as star
@@ -61,7 +59,7 @@ def _record_batch(spark, d):
 
 
 def _written(spark, d):
-    path = f"{shared_dir(spark)}/records_{uuid.uuid4().hex}"
+    path = scratch(spark, "records")
     records.append_records(_record_batch(spark, d), path)
     return path
 

@@ -1,12 +1,10 @@
 """Registered retrieval queries: chunking, exact top-k, answers, index."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import chunking, index_store, retrieve
-from ..session import shared_dir
+from ..session import scratch
 from ..sources.tables import read_table
 from .queries import query
 
@@ -93,7 +91,7 @@ def q_embed_topk(spark, d):
 def q_index_append(spark, d):
     """Build the chunk index from all documents, append the benchmark passages
     as new documents, load it back; reported per kind and document."""
-    path = f"{shared_dir(spark)}/chunk_index_{uuid.uuid4().hex}"
+    path = scratch(spark, "chunk_index")
     docs = _docs(spark, d)
     embed = retrieve.letter_profile("text")
     index_store.build_index(docs, embed, path)

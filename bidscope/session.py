@@ -5,8 +5,10 @@ settings that are already present.
 """
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -68,6 +70,26 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+_SCRATCH: dict[str, SparkSession] = {}
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder name under the shared folder, for tables that a query
+    writes and reads back; removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{tag}_{uuid.uuid4().hex}"
+    _SCRATCH[path] = spark
+    return path
+
+
+@atexit.register
+def _remove_scratch() -> None:
+    for path, spark in _SCRATCH.items():
+        sc = spark.sparkContext
+        if sc._jsc is not None:  # the session is still there
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _SHIPPED: set[str] = set()
 
 
