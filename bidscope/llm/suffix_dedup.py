@@ -5,14 +5,17 @@ A byte goes if a string of ``length`` bytes covers it that also starts earlier
 need sorting by their first ``length`` bytes only. Steps:
 
 1. Sample the starts whose offset modulo ``v`` is in a difference cover D.
-   Name each by its first ``length - v + 1`` bytes, taken as a triple of
-   words; sort the names. For two equal strings at any offsets there is one
-   shift below ``v`` at which both are sampled, and there their names agree.
-   So a name that occurs once leads to no repeat and is dropped: the next
-   step only has the rest (survivors).
-2. Merge the remaining suffixes: every start at most ``v - 1`` bytes before a
-   survivor gets a name for its whole ``length`` bytes; sort those.
-3. Compare neighbours: of equal names the earliest start stays, all others
+   Name each by its first ``length - v + 1`` bytes; sort the names. For two
+   equal strings at any offsets there is one shift below ``v`` at which both
+   are sampled, and there their names agree. So a name that occurs once leads
+   to no repeat and is dropped: the next steps only have starts at most
+   ``v - 1`` bytes before the others (survivors).
+2. Recurse on longer names: a sampled start's name of ``length + v - 1`` bytes
+   that also occurs earlier settles the ``v`` starts from there on at once.
+   First the survivors, then what is still open under a finer cover.
+3. Merge the remaining suffixes: every start that is still open gets a name
+   for its ``length`` bytes; sort those.
+4. Compare neighbours: of equal names the earliest start stays, all others
    mark their bytes.
 
 Names are hashes instead of ranks, as only equality is asked: 64 bits and the
@@ -32,7 +35,6 @@ before all others; an empty table gives an empty result.
 """
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -51,12 +53,20 @@ _FACTORS = (np.uint64(0x9E3779B97F4A7C15 | 3), np.uint64(0xD1342543DE82EF97 | 3)
 _NULL_ID = -(1 << 63)
 
 
-def difference_cover(length: int) -> tuple[int, frozenset[int]]:
-    """(v, D): every residue is a difference of two elements of D. Powers of 2 modulo 73 and 7 are perfect covers."""
-    v = 73 if length >= 97 else 7
+def cover(v: int) -> frozenset[int]:
+    """A perfect difference cover: every residue but 0 is one difference of two elements."""
+    if v == 1:
+        return frozenset([0])
+    if v == 13:
+        return frozenset([0, *(pow(3, k, 13) for k in range(3))])
+    return frozenset(pow(2, k, v) for k in range({7: 3, 73: 9}[v]))
+
+
+def levels(length: int) -> tuple[int, ...]:
+    """Periods of the covers, coarse to fine; the first is that of the sample."""
     if length < 12:
         raise ValueError("strings of at least 12 bytes are needed")
-    return v, frozenset(pow(2, k, v) for k in range(9 if v == 73 else 3))
+    return (73, 13, 1) if length >= 97 else (7, 1)
 
 
 def _powers(factor: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,31 +111,50 @@ class Texts:
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
         self.buffer = np.frombuffer(b"".join(raw), dtype=np.uint8)
 
-    def sampled(self, length: int, v: int, cover: frozenset[int]) -> tuple[np.ndarray, np.ndarray]:
-        """(document, start in the buffer) of sampled starts with room for a sample name."""
-        room = self.sizes - (length - v)
-        ok = np.flatnonzero((self.sizes >= length) & (room > 0))
-        period = np.array(sorted(cover), dtype=np.int64)
-        rounds = -(-room[ok] // v)
-        doc = np.repeat(ok, rounds * len(period))
-        k = np.arange(len(doc)) - np.repeat(np.cumsum(rounds * len(period)) - rounds * len(period), rounds * len(period))
+    def sampled(self, length: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+        """(document, start in the buffer) of the starts in the cover with ``length`` bytes of room."""
+        room = np.maximum(self.sizes - length + 1, 0)
+        period = np.array(sorted(cover(v)), dtype=np.int64)
+        count = -(-room // v) * len(period)
+        doc = np.repeat(np.arange(len(room)), count)
+        k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         offset = k // len(period) * v + period[k % len(period)]
         fits = offset < room[doc]
         return doc[fits], (self.first[doc] + offset)[fits]
 
-    def candidates(self, near: list[np.ndarray | None], length: int, v: int) -> tuple[np.ndarray, np.ndarray]:
-        """(document, start in the buffer) of all starts at most ``v - 1`` before a survivor."""
+    def spread(self, places: list[np.ndarray | None], before: int, after: int, length: int) -> np.ndarray:
+        """Which starts with ``length`` bytes of room are from ``before`` bytes before to ``after`` bytes after a place."""
         change = np.zeros(len(self.buffer) + 1, dtype=np.int32)
-        last = self.first[:-1] + self.sizes - length
-        for d, offsets in enumerate(near):
+        for d, offsets in enumerate(places):
             if offsets is not None and len(offsets) and self.sizes[d] >= length:
-                low = self.first[d] + np.maximum(offsets - (v - 1), 0)
-                high = np.minimum(self.first[d] + offsets, last[d]) + 1
+                low = self.first[d] + np.maximum(offsets - before, 0)
+                high = self.first[d] + np.minimum(offsets + after, self.sizes[d] - length) + 1
                 some = low < high
                 np.add.at(change, low[some], 1)
                 np.add.at(change, high[some], -1)
-        at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-        return np.searchsorted(self.first, at, "right") - 1, at
+        return np.cumsum(change[:-1]) > 0
+
+    def named_at(self, survivors: list, marks: dict[int, list], length: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+        """(document, start in the buffer) of this level's names."""
+        first = levels(length)[0]
+        near = self.spread(survivors, first - 1, 0, length)
+        open_ = near.copy()
+        for w, places in marks.items():
+            open_ &= ~self.spread(places, 0, w - 1, length)
+        if v == 1:
+            at = np.flatnonzero(open_)
+            return np.searchsorted(self.first, at, "right") - 1, at
+        if v == first:
+            own = [(d, x) for d, x in enumerate(survivors) if x is not None]
+            doc = np.repeat([d for d, _ in own], [len(x) for _, x in own]).astype(np.int64)
+            at = self.first[doc] + (np.concatenate([x for _, x in own]) if own else np.zeros(0, dtype=np.int64))
+            ok = at + length + v - 1 <= self.first[doc] + self.sizes[doc]
+            doc, at = doc[ok], at[ok]
+        else:
+            doc, at = self.sampled(length + v - 1, v)
+        total, left = np.concatenate([[0], np.cumsum(near)]), np.concatenate([[0], np.cumsum(open_)])
+        ok = (total[at + v] - total[at] == v) & (left[at + v] > left[at])  # all starts near survivors, some still open
+        return doc[ok], at[ok]
 
 
 def pack_places(refs: np.ndarray, ids: np.ndarray, doc: np.ndarray, offset: np.ndarray) -> bytes:
@@ -285,14 +314,14 @@ def _settled_bucket(blocks: list[tuple[bytes, bytes]], keep_all: bool, wide: boo
     return out
 
 
-def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[Texts]:
+def _blocks(batches: Iterator[pd.DataFrame], size: int, packed: bool = False) -> Iterator[Texts]:
     """Documents in blocks of about ``size`` bytes, ascending by (id, ref) within a block, each once."""
     held: dict[tuple[int, int], bytes] = {}
     total = 0
     for b in batches:
         for i, r, t in zip(b["id"], b["ref"], b["text"]):
             if (i, r) not in held:
-                held[(i, r)] = raw = t.encode("utf-8", "surrogatepass")
+                held[(i, r)] = raw = _whole(t) if packed else t.encode("utf-8", "surrogatepass")
                 total += len(raw)
             if total >= size:
                 yield _texts(held)
@@ -307,55 +336,70 @@ def _texts(held: dict[tuple[int, int], bytes]) -> Texts:
 
 
 def _sample(length: int, buckets: int, size: int, wide: bool):
-    v, cover = difference_cover(length)
+    v = levels(length)[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for n, texts in enumerate(_blocks(batches, size)):
-            doc, at = texts.sampled(length, v, cover)
-            if len(at):
-                yield _emit(texts, doc, at, length - v + 1, buckets, True, wide, n)
+            doc, at = texts.sampled(length - v + 1, v)
+            ok = texts.sizes[doc] >= length
+            if ok.any():
+                yield _emit(texts, doc[ok], at[ok], length - v + 1, buckets, True, wide, n)
     return run
 
 
-def _side(places: list[bytes]) -> dict[int, np.ndarray]:
-    """Offsets of each document (by ref), sorted."""
-    found: dict[int, list[np.ndarray]] = {}
-    for p in places:
+def _side(places: list[tuple[int, bytes]]) -> dict[int, dict[int, np.ndarray]]:
+    """By level, then by ref: sorted offsets (level 0: survivors)."""
+    found: dict[int, dict[int, list[np.ndarray]]] = {}
+    for level, p in places:
         refs, _, doc, offset = unpack_places(p)
         edge = np.searchsorted(doc, np.arange(len(refs) + 1))
+        own = found.setdefault(level, {})
         for k, r in enumerate(refs.tolist()):
-            found.setdefault(r, []).append(offset[edge[k]:edge[k + 1]])
-    return {r: np.unique(np.concatenate(x)) for r, x in found.items()}
+            own.setdefault(r, []).append(offset[edge[k]:edge[k + 1]])
+    return {level: {r: np.unique(np.concatenate(x)) for r, x in own.items()} for level, own in found.items()}
 
 
-def _with_side(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[dict[int, np.ndarray], pd.DataFrame]]:
-    """Of sorted batches, the groups' places first: (places by ref, rows with texts)."""
-    places: list[bytes] = []
-    side: dict[int, np.ndarray] | None = None
+def _with_side(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[dict[int, dict[int, np.ndarray]], pd.DataFrame]]:
+    """Of sorted batches, the groups' places first: (places by level and ref, rows with texts)."""
+    places: list[tuple[int, bytes]] = []
+    side: dict[int, dict[int, np.ndarray]] | None = None
     for b in batches:
         is_text = b["text"].notna()
-        places += list(b.loc[~is_text, "places"])
+        places += list(zip(b.loc[~is_text, "level"], b.loc[~is_text, "places"]))
         if is_text.any():
             if side is None:
-                side = _side(places)
+                side, places = _side(places), []
             yield side, b[is_text]
 
 
-def _merge(length: int, buckets: int, size: int, wide: bool):
-    v, _ = difference_cover(length)
+def _compressed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import zstandard
+
+    small = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        yield b.assign(text=[small(t.encode("utf-8", "surrogatepass")) for t in b["text"]])
+
+
+def _whole(packed: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(packed)
+
 
+def _merge(length: int, v: int, buckets: int, size: int, wide: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near: dict[int, np.ndarray] = {}
+        by_level: dict[int, dict[int, np.ndarray]] = {}
 
         def texts() -> Iterator[pd.DataFrame]:
             for side, b in _with_side(batches):
-                near.update(side)
-                yield b[[r in side for r in b["ref"]]]
+                by_level.update(side)
+                yield b[b["ref"].isin(list(side.get(0, {})))]
 
-        for n, block in enumerate(_blocks(texts(), size)):
-            doc, at = block.candidates([near.get(r) for r in block.refs.tolist()], length, v)
+        for n, block in enumerate(_blocks(texts(), size, True)):
+            own = {level: [x.get(r) for r in block.refs.tolist()] for level, x in by_level.items()}
+            doc, at = block.named_at(own.pop(0), own, length, v)
             if len(at):
-                yield _emit(block, doc, at, length, buckets, False, wide, n)
+                yield _emit(block, doc, at, length + v - 1, buckets, False, wide, n)
     return run
 
 
@@ -364,9 +408,8 @@ def _cut(length: int):
         for side, b in _with_side(batches):
             out = []
             for d, r, t in zip(b["id"], b["ref"], b["text"]):
-                raw = t.encode("utf-8", "surrogatepass")
-                starts = side.get(r)
-                spans = spans_of(starts, length) if starts is not None else []
+                raw = _whole(t)
+                spans = spans_of([(x[r], v + length - 1) for v, x in side.items() if r in x])
                 kept, at = [], 0
                 for x, y in spans:
                     kept.append(raw[at:x])
@@ -377,19 +420,16 @@ def _cut(length: int):
     return run
 
 
-def spans_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by strings at sorted ``starts``."""
-    if not len(starts):
+def spans_of(places: list[tuple[np.ndarray, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of bytes covered by strings of a size at sorted starts, over all (starts, size)."""
+    if not places:
         return []
-    edge = np.flatnonzero(np.diff(starts) > length)
-    low, high = starts[np.append(0, edge + 1)], starts[np.append(edge, len(starts) - 1)] + length
-    return list(zip(low.tolist(), high.tolist()))
-
-
-def _release(spark) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished steps now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    low = np.concatenate([s for s, _ in places])
+    high = np.concatenate([s + n for s, n in places])
+    order = np.argsort(low, kind="stable")
+    low, reach = low[order], np.maximum.accumulate(high[order])
+    edge = np.flatnonzero(low[1:] > reach[:-1])
+    return list(zip(low[np.append(0, edge + 1)].tolist(), reach[np.append(edge, len(low) - 1)].tolist()))
 
 
 def repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 100,
@@ -404,21 +444,25 @@ def repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     groups = max(least, total // (64 << 20))
     packed, placed = "bucket long, keys binary, places binary, settled binary", "grp long, places binary"
 
-    def settled(named: DataFrame, keep_all: bool, tag: str) -> DataFrame:
-        out = stored(named.repartition(buckets, "bucket").mapInPandas(_settle(groups, keep_all, wide), placed), tag)
-        _release(spark)
-        return out
+    def settled(named: DataFrame, level: int) -> DataFrame:
+        out = named.repartition(buckets, "bucket").mapInPandas(_settle(groups, level == 0, wide), placed)
+        return stored(out.withColumn("level", F.lit(level)), f"suffix-{level}")
 
-    def with_texts(texts: DataFrame, places: DataFrame) -> DataFrame:
+    def with_texts(tables: list[DataFrame]) -> DataFrame:
         # no nulls in number columns, which pandas would make floats
-        left = places.select("grp", "places", F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("ref"), F.lit(None).cast("string").alias("text"))
-        right = texts.select(F.pmod("ref", F.lit(groups)).alias("grp"), F.lit(None).cast("binary").alias("places"), "id", "ref", "text")
-        return left.unionByName(right).repartition(groups, "grp").sortWithinPartitions(F.col("text").isNotNull())
-
-    survivors = settled(rows.mapInPandas(_sample(length, buckets, block_bytes, wide), packed), True, "suffix-survivors")
-    marks = settled(with_texts(rows, survivors).mapInPandas(_merge(length, buckets, merge_bytes, wide), packed), False, "suffix-marks")
+        zero, none = F.lit(0).cast("long"), lambda kind: F.lit(None).cast(kind)
+        # texts travel compressed
+        every = rows.mapInPandas(_compressed, "id long, ref long, text binary").select(F.pmod("ref", F.lit(groups)).alias("grp"), F.lit(0).alias("level"), none("binary").alias("places"), "id", "ref", "text")
+        for t in tables:
+            every = every.unionByName(t.select("grp", "level", "places", zero.alias("id"), zero.alias("ref"), none("binary").alias("text")))
+        return every.repartition(groups, "grp").sortWithinPartitions(F.col("text").isNotNull())
+
+    survivors = settled(rows.mapInPandas(_sample(length, buckets, block_bytes, wide), packed), 0)
+    marks: list[DataFrame] = []
+    for v in levels(length):
+        marks.append(settled(with_texts([survivors, *marks]).mapInPandas(_merge(length, v, buckets, merge_bytes, wide), packed), v))
     drop(survivors)
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    out = with_texts(rows, marks).mapInPandas(_cut(length), schema)
+    out = with_texts(marks).mapInPandas(_cut(length), schema)
     back = F.when(F.col("id") != _NULL_ID, F.col("id")).cast(dict(docs.dtypes)[doc_id])
     return out.select(back.alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir, ship_package
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _WRITTEN: dict[str, SparkSession] = {}
 
 
@@ -27,7 +29,15 @@ def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{tag}-{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    # the shuffle files of this write have no later reader; whole texts make large rows, so batches are short
+    before = {k: spark.conf.get(k) for k in (_CLEAN, _BATCH)}
+    spark.conf.set(_CLEAN, "true")
+    spark.conf.set(_BATCH, str(min(int(before[_BATCH]) if int(before[_BATCH]) > 0 else 1000, 1000)))
+    try:
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     _WRITTEN[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
