@@ -313,7 +313,8 @@ def _marked(rows: DataFrame, **options) -> DataFrame:
     lines = _line_rows(rows).select("id", "ref", "line_no", "key").join(linked, "key", "left")
     lines = stored(lines.select("id", "ref", "line_no", F.coalesce("root", "key").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "lines")
     at = F.struct("id", "ref", "line_no")
-    first = lines.groupBy("class").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # stored, so that the join deals both sides itself and can split a class that many lines are in
+    first = stored(lines.groupBy("class").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-first")
     return lines.join(first, "class", "left").withColumn("repeated", F.coalesce(F.col("first") != at, F.lit(False)))
 
 

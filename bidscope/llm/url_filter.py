@@ -120,7 +120,8 @@ def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", page:
     odds = (F.log((F.col("b") + 1) / F.lit(float(n_b + v))) - F.log((F.col("a") + 1) / F.lit(float(n_a + v))))
     weight = counts.select("word", odds.alias("weight"))
     base = math.log(((prior["b"] or 0) + 1) / ((prior["a"] or 0) + 1))
-    scored = bag.where("open > 0").join(weight, "word").groupBy("signature").agg(F.sum("weight").alias("sum"))
+    # stored, so that the join knows its size and can split a signature that many pages share
+    scored = stored(bag.where("open > 0").join(weight, "word").groupBy("signature").agg(F.sum("weight").alias("sum")), "url-scores")
     out = rows.join(scored, "signature", "left")
     score = F.round(F.coalesce(F.col("sum"), F.lit(0.0)) + F.lit(base), 9)
     blocked = (score > 0) if known else F.lit(False)
