@@ -229,38 +229,59 @@ def _shared_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"name": name[some].view(np.int64), "lid": lid[some], "role": role[some].astype(np.int32)}).drop_duplicates()
 
 
+def _group_links(group: list[tuple], cross: bool, edits: int, chars_per_edit: int) -> list[tuple[bytes, bytes, int]]:
+    """(key, root, links) of the lines of one name, from rows (key, line, role, block); ``cross``: only between blocks."""
+    j = group[0][2] & 3
+    rows: dict[bytes, list] = {}
+    for key, x, role, block in group:
+        row = rows.setdefault(bytes(key), [x, False, block])
+        row[1] |= role >= 4
+    if len(rows) < 2:
+        return []
+    by_size: dict[int, list] = {}
+    for key, (x, own, block) in rows.items():
+        if own:
+            by_size.setdefault(len(x), []).append((key, x, block))
+    up: dict[bytes, bytes] = {}
+    links: dict[bytes, int] = {}
+
+    def root(x: bytes) -> bytes:
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    for key, (x, _, block) in rows.items():
+        for n in range(len(x) - edits, len(x) + 1):
+            for other, y, its in by_size.get(n, ()):
+                if other == key or n == len(x) and other > key or cross and its == block:
+                    continue
+                if within(x, y, min(edits, n // chars_per_edit)) and first_shared(x, y, edits) == j:
+                    links[key], links[other] = links.get(key, 0) + 1, links.get(other, 0) + 1
+                    r, s = root(key), root(other)
+                    if r != s:
+                        up[max(r, s)] = min(r, s)
+    return [(k, root(k), n) for k, n in links.items()]
+
+
 def _verified(edits: int, chars_per_edit: int):
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        j = int(b["role"].iloc[0]) & 3
-        left = int(b["left"].iloc[0]) != int(b["right"].iloc[0])
-        rows: dict[bytes, list] = {}
-        for key, x, role, block in zip(b["key"], b["line"], b["role"], b["block"]):
-            row = rows.setdefault(bytes(key), [x, False, block])
-            row[1] |= role >= 4
-        by_size: dict[int, list] = {}
-        for key, (x, own, block) in rows.items():
-            if own:
-                by_size.setdefault(len(x), []).append((key, x, block))
-        up: dict[bytes, bytes] = {}
-        links: dict[bytes, int] = {}
-
-        def root(x: bytes) -> bytes:
-            while up.get(x, x) != x:
-                up[x] = up.get(up[x], up[x])
-                x = up[x]
-            return x
-
-        for key, (x, _, block) in rows.items():
-            for n in range(len(x) - edits, len(x) + 1):
-                for other, y, its in by_size.get(n, ()):
-                    if other == key or n == len(x) and other > key or left and its == block:
-                        continue
-                    if first_shared(x, y, edits) == j and within(x, y, min(edits, n // chars_per_edit)):
-                        links[key], links[other] = links.get(key, 0) + 1, links.get(other, 0) + 1
-                        r, s = root(key), root(other)
-                        if r != s:
-                            up[max(r, s)] = min(r, s)
-        return pd.DataFrame([(k, root(k), n) for k, n in links.items()], columns=["a", "b", "n_links"])
+    """Rows sorted by (name, left, right); one group is held at a time."""
+    columns = ["a", "b", "n_links"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group: list[tuple] = []
+        at = None
+        for b in batches:
+            out = []
+            for name, left, right, *row in zip(b["name"], b["left"], b["right"], b["key"], b["line"], b["role"], b["block"]):
+                if (name, left, right) != at:
+                    if group:
+                        out += _group_links(group, at[1] != at[2], edits, chars_per_edit)
+                    group, at = [], (name, left, right)
+                group.append(tuple(row))
+            yield pd.DataFrame(out, columns=columns)
+        if group:
+            yield pd.DataFrame(_group_links(group, at[1] != at[2], edits, chars_per_edit), columns=columns)
     return run
 
 
@@ -299,7 +320,8 @@ def linked_lines(rows: DataFrame, *, edits: int, chars_per_edit: int, block_char
     # every row meets its block and each other block: block pairs (left, right) with left <= right
     paired = rows_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "name", "role", "key", "line", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-    found = stored(paired.groupBy("name", "left", "right").applyInPandas(_verified(edits, chars_per_edit), "a binary, b binary, n_links long"), "line-links")
+    ordered = paired.repartition("name", "left", "right").sortWithinPartitions("name", "left", "right")
+    found = stored(ordered.mapInPandas(_verified(edits, chars_per_edit), "a binary, b binary, n_links long"), "line-links")
     roots = components(found.select("a", "b"))
     counts = found.groupBy("a").agg(F.sum("n_links").alias("n_links"))
     out = stored(counts.join(roots, counts["a"] == roots["node"], "left").select(F.col("a").alias("key"), F.coalesce("root", "a").alias("root"), "n_links"), "line-roots")
