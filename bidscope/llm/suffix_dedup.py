@@ -76,16 +76,15 @@ def _powers(factor: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-_POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def names(buffer: np.ndarray, starts: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     """64-bit hash of ``length`` bytes at each of the sorted ``starts``."""
     out = np.empty(len(starts), dtype=np.uint64)
-    key = which, length
-    if key not in _POWERS:
-        _POWERS[key] = _powers(_FACTORS[which], _BLOCK + length + 1)
-    up, down = _POWERS[key]
+    if which not in _POWERS or len(_POWERS[which][0]) <= _BLOCK + length:
+        _POWERS[which] = _powers(_FACTORS[which], _BLOCK + length + 256)
+    up, down = _POWERS[which]
     at = 0
     while at < len(starts):
         low = int(starts[at])
@@ -287,18 +286,20 @@ def _settled_bucket(blocks: list[tuple[bytes, bytes]], keep_all: bool, wide: boo
     sizes = [len(k) for k in keys]
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
-    new = np.concatenate([[True], every[order][1:] != every[order][:-1]])
-    run = np.cumsum(new) - 1
-    many = np.bincount(run)[run] > 1
+    every = every[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]])
+    del every
+    times = np.diff(np.append(np.flatnonzero(new), len(new)))
+    many = np.repeat(times > 1, times)
     at = np.concatenate([[0], np.cumsum(sizes)])
-    hit = np.zeros(len(every), dtype=bool)
+    hit = np.zeros(len(order), dtype=bool)
     opened = [unpack_places(p) for _, p in blocks]
     if keep_all:
         hit[order[many]] = True
     elif many.any():
         docs = np.array(sorted({x for refs, ids, _, _ in opened for x in zip(ids.tolist(), refs.tolist())}), dtype=np.int64).reshape(-1, 2)
         place = {(i, r): k for k, (i, r) in enumerate(docs.tolist())}
-        rank = np.empty(len(every), dtype=np.int64)
+        rank = np.empty(len(order), dtype=np.int64)
         for (refs, ids, doc, offset), low in zip(opened, at):
             of_doc = np.array([place[x] for x in zip(ids.tolist(), refs.tolist())], dtype=np.int64)
             rank[low:low + len(doc)] = (of_doc[doc] << 40) + offset
@@ -440,7 +441,7 @@ def repeated_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(F.lit(1), F.col(doc_id), t).alias("ref"), t.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, total // (8 * bucket_names))
+    buckets = max(1, least // 2, total // (8 * bucket_names))  # a row names its documents, so few and large ones are smaller
     groups = max(least, total // (64 << 20))
     packed, placed = "bucket long, keys binary, places binary, settled binary", "grp long, places binary"
 
