@@ -156,17 +156,16 @@ def _labels(h: np.ndarray, both: np.ndarray, radius: int, rows: int = 256) -> np
     for at in range(0, len(h), rows):
         x, y = np.nonzero(np.bitwise_count(h[at:at + rows, None] ^ both[None, :]) <= radius)
         x, y = x[y > x + at] + at, y[y > x + at]
-        while len(x):
-            low = np.minimum(label[x], label[y])
-            new = label.copy()
-            for z in (x, y, label[x], label[y]):
-                np.minimum.at(new, z, low)
-            new = new[new]
-            if (new == label).all():
+        while True:
+            while (label[label] != label).any():
+                label = label[label]
+            apart = label[x] != label[y]
+            if not apart.any():
                 break
-            label = new
-    while (label[label] != label).any():
-        label = label[label]
+            x, y = x[apart], y[apart]
+            # only roots move, so no node leaves its group behind
+            a, b = label[x], label[y]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
     return label
 
 

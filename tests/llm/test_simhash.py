@@ -66,6 +66,33 @@ def test_dealt_shards_lose_no_link(n, leaf, shard):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def chained(n, seed, back):
+    """Each fingerprint three bits off one of the ``back`` before it, in mixed order."""
+    rng = np.random.default_rng(seed)
+    fps = [rng.integers(0, 2**63, dtype=np.uint64)]
+    while len(fps) < n:
+        bits = np.uint64(1) << rng.choice(64, 3, replace=False).astype(np.uint64)
+        fps.append(fps[rng.integers(max(0, len(fps) - back), len(fps))] ^ np.bitwise_xor.reduce(bits))
+    return rng.permutation(np.unique(np.array(fps, dtype=np.uint64)))
+
+
+@pytest.mark.parametrize("n,back", [(300, 1), (700, 3), (1000, 300)])
+def test_one_leaf_loses_no_link(n, back):
+    # three chains, so that groups must also stay apart
+    fps = np.random.default_rng(n).permutation(np.concatenate([chained(n // 3, n + k, back) for k in range(3)]))
+    want = slow_components([int(x) for x in fps])
+    assert list(simhash._labels(fps, fps, 3)) == want
+    cut = len(fps) * 3 // 4  # the last quarter only visits: its own pairs do not count
+    up = list(simhash._labels(fps[:cut], fps, 3))
+    assert up[:cut] == list(simhash._labels(fps[:cut], fps, 3, rows=cut))[:cut]
+    links = simhash.shard_links(fps, fps[:0], 0, 3, leaf=len(fps))
+    forest = simhash._Forest()
+    for a, b in links:
+        forest.join(a, b)
+    got = [forest.root(int(x)) for x in fps]
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
 def test_equal_halves_still_split():
     fps = np.unique(np.random.default_rng(3).integers(0, 2**32, 900, dtype=np.uint64))  # upper halves are all zero
     nodes = simhash.upper_tree(fps, 1, 50)
