@@ -5,9 +5,9 @@
    over the corpus. Its table has a fixed size.
 2. Tokens that look obfuscated (signs or digits inside a word, letters set
    apart, a letter three times or more in a row) become a lattice: each sign
-   may stand for letters, separators may go, repeats may shrink. A Viterbi
-   search under the trigram model finds the best reading, which joins the
-   words of the text.
+   may stand for letters, separators may go or part two words, repeats may
+   shrink. A Viterbi search under the trigram model finds the best reading,
+   whose words join those of the text, and the best reading as one word.
 3. A word's score is its shrunken toxic share. It shrinks towards the share of
    toxic words among the known words with the same beginning (three to six
    bytes), which stands in for unseen words. A text scores as its most toxic
@@ -46,7 +46,7 @@ _SPACES = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: What a sign may stand for in a word.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = set(".-_*~^'​­ ")
-COST = {"leet": 1.0, "separator": 0.5, "repeat": 0.7, "keep": 0.0}
+COST = {"leet": 1.0, "separator": 0.5, "boundary": 2.0, "repeat": 0.7, "keep": 0.0}
 _ODD = re.compile(
     r"(?<![^\s])(?=\S{3,40}(?!\S))(?=\S*[^\W\d_])\S*?[^\W_][0-9@$!|+(€£¡*._~^​­-]+[^\W_]\S*"  # signs inside
     r"|(?<![^\s])\S{0,20}?([^\W\d_])\1\1\S{0,20}(?!\S)"  # repeats
@@ -108,8 +108,8 @@ class CharModel:
         return float(self.cost[a, b, c])
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Readings of each character: (letters, cost); an empty reading drops it."""
+def lattice(token: str, ends: bool = True) -> list[list[tuple[str, float]]]:
+    """Readings of each character: (letters, cost); an empty reading drops it, a space ends a word (if ``ends``)."""
     out = []
     last = ""
     for ch in token:
@@ -122,15 +122,17 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             options += [(x, COST["leet"]) for x in LEET.get(ch, "")]
             if ch in SEPARATORS or not options:
                 options.append(("", COST["separator"]))
+                if ends:
+                    options.append((" ", COST["boundary"]))
         out.append(options)
         last = ch
     return out
 
 
-def decode(token: str, model: CharModel) -> str:
+def decode(token: str, model: CharModel, ends: bool = True) -> str:
     """Cheapest reading of a token (Viterbi; states are the last two symbols)."""
     states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-    for options in lattice(token.lower()):
+    for options in lattice(token.lower(), ends):
         after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, trail) in states.items():
             for letters, extra in options:
@@ -204,7 +206,8 @@ class Restorer:
             token = m[0].strip(".,;:?\"')]}")
             found = self.cache.get(token)
             if found is None:
-                found = frozenset(words(decode(token, self.model)))
+                read = decode(token, self.model)
+                found = frozenset(words(read) + (words(decode(token, self.model, ends=False)) if " " in read else []))
                 if len(self.cache) >= self.size:
                     self.cache.clear()
                 self.cache[token] = found

@@ -26,6 +26,12 @@ def test_obfuscated_words_are_restored(model, token, word):
     assert word.encode() in X.Restorer(model).readings(f"some text\nyou {token} there")
 
 
+@pytest.mark.parametrize("text,found", [("you are a m o r o n", {"a", "moron"}), ("you said a m o r o n was a clown", {"a", "moron"}), ("i d i o t a", {"idiot", "a"}),
+                                        ("t h e i d i o t", {"the", "idiot"}), ("1d10t-l0s3r", {"idiot", "loser"}), ("i.d.i.o.t.w.a.s.t.r.a.s.h", {"idiot", "was", "trash"})])
+def test_separators_may_end_words(model, text, found):
+    assert X.Restorer(model).readings(text) >= {w.encode() for w in found}
+
+
 def test_plain_text_is_left_alone(model):
     r = X.Restorer(model)
     assert r.readings("Just a plain line, with well known words. And 1234 or 555-6835!") == set()
