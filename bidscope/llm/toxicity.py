@@ -153,9 +153,19 @@ def decode(token: str, model: CharModel, ends: bool = True) -> str:
     return "".join(reversed(out))
 
 
-_LETTER, _SIGN = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER, _SIGN, _ALNUM = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _SIGN[[ord(x) for x in "0123456789@$!|+(.-_*~^"]] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def _lone(b: np.ndarray) -> np.ndarray:
+    """Places of spaces that may part two single characters: at most one wide or one ASCII character on either side."""
+    at = np.flatnonzero(b == 32)
+    pad = np.concatenate([np.zeros(6, dtype=np.uint8), b, np.zeros(6, dtype=np.uint8)])
+    left, before, right, after = (pad[at + 6 + k] for k in (-1, -2, 1, 2))
+    ok = (left >= 128) | (_ALNUM[left] & ~_ALNUM[before])
+    return at[ok & ((right >= 128) | (_ALNUM[right] & ~_ALNUM[after]))]
 
 
 def suspicious_lines(text: str) -> list[str]:
@@ -165,33 +175,28 @@ def suspicious_lines(text: str) -> list[str]:
     letter, sign = _LETTER[b], _SIGN[b]
     hit = np.zeros(len(b), dtype=bool)
     if len(b) > 2:
-        after = np.append(letter[1:], False)
-        before = np.append(False, letter[:-1])
-        hit |= sign & after & (before | np.append(True, ~sign[:-1] & ~letter[:-1]))  # a sign before a letter
+        hit[:-1] |= sign[:-1] & (sign[1:] | letter[1:])  # a sign before a letter, digit or sign
         same = (b[:-1] | 32) == (b[1:] | 32)
         hit[:-2] |= same[:-1] & same[1:] & letter[:-2]
-        alone = letter & ~before & ~after
-        hit[:-2] |= alone[:-2] & alone[2:]
-        inner = np.flatnonzero(sign[:-1] & sign[1:])  # runs of signs in a word
-        hit[inner] = True
-        wide = b >= 128
-        if wide.any():
-            hit[np.flatnonzero((b == 0xE2) | (b == 0xC2))] = True  # signs outside of ASCII
-            if len(b) > 5:
-                two = (b[:-2] == b[2:])
-                single = (b[:-1] >= 0xC0) & (b[1:] >= 128) & ~before[:-1] & ~after[1:]  # a two-byte letter alone
-                hit[:-4] |= single[:-3] & (single[3:] | alone[3:-1])
-                hit[:-3] |= alone[:-3] & single[2:]
-                hit[:-5] |= two[:-3] & two[1:-2] & two[2:-1] & two[3:] & wide[:-5]  # a two-byte letter three times
+        lone = _lone(b)  # two in a row with one character between them: letters or digits set apart
+        gap = np.diff(lone)
+        for k in range(2, 6):
+            one = lone[:-1][gap == k]
+            hit[one[(b[one + 1] >= 128) | (k == 2)]] = True
+        if (b >= 128).any():
+            hit |= (b == 0xE2) | (b == 0xC2)  # signs outside of ASCII
+            for k in (2, 3, 4):  # a wide letter three times
+                if len(b) >= 3 * k:
+                    eq = b[:-k] == b[k:]
+                    n = len(b) - 3 * k + 1
+                    hit[:n] |= (b[:n] >= 0xC0) & eq[:n] & eq[k - 1:][:n] & eq[k:][:n] & eq[2 * k - 1:][:n]
     at = np.flatnonzero(hit)
-    out, end = [], -1
-    for i in at:
-        if i >= end:
-            start = raw.rfind(b"\n", 0, i) + 1
-            end = raw.find(b"\n", i)
-            end = len(raw) if end < 0 else end
-            out.append(raw[start:end].decode("utf-8", "surrogatepass"))
-    return out
+    if not len(at):
+        return []
+    ends = np.append(np.flatnonzero(b == 10), len(b))
+    lines = np.unique(np.searchsorted(ends, at))
+    starts = np.append(0, ends[:-1] + 1)
+    return [raw[i:j].decode("utf-8", "surrogatepass") for i, j in zip(starts[lines], ends[lines])]
 
 
 class Restorer:

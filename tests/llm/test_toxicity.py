@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -65,6 +65,29 @@ def test_cheap_search_finds_all(text):
     assert every == {m[0] for line in X.suspicious_lines(text) for m in X._ODD.finditer(line)}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aR 1$.\né啊", max_size=30))
+@example("m 0 r 0 n")
+@example("you l 0 s 3 r")
+@example("1 d 1 0 t there")
+@example("a 1 b")
+@example("1 a 2")
+@example("é 1 é")
+@example("1 é 1")
+@example("啊 1 b")
+@example("1 𝒶 b")
+@example("啊啊啊")
+@example("x\u3000a 1 b\u3000x")
+def test_cheap_search_finds_letters_and_digits_set_apart(text):
+    every = {m[0] for line in text.split("\n") for m in X._ODD.finditer(line)}
+    assert every == {m[0] for line in X.suspicious_lines(text) for m in X._ODD.finditer(line)}
+
+
+@pytest.mark.parametrize("token,word", [("m 0 r 0 n", "moron"), ("l 0 s 3 r", "loser"), ("1 d 1 0 t", "idiot")])
+def test_letters_and_digits_set_apart_are_restored(model, token, word):
+    assert word.encode() in X.Restorer(model).readings(token)
+
+
 def test_trigrams_equal_slow_counts(spark):
     texts = ["Abc é", None, "", "zz 9z"] * 3
     counts = {}
