@@ -3,8 +3,9 @@
 1. A character trigram model is counted over all texts (bytes of lower-cased
    letters, others are one boundary symbol); counts are summed per task, then
    over the corpus. Its table has a fixed size.
-2. Tokens that look obfuscated (signs or digits inside a word, letters set
-   apart, a letter three times or more in a row) become a lattice: each sign
+2. Tokens that look obfuscated (signs or digits in a word or at its ends,
+   letters set apart, a letter three times or more in a row, or twice in a
+   word that the corpus does not use often) become a lattice: each sign
    may stand for letters, separators may go or part two words, repeats may
    shrink. A Viterbi search under the trigram model finds the best reading,
    whose words join those of the text, and the best reading as one word.
@@ -30,13 +31,14 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import with_columns
+from .tables import drop, stored, with_columns
 
 SYMBOLS = 155  # boundary, 26 letters, 128 high bytes
 _CLASS = np.zeros(256, dtype=np.int32)
@@ -45,13 +47,17 @@ _CLASS[128:] = np.arange(27, 155)
 _SPACES = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: What a sign may stand for in a word.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
+_END = "".join(x for x in LEET if not x.isdigit())  # signs that may also be punctuation
 SEPARATORS = set(".-_*~^'​­ ")
 COST = {"leet": 1.0, "separator": 0.5, "boundary": 2.0, "repeat": 0.7, "keep": 0.0}
+_SHUT = r"""(?=[.,;:?!"')\]}]*(?!\S))"""
 _ODD = re.compile(
-    r"(?<![^\s])(?=\S{3,40}(?!\S))(?=\S*[^\W\d_])\S*?[^\W_][0-9@$!|+(€£¡*._~^​­-]+[^\W_]\S*"  # signs inside
-    r"|(?<![^\s])\S{0,20}?([^\W\d_])\1\1\S{0,20}(?!\S)"  # repeats
-    r"|(?<!\S)(?:[^\W_@$][ ._*-]){2,24}[^\W_](?!\S)"  # letters set apart
-    r"|(?<!\S)[@$!|+(0-9][^\W\d_]\S{1,38}(?!\S)")  # a sign first
+    r"(?<!\S)(?=\S{3})(?=\S*[^\W\d_])\S*?[^\W_][0-9@$!|+(€£¡*._~^\u200b\u00ad-]+[^\W_]\S*"  # signs inside
+    r"|(?<!\S)\S*?([^\W\d_])\1\1\S*"  # repeats
+    r"""|(?<![^\s"'(\[{])(?:[^\W_@$][ ._*-]){2,}[^\W_]""" + _SHUT +  # letters set apart
+    r"|(?<!\S)[@$!|+(0-9][^\W\d_]\S+"  # a sign first
+    r"|(?<!\S)(?=\S*[^\W\d_])\S*[0-9@$!|+(€£¡]" + _SHUT)  # a sign last
+_TWICE = re.compile(r"([^\W\d_])\1", re.I)
 PREFIXES = (3, 4, 5, 6)
 BASE, SHRINK = 0.03, 4.0
 
@@ -60,8 +66,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
+def _plain(text: str) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass").translate(_SPACES)
+
+
 def words(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(_SPACES).split()
+    return _plain(text).split()
 
 
 # character model
@@ -108,15 +118,18 @@ class CharModel:
         return float(self.cost[a, b, c])
 
 
-def lattice(token: str, ends: bool = True) -> list[list[tuple[str, float]]]:
-    """Readings of each character: (letters, cost); an empty reading drops it, a space ends a word (if ``ends``)."""
-    out = []
-    last = ""
+def lattice(token: str, ends: bool = True, keep: int = 1) -> Iterator[list[tuple[str, float]]]:
+    """Readings of each character: (letters, cost); an empty reading drops it, a space ends a word (if ``ends``).
+
+    Of a letter in a row, those after the first ``keep`` may be dropped.
+    """
+    last, run = "", 0
     for ch in token:
         options: list[tuple[str, float]] = []
         if ch.isalpha():
+            run = run + 1 if ch == last else 1
             options.append((ch, COST["keep"]))
-            if ch == last:
+            if run > keep:
                 options.append(("", COST["repeat"]))
         else:
             options += [(x, COST["leet"]) for x in LEET.get(ch, "")]
@@ -124,15 +137,14 @@ def lattice(token: str, ends: bool = True) -> list[list[tuple[str, float]]]:
                 options.append(("", COST["separator"]))
                 if ends:
                     options.append((" ", COST["boundary"]))
-        out.append(options)
+        yield options
         last = ch
-    return out
 
 
-def decode(token: str, model: CharModel, ends: bool = True) -> str:
+def decode(token: str, model: CharModel, ends: bool = True, keep: int = 1) -> str:
     """Cheapest reading of a token (Viterbi; states are the last two symbols)."""
     states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-    for options in lattice(token.lower(), ends):
+    for options in lattice(token.lower(), ends, keep):
         after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, trail) in states.items():
             for letters, extra in options:
@@ -156,6 +168,8 @@ def decode(token: str, model: CharModel, ends: bool = True) -> str:
 _LETTER, _SIGN, _ALNUM = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _SIGN[[ord(x) for x in "0123456789@$!|+(.-_*~^"]] = True
+_LEET = np.zeros(256, dtype=bool)
+_LEET[[ord(x) for x in LEET if x < "\x80"]] = True
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
@@ -174,8 +188,9 @@ def suspicious_lines(text: str) -> list[str]:
     b = np.frombuffer(raw, dtype=np.uint8)
     letter, sign = _LETTER[b], _SIGN[b]
     hit = np.zeros(len(b), dtype=bool)
-    if len(b) > 2:
+    if len(b) > 1:
         hit[:-1] |= sign[:-1] & (sign[1:] | letter[1:])  # a sign before a letter, digit or sign
+        hit[1:] |= _LEET[b[1:]] & (b[:-1] > 32)  # a sign that ends a word
         same = (b[:-1] | 32) == (b[1:] | 32)
         hit[:-2] |= same[:-1] & same[1:] & letter[:-2]
         lone = _lone(b)  # two in a row with one character between them: letters or digits set apart
@@ -199,24 +214,100 @@ def suspicious_lines(text: str) -> list[str]:
     return [raw[i:j].decode("utf-8", "surrogatepass") for i, j in zip(starts[lines], ends[lines])]
 
 
-class Restorer:
-    """Decoded readings of the obfuscated tokens of a text; a bounded cache per worker."""
+def doubled_words(low: bytes) -> set[bytes]:
+    """Of ``low`` (letters and spaces, as ``words`` sees them) the words with a letter twice in a row."""
+    b = np.frombuffer(low, dtype=np.uint8)
+    hit = np.zeros(len(b), dtype=bool)
+    hit[:-1] = (b[:-1] == b[1:]) & (b[:-1] > 32) & (b[:-1] < 128)
+    if (b >= 128).any():
+        for k, low_lead, high_lead in ((2, 0xC0, 0xDF), (3, 0xE0, 0xEF), (4, 0xF0, 0xFF)):
+            if len(b) >= 2 * k:
+                eq = b[:-k] == b[k:]
+                n = len(b) - 2 * k + 1
+                hit[:n] |= (b[:n] >= low_lead) & (b[:n] <= high_lead) & np.logical_and.reduce([eq[j:j + n] for j in range(k)])
+    out, end = set(), -1
+    for i in np.flatnonzero(hit).tolist():
+        if i >= end:
+            end = low.find(b" ", i)
+            end = len(low) if end < 0 else end
+            out.add(low[low.rfind(b" ", 0, i) + 1:end])
+    return out
 
-    def __init__(self, model: CharModel, cache: int = 200_000):
-        self.model, self.cache, self.size = model, {}, cache
+
+def frequent_doubled(docs: DataFrame, text: str, least: int = 20, share: float = 1e-4) -> frozenset[bytes]:
+    """Words with a doubled letter that at least ``least`` texts and this share of all texts hold."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n: Counter = Counter()
+            for t in b["text"]:
+                n.update(doubled_words(_plain(t or "")))
+            n[b""] = len(b)
+            yield pd.DataFrame({"word": list(n), "n": list(n.values())})
+
+    counts = stored(docs.select(F.col(text).alias("text")).mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+                    .where(f"n >= {least} or length(word) = 0"), "toxicity-doubled")
+    texts = counts.where("length(word) = 0").agg(F.max("n")).first()[0] or 0
+    found = counts.where(F.col("n") >= max(least, share * texts)).where("length(word) > 0").select("word").collect()  # at most (words a text) / share
+    drop(counts)
+    return frozenset(bytes(r[0]) for r in found)
+
+
+def _starts(word: str, size: int = 3) -> set[bytes]:
+    """First bytes of whatever a word may read when letters in a row go."""
+    out = {""}
+    for ch, run in groupby(word):
+        n = min(size, sum(1 for _ in run))
+        out = {o + ch * k for o in out for k in range(1, n + 1)}
+        if min(map(len, out)) >= size:
+            break
+    return {o.encode("utf-8", "surrogatepass")[:size] for o in out}
+
+
+class Restorer:
+    """Decoded readings of the obfuscated tokens of a text; a bounded cache per worker.
+
+    Words with a doubled letter are decoded if ``frequent`` is given and does not hold them; with
+    ``open`` (the beginnings of three bytes that matter) only where a reading may begin so.
+    """
+
+    def __init__(self, model: CharModel, frequent: frozenset[bytes] | None = None, open: set[bytes] | None = None, cache: int = 2_000_000):
+        self.model, self.frequent, self.open, self.size = model, frequent, open, cache
+        self.cache: dict[str | bytes, frozenset[bytes]] = {}
+        self.held = 0  # characters in the cache
+
+    def _read(self, token: str) -> frozenset[bytes]:
+        read = decode(token, self.model)
+        out = words(read)
+        if " " in read:
+            out += words(decode(token, self.model, ends=False))
+        if _TWICE.search(token):
+            out += words(decode(token, self.model, keep=2))
+        return frozenset(out)
+
+    def _cached(self, key: str | bytes, token: str) -> frozenset[bytes]:
+        found = self.cache.get(key)
+        if found is None:
+            found = self._read(token)
+            if self.held >= self.size:
+                self.cache.clear()
+                self.held = 0
+            self.cache[key] = found
+            self.held += len(token)
+        return found
 
     def readings(self, text: str) -> set[bytes]:
         out: set[bytes] = set()
         for m in (m for line in suspicious_lines(text) for m in _ODD.finditer(line)):
             token = m[0].strip(".,;:?\"')]}")
-            found = self.cache.get(token)
-            if found is None:
-                read = decode(token, self.model)
-                found = frozenset(words(read) + (words(decode(token, self.model, ends=False)) if " " in read else []))
-                if len(self.cache) >= self.size:
-                    self.cache.clear()
-                self.cache[token] = found
-            out |= found
+            bare = token.strip(_END)  # a sign at either end may also be punctuation
+            if bare != token and _ODD.search(bare):
+                out |= self._cached(bare, bare)
+            out |= self._cached(token, token)
+        if self.frequent is not None:
+            for w in doubled_words(_plain(text)) - self.frequent:
+                word = w.decode("utf-8", "surrogatepass")
+                if self.open is None or not self.open.isdisjoint(_starts(word)):
+                    out |= self._cached(w, word)
         return out
 
 
@@ -260,10 +351,10 @@ def _beginnings(word: bytes) -> list[bytes]:
     return [word[:k] for k in PREFIXES if k <= len(word)]
 
 
-def _toxic_evidence(model):
+def _toxic_evidence(restorer):
     """Of each text, every word once with (a digest of) the word before its first place."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restore = Restorer(model())
+        restore = restorer()
         for b in batches:
             out = []
             for t in b["text"]:
@@ -311,13 +402,18 @@ def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
             made["m"] = CharModel(*table.value)
         return made["m"]
 
+    frequent = spark.sparkContext.broadcast(frequent_doubled(rows, "text"))
+
+    def restorer(open: set[bytes] | None = None) -> Restorer:
+        return Restorer(char_model(), frequent.value, open)
+
     taught = (labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     part = min(1.0, train_rows / max(1, taught.count()))
     taught = taught.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20))))
     train = rows.join(F.broadcast(taught), "doc_id")  # about train_rows ids at most
     clean = train.where("toxic = 0").select("text")
-    seen = train.where("toxic = 1").select("text").mapInPandas(_toxic_evidence(char_model), "word binary, place long")
+    seen = train.where("toxic = 1").select("text").mapInPandas(_toxic_evidence(restorer), "word binary, place long")
     places = seen.groupBy("word", "place").agg(F.count("*").alias("texts"))
     toxic = (places.groupBy("word").agg(F.least(F.sum("texts"), F.count("*")).alias("n")).where("n >= 2")).toPandas()
     toxic = {bytes(w): float(n) for w, n in zip(toxic["word"], toxic["n"])}
@@ -337,7 +433,8 @@ def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     model = spark.sparkContext.broadcast((of_word, of_prefix))
 
     def start():
-        restore, toxic_share = Restorer(char_model()), WordModel(*model.value)
+        toxic_share = WordModel(*model.value)
+        restore = restorer(toxic_share.open)
 
         def step(c):
             own = (set(words(t or "")) | restore.readings(t or "") for t in c[text])

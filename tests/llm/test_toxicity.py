@@ -77,6 +77,10 @@ def test_cheap_search_finds_all(text):
 @example("啊 1 b")
 @example("1 𝒶 b")
 @example("啊啊啊")
+@example("a$")
+@example("a%1,")
+@example("(a 1 b)")
+@example("a" * 50 + "1b")
 @example("x\u3000a 1 b\u3000x")
 def test_cheap_search_finds_letters_and_digits_set_apart(text):
     every = {m[0] for line in text.split("\n") for m in X._ODD.finditer(line)}
@@ -88,6 +92,48 @@ def test_letters_and_digits_set_apart_are_restored(model, token, word):
     assert word.encode() in X.Restorer(model).readings(token)
 
 
+@pytest.mark.parametrize("token,word", [("idio7", "idiot"), ("asshol3", "asshole"), ("a$$", "ass"), ("(idio7)", "idiot"), ("l0s3r!", "loser"), ("m o r o n, he", "moron"),
+                                        ("st.u.p.i.d" + ".a" * 30, "stupid"), ("i\u200bd\u200bi\u200bo\u200bt\u200b" + "x" * 60, None), ("x" * 45 + "1d10t", None),
+                                        (" ".join("worthlessdisgustingscumandtrash"), "disgusting")])
+def test_gate_admits_ends_and_long_tokens(model, token, word):
+    got = X.Restorer(model).readings(f"you {token}")
+    assert word.encode() in got if word else any(b"idiot" in w for w in got)
+
+
+@pytest.mark.parametrize("token,word", [("iddiot", "idiot"), ("mooron", "moron"), ("sccum", "scum"), ("ééclown", "éclown"), ("啊啊b", "啊b")])
+def test_gate_admits_rare_doubled_letters(model, token, word):
+    assert word.encode() in X.Restorer(model, frozenset()).readings(f"you {token} well")
+    assert X.Restorer(model, frozenset([token.encode()])).readings(f"you {token}") == set()
+    assert word.encode() in X.Restorer(model, frozenset(), {word.encode()[:3]}).readings(f"you {token}")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aab é啊.B", max_size=20))
+def test_doubled_words_and_their_starts(text):
+    assert X.doubled_words(X._plain(text)) == {w for w in X.words(text) if X._TWICE.search(w.decode())}
+    for w in X.words(text):
+        read = [""]
+        for options in X.lattice(w.decode()):
+            read = [a + b for a in read for b, _ in options]
+        assert {r.encode()[:3] for r in read} <= X._starts(w.decode())
+
+
+def test_frequent_doubled_words(spark):
+    df = spark.createDataFrame([("well well iddiot" if i == 7 else "Well, add",) for i in range(50)] + [(None,), ("",)], "text string")
+    assert X.frequent_doubled(df.repartition(3), "text") == {b"well", b"add"}
+    assert X.frequent_doubled(df, "text", least=1) == {b"well", b"add", b"iddiot"}
+    assert X.frequent_doubled(df, "text", least=1, share=0.1) == {b"well", b"add"}
+    assert X.frequent_doubled(df.limit(0), "text") == frozenset()
+
+
+def test_obfuscated_words_score(spark):
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)} {'idiot' if i % 2 else 'friend'} here") for i in range(400)]
+    odd = ["you iddiot", "you idio7", "an 1 d 1 0 t", "you are a i d i o t", "x-1d10t-x" + "-x" * 20]
+    df = spark.createDataFrame(rows + [(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    assert [r.predicted for r in X.scores(df, labels).where("doc_id >= 1000").orderBy("doc_id").collect()] == [1] * len(odd)
+
+
 def test_trigrams_equal_slow_counts(spark):
     texts = ["Abc é", None, "", "zz 9z"] * 3
     counts = {}
