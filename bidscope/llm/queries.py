@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_main, kk_shards, line_dedup, packing, simhash, suffix_dedup, topk_kd, toxicity, url_filter
+from . import decontam, html_main, kk_shards, line_dedup, merkle, packing, simhash, suffix_dedup, topk_kd, toxicity, url_filter
 from .tables import table
 
 
@@ -48,5 +48,9 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_simhash, op4_toxicity, op5_main_text, op6_kk_shards, op7_decontamination, op8_kd_topk, op9_url_filter, op10_pattern_packing)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents", *merkle.FIELDS))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_simhash, op4_toxicity, op5_main_text, op6_kk_shards, op7_decontamination, op8_kd_topk, op9_url_filter, op10_pattern_packing, op11_merkle_manifest)}
 SQL: dict[str, str] = {}
