@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_main, kk_shards, line_dedup, merkle, packing, simhash, suffix_dedup, topk_kd, toxicity, url_filter
+from . import decontam, html_main, kk_shards, language_id, line_dedup, merkle, packing, simhash, spelling, suffix_dedup, topk_kd, toxicity, url_filter
+from .oracle_sql import SQL
 from .tables import table
 
 
@@ -52,5 +53,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents", *merkle.FIELDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_simhash, op4_toxicity, op5_main_text, op6_kk_shards, op7_decontamination, op8_kd_topk, op9_url_filter, op10_pattern_packing, op11_merkle_manifest)}
-SQL: dict[str, str] = {}
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(table(spark, sf_dir, "documents", "doc_id", "lang", "text"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_simhash, op4_toxicity, op5_main_text, op6_kk_shards, op7_decontamination, op8_kd_topk, op9_url_filter, op10_pattern_packing, op11_merkle_manifest, op12_language_id, op13_spelling_variants)}
+
+__all__ = ["QUERIES", "SQL"]
