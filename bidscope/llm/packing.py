@@ -9,11 +9,15 @@ lengths, which has at most ``seq_len`` entries:
    one to three classes that fill a sequence are enumerated;
 2. non-negative least squares fits the patterns' repeat counts to the class
    histogram (unmet long lengths weigh more than short ones);
-3. the counts are rounded down to what is there; a class's slots are filled
-   with its exact lengths;
+3. nine tenths of the counts, rounded down, are placed; a class's slots are
+   filled with exact lengths that make up a whole sequence, as far as there
+   are such; what is left is fitted again with classes of another grain;
 4. the residual lengths are packed best-fit, longest first, into the gaps
    and into new sequences.
 
+If that takes more sequences than best-fit decreasing on all lengths does,
+that plan is taken, so no plan is worse than it.
+
 The plan is a list of runs "pieces of this length with ranks r0 to r1 go to
 consecutive sequences from s at this offset". A piece's rank among those of
 its length comes from per-task counts and a prefix sum, so no length is
@@ -111,27 +115,44 @@ def _solve(p: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.linalg.lstsq(p, b, rcond=None)[0]
 
 
-def patterns(classes: int) -> list[tuple[int, ...]]:
-    """All ways to fill ``classes`` units with one to three lengths."""
+def patterns(classes: int, small: int = 0) -> list[tuple[int, ...]]:
+    """All ways to fill ``classes`` units with one to three lengths over ``small`` (one: any)."""
     out: list[tuple[int, ...]] = [(classes,)]
-    out += [(classes - a, a) for a in range(1, classes // 2 + 1)]
-    out += [(classes - a - b, b, a) for a in range(1, classes // 3 + 1) for b in range(a, (classes - a) // 2 + 1)]
+    out += [(classes - a, a) for a in range(small + 1, classes // 2 + 1)]
+    out += [(classes - a - b, b, a) for a in range(small + 1, classes // 3 + 1) for b in range(a, (classes - a) // 2 + 1)]
     return out
 
 
+#: Lengths up to this part of a sequence fill gaps only; share of the fitted counts that is placed; grains of the rounds, beside the first.
+SMALL, SHARE, ROUNDS = 64, 0.9, (0, 3, -1, 5, 1)
+
+
 class Plan:
     """Runs (length, first rank, count, first sequence, offset) that place every piece."""
 
     def __init__(self, histogram: dict[int, int], seq_len: int = 2048, grain: int = 8):
         self.seq_len = seq_len
+        self._start(histogram)
+        for more in ROUNDS:
+            for pattern, count in self._fitted(max(1, grain + more)):
+                self._repeat(pattern, int(count * SHARE + 1e-9), max(1, grain + more))
+        self.by_pattern = self.sequences
+        self._residuals()
+        least = -(-sum(n * c for n, c in histogram.items()) // seq_len)
+        if self.sequences > least and self.by_pattern:
+            fitted = dict(self.__dict__)
+            self.by_pattern = 0
+            self._start(histogram)
+            self._residuals()
+            if self.sequences >= fitted["sequences"]:
+                self.__dict__.update(fitted)
+
+    def _start(self, histogram: dict[int, int]) -> None:
         self.left = dict(histogram)
         self.used = dict.fromkeys(histogram, 0)
         self.runs: list[tuple[int, int, int, int, int]] = []
         self.sequences = 0
         self.gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> (first sequence, count)
-        self._patterns(grain)
-        self.by_pattern = self.sequences
-        self._residuals()
 
     def _place(self, length: int, count: int, first: int, offset: int) -> None:
         self.runs.append((length, self.used[length], count, first, offset))
@@ -147,19 +168,15 @@ class Plan:
             self.gaps.setdefault(self.seq_len - at, []).append((self.sequences, count))
         self.sequences += count
 
-    def _patterns(self, grain: int) -> None:
+    def _fitted(self, grain: int) -> list[tuple[tuple[int, ...], float]]:
+        """Patterns of classes of what is left, with their repeat counts, most frequent first."""
         top = -(-self.seq_len // grain)
-        of: dict[int, list[int]] = {}
-        for n in sorted(self.left):
-            of.setdefault(-(-n // grain), []).append(n)
         held = np.zeros(top + 1)
-        for c, ns in of.items():
-            held[c] = sum(self.left[n] for n in ns)
-        if not held.any():
-            return
-        ways = [p for p in patterns(top) if all(held[c] >= p.count(c) for c in p)]
+        for n, c in self.left.items():
+            held[-(-n // grain)] += c
+        ways = [p for p in patterns(top, top // SMALL) if all(held[c] >= p.count(c) for c in p)]
         if not ways:
-            return
+            return []
         rows = sorted({c for p in ways for c in p})
         row = {c: i for i, c in enumerate(rows)}
         a = np.zeros((len(rows), len(ways)))
@@ -168,28 +185,26 @@ class Plan:
                 a[row[c], j] += 1
         weight = 0.1 + 0.9 * np.array(rows) / top
         x = nnls(a * weight[:, None], held[rows] * weight)
-        for j in np.argsort(-x, kind="stable"):
-            count = int(x[j] + 0.5)
-            if not count:
-                break
-            self._repeat(ways[j], count, of)
+        return [(ways[j], float(x[j])) for j in np.argsort(-x, kind="stable") if x[j] > 0]
 
-    def _repeat(self, pattern: tuple[int, ...], count: int, of: dict[int, list[int]]) -> None:
-        while count:
+    def _repeat(self, pattern: tuple[int, ...], count: int, grain: int) -> None:
+        """Sequences of this pattern that exact lengths fill to the last token, at most ``count``."""
+        while count > 0:
             heads: list[int] = []
             want: dict[int, int] = {}
-            for c in pattern:
-                n = next((n for n in reversed(of[c]) if self.left[n] > want.get(n, 0)), None)
+            for k, c in enumerate(pattern):
+                last = k and k == len(pattern) - 1  # takes what the longer ones leave, whatever the class
+                choice = [self.seq_len - sum(heads)] if last else range(min(c * grain, self.seq_len), (c - 1) * grain, -1)
+                n = next((n for n in choice if self.left.get(n, 0) > want.get(n, 0)), None)
                 if n is None:
                     return
                 heads.append(n)
                 want[n] = want.get(n, 0) + 1
+            if sum(heads) < self.seq_len:
+                return
             m = min([count, *(self.left[n] // k for n, k in want.items())])
             self._open(heads, m)
             count -= m
-            for c in pattern:
-                while of[c] and not self.left[of[c][-1]]:
-                    of[c].pop()
 
     def _residuals(self) -> None:
         order = sorted(self.gaps)

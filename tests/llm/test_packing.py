@@ -52,6 +52,18 @@ def test_plans_are_whole_and_tight(h, grain):
     lower = -(-sum(n * c for n, c in h.items()) // 64)
     assert p.sequences >= lower
     assert p.sequences <= best_fit(h, 64) * 1.12 + 2
+    assert p.sequences <= best_fit(h, 64)
+
+
+def test_patterns_pay_on_given_lengths():
+    """Lengths of the kind the given tables hold: as few sequences as the tokens allow, a good part by patterns."""
+    rng = np.random.default_rng(8)
+    h = {}
+    for n in np.minimum(2048, rng.lognormal(6.3, 1.1, 12_000)).astype(int) + 1:
+        h[int(min(n, 2048))] = h.get(int(min(n, 2048)), 0) + 1
+    p = placed(h)
+    assert p.sequences == -(-sum(n * c for n, c in h.items()) // 2048)
+    assert p.by_pattern > 0.7 * p.sequences
 
 
 def test_plan_on_many_lengths():
@@ -62,6 +74,7 @@ def test_plan_on_many_lengths():
     p = placed(h)
     assert p.sequences <= -(-sum(n * c for n, c in h.items()) // 2048) * 1.005
     assert p.by_pattern > 0.8 * p.sequences
+    assert p.sequences <= best_fit(h, 2048)
 
 
 def test_nnls_equals_slow_solution():
@@ -117,3 +130,24 @@ def test_pieces_round_trip(spark, seq_len):
             at += n
         assert at <= seq_len
     assert P.pack(df.limit(0)).count() == 0
+
+
+def test_query_places_every_token_once(spark):
+    from bidscope.llm.queries import QUERIES
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["op10_pattern_packing"](spark, sf).collect()
+    want = {i: tokens(t) for i, t in texts.items()}
+    fill = {}
+    for r in got:
+        part = np.array(want[r.doc_id][r.start:r.start + r.length], dtype="<u4")
+        assert r.ids_crc32 == zlib.crc32(part.tobytes()) and len(part) == r.length
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sum(r.length for r in got) == sum(map(len, want.values()))
+    h = {}
+    for r in got:
+        h[r.length] = h.get(r.length, 0) + 1
+    assert len(fill) <= best_fit(h, 2048)
+    for parts in fill.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) <= 2048
