@@ -45,21 +45,19 @@ MIN_LENGTH, MIN_COUNT, RATIO, LETTER_LOST = 6, 5, 5, 199
 LONG = 64
 WORDS_A_BLOCK, BLOCKS_A_PASS = 16, 1 << 20
 WORDS_A_TASK = 8192
-_CELLS = 1 << 18  # letters of words that are edited at once
+_CELLS = 1 << 19  # edits made at once
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def lossy_words(doc_id: Column, text: Column, one_in: int = LETTER_LOST) -> Column:
-    """Array of a text's words; of about one in ``one_in`` different words of a document a letter is lost."""
-    prefix = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"))
-    low = F.filter(F.split(F.translate(text, *_AZ), _APART), lambda w: F.length(w) >= MIN_LENGTH)
-
-    def lost(w: Column) -> Column:
-        h = F.crc32(F.concat(prefix, w).cast("binary"))
-        at = (h % F.length(w)).cast("int")
-        return F.when(h % one_in == 0, F.concat(F.substring(w, F.lit(1), at), F.substring(w, at + 2, F.length(w)))).otherwise(w)
-    return F.transform(low, lost)
+def lossy_words(docs: DataFrame, one_in: int = LETTER_LOST) -> DataFrame:
+    """``(word)`` of the texts of ``docs(doc_id, text)``; of about one in ``one_in`` different words of a document a letter is lost."""
+    prefix = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"))
+    runs = docs.select(prefix.alias("prefix"), F.explode(F.split(F.translate("text", *_AZ), _APART)).alias("w")).where(F.length("w") >= MIN_LENGTH)
+    hashed_runs = runs.select("w", F.crc32(F.concat("prefix", "w").cast("binary")).alias("h"))
+    at = (F.col("h") % F.length("w")).cast("int")
+    less = F.concat(F.substring("w", F.lit(1), at), F.substring(F.col("w"), at + 2, F.length("w")))
+    return hashed_runs.select(F.when(F.col("h") % one_in == 0, less).otherwise(F.col("w")).alias("word"))
 
 
 def vocabulary(words: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT) -> DataFrame:
@@ -85,12 +83,12 @@ def _codes(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), -1).astype(np.uint64)
 
 
-def _groups(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, codes) of words of one length, a bounded number of letters at a time."""
+def _groups(words: list[str], cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, codes) of words of one length, about ``cells`` letters at a time."""
     size = np.array([len(w) for w in words], dtype=np.int64)
     for n in np.unique(size):
         own = np.flatnonzero(size == n)
-        step = max(1, _CELLS // int(n))
+        step = max(1, cells // int(n))
         for a in range(0, len(own), step):
             some = own[a:a + step]
             yield some, _codes([words[i] for i in some])
@@ -124,7 +122,7 @@ def hashed(vocab: DataFrame) -> DataFrame:
         for b in batches:
             words = b["word"].tolist()
             h = np.zeros(len(words), dtype=np.uint64)
-            for own, codes in _groups(words):
+            for own, codes in _groups(words, _CELLS):
                 h[own] = _mixed((codes * _powers(codes.shape[1])).sum(1, dtype=np.uint64))
             yield pd.DataFrame({"h": h.view(np.int64), "word": b["word"], "n": b["n"]})
 
@@ -166,10 +164,10 @@ class Probe:
         return left, h[left]
 
 
-def neighbours(words: list[str], alphabet: np.ndarray, probe: Probe) -> Iterator[pd.DataFrame]:
+def neighbours(words: list[str], alphabet: np.ndarray, probe: Probe) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """``(own, at, letter, edit)`` of all edits that the filters may hold: the word's place, that of the
-    code point deleted (empty letter) or replaced, and the edit's scrambled hash."""
-    for own, codes in _groups(words):
+    code point deleted (letter 0) or replaced (by the alphabet's letter, from 1), and the edit's scrambled hash."""
+    for own, codes in _groups(words, _CELLS // max(1, len(alphabet))):
         length = codes.shape[1]
         powers = _powers(length)
         terms = codes * powers
@@ -181,15 +179,31 @@ def neighbours(words: list[str], alphabet: np.ndarray, probe: Probe) -> Iterator
         apart[:, :-1] = codes[:, :-1] != codes[:, 1:]
         r, c = np.nonzero(apart)
         k, h = probe.hits(length - 1, deleted[r, c])
-        yield pd.DataFrame({"own": own[r[k]], "at": c[k], "letter": "", "edit": h})
-        for letter in alphabet:
-            r, c = np.nonzero(codes < letter)
-            k, h = probe.hits(length, whole[r] + (letter - codes[r, c]) * powers[c])
-            yield pd.DataFrame({"own": own[r[k]], "at": c[k], "letter": chr(int(letter)), "edit": h})
+        yield own[r[k]], c[k], np.zeros(len(k), dtype=np.int64), h
+        step = max(1, _CELLS // codes.size)  # a very long word takes some letters at a time
+        for a in range(0, len(alphabet), step):
+            letters = alphabet[a:a + step]
+            r, c, x = np.nonzero(codes[:, :, None] < letters)
+            k, h = probe.hits(length, whole[r] + (letters[x] - codes[r, c]) * powers[c])
+            yield own[r[k]], c[k], x[k] + a + 1, h
+
+
+def edited(word: Column, at: Column, letter: Column, alphabet: np.ndarray) -> Column:
+    """The word with a code point deleted (letter 0) or replaced."""
+    letters = F.array(*[F.lit(chr(x)) for x in [0, *alphabet.tolist()]])
+    return F.concat(F.substring(word, F.lit(1), at), F.when(letter > 0, F.get(letters, letter)).otherwise(""), F.substring(word, at + 2, F.length(word)))
 
 
-def edited(word: Column, at: Column, letter: Column) -> Column:
-    return F.concat(F.substring(word, F.lit(1), at), letter, F.substring(word, at + 2, F.length(word)))
+def _joined(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches put together to about ``rows`` rows."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def near_pairs(vocab: DataFrame, *, blocks_a_pass: int = BLOCKS_A_PASS) -> DataFrame:
@@ -213,13 +227,12 @@ def near_pairs(vocab: DataFrame, *, blocks_a_pass: int = BLOCKS_A_PASS) -> DataF
 
         def run(batches: Iterator[pd.DataFrame], share=share, low=low, high=high) -> Iterator[pd.DataFrame]:
             probe = Probe(blocks, low, high, np.frombuffer(share.value, dtype="<u4").reshape(-1, 8))
-            for b in batches:
+            for b in _joined(batches, WORDS_A_TASK):
                 h = b["h"].to_numpy()
-                for found in neighbours(b["word"].tolist(), alphabet, probe):
-                    if len(found):
-                        yield pd.DataFrame({"h": h[found["own"]], "at": found["at"], "letter": found["letter"], "edit": found["edit"].to_numpy().view(np.int64)})
+                for own, at, letter, edit in neighbours(b["word"].tolist(), alphabet, probe):
+                    yield pd.DataFrame({"h": h[own], "at": at, "letter": letter.astype(np.int32), "edit": edit.view(np.int64)})
 
-        found.append(stored(dealt.mapInPandas(run, "h long, at int, letter string, edit long"), "spelling-edits"))
+        found.append(stored(dealt.mapInPandas(run, "h long, at int, letter int, edit long"), "spelling-edits"))
         share.destroy()
     drop(filters)
     if not found:
@@ -229,7 +242,7 @@ def near_pairs(vocab: DataFrame, *, blocks_a_pass: int = BLOCKS_A_PASS) -> DataF
         edits = edits.unionByName(more)
     # positives without a word of their hash go; then the word itself decides, so equal hashes of different words do no harm
     known = again(keyed).select(F.col("h").alias("edit"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    pairs = edits.join(known, "edit").join(again(keyed), "h").where(F.col("other") == edited(F.col("word"), F.col("at"), F.col("letter")))
+    pairs = edits.join(known, "edit").join(again(keyed), "h").where(F.col("other") == edited(F.col("word"), F.col("at"), F.col("letter"), alphabet))
     out = stored(pairs.select("word", "n", "other", "other_n"), "spelling-pairs")
     drop(keyed, *found)
     return out
@@ -267,5 +280,4 @@ def variants(vocab: DataFrame, *, ratio: int = RATIO) -> DataFrame:
 
 def spelling_variants(docs: DataFrame) -> DataFrame:
     """``variants`` of the words of ``docs(doc_id, text)``, of which some lose a letter."""
-    words = docs.select(F.explode(lossy_words(F.col("doc_id"), F.col("text"))).alias("word"))
-    return variants(vocabulary(words))
+    return variants(vocabulary(lossy_words(docs)))
