@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import or_default
-from .hot_window import argmin_struct, split_rank
+from .hot_window import MAX_SPLITS, argmin_struct, split_rank
 
 UNKNOWN_SUPPLIER = "Unknown Supplier"
 
@@ -37,17 +37,17 @@ def item_comparison(quote_items: DataFrame) -> DataFrame:
         "portion", "packaging")
 
 
-def total_cost_summary(items: DataFrame, splits: int = 32) -> DataFrame:
+def total_cost_summary(items: DataFrame, splits: int = MAX_SPLITS) -> DataFrame:
     """Per (rfq, supplier): total in cents (NULL when no line has a total), savings
     against the cheapest supplier of the RFQ, and min-rank of the total.
 
-    Line totals are summed as decimals, so the order of addition never
-    matters. Shuffles: one partial/final aggregate on (rfq, supplier); rank is
+    Line totals are summed as decimals with eight places, so the order of
+    addition never matters and parts of a cent count; only the total is rounded. Shuffles: one partial/final aggregate on (rfq, supplier); rank is
     ``split_rank``, whose per-RFQ aggregate also yields the RFQ's minimum.
     """
-    cents = F.col("total_price").cast("decimal(20,2)")
+    exact = F.col("total_price").cast("decimal(30,8)")
     totals = items.groupBy("rfq_id", "supplier_name").agg(
-        F.sum(cents).cast("decimal(28,2)").alias("total_quoted_cost"))
+        F.round(F.sum(exact), 2).cast("decimal(28,2)").alias("total_quoted_cost"))
     ranked = split_rank(totals, ["rfq_id"], "total_quoted_cost", "rank", splits,
                         extra={"_min_total": F.min("total_quoted_cost")})
     return ranked.select(

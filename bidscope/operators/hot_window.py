@@ -7,12 +7,13 @@ the same ``rank()`` (method "min", ascending, NULL value -> NULL rank):
 1. rows are aggregated to (group, distinct value, count): tied values are one
    row from here on, however many rows share them;
 2. per group, approximate quantile boundaries of the distinct values
-   (``percentile_approx`` is a partial aggregate);
+   (``percentile_approx`` is a partial aggregate), as many as the group's size
+   asks for: none up to ``ROWS_A_SPLIT`` values, at most ``MAX_SPLITS``;
 3. each value's bucket = number of boundaries strictly below it, so every
    value in a lower bucket is strictly smaller; counts per (group, bucket)
    and an exclusive running sum over a group's buckets give the offset;
 4. rank = 1 + offset + the running count inside (group, bucket), a window
-   that holds about 1/splits of a group's distinct values; the rows join
+   that holds about ``ROWS_A_SPLIT`` of a group's distinct values; the rows join
    their (group, value).
 
 The boundaries are only used for balance, so their approximation never
@@ -26,8 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def split_rank(df: DataFrame, groups: Sequence[str], value: str, out: str = "rank",
-               splits: int = 32, extra: dict[str, Column] | None = None) -> DataFrame:
+ROWS_A_SPLIT, MAX_SPLITS = 8192, 1024
+
+
+def split_rank(df: DataFrame, groups: Sequence[str], value: str, out: str = "rank", splits: int = MAX_SPLITS,
+               extra: dict[str, Column] | None = None, rows_a_split: int = ROWS_A_SPLIT) -> DataFrame:
     """``extra``: more per-group aggregates over the distinct values (minimum,
     maximum; name -> Column), computed with the boundaries and attached to
     every row."""
@@ -36,7 +40,10 @@ def split_rank(df: DataFrame, groups: Sequence[str], value: str, out: str = "ran
     more = [c.alias(n) for n, c in (extra or {}).items()]
     per_value = df.groupBy(*groups, value).agg(F.count("*").alias("_sr_n"))
     bounds = per_value.groupBy(*groups).agg(
-        F.percentile_approx(value, fracs, 10000).alias("_sr_bounds"), *more)
+        F.percentile_approx(value, fracs, 10000).alias("_sr_bounds"), F.count(value).alias("_sr_values"), *more)
+    # every k-th boundary, so that the group's size decides the number of splits
+    step = F.ceil(F.lit(splits) * rows_a_split / F.greatest("_sr_values", F.lit(1))).cast("int")
+    bounds = bounds.withColumn("_sr_bounds", F.when(step < splits, F.filter("_sr_bounds", lambda b, i: (i + 1) % step == 0)).otherwise(F.slice("_sr_bounds", 1, 0))).drop("_sr_values")
     v = F.col(value)
     tagged = (per_value.filter(v.isNotNull()).join(bounds.select(*groups, "_sr_bounds"), groups)
               .withColumn("_sr_bucket", F.size(F.filter("_sr_bounds", lambda b: b < v))).drop("_sr_bounds"))

@@ -1,14 +1,21 @@
-"""Append-only record store: normalised records as parquet partitioned by
-``record_type`` (filters on the type prune partitions), with id / creation
-time defaults, an upsert view and a truncate."""
+"""Record store: normalised records in a versioned table, bucketed by id and
+partitioned by ``record_type`` (filters on the type prune partitions), with
+id / creation time defaults, append, upsert by id and truncate.
+
+A batch job and a stream write through the same commit (see ``versions``): a
+failed write leaves the version before it, and a repeated micro-batch adds
+nothing."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import BUCKETS, Table, newest_by
+
 # Length of the preview beside the whole text; default type.
 PREVIEW_CHARS = 5000
 DEFAULT_RECORD_TYPE = "document"
+EMPTY_SCHEMA = "id string, created_at timestamp, record_type string"
 
 
 def prepare_records(df: DataFrame) -> DataFrame:
@@ -32,46 +39,36 @@ def prepare_records(df: DataFrame) -> DataFrame:
     return out
 
 
-def append_records(df: DataFrame, path: str) -> None:
-    prepare_records(df).write.mode("append").partitionBy("record_type").parquet(path)
-
-
-EMPTY_SCHEMA = "id string, created_at timestamp, record_type string"
+def store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Table:
+    return Table(spark, path, "id", buckets=buckets, partition_by=("record_type",))
 
 
-def _fs_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def append_records(df: DataFrame, path: str, stream: tuple[str, int] | None = None) -> None:
+    """Add records, whatever their ids."""
+    store(df.sparkSession, path).append(prepare_records(df), stream=stream)
 
 
-def _has_data(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs_path(spark, path)
-    return fs.exists(p) and any(not st.getPath().getName().startswith(("_", "."))
-                                for st in fs.listStatus(p))
+def upsert_records(df: DataFrame, path: str, stream: tuple[str, int] | None = None) -> None:
+    """Keep the newest record of each id, of those stored and those given;
+    only the buckets of the given ids are rewritten."""
+    store(df.sparkSession, path).upsert(prepare_records(df), latest_by_id, stream=stream)
 
 
 def list_records(spark: SparkSession, path: str, record_type: str | None = None) -> DataFrame:
     """All records, or those of one type (a partition filter: only that
-    type's folder is read). An empty store reads as no rows."""
-    if not _has_data(spark, path):
+    type's folders are read). An empty store reads as no rows."""
+    df = store(spark, path).read()
+    if df is None:
         return spark.createDataFrame([], EMPTY_SCHEMA)
-    df = spark.read.parquet(path)
     return df.filter(F.col("record_type") == record_type) if record_type else df
 
 
 def latest_by_id(df: DataFrame) -> DataFrame:
-    """Upsert view: the newest version of each id (a window per id, whose
-    size is the number of writes of that id). Versions of the same instant
-    are ordered by a digest of their content."""
-    rest = [F.col(c) for c in sorted(df.columns) if c not in ("id", "created_at")]
-    w = Window.partitionBy("id").orderBy(F.col("created_at").desc(), F.xxhash64(*rest))
-    return df.withColumn("_v", F.row_number().over(w)).filter("_v = 1").drop("_v")
+    """The newest version of each id; versions of the same instant are
+    ordered by a digest of their content."""
+    return newest_by("id", F.col("created_at"))(df)
 
 
 def delete_all_records(spark: SparkSession, path: str) -> None:
-    """Empty the store (the table's folder is removed; later appends
-    recreate it)."""
-    fs, p = _fs_path(spark, path)
-    if fs.exists(p):
-        fs.delete(p, True)
+    """Empty the store: a version without rows; ``vacuum`` removes the files."""
+    store(spark, path).clear()

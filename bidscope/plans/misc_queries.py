@@ -10,6 +10,7 @@ from ..sources import derived_text as dt
 from ..sources import ingest
 from ..sources import star_adapter as star
 from ..sources.tables import read_table
+from ..streaming.incremental import records_stream
 from .queries import QUERIES, _gaps, query
 
 def _langs():
@@ -72,6 +73,36 @@ def q_records_roundtrip(spark, d):
         F.col("created_at").isNotNull().alias("has_time"))
 
 
+def _versions(df, column, version, text):
+    """Records under stable ids, with a time that grows with ``version``."""
+    at = F.to_timestamp(F.lit("2026-01-01 00:00:00")) + F.expr(f"INTERVAL {version} DAYS")
+    return df.select(F.concat_ws("-", "record_type", column).alias("id"), at.alias("created_at"), "record_type", text.alias("raw_text"))
+
+
+@query("records_upsert")
+def q_records_upsert(spark, d):
+    """One store, four writers: quotations stream in as one version, RFQs are
+    appended, a stream and a batch upsert newer and older versions; read back
+    whole, each id once with its newest text."""
+    path, new = scratch(spark, "records"), F.concat(F.lit("revised: "), "raw_text")
+    both = _record_batch(spark, d).select("record_type", F.col("doc_id").cast("string").alias("q"), F.col("rfq_key").alias("r"), "raw_text")
+    quotes, rfqs = both.where("record_type = 'quotation'"), both.where("record_type = 'rfq'")
+    schema = "id string, created_at timestamp, record_type string, raw_text string"
+
+    def streamed(rows, upsert):
+        landing = scratch(spark, "landing")
+        rows.write.parquet(landing)
+        records_stream(spark, landing, path, scratch(spark, "checkpoint"), schema, upsert=upsert).awaitTermination()
+
+    streamed(_versions(quotes, "q", 1, F.col("raw_text")), upsert=False)
+    records.append_records(_versions(rfqs, "r", 1, F.col("raw_text")), path)
+    streamed(_versions(rfqs.where("substr(r, -1) in ('1', '3')"), "r", 5, new), upsert=True)
+    records.upsert_records(_versions(quotes.where("q % 3 = 0"), "q", 2, new), path)
+    records.upsert_records(_versions(quotes.where("q % 3 <> 2"), "q", 0, F.lit("older")), path)
+    got = records.list_records(spark, path)
+    return got.select("id", "record_type", "raw_text", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+
+
 @query("records_by_type")
 def q_records_by_type(spark, d):
     path = _written(spark, d)

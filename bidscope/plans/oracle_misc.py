@@ -76,6 +76,19 @@ UNION ALL
 SELECT 'rfq', NULL, rfq_id, concat_ws({NL}, 'RFQ Ref: ' || rfq_ref, 'Deadline: ' || deadline_date), 36, true FROM rfq
 """)
 
+sql("records_upsert", "rfq", "kv_docs")(f"""
+SELECT 'quotation-' || {v('doc_id')} AS id, 'quotation' AS record_type,
+       CASE WHEN doc_id % 3 = 0 THEN 'revised: ' ELSE '' END || raw_text AS raw_text,
+       CASE WHEN doc_id % 3 = 0 THEN '2026-01-03' ELSE '2026-01-02' END AS day
+FROM kv_docs
+UNION ALL
+SELECT 'rfq-' || rfq_id, 'rfq',
+       CASE WHEN right(rfq_id, 1) IN ('1', '3') THEN 'revised: ' ELSE '' END
+       || concat_ws({NL}, 'RFQ Ref: ' || rfq_ref, 'Deadline: ' || deadline_date),
+       CASE WHEN right(rfq_id, 1) IN ('1', '3') THEN '2026-01-06' ELSE '2026-01-02' END
+FROM rfq
+""")
+
 sql("records_by_type", "kv_head")("""
 SELECT h.doc_id, 'quotation' AS record_type, supplier_name, quotation_ref, rfq_ref, deadline_date,
        delivery_terms, delivery_lead_time_days, payment_terms, warranty,

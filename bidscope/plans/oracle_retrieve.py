@@ -87,3 +87,12 @@ sql("embed_topk")("""
 SELECT item_id, 6 AS n_hits, '1,2,3,4,5,6' AS ranks, true AS ascending FROM benchmark
 """)
 
+_EVERY = f"(SELECT doc_id, text FROM documents UNION ALL SELECT -item_id - 1, text FROM benchmark) WHERE {strip('text')} <> ''"
+
+sql("index_versions")(f"""
+SELECT doc_id, true AS chunks_ok, 0 AS uncovered, true AS chunks_once, true AS old_kept FROM {_EVERY}
+""")
+
+sql("index_statistics")(f"SELECT doc_id, true AS same FROM {_EVERY}")
+
+sql("approx_topk")("SELECT item_id, 6 AS n_hits, 6 AS last_rank, true AS recall_reached FROM benchmark")

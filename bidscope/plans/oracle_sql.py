@@ -22,7 +22,8 @@ SELECT p_brand AS rfq_id, s_suppkey AS quote_seq, s_name AS supplier_name,
        l_quantity AS quantity, 'pcs' AS unit,
        CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN NULL
             ELSE floor(l_extendedprice / l_quantity * 100) / 100 END AS unit_price,
-       CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_extendedprice END AS total_price,
+       CASE WHEN l_returnflag = 'A' THEN NULL WHEN l_linenumber = 7 THEN l_extendedprice + 0.004
+            ELSE l_extendedprice END AS total_price,
        CASE WHEN l_linestatus = 'O' THEN NULL ELSE p_type END AS portion,
        CASE WHEN l_discount = 0 THEN NULL ELSE 'Box of ' || CAST(p_size AS VARCHAR) END AS packaging
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
@@ -64,7 +65,7 @@ FROM (SELECT DISTINCT p_brand AS rfq_id,
 """)
 
 cte("totals", "items")("""
-SELECT rfq_id, supplier_name, CAST(sum(CAST(total_price AS DECIMAL(20,2))) AS DOUBLE) AS total_quoted_cost
+SELECT rfq_id, supplier_name, CAST(round(sum(CAST(total_price AS DECIMAL(30,8))), 2) AS DOUBLE) AS total_quoted_cost
 FROM items GROUP BY rfq_id, supplier_name
 """)
 

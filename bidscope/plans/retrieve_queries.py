@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunking, index_store, retrieve
+from ..operators import approx, chunking, index_store, retrieve
 from ..session import scratch
 from ..sources.tables import read_table
 from .queries import query
@@ -103,3 +103,69 @@ def q_index_append(spark, d):
     every = docs.select("doc_id", "raw_text").unionByName(extra.select("doc_id", "raw_text"))
     return _covered(index, every).join(sizes, "doc_id").select(
         "doc_id", "source", "dims", (F.col("ids") == F.col("n")).alias("ids_differ"), "chunks_ok", "uncovered")
+
+
+def _passages(spark, d):
+    return read_table(spark, d, "benchmark", "item_id", "text").select(
+        (-F.col("item_id") - 1).alias("doc_id"), F.col("text").alias("raw_text"), F.lit("benchmark").alias("source"))
+
+
+@query("index_versions")
+def q_index_versions(spark, d):
+    """The index over its versions: built, kept through a build without text,
+    appended to twice, compacted, read back; per document its chunks are whole
+    and each is there once."""
+    path, docs, extra = scratch(spark, "chunk_index"), _docs(spark, d), _passages(spark, d)
+    embed = retrieve.letter_profile("text")
+    index_store.build_index(docs, embed, path)
+    kept = True
+    try:
+        index_store.build_index(docs.withColumn("raw_text", F.lit(" ")), embed, path)
+        kept = False
+    except ValueError:
+        pass
+    odd = F.col("doc_id") % 2 != 0
+    index_store.add_documents(extra.where(odd), embed, path)
+    index_store.add_documents(extra.where(~odd), embed, path)
+    index_store.compact_index(spark, path, most=1)
+    index = index_store.load_index(spark, path)
+    once = index.groupBy("doc_id").agg((F.count_distinct("chunk_id") == F.count("*")).alias("chunks_once"))
+    every = docs.select("doc_id", "raw_text").unionByName(extra.select("doc_id", "raw_text"))
+    return _covered(index, every).join(once, "doc_id").select("doc_id", "chunks_ok", "uncovered", "chunks_once", F.lit(kept).alias("old_kept"))
+
+
+@query("index_statistics")
+def q_index_statistics(spark, d):
+    """Term weights of an index built at once and of one that grew by appends:
+    per document, whether every chunk has the same vector in both, of length 1
+    (or 0 for a chunk without words)."""
+    docs, extra, count = _docs(spark, d), _passages(spark, d), index_store.TermCounts(256)
+    every = docs.select("doc_id", "raw_text", "source").unionByName(extra)
+    whole, grown = scratch(spark, "index_whole"), scratch(spark, "index_grown")
+    index_store.build_index(every, count, whole)
+    index_store.build_index(docs, count, grown)
+    index_store.add_documents(extra.where("doc_id % 2 = 0"), count, grown)
+    index_store.add_documents(extra.where("doc_id % 2 <> 0"), count, grown)
+    a, b = (index_store.load_index(spark, p).select("doc_id", "chunk_index", F.col("embedding").alias(n)) for p, n in ((whole, "a"), (grown, "b")))
+    length = F.aggregate("a", F.lit(0.0), lambda s, x: s + x * x)
+    same = F.coalesce((F.col("a") == F.col("b")) & ((F.abs(length - 1) < 1e-9) | (length == 0)), F.lit(False))
+    return a.join(b, ["doc_id", "chunk_index"], "full").groupBy("doc_id").agg(F.min(same).alias("same"))
+
+
+@query("approx_topk")
+def q_approx_topk(spark, d):
+    """Benchmark passages against the chunks of all documents through the
+    bucket index, beside the exact search: per passage its number of hits,
+    and whether all passages together find at least nine tenths."""
+    embed = retrieve.letter_profile("text")
+    path = scratch(spark, "chunks")
+    embed(chunking.chunk_fixed(_docs(spark, d))).select("doc_id", "chunk_index", "embedding").write.parquet(path)
+    chunks, ids = spark.read.parquet(path), ["doc_id", "chunk_index"]
+    qs = embed(read_table(spark, d, "benchmark", "item_id", "text")).select(F.col("item_id").alias("query_id"), "embedding")
+    index = approx.build_buckets(chunks, scratch(spark, "buckets"), ids, rows_a_bucket=256)
+    found = approx.approx_topk(qs, index)
+    common = approx.measured_recall(found, retrieve.similarity_topk(qs, chunks, corpus_id=ids), ids)
+    share = common.agg((F.sum("n_common") >= 0.9 * F.sum("n_exact")).alias("recall_reached"))
+    hits = found.groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").cast("int").alias("n_hits"), F.max("rank").alias("last_rank"))
+    one = F.lit(1).alias("one")
+    return hits.select("*", one).join(share.select("*", one), "one").drop("one")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import shared_dir
 
 _INPUTS = ("lineitem", "part", "supplier")
+LAYOUT = "2"  # changes with the derived columns, so that no older table is read
 
 
 def _fs(spark: SparkSession, path: str):
@@ -31,7 +32,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _key(spark: SparkSession, sf_dir: str) -> str:
-    h = hashlib.sha1()
+    h = hashlib.sha1(LAYOUT.encode())
     for t in _INPUTS:
         path = f"{sf_dir.rstrip('/')}/{t}.parquet"
         fs, p = _fs(spark, path)

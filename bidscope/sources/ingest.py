@@ -1,10 +1,9 @@
 """File ingest: land uploaded files, classify them, decode workbooks and
 Word files into long cell / text tables, assemble extracted PDF pages.
 
-Bytes are read by Spark's ``binaryFile`` source; decoding runs per file in
-``mapInPandas`` with the standard library (zip + XML), so files are decoded
-in parallel on the executors, and a file's rows leave the task before the
-next one is read. Every landed file ends in exactly one place: decoded,
+Bytes are read by Spark's ``binaryFile`` source, whatever the store; decoding
+runs in ``mapInPandas`` with the standard library (zip + XML). A workbook is
+split into its sheets, which are decoded in tasks of their own, row by row. Every landed file ends in exactly one place: decoded,
 covered by given PDF pages, or in quarantine with a reason (no decoder for
 the type, or broken content).
 """
@@ -14,6 +13,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from datetime import datetime, time, timedelta
 from typing import Iterator
 from xml.etree import ElementTree as ET
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col_, strip
-from ..session import ship_package
+from ..session import scratch, ship_package
 
 # Suffix -> document type.
 FILE_TYPES = {".xlsx": "excel", ".xls": "excel", ".xlsm": "excel",
@@ -144,68 +144,171 @@ def _date_text(serial: str, from_1904: bool) -> str:
     return str(at.date()) if at.time() == time() else str(at)
 
 
-def _xlsx_cells(data: bytes):
-    """Yield (sheet_no, sheet_name, row, col, text) for every non-empty cell.
-    Dates are ISO text, booleans True / False; a cell without a place follows
-    the one before it."""
+def _packed(z: zipfile.ZipFile, name: str) -> bytes:
+    """A member's bytes, compressed, a block at a time."""
+    out, pack = [], zlib.compressobj(1)
+    with z.open(name) as f:
+        while block := f.read(1 << 16):
+            out.append(pack.compress(block))
+    return b"".join([*out, pack.flush()])
+
+
+def _elements(packed: bytes, tag: str) -> Iterator[ET.Element]:
+    """Whole elements of this tag in order; each leaves memory when the next is asked for."""
+    parser, unpack, above, depth = ET.XMLPullParser(events=("start", "end")), zlib.decompressobj(), [], 0
+    for a in range(0, len(packed) + 1, 1 << 14):
+        block = unpack.decompress(packed[a:a + (1 << 14)]) if a < len(packed) else unpack.flush()
+        parser.feed(block)
+        if a + (1 << 14) > len(packed):
+            parser.close()
+        for event, el in parser.read_events():
+            if event == "start":
+                above.append(el)
+                depth += el.tag == tag
+                continue
+            above.pop()
+            if el.tag == tag:
+                depth -= 1
+                yield el
+            if not depth and above:
+                above[-1].remove(el)
+
+
+def _workbook_parts(data: bytes) -> Iterator[tuple]:
+    """(part number, sheet name, styles that show dates, whether days count from 1904, packed XML): the
+    sheets in order, and the shared strings as part -1."""
     z = zipfile.ZipFile(io.BytesIO(data))
-    tag = f"{{{_NS['m']}}}"
-    shared = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-            shared.append("".join(t.text or "" for t in si.iter(f"{tag}t")))
-    dates = _date_styles(z)
+    dates = sorted(_date_styles(z))
     rels = {r.get("Id"): r.get("Target") for r in
             ET.fromstring(z.read("xl/_rels/workbook.xml.rels")).findall("rel:Relationship", _NS)}
     wb = ET.fromstring(z.read("xl/workbook.xml"))
     props = wb.find("m:workbookPr", _NS)
     from_1904 = props is not None and props.get("date1904") in ("1", "true")
+    if "xl/sharedStrings.xml" in z.namelist():
+        yield -1, None, dates, from_1904, _packed(z, "xl/sharedStrings.xml")
     for sheet_no, sh in enumerate(wb.find("m:sheets", _NS).findall("m:sheet", _NS)):
         target = rels[sh.get(f"{{{_NS['r']}}}id")].lstrip("/")
         target = target if target.startswith("xl/") else posixpath.join("xl", target)
-        row = 0
-        for r in ET.fromstring(z.read(target)).iter(f"{tag}row"):
-            row = int(r.get("r") or row + 1)
-            col = 0
-            for c in r.findall("m:c", _NS):
-                ref, t = c.get("r"), c.get("t")
-                col = _col_index(ref) if ref else col + 1
-                if t == "inlineStr":
-                    text = "".join(x.text or "" for x in c.iter(f"{tag}t"))
-                else:
-                    v = c.find("m:v", _NS)
-                    if v is None or v.text is None:
-                        continue
-                    text = v.text
-                    if t == "s":
-                        text = shared[int(text)]
-                    elif t == "b":
-                        text = "True" if text in ("1", "true") else "False"
-                    elif t in (None, "n") and int(c.get("s") or 0) in dates:
-                        text = _date_text(text, from_1904)
-                yield sheet_no, sh.get("name"), row, col, text
+        yield sheet_no, sh.get("name"), dates, from_1904, _packed(z, target)
+
+
+def _shared_strings(packed: bytes) -> Iterator[tuple]:
+    """(number, text) of each shared string."""
+    tag = f"{{{_NS['m']}}}"
+    for n, si in enumerate(_elements(packed, f"{tag}si")):
+        yield n, "".join(t.text or "" for t in si.iter(f"{tag}t"))
+
+
+def _sheet_cells(packed: bytes, dates: set[int], from_1904: bool) -> Iterator[tuple]:
+    """(row, col, text, number of a shared string) for every non-empty cell. Dates are ISO text, booleans
+    True / False; a cell without a place follows the one before it."""
+    tag = f"{{{_NS['m']}}}"
+    row = 0
+    for r in _elements(packed, f"{tag}row"):
+        row = int(r.get("r") or row + 1)
+        col = 0
+        for c in r.findall("m:c", _NS):
+            ref, t = c.get("r"), c.get("t")
+            col = _col_index(ref) if ref else col + 1
+            if t == "inlineStr":
+                yield row, col, "".join(x.text or "" for x in c.iter(f"{tag}t")), None
+                continue
+            v = c.find("m:v", _NS)
+            if v is None or v.text is None:
+                continue
+            text = v.text
+            if t == "s":
+                yield row, col, None, int(text)
+                continue
+            if t == "b":
+                text = "True" if text in ("1", "true") else "False"
+            elif t in (None, "n") and int(c.get("s") or 0) in dates:
+                text = _date_text(text, from_1904)
+            yield row, col, text, None
 
 
 CELL_SCHEMA = "doc_id string, table_no int, sheet string, row_no long, col_no int, value string, error string"
-_CELL_COLUMNS = ["doc_id", "table_no", "sheet", "row_no", "col_no", "value", "error"]
 
 
-def _decode_xlsx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One frame per file: its cells, or one row with the error that broke it."""
+_PART_SCHEMA = "doc_id string, table_no int, sheet string, dates array<int>, from_1904 boolean, part binary, error string"
+_DECODED_SCHEMA = "doc_id string, table_no int, sheet string, row_no long, col_no int, value string, shared long, error string"
+_ROWS_A_FRAME = 10_000
+
+
+def _split_workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each sheet and each table of shared strings, or one with the error that broke the file."""
     for b in batches:
         for path, content in zip(b["path"], b["content"]):
             try:
-                rows = [(path, sn, name, r, c, v, None) for sn, name, r, c, v in _xlsx_cells(bytes(content))]
+                for n, name, dates, from_1904, part in _workbook_parts(bytes(content)):
+                    yield pd.DataFrame({"doc_id": [path], "table_no": [n], "sheet": [name], "dates": [dates], "from_1904": [from_1904], "part": [part], "error": [None]})
             except Exception as x:  # whatever malformed content raises, the file goes to quarantine
-                rows = [(path, None, None, None, None, None, f"{type(x).__name__}: {x}")]
-            yield pd.DataFrame(rows, columns=_CELL_COLUMNS).astype({"table_no": "Int32", "row_no": "Int64", "col_no": "Int32"})
+                yield pd.DataFrame({"doc_id": [path], "table_no": [-2], "sheet": [None], "dates": [None], "from_1904": [None], "part": [None], "error": [f"{type(x).__name__}: {x}"]})
+
+
+def _decode_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells and shared strings (table -1) of the parts, some thousand rows at a time."""
+    names = ["row_no", "col_no", "value", "shared"]
+
+    def frame(own, rows, error=None):
+        out = pd.DataFrame(rows, columns=names).astype({"row_no": "Int64", "col_no": "Int32", "shared": "Int64"})
+        out.insert(0, "doc_id", own[0])
+        out.insert(1, "table_no", own[1])
+        out.insert(2, "sheet", own[2])
+        return out.assign(error=error)
+
+    for b in batches:
+        for path, n, name, dates, from_1904, part, error in b.itertuples(index=False, name=None):
+            own, rows = (path, n, name), []
+            if error is not None:
+                yield frame(own, [(None, None, None, None)], error)
+                continue
+            try:
+                cells = ((None, None, t, k) for k, t in _shared_strings(part)) if n < 0 else _sheet_cells(part, set(dates), from_1904)
+                for row in cells:
+                    rows.append(row)
+                    if len(rows) == _ROWS_A_FRAME:
+                        yield frame(own, rows)
+                        rows = []
+                yield frame(own, rows)
+            except Exception as x:  # cells that came before it are dropped with the file
+                yield frame(own, [(None, None, None, None)], f"{type(x).__name__}: {x}")
+
+
+def _decoded_workbooks(files: DataFrame, path: str) -> DataFrame:
+    """Cells of .xlsx/.xlsm files, or a row with the error of each broken one (``CELL_SCHEMA``).
+
+    A file is split into its sheets where its bytes are; each sheet is then
+    decoded in a task of its own, row by row, and the decoded table is written
+    below ``path``. Shared strings meet their cells by a join, so no task
+    holds a sheet's rows or a workbook's strings.
+    """
+    spark = files.sparkSession
+    ship_package(spark)
+    x = files.filter(file_suffix("path").isin(".xlsx", ".xlsm")).select("path", "content")
+    parts = x.mapInPandas(_split_workbooks, _PART_SCHEMA)
+    parts.write.mode("overwrite").parquet(f"{path}/parts")
+    parts = spark.read.schema(_PART_SCHEMA).parquet(f"{path}/parts")
+    tasks = max(1, parts.count())
+    dealt = parts.repartition(tasks, "doc_id", "table_no")
+    dealt.mapInPandas(_decode_parts, _DECODED_SCHEMA).write.mode("overwrite").parquet(f"{path}/decoded")
+    rows = spark.read.schema(_DECODED_SCHEMA).parquet(f"{path}/decoded")
+    strings = rows.filter("table_no = -1 AND error IS NULL").select("doc_id", "shared", F.col("value").alias("_text"))
+    broken = rows.filter("error IS NOT NULL").groupBy("doc_id").agg(F.min("error").alias("error"))
+    cells = rows.filter("table_no >= 0 AND error IS NULL").join(strings, ["doc_id", "shared"], "left")
+    # a cell whose shared string is not there breaks its file, like any malformed content
+    missing = cells.filter("shared IS NOT NULL AND _text IS NULL").groupBy("doc_id").agg(F.concat(F.lit("IndexError: no shared string "), F.min("shared").cast("string")).alias("error"))
+    broken = broken.unionByName(missing).groupBy("doc_id").agg(F.min("error").alias("error"))
+    good = cells.join(broken.select("doc_id"), "doc_id", "left_anti").select("doc_id", "table_no", "sheet", "row_no", "col_no", F.coalesce("value", "_text").alias("value"), "error")
+    none = F.lit(None)
+    bad = broken.select("doc_id", none.cast("int").alias("table_no"), none.cast("string").alias("sheet"), none.cast("long").alias("row_no"),
+                        none.cast("int").alias("col_no"), none.cast("string").alias("value"), "error")
+    return good.unionByName(bad)
 
 
 def workbook_cells(files: DataFrame) -> DataFrame:
     """Raw sheet cells of .xlsx/.xlsm files (1-based sheet rows)."""
-    ship_package(files.sparkSession)
-    x = files.filter(file_suffix("path").isin(".xlsx", ".xlsm")).select("path", "content")
-    return x.mapInPandas(_decode_xlsx, CELL_SCHEMA).filter("error IS NULL").drop("error")
+    return _decoded_workbooks(files, scratch(files.sparkSession, "workbooks")).filter("error IS NULL").drop("error")
 
 
 def sheet_table(cells: DataFrame) -> DataFrame:
@@ -313,9 +416,11 @@ def assemble_pages(pages: DataFrame, name_col: str = "name") -> DataFrame:
 
 
 def page_cells(pages: DataFrame) -> DataFrame:
-    """The tables of extracted pages as ``doc_cells`` (tables in page order)."""
+    """The tables of extracted pages as ``doc_cells``; a table's number is its
+    page's (upper 32 bits) and its own on that page, so numbers never meet."""
     t = pages.filter(F.col("tables").isNotNull()).select("doc_id", "page_no", F.posexplode("tables").alias("t", "rows"))
-    r = t.select("doc_id", (F.col("page_no") * 10000 + F.col("t")).cast("int").alias("table_no"), F.posexplode("rows").alias("row_no", "row"))
+    number = F.shiftleft(F.col("page_no").cast("long"), 32) + F.col("t")
+    r = t.select("doc_id", number.alias("table_no"), F.posexplode("rows").alias("row_no", "row"))
     return r.select("doc_id", "table_no", F.col("row_no").cast("long").alias("row_no"), F.posexplode("row").alias("c", "value")).select(
         "doc_id", "table_no", "row_no", (F.col("c") + 1).cast("int").alias("col_no"), "value")
 
@@ -351,15 +456,16 @@ def decode_files(files: DataFrame, out_dir: str, xlsx_decoder=None, docx_decoder
     The written tables cut the lineage: the many later reads of the cells
     (routing, header maps, items) scan the stored table instead of
     re-decoding the files, and a lost executor never forces a re-decode.
-    ``xlsx_decoder`` / ``docx_decoder`` replace the built-in ``mapInPandas``
-    bodies (same input columns and output schema), e.g. to plug in another
-    parser.
+    ``xlsx_decoder`` / ``docx_decoder`` replace the built-in decoders by a
+    ``mapInPandas`` body over whole files (output: ``CELL_SCHEMA`` /
+    ``WORD_SCHEMA``), e.g. to plug in another parser.
     """
     spark = files.sparkSession
     ship_package(spark)
     out = out_dir.rstrip("/")
     xl = files.filter(file_suffix("path").isin(".xlsx", ".xlsm")).select("path", "content")
-    xl.mapInPandas(xlsx_decoder or _decode_xlsx, CELL_SCHEMA).write.mode("overwrite").parquet(f"{out}/sheet_cells")
+    decoded = xl.mapInPandas(xlsx_decoder, CELL_SCHEMA) if xlsx_decoder else _decoded_workbooks(files, f"{out}/workbooks")
+    decoded.write.mode("overwrite").parquet(f"{out}/sheet_cells")
     x = files.filter(file_suffix("path") == ".docx").select("path", "name", "content")
     x.mapInPandas(docx_decoder or _decode_docx, WORD_SCHEMA).write.mode("overwrite").parquet(f"{out}/word_parts")
     sheets, w = spark.read.parquet(f"{out}/sheet_cells"), spark.read.parquet(f"{out}/word_parts")
@@ -367,7 +473,7 @@ def decode_files(files: DataFrame, out_dir: str, xlsx_decoder=None, docx_decoder
     columns = ["doc_id", "table_no", "row_no", "col_no", "value"]
     text = sheet_text(raw, files).unionByName(
         w.filter("kind = 'text'").select("doc_id", F.lit("docx").alias("file_type"), "raw_text"))
-    cells = sheet_table(raw).select(columns).unionByName(w.filter("kind = 'cell'").select(columns))
+    cells = sheet_table(raw).select(columns).unionByName(w.filter("kind = 'cell'").select(columns)).withColumn("table_no", F.col("table_no").cast("long"))
     if pages is not None:
         text = text.unionByName(assemble_pages(pages))
         if "tables" in pages.columns:

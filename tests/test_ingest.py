@@ -113,3 +113,86 @@ def test_sheet_table_drops_empty_rows_and_columns(spark, tmp_path):
     t = ingest.sheet_table(ingest.workbook_cells(files))
     rows = sorted((r.row_no, r.col_no, r.value) for r in t.collect())
     assert rows == [(0, 1, "Item"), (0, 3, "Qty"), (1, 1, "Bolt"), (1, 3, "4"), (2, 1, "Nut"), (2, 3, "  ")]
+
+
+def _sheets(path, sheets, shared=()):
+    ids = range(1, len(sheets) + 1)
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    _zip(path, {"xl/workbook.xml": f'<workbook xmlns="{_M}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="S{i}" sheetId="{i}" r:id="r{i}"/>' for i in ids) + "</sheets></workbook>",
+                "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in ids) + "</Relationships>",
+                "xl/sharedStrings.xml": f'<sst xmlns="{_M}">' + "".join(f"<si><r><t>{s}</t></r></si>" for s in shared) + "</sst>",
+                **{f"xl/worksheets/s{i}.xml": f'<worksheet xmlns="{_M}"><sheetData>{rows}</sheetData></worksheet>' for i, rows in zip(ids, sheets)}})
+
+
+def test_sheets_of_a_workbook_are_decoded_in_tasks_of_their_own(spark, tmp_path):
+    n = 25_000
+    _sheets(tmp_path / "big.xlsx", ["".join(f'<row r="{r}"><c r="A{r}"><v>{r * k}</v></c><c r="C{r}" t="s"><v>{r % 3}</v></c></row>' for r in range(1, n + 1)) for k in (1, 2)] + [""], ["x", "y", "z"])
+    _sheets(tmp_path / "bad.xlsx", ['<row r="1"><c r="A1"><v>1</v></c></row>', '<row r="1"><c r="A1"><v>1</v></c></row><row'])
+    _sheets(tmp_path / "lost.xlsx", ['<row r="1"><c r="A1" t="s"><v>9</v></c><c r="B1"><v>1</v></c></row>'], ["only"])
+    files = ingest.land(spark, str(tmp_path) + "/*")
+    out = str(tmp_path / "decoded")
+    got = ingest._decoded_workbooks(files, out)
+    cells = {(r.table_no, r.row_no, r.col_no): r.value for r in got.filter("error IS NULL").collect()}
+    assert cells == {(k - 1, r, c): v for k in (1, 2) for r in range(1, n + 1) for c, v in ((1, str(r * k)), (3, "xyz"[r % 3]))}
+    errors = {os.path.basename(r.doc_id): r.error for r in got.filter("error IS NOT NULL").collect()}
+    assert set(errors) == {"bad.xlsx", "lost.xlsx"} and "ParseError" in errors["bad.xlsx"] and "IndexError" in errors["lost.xlsx"]
+    by_file = spark.read.parquet(f"{out}/decoded").filter("doc_id LIKE '%big.xlsx' AND table_no >= 0").groupBy(F.input_file_name().alias("f")).agg(F.collect_set("table_no").alias("t")).collect()
+    assert sorted(r.t for r in by_file) == [[0], [1]]  # each sheet in a file, so in a task, of its own
+
+
+def test_a_sheet_is_read_row_by_row(tmp_path):
+    import tracemalloc
+    peaks = []
+    for n in (2_000, 40_000):
+        _sheets(tmp_path / "one.xlsx", ["".join(f'<row r="{r}"><c r="A{r}"><v>{r}</v></c></row>' for r in range(1, n + 1))])
+        (part,) = [p for k, *_, p in ingest._workbook_parts((tmp_path / "one.xlsx").read_bytes()) if k == 0]
+        tracemalloc.start()
+        assert sum(1 for _ in ingest._sheet_cells(part, set(), False)) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0]
+
+
+def test_page_tables_have_numbers_of_their_own(spark):
+    pages = spark.createDataFrame([("d", 0, [[["a"]]] * 10_001), ("d", 1, [[["b"]]]), ("d", 214_749, [[["c"]]])], "doc_id string, page_no int, tables array<array<array<string>>>")
+    got = ingest.page_cells(pages.withColumn("text", F.lit("")))
+    assert got.select("table_no").distinct().count() == 10_003
+    assert [r.value for r in got.orderBy("table_no").collect()][-2:] == ["b", "c"]
+
+
+def test_landing_stream_picks_the_winners_of_the_batch(spark, tmp_path):
+    from bidscope.streaming.incremental import land_stream, landed
+    drop, store, check = tmp_path / "drop", str(tmp_path / "store"), str(tmp_path / "check")
+    unit = F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1)
+
+    def upload(rfq, upload_id, name, text):
+        (drop / rfq / upload_id).mkdir(parents=True)
+        (drop / rfq / upload_id / name).write_bytes(text)
+        time.sleep(1.05)
+
+    def run():
+        land_stream(spark, str(drop) + "/*/*/*", store, check, unit=unit, files_a_batch=1).awaitTermination()
+        want = ingest.land(spark, str(drop) + "/*/*/*", unit=unit)
+        assert sorted((r.path, r.name, r.file_type, bytes(r.content)) for r in landed(spark, store).collect()) == sorted((r.path, r.name, r.file_type, bytes(r.content)) for r in want.collect())
+        return {bytes(r.content) for r in landed(spark, store).collect()}
+
+    assert landed(spark, store) is None
+    upload("r1", "u1", "Quotation.pdf", b"one")
+    upload("r2", "u2", "Quotation.pdf", b"two")
+    assert run() == {b"one", b"two"}
+    upload("r1", "u3", "Quotation.pdf", b"newer")
+    upload("r1", "u4", "other.txt", b"x")
+    assert run() == {b"newer", b"two", b"x"}
+    assert run() == {b"newer", b"two", b"x"}
+
+
+def test_another_decoder_takes_the_built_in_ones_place(spark, tmp_path):
+    import pandas as pd
+    write_xlsx(str(tmp_path / "a.xlsx"), [("S", [("Item", "Qty"), ("Pen", "1")])])
+
+    def shouting(batches):
+        for b in batches:
+            for path in b["path"]:
+                yield pd.DataFrame({"doc_id": [path] * 2, "table_no": [0, 0], "sheet": ["X", "X"], "row_no": [1, 2], "col_no": [1, 1], "value": ["HEAD", "CELL"], "error": [None, None]})
+    text, cells, _ = ingest.decode_files(ingest.land(spark, str(tmp_path) + "/*.xlsx"), str(tmp_path / "out"), xlsx_decoder=shouting)
+    assert sorted((r.row_no, r.value) for r in cells.collect()) == [(0, "HEAD"), (1, "CELL")] and "--- Sheet: X ---" in text.first().raw_text
