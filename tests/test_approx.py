@@ -20,6 +20,8 @@ def test_probes_are_all_buckets_within_the_radius():
         own = sum(1 << i for i in range(6) if sides[i] > cuts[i])
         want = {own ^ sum(1 << i for i in s) for k in range(7) for s in itertools.combinations(range(6), k) if ((sides - cuts) ** 2)[list(s)].sum() <= radius}
         assert got[0] == own and len(got) == len(set(got)) and set(got) == want
+        far = [((sides - cuts) ** 2)[[i for i in range(6) if (b ^ own) >> i & 1]].sum() for b in A.near_buckets(sides, cuts)]
+        assert len(far) == 64 and far == sorted(far)
 
 
 @pytest.mark.parametrize("clustered", [True, False])
@@ -38,7 +40,12 @@ def test_recall_and_fewer_probes(spark, tmp_path, clustered):
     # what is found is exact: each hit has its true distance, ranks follow
     for h in got.collect():
         assert abs(((x[h.id] - q[h.query_id]) ** 2).sum() - h.score) < 1e-6
-    probes = [len(list(A.near_buckets(index.along @ v, index.cuts, index.radius))) for v in q]
+    # queries far from all vectors find their share as well
+    away = frame(spark, q * 3, "query_id")
+    r = A.measured_recall(A.approx_topk(away, index), similarity_topk(away, frame(spark, x), corpus_id=["id"]), ["id"]).collect()
+    assert sum(x.n_common for x in r) >= 0.9 * sum(x.n_exact for x in r)
+    kth = [np.sort(((x - v) ** 2).sum(1))[5] for v in q]
+    probes = [len(list(A.near_buckets(index.along @ v, index.cuts, index.reach * d))) for v, d in zip(q, kth)]
     assert not clustered or np.mean(probes) < 0.5 * 32
 
 
