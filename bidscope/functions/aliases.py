@@ -8,7 +8,7 @@ the prefix step prefers the longest matching alias instead (so
 """
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import normalize_key
@@ -79,6 +79,30 @@ def with_alias_field(df, src, out: str, alias_map: dict[str, list[str]],
               .drop(tmp))
 
 
+def match_alias_table(df: DataFrame, src: str, out: str, aliases: DataFrame, longest_prefix: bool = False) -> DataFrame:
+    """``with_alias_field`` for an alias table of any size: ``aliases(alias, field, field_order)``,
+    aliases normalised, ``field_order`` sorting like the map's order.
+
+    Each distinct key is cut to every length that some alias has, and the cuts
+    meet the aliases in one hash join; of those met the exact one wins, else
+    the first field (with ``longest_prefix``: the longest alias). Both choices
+    are a partial aggregate, and the keys join back to their rows, so neither
+    a common key nor the alias table is held anywhere as a whole.
+    """
+    keyed = df.withColumn("_nk", normalize_key(src))
+    table = aliases.filter(F.col("alias").isNotNull()).select("alias", "field", "field_order")
+    lengths = sorted(r[0] for r in table.select(F.length("alias")).distinct().collect())  # one number for each length of an alias
+    keys = keyed.filter(F.col("_nk").isNotNull()).select("_nk").distinct()
+    cuts = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("_nk"))
+    met = (keys.select("_nk", F.explode(cuts).alias("_n")).select("_nk", F.expr("substring(_nk, 1, _n)").alias("alias"))
+           .join(table, "alias"))
+    exact = F.col("alias") != F.col("_nk")  # false sorts first
+    rule = [-F.length("alias"), F.col("field_order")] if longest_prefix else [F.col("field_order")]
+    order = F.struct(exact, *[F.when(exact, r) for r in rule], F.col("field_order"))
+    best = met.groupBy("_nk").agg(F.min_by("field", order).alias(out))
+    return keyed.join(best, "_nk", "left").drop("_nk")
+
+
 def sql_match(nk_sql: str, alias_map: dict[str, list[str]]) -> str:
     """The same rule as a SQL CASE over an already normalised key (used by
     the oracle statements)."""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import or_default
-from .hot_window import MAX_SPLITS, argmin_struct, split_rank
+from .hot_window import MAX_SPLITS, argmin_struct, positions, split_rank
 
 UNKNOWN_SUPPLIER = "Unknown Supplier"
 
@@ -81,6 +81,28 @@ def price_pivot(items: DataFrame, key: str, domain: Sequence, value_col: str = "
                  cell(~known).alias(f"{prefix}other")))
 
 
+COLUMNS_A_BLOCK = 100
+
+
+def supplier_catalogue(items: DataFrame, columns: int = COLUMNS_A_BLOCK) -> DataFrame:
+    """``(rfq_id, supplier_name, block, position)``: the place of each supplier with a price in its RFQ's wide tables, by name."""
+    priced = items.filter(F.col("unit_price").isNotNull() & F.col("item_name").isNotNull())
+    numbered = positions(priced.select("rfq_id", "supplier_name").distinct(), ["rfq_id"], [F.col("supplier_name")])
+    return numbered.select("rfq_id", "supplier_name", F.floor(F.col("position") / columns).cast("int").alias("block"),
+                           (F.col("position") % columns).cast("int").alias("position"))
+
+
+def price_blocks(items: DataFrame, catalogue: DataFrame, columns: int = COLUMNS_A_BLOCK, value_col: str = "unit_price") -> DataFrame:
+    """Wide matrix over all suppliers: per (rfq, block, item) one column ``p0`` to
+    ``p<columns - 1>`` for each place of the ``supplier_catalogue``; an RFQ with
+    more suppliers has more blocks, so every supplier has a column and no row
+    grows. Cells are those of ``price_matrix``."""
+    cells = price_matrix(items, value_col).join(catalogue.withColumnRenamed("supplier_name", "_s"),
+                                                (items["rfq_id"] == catalogue["rfq_id"]) & F.col("supplier_name").eqNullSafe(F.col("_s"))).drop(catalogue["rfq_id"])
+    return cells.groupBy("rfq_id", "block", "item_name").agg(
+        *[F.max(F.when(F.col("position") == i, F.col(value_col))).alias(f"p{i}") for i in range(columns)])
+
+
 def cheapest_per_item(items: DataFrame) -> DataFrame:
     """Per (rfq, item): the line with the lowest unit price, first in list
     order on ties; item names compare case-sensitively. One partial

@@ -293,7 +293,31 @@ _ITEMS_TYPE = ("array<struct<item_name:string,quantity:double,unit:string,unit_p
                "total_price:double,portion:string,packaging:string>>")
 
 
-def extract_with_model(doc_text: DataFrame, model_fn, cells: DataFrame | None = None) -> DataFrame:
+def _stored_answers(parts: DataFrame, model_fn, store: str) -> DataFrame:
+    """Answers of ``parts(doc_id, part_no, part)`` from the store; prompts it does not hold are sent first, each once."""
+    import pandas as pd
+
+    from .versions import Table, newest_by
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"prompt": b["prompt"], "model_output": model_fn(list(b["part"]))})
+
+    table = Table(parts.sparkSession, store, "prompt")
+    keyed = parts.withColumn("prompt", F.sha2(F.col("part").cast("binary"), 256))
+    new, known = keyed.groupBy("prompt").agg(F.first("part").alias("part")), table.read()
+    if known is not None:
+        new = new.join(known.select("prompt"), "prompt", "left_anti")
+    # failed calls are not stored, so they are sent again next time
+    sent = new.mapInPandas(run, "prompt string, model_output string").filter("model_output IS NOT NULL")
+    table.upsert(sent, newest_by("prompt"))
+    known = table.read()
+    if known is None:
+        return keyed.select("doc_id", "part_no", F.lit(None).cast("string").alias("model_output"))
+    return keyed.join(known, "prompt", "left").select("doc_id", "part_no", "model_output")
+
+
+def extract_with_model(doc_text: DataFrame, model_fn, cells: DataFrame | None = None, store: str | None = None) -> DataFrame:
     """Plug point for a model-based extractor.
 
     ``model_fn(list[str]) -> list[str | None]`` turns a batch of prompts
@@ -304,7 +328,8 @@ def extract_with_model(doc_text: DataFrame, model_fn, cells: DataFrame | None =
     the first part that gives a header field wins, items follow in order.
     Output that is not a JSON object is kept in ``raw_output`` with a note;
     a document with a failed call (``None``) takes its heuristic record, and
-    its note says so.
+    its note says so. With ``store``, a folder, answers are kept by digest of
+    the prompt: a later run sends only prompts that have no answer yet.
     """
     import pandas as pd
 
@@ -320,10 +345,13 @@ def extract_with_model(doc_text: DataFrame, model_fn, cells: DataFrame | None =
     id_type = dict(doc_text.dtypes)["doc_id"]
     parts = doc_text.select("doc_id", F.coalesce("raw_text", F.lit("")).alias("raw_text")).select(
         "doc_id", F.posexplode(text_parts("raw_text")).alias("part_no", "part"))
-    path = scratch(spark, "model_answers")
     schema = f"doc_id {id_type}, part_no int, model_output string"
-    parts.mapInPandas(run, schema).write.parquet(path)
-    answers = spark.read.schema(schema).parquet(path)
+    if store:
+        answers = _stored_answers(parts, model_fn, store)
+    else:
+        path = scratch(spark, "model_answers")
+        parts.mapInPandas(run, schema).write.parquet(path)
+        answers = spark.read.schema(schema).parquet(path)
 
     c = coerce_json(answers, "model_output")
     c = c.withColumn("delivery_lead_time_days", clean_number("delivery_lead_time_days").try_cast("int"))

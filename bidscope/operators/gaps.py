@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_falsy_num, is_falsy_str, or_default, strip
 from .compare import UNKNOWN_SUPPLIER
+from .hot_window import positions
 
 # Header fields checked for presence, with their labels, in
 # output order.
@@ -231,3 +232,30 @@ def missing_items_text(rfq_items: DataFrame, quotations: DataFrame,
     m = missing_item_lists(rfq_items, quotations, quote_items)
     return m.select("rfq_id", "quote_seq", F.size("missing_item_list").alias("n_missing"),
                     _joined_or_none(F.col("missing_item_list")).alias("missing_items"))
+
+
+# Entries in one segment of a list.
+LIST_ENTRIES = 1000
+
+
+def gap_entries(rfq_items: DataFrame, quotations: DataFrame, quote_items: DataFrame) -> DataFrame:
+    """Long form of the three lists of ``gap_analysis``: ``(rfq_id, quote_seq, kind, place, entry)``,
+    ordered by place (lines) and entry."""
+    def lacking(column, kind):
+        rows = quote_items.filter(is_falsy_str(column) & ~is_falsy_str("item_name"))
+        return rows.select("rfq_id", "quote_seq", F.lit(kind).alias("kind"), F.col("item_pos").alias("place"), F.col("item_name").alias("entry"))
+    missing = missing_items(rfq_items, quotations, quote_items).select(
+        "rfq_id", "quote_seq", F.lit("missing_items").alias("kind"), F.lit(0).cast("long").alias("place"), F.col("item_key").alias("entry"))
+    return missing.unionByName(lacking("packaging", "items_missing_packaging")).unionByName(lacking("portion", "items_missing_portion"))
+
+
+def list_segments(entries: DataFrame, entries_a_segment: int = LIST_ENTRIES) -> DataFrame:
+    """Each list in numbered segments of a bounded number of entries:
+    ``(rfq_id, quote_seq, kind, segment, n_entries, text)``. The texts of a
+    list's segments, joined by ", ", are the text of ``gap_analysis``; a
+    quotation with millions of lines has more segments, not a larger row."""
+    groups = ["rfq_id", "quote_seq", "kind"]
+    placed = positions(entries, groups, [F.col("place"), F.col("entry")])
+    own = F.array_sort(F.collect_list(F.struct("position", "entry")))
+    return (placed.groupBy(*groups, F.floor(F.col("position") / entries_a_segment).cast("int").alias("segment"))
+            .agg(F.count("*").cast("int").alias("n_entries"), F.array_join(F.transform(own, lambda x: x["entry"]), ", ").alias("text")))

@@ -26,6 +26,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 ROWS_A_SPLIT, MAX_SPLITS = 8192, 1024
 
@@ -61,6 +63,34 @@ def split_rank(df: DataFrame, groups: Sequence[str], value: str, out: str = "ran
     return ranked.join(bounds.drop("_sr_bounds"), groups, "left") if more else ranked
 
 
+def positions(df: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str = "position") -> DataFrame:
+    """``df`` with each row's place in its group, from 0, by ``order``; no group is gathered in one task.
+
+    Rows are sorted over all tasks (ranges of group and order, so a group with
+    a third of all rows lies in many of them) and written once, numbered
+    within their task. A task's first number and count for each of its groups,
+    one row each, turn these into places. Rows that ``order`` does not tell
+    apart are split as well, by a running number, and stand in any order.
+    """
+    spark, names = df.sparkSession, df.columns
+    path = scratch(spark, "positions")
+    keys = [F.col(g).asc_nulls_first() for g in groups]
+    df.withColumn("_tie", F.monotonically_increasing_id()).write.parquet(f"{path}/rows")
+    known = spark.read.parquet(f"{path}/rows")
+    by = [*keys, *order, F.col("_tie")]
+    sorted_ = known.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    sorted_.write.parquet(f"{path}/sorted")
+    at = spark.read.parquet(f"{path}/sorted").withColumn("_part", F.shiftright("_at", 33))
+    runs = at.groupBy(*groups, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_part").alias("_p"), "_first",
+                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return at.join(runs, same).select(*names, (F.col("_before") + F.col("_at") - F.col("_first")).alias(out))
+
+
 def argmin_struct(*order: Column | str) -> Column:
     """``min(struct(...))``: the first row by a total order, as a partial
     aggregate (no window, no group collected)."""

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.aliases import HEADER_FIELD_ALIASES, ITEM_COLUMN_ALIASES, with_alias_field
+from ..functions.aliases import HEADER_FIELD_ALIASES, ITEM_COLUMN_ALIASES, match_alias_table, with_alias_field
 from ..functions.terms import advance_pct, clean_number, infer_currency, normalize_date, parse_iso_date
 from ..functions.text import normalize_key
 from ..operators import extract
@@ -27,6 +27,23 @@ def q_alias_match(spark, d):
                     "item_field")
 
 
+@query("alias_table")
+def q_alias_table(spark, d):
+    """Texts that begin with a part type, matched to an alias table that grows
+    with the parts: every type, and its first word or two, name their maker's
+    family; beside it the header texts with the fixed aliases as a table."""
+    p = read_table(spark, d, "part", "p_partkey", "p_type", "p_size")
+    cut = lambda n: F.substring_index(normalize_key("p_type"), " ", n)
+    kinds = p.select("p_type").distinct().select(F.explode(F.array(*[F.struct(cut(n).alias("alias"), F.lit(n).alias("n")) for n in (1, 2, 9)])).alias("x")).select("x.*").distinct()
+    table = kinds.select("alias", F.concat_ws("/", F.col("n").cast("string"), "alias").alias("field"), F.concat_ws("/", F.col("n").cast("string"), "alias").alias("field_order"))
+    size = F.when(F.col("p_size") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("  Size "), F.col("p_size").cast("string")))
+    texts = p.select("p_partkey", F.concat("p_type", size).alias("text"))
+    out = match_alias_table(match_alias_table(texts, "text", "family", table), "text", "kind", table, longest_prefix=True)
+    fixed = spark.createDataFrame([(a, f, i) for i, (f, al) in enumerate(HEADER_FIELD_ALIASES.items()) for a in al], "alias string, field string, field_order int")
+    header = match_alias_table(dt.header_texts(spark, d), "header", "header_field", fixed).select("p_partkey", "header_field")
+    return out.join(header, "p_partkey")
+
+
 @query("clean_numbers")
 def q_clean_numbers(spark, d):
     return dt.number_texts(spark, d).select("p_partkey", "raw_value",

@@ -246,6 +246,31 @@ SELECT p_partkey, {nk('header')} AS header_key,
 FROM hdr_texts
 """)
 
+def _alias_of(order: str) -> str:
+    """The first alias by ``order``, an exact one before all others."""
+    return (f"(SELECT key, first(field ORDER BY alias <> key, CASE WHEN alias <> key THEN {order} END, field) AS field "
+            "FROM type_keys JOIN type_aliases ON starts_with(key, alias) GROUP BY key)")
+
+
+cte("type_aliases")("""
+SELECT alias, field FROM (
+  SELECT DISTINCT array_to_string(list_slice(w, 1, n), ' ') AS alias, n || '/' || array_to_string(list_slice(w, 1, n), ' ') AS field
+  FROM (SELECT string_split(lower(trim(p_type)), ' ') AS w, unnest([1, 2, 9]) AS n FROM part))
+""")
+
+cte("type_texts")("""
+SELECT p_partkey, text, regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') AS key
+FROM (SELECT p_partkey, p_type || CASE WHEN p_size % 4 = 0 THEN '' ELSE '  Size ' || p_size END AS text FROM part)
+""")
+
+cte("type_keys", "type_texts")("SELECT DISTINCT key FROM type_texts")
+
+sql("alias_table", "type_aliases", "type_texts", "type_keys", "hdr_texts")(f"""
+SELECT t.p_partkey, t.text, a.field AS family, b.field AS kind, {sql_match(nk('header'), HEADER_FIELD_ALIASES)} AS header_field
+FROM type_texts t LEFT JOIN {_alias_of('field')} a ON a.key = t.key LEFT JOIN {_alias_of("lpad(CAST(1000 - length(alias) AS VARCHAR), 4, '0')")} b ON b.key = t.key
+JOIN hdr_texts h ON h.p_partkey = t.p_partkey
+""")
+
 sql("clean_numbers", "num_texts")(f"SELECT p_partkey, raw_value, {clean('raw_value')} AS number FROM num_texts")
 
 sql("normalize_dates", "date_texts")(f"""

@@ -262,3 +262,47 @@ FROM (SELECT *, row_number() OVER (PARTITION BY rfq_id
       FROM recommend)
 WHERE rn = 1
 """)
+
+cte("catalogue", "items")("""
+SELECT rfq_id, supplier_name, CAST(n // 32 AS INTEGER) AS block, CAST(n % 32 AS INTEGER) AS position
+FROM (SELECT rfq_id, supplier_name, row_number() OVER (PARTITION BY rfq_id ORDER BY supplier_name) - 1 AS n
+      FROM (SELECT DISTINCT rfq_id, supplier_name FROM items WHERE unit_price IS NOT NULL AND item_name IS NOT NULL))
+""")
+
+_wide = lambda f, c, p: ", ".join(f"max({f}) FILTER ({c} = {i}) AS {p}{i}" for i in range(32))
+sql("price_blocks", "items", "catalogue")(f"""
+SELECT * FROM (
+  SELECT m.rfq_id, c.block, m.item_name, {_wide('m.unit_price', 'c.position', 'p')}
+  FROM (SELECT rfq_id, item_name, supplier_name, arg_min(unit_price, {{'q': quote_seq, 'p': item_pos}}) AS unit_price
+        FROM items WHERE unit_price IS NOT NULL AND item_name IS NOT NULL GROUP BY ALL) m
+  JOIN catalogue c ON c.rfq_id = m.rfq_id AND c.supplier_name = m.supplier_name
+  GROUP BY m.rfq_id, c.block, m.item_name)
+JOIN (SELECT rfq_id, block, {_wide('supplier_name', 'position', 's')} FROM catalogue GROUP BY rfq_id, block) USING (rfq_id, block)
+""")
+
+sql("presentation_order", "cost_rank", "gaps", "recommend")("""
+SELECT 'total' AS view, rfq_id, supplier_name, CAST(NULL AS BIGINT) AS quote_seq,
+       row_number() OVER (PARTITION BY rfq_id ORDER BY total_quoted_cost ASC NULLS LAST, supplier_name) AS position FROM cost_rank
+UNION ALL
+SELECT 'gap', rfq_id, supplier_name, quote_seq,
+       row_number() OVER (PARTITION BY rfq_id ORDER BY gap_score ASC NULLS LAST, supplier_name, quote_seq) FROM gaps
+UNION ALL
+SELECT 'composite', rfq_id, supplier_name, NULL,
+       row_number() OVER (PARTITION BY rfq_id ORDER BY composite_score ASC NULLS LAST, supplier_name) FROM recommend
+""")
+
+cte("gap_entry", "quotes", "req_keys", "quoted_keys", "qi")("""
+SELECT q.rfq_id, q.quote_seq, 'missing_items' AS kind, 0 AS place, r.item_key AS entry
+FROM quotes q JOIN req_keys r ON q.rfq_id = r.rfq_id
+WHERE NOT EXISTS (SELECT 1 FROM quoted_keys k WHERE k.rfq_id = q.rfq_id AND k.quote_seq = q.quote_seq AND k.item_key = r.item_key)
+UNION ALL
+SELECT rfq_id, quote_seq, 'items_missing_packaging', item_pos, item_name FROM qi WHERE (packaging IS NULL OR packaging = '') AND item_name <> ''
+UNION ALL
+SELECT rfq_id, quote_seq, 'items_missing_portion', item_pos, item_name FROM qi WHERE (portion IS NULL OR portion = '') AND item_name <> ''
+""")
+
+sql("gap_list_segments", "gap_entry")("""
+SELECT rfq_id, quote_seq, kind, CAST(n // 50 AS INTEGER) AS segment, CAST(count(*) AS INTEGER) AS n_entries, string_agg(entry, ', ' ORDER BY n) AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY rfq_id, quote_seq, kind ORDER BY place, entry) - 1 AS n FROM gap_entry)
+GROUP BY rfq_id, quote_seq, kind, n // 50
+""")

@@ -48,6 +48,15 @@ def q_price_pivot(spark, d):
     return compare.price_pivot(items, "s_nationkey", range(25), prefix="nation_")
 
 
+@query("price_blocks")
+def q_price_blocks(spark, d):
+    """Item x supplier, wide: 32 suppliers a block, with the catalogue's names beside the prices."""
+    items, columns = _items(spark, d), 32
+    catalogue = compare.supplier_catalogue(items, columns)
+    names = catalogue.groupBy("rfq_id", "block").agg(*[F.max(F.when(F.col("position") == i, F.col("supplier_name"))).alias(f"s{i}") for i in range(columns)])
+    return compare.price_blocks(items, catalogue, columns).join(names, ["rfq_id", "block"])
+
+
 @query("cheapest_per_item")
 def q_cheapest_per_item(spark, d):
     return compare.cheapest_per_item(_items(spark, d))
@@ -90,4 +99,22 @@ def q_best_supplier(spark, d):
     return recommend.best_supplier(q_recommendation(spark, d))
 
 
+@query("presentation_order")
+def q_presentation_order(spark, d):
+    """Position of each supplier (quotation) in the three sorted views of an RFQ."""
+    totals, rec = QUERIES["total_cost_rank"](spark, d), q_recommendation(spark, d)
+    views = (("total", recommend.with_position(totals, "total_quoted_cost", "supplier_name"), None),
+             ("gap", recommend.with_position(_gaps(spark, d), "gap_score", "supplier_name", "quote_seq"), "quote_seq"),
+             ("composite", recommend.with_position(rec, "composite_score", "supplier_name"), None))
+    rows = [v.select(F.lit(k).alias("view"), "rfq_id", "supplier_name", (F.col(q) if q else F.lit(None)).cast("long").alias("quote_seq"), "position") for k, v, q in views]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("gap_list_segments")
+def q_gap_list_segments(spark, d):
+    """The lists of gap_analysis in segments of at most 50 entries."""
+    entries = gaps.gap_entries(star.rfq_items(spark, d), star.quotations(spark, d), star.quote_items(spark, d))
+    return gaps.list_segments(entries, 50)
+
+
 FLAGSHIP = "recommendation"
