@@ -4,10 +4,11 @@ A rule fits a url if the url's host is the rule's host or below it and the
 url's path starts with the rule's path; the longest rule decides.
 
 Urls without a rule are scored by multinomial naive Bayes, trained on all
-urls that a rule decides. Its words come from host labels and path tokens:
-every distinct letter run is segmented by a unigram Viterbi search, with word
-counts gathered from the visible words of all pages. Runs of digits are one
-token ``0``.
+urls that a rule decides, with an even prior. Its words come from host labels
+and path tokens: every distinct letter run is segmented by a unigram Viterbi
+search, with word counts gathered from the visible words of all pages. Runs of
+digits are one token ``0``. Tokens that the rules themselves consist of are
+left out: they only tell which rule made the label.
 
 Pages are first grouped by their token signature, so training and scoring
 work on distinct signatures with counts, and a host with a third of all pages
@@ -15,20 +16,21 @@ is a single row. Word counts meet the letter runs by a join on substrings; no
 vocabulary is broadcast.
 
 Defined cases: null urls and urls without ``://`` have empty host and path,
-no rule and no tokens, so the class prior decides; ties allow; repeated rows
+no rule and no tokens, and ties allow; repeated rows
 give a row each; an empty table gives an empty result; without any page that
 a rule decides, all else is allowed.
 """
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import drop, stored
 
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -57,6 +59,10 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.regexp_replace(text, r"\d+", " 0 "), r"[^\p{L}0]+", " "), " "), "")
 
 
+def rule_tokens(rules: Sequence[tuple[str, str]]) -> list[str]:
+    return sorted({t for _, text in rules for t in re.findall(r"[^\W\d_]+", text.lower())})
+
+
 def segment(run: str, counts: dict[str, int], total: int) -> list[str]:
     """Most probable split into words; an unseen word of n letters counts 10 / 10**n."""
     best: list[tuple[float, int]] = [(0.0, 0)]
@@ -105,25 +111,27 @@ def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", page:
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("signature", F.concat_ws(" ", tokens(F.col("host"), F.col("path"))))
+    made_of = rule_tokens(rules)
+    own = F.filter(tokens(F.col("host"), F.col("path")), lambda t: ~t.isin(made_of))
+    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("signature", F.concat_ws(" ", own))
     rows = stored(rows, "url-rows")
     one = lambda v: F.sum(F.when(F.col("ruled") == v, 1).otherwise(0))
     signatures = rows.groupBy("signature").agg(one("block").alias("block"), one("allow").alias("allow"), F.count(F.when(F.col("ruled").isNull(), 1)).alias("open"))
     of_token = signatures.select("signature", "block", "allow", "open", F.explode(F.split("signature", " ")).alias("token")).where("token <> ''")
-    split = stored(segments(of_token.select("token").distinct(), page_words(pages, page)), "url-segments")
+    words = stored(page_words(pages, page), "url-words")
+    split = stored(segments(of_token.select("token").distinct(), words), "url-segments")
+    drop(words)
     bag = of_token.join(split, "token").select("signature", "block", "allow", "open", F.explode("words").alias("word"))
     counts = bag.groupBy("word").agg(F.sum("block").alias("b"), F.sum("allow").alias("a"))
     sums = counts.agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.count("*").alias("v")).first()
-    prior = signatures.agg(F.sum("block").alias("b"), F.sum("allow").alias("a")).first()
+    known = bool(signatures.agg(F.max("block")).first()[0])
     n_b, n_a, v = sums["b"] or 0, sums["a"] or 0, sums["v"] or 1
-    known = bool(prior["b"])
     odds = (F.log((F.col("b") + 1) / F.lit(float(n_b + v))) - F.log((F.col("a") + 1) / F.lit(float(n_a + v))))
     weight = counts.select("word", odds.alias("weight"))
-    base = math.log(((prior["b"] or 0) + 1) / ((prior["a"] or 0) + 1))
     # stored, so that the join knows its size and can split a signature that many pages share
     scored = stored(bag.where("open > 0").join(weight, "word").groupBy("signature").agg(F.sum("weight").alias("sum")), "url-scores")
     out = rows.join(scored, "signature", "left")
-    score = F.round(F.coalesce(F.col("sum"), F.lit(0.0)) + F.lit(base), 9)
+    score = F.round(F.coalesce(F.col("sum"), F.lit(0.0)), 9)
     blocked = (score > 0) if known else F.lit(False)
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(blocked, "block").otherwise("allow")).alias("verdict"),
                       F.when(F.col("ruled").isNull(), score).alias("score"))

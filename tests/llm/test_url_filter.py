@@ -36,7 +36,8 @@ def slow(rows):
         counts.update(w for w in re.findall(r"[^\W\d_]+", visible.lower()) if len(w) <= U.MAX_WORD)
     total = sum(counts.values()) or 1
     cut = {}
-    words = lambda host, path: [w for t in raw_tokens(host, path) for w in (["0"] if t == "0" else cut.setdefault(t, U.segment(t, counts, total)))]
+    made_of = set(U.rule_tokens(U.RULES))
+    words = lambda host, path: [w for t in raw_tokens(host, path) if t not in made_of for w in (["0"] if t == "0" else cut.setdefault(t, U.segment(t, counts, total)))]
     bags = {"allow": Counter(), "block": Counter()}
     ruled = Counter()
     for _, url, _ in rows:
@@ -54,7 +55,7 @@ def slow(rows):
         h, p = host_path(url)
         a, r = rule(h, p)
         if a is None:
-            odds = math.log((ruled["block"] + 1) / (ruled["allow"] + 1)) + sum(
+            odds = sum(
                 math.log((bags["block"][w] + 1) / (n["block"] + v)) - math.log((bags["allow"][w] + 1) / (n["allow"] + v)) for w in words(h, p))
             a = "block" if ruled["block"] and round(odds, 9) > 0 else "allow"
         out.append((i, h, p, r, a))
@@ -94,3 +95,16 @@ def test_query_equals_slow_version(spark):
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in QUERIES["op9_url_filter"](spark, sf).collect()), key=str)
     assert got == slow(rows)
+
+
+def test_words_of_concatenated_hosts_decide(spark):
+    """Names are only told apart once they are cut into words; the rules' own tokens and the number of ruled urls say nothing."""
+    page = "<p>" + "cheap pills casino bonus garden news daily recipes " * 40 + "</p>"
+    blocked = [("http://cheapcasino.net/es/bonus", page), ("http://pillsbonus.net/fr/cheap", page), ("http://casinopills.net/es/", page)] * 4
+    allowed = [("http://gardennews.com/daily", page), ("http://dailyrecipes.com/garden", page)]
+    asked = [("http://bonuspills.org/x", "block"), ("http://cheapbonus.info/", "block"), ("http://newsrecipes.org/x", "allow"), ("http://dailygarden.info/", "allow"),
+             ("http://net.org/es", "allow"), ("http://recipes.net/de/news", "allow")]
+    rows = [(i, u, p) for i, (u, p) in enumerate(blocked + allowed + [(u, None) for u, _ in asked])]
+    got = {r.page_id: r.verdict for r in U.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    first = len(blocked) + len(allowed)
+    assert [got[first + k] for k in range(len(asked))] == [v for _, v in asked]
