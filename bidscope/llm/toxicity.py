@@ -4,15 +4,15 @@
    letters, others are one boundary symbol); counts are summed per task, then
    over the corpus. Its table has a fixed size.
 2. Tokens that look obfuscated (signs or digits in a word or at its ends,
-   letters set apart, a letter three times or more in a row, or twice in a
-   word that the corpus does not use often) become a lattice: each sign
+   letters set apart, a letter twice or more in a row) become a lattice: each sign
    may stand for letters, separators may go or part two words, repeats may
    shrink. A Viterbi search under the trigram model finds the best reading,
    whose words join those of the text, and the best reading as one word.
 3. A word's score is its shrunken toxic share. It shrinks towards the share of
    toxic words among the known words with the same beginning (three to six
-   bytes), which stands in for unseen words. A text scores as its most toxic
-   word.
+   bytes), which stands in for unseen words. By definition a word scores
+   ``BASE`` unless its first three bytes begin a known word or beginning that
+   scores 0.2 or more. A text scores as its most toxic word.
 
 The word model is fitted on labelled rows outside the held-out third, at
 most about ``train_rows`` of them (a hash sample of the labels). It counts the
@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import drop, stored, with_columns
+from .tables import with_columns
 
 SYMBOLS = 155  # boundary, 26 letters, 128 high bytes
 _CLASS = np.zeros(256, dtype=np.int32)
@@ -63,7 +63,7 @@ BASE, SHRINK = 0.03, 4.0
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
 def _plain(text: str) -> bytes:
@@ -184,7 +184,13 @@ def _lone(b: np.ndarray) -> np.ndarray:
 
 def suspicious_lines(text: str) -> list[str]:
     """Lines that may hold an obfuscated token: a cheap superset of what ``_ODD`` finds."""
-    raw = text.encode("utf-8", "surrogatepass")
+    return [line for _, line in suspicious([text])]
+
+
+def suspicious(texts: list[str]) -> list[tuple[int, str]]:
+    """(number of the text, line) of the ``suspicious_lines`` of texts, which are searched together."""
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    raw = b"\n".join(parts)
     b = np.frombuffer(raw, dtype=np.uint8)
     letter, sign = _LETTER[b], _SIGN[b]
     hit = np.zeros(len(b), dtype=bool)
@@ -211,11 +217,18 @@ def suspicious_lines(text: str) -> list[str]:
     ends = np.append(np.flatnonzero(b == 10), len(b))
     lines = np.unique(np.searchsorted(ends, at))
     starts = np.append(0, ends[:-1] + 1)
-    return [raw[i:j].decode("utf-8", "surrogatepass") for i, j in zip(starts[lines], ends[lines])]
+    last = np.cumsum([len(p) + 1 for p in parts])
+    return [(k, raw[i:j].decode("utf-8", "surrogatepass")) for k, i, j in zip(np.searchsorted(last, starts[lines], "right").tolist(), starts[lines], ends[lines])]
 
 
 def doubled_words(low: bytes) -> set[bytes]:
     """Of ``low`` (letters and spaces, as ``words`` sees them) the words with a letter twice in a row."""
+    return doubled([low])[0]
+
+
+def doubled(lows: list[bytes]) -> list[set[bytes]]:
+    """The ``doubled_words`` of each, searched together."""
+    low = b" ".join(lows)
     b = np.frombuffer(low, dtype=np.uint8)
     hit = np.zeros(len(b), dtype=bool)
     hit[:-1] = (b[:-1] == b[1:]) & (b[:-1] > 32) & (b[:-1] < 128)
@@ -225,33 +238,18 @@ def doubled_words(low: bytes) -> set[bytes]:
                 eq = b[:-k] == b[k:]
                 n = len(b) - 2 * k + 1
                 hit[:n] |= (b[:n] >= low_lead) & (b[:n] <= high_lead) & np.logical_and.reduce([eq[j:j + n] for j in range(k)])
-    out, end = set(), -1
-    for i in np.flatnonzero(hit).tolist():
+    out: list[set[bytes]] = [set() for _ in lows]
+    at = np.flatnonzero(hit)
+    last = np.cumsum([len(x) + 1 for x in lows])
+    end = -1
+    for i, k in zip(at.tolist(), np.searchsorted(last, at, "right").tolist()):
         if i >= end:
             end = low.find(b" ", i)
             end = len(low) if end < 0 else end
-            out.add(low[low.rfind(b" ", 0, i) + 1:end])
+            out[k].add(low[low.rfind(b" ", 0, i) + 1:end])
     return out
 
 
-def frequent_doubled(docs: DataFrame, text: str, least: int = 20, share: float = 1e-4) -> frozenset[bytes]:
-    """Words with a doubled letter that at least ``least`` texts and this share of all texts hold."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            n: Counter = Counter()
-            for t in b["text"]:
-                n.update(doubled_words(_plain(t or "")))
-            n[b""] = len(b)
-            yield pd.DataFrame({"word": list(n), "n": list(n.values())})
-
-    counts = stored(docs.select(F.col(text).alias("text")).mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-                    .where(f"n >= {least} or length(word) = 0"), "toxicity-doubled")
-    texts = counts.where("length(word) = 0").agg(F.max("n")).first()[0] or 0
-    found = counts.where(F.col("n") >= max(least, share * texts)).where("length(word) > 0").select("word").collect()  # at most (words a text) / share
-    drop(counts)
-    return frozenset(bytes(r[0]) for r in found)
-
-
 def _starts(word: str, size: int = 3) -> set[bytes]:
     """First bytes of whatever a word may read when letters in a row go."""
     out = {""}
@@ -263,15 +261,23 @@ def _starts(word: str, size: int = 3) -> set[bytes]:
     return {o.encode("utf-8", "surrogatepass")[:size] for o in out}
 
 
+def may_start(word: bytes, open: set[bytes]) -> bool:
+    """Whether some reading of a word with doubled letters may begin with one of ``open``."""
+    head = word[:3]
+    if len(head) == 3 and head[0] != head[1] != head[2] and max(head) < 128:
+        return head in open  # letters that may go come later
+    return not open.isdisjoint(_starts(word.decode("utf-8", "surrogatepass")))
+
+
 class Restorer:
-    """Decoded readings of the obfuscated tokens of a text; a bounded cache per worker.
+    """Decoded readings of the obfuscated tokens of texts; a bounded cache per worker.
 
-    Words with a doubled letter are decoded if ``frequent`` is given and does not hold them; with
-    ``open`` (the beginnings of three bytes that matter) only where a reading may begin so.
+    Words with a doubled letter are decoded if ``twice``; with ``open`` (the beginnings of three bytes
+    that matter) only where a reading may begin so.
     """
 
-    def __init__(self, model: CharModel, frequent: frozenset[bytes] | None = None, open: set[bytes] | None = None, cache: int = 2_000_000):
-        self.model, self.frequent, self.open, self.size = model, frequent, open, cache
+    def __init__(self, model: CharModel, twice: bool = False, open: set[bytes] | None = None, cache: int = 2_000_000):
+        self.model, self.twice, self.open, self.size = model, twice, open, cache
         self.cache: dict[str | bytes, frozenset[bytes]] = {}
         self.held = 0  # characters in the cache
 
@@ -295,20 +301,104 @@ class Restorer:
             self.held += len(token)
         return found
 
+    def all_words(self, texts: list[str | None]) -> Iterator[tuple[list[bytes], set[bytes], set[bytes]]]:
+        """Each text's words, the readings of its odd tokens, and its words with doubled letters (to be
+        read by ``read_twice``); texts are searched some at a time."""
+        for some in _runs(texts):
+            lows = [_plain(t) for t in some]
+            out: list[set[bytes]] = [set() for _ in some]
+            for k, line in suspicious(some):
+                for m in _ODD.finditer(line):
+                    token = m[0].strip(".,;:?\"')]}")
+                    bare = token.strip(_END)  # a sign at either end may also be punctuation
+                    if bare != token and _ODD.search(bare):
+                        out[k] |= self._cached(bare, bare)
+                    out[k] |= self._cached(token, token)
+            twice = doubled(lows) if self.twice else [set()] * len(lows)
+            for low, found, own in zip(lows, out, twice):
+                yield low.split(), found, own
+
+    def read_twice(self, word: bytes) -> frozenset[bytes]:
+        return self._cached(word, word.decode("utf-8", "surrogatepass"))
+
     def readings(self, text: str) -> set[bytes]:
-        out: set[bytes] = set()
-        for m in (m for line in suspicious_lines(text) for m in _ODD.finditer(line)):
-            token = m[0].strip(".,;:?\"')]}")
-            bare = token.strip(_END)  # a sign at either end may also be punctuation
-            if bare != token and _ODD.search(bare):
-                out |= self._cached(bare, bare)
-            out |= self._cached(token, token)
-        if self.frequent is not None:
-            for w in doubled_words(_plain(text)) - self.frequent:
-                word = w.decode("utf-8", "surrogatepass")
-                if self.open is None or not self.open.isdisjoint(_starts(word)):
-                    out |= self._cached(w, word)
-        return out
+        _, found, twice = next(self.all_words([text]))
+        return found.union(*(self.read_twice(w) for w in twice if self.open is None or may_start(w, self.open)))
+
+
+def shrunk(word: bytes, most: int = 64) -> list[bytes] | None:
+    """Whatever a word may read when letters in a row go; None if that is more than ``most``."""
+    out = [""]
+    for ch, run in groupby(word.decode("utf-8", "surrogatepass")):
+        n = sum(1 for _ in run)
+        if len(out) * n > most:
+            return None
+        out = [o + ch * k for o in out for k in range(1, n + 1)]
+    return [o.encode("utf-8", "surrogatepass") for o in out]
+
+
+class Known(dict):
+    """Values of words, each computed once; ``bounded`` empties it when it has grown large."""
+
+    def __init__(self, of, most: int = 500_000):
+        self.of, self.most = of, most
+
+    def __missing__(self, word: bytes) -> float:
+        value = self[word] = self.of(word)
+        return value
+
+    def bounded(self) -> None:
+        if len(self) > self.most:
+            self.clear()
+
+
+class TextScores:
+    """The highest score of a text's words and readings. A doubled word is decoded only if a reading
+    open to it scores higher than all before it, as no other can change the result."""
+
+    def __init__(self, share_of: WordModel, restore: Restorer):
+        self.restore, self.score, self.bound = restore, Known(share_of), Known(self._highest)
+
+    def _highest(self, word: bytes) -> float:
+        """The highest score of what a doubled word may read."""
+        share_of = self.score.of
+        if not may_start(word, share_of.open):
+            return BASE
+        may = shrunk(word)
+        return 1.0 if may is None else max(map(share_of, may))
+
+    def of(self, own: list[bytes], found: set[bytes], twice: set[bytes]) -> float:
+        score = self.score.__getitem__
+        best = max(max(map(score, own), default=BASE), max(map(score, found), default=BASE))
+        for w in twice:
+            if self.bound[w] > best:
+                best = max(best, max(map(score, self.restore.read_twice(w)), default=BASE))
+        self.score.bounded()
+        self.bound.bounded()
+        return best
+
+
+class Plain:
+    """Words alone, to compare with: nothing is decoded."""
+
+    def all_words(self, texts: list[str | None]) -> Iterator[tuple[list[bytes], set[bytes], set[bytes]]]:
+        return ((words(t or ""), set(), set()) for t in texts)
+
+    def read_twice(self, word: bytes) -> frozenset[bytes]:
+        return frozenset()
+
+
+def _runs(texts: list[str | None], size: int = 1 << 18) -> Iterator[list[str]]:
+    """Texts in runs of about ``size`` characters."""
+    part, n = [], 0
+    for t in texts:
+        part.append(t or "")
+        n += len(part[-1])
+        if n >= size:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
 
 
 # word model
@@ -322,7 +412,6 @@ class WordModel:
 
     def __init__(self, of_word: dict[bytes, tuple[float, float]], of_prefix: dict[bytes, tuple[float, float]]):
         self.of_word, self.of_prefix = of_word, of_prefix
-        self.cache: dict[bytes, float] = {}
         #: beginnings below which some word may score far over BASE; all others get BASE
         self.open = {k[:3] for k in [*of_word, *of_prefix] if self.of(k) >= 0.2}
 
@@ -336,15 +425,7 @@ class WordModel:
         return p if c is None else share(*c, p)
 
     def __call__(self, word: bytes) -> float:
-        if word[:3] not in self.open:
-            return BASE
-        p = self.cache.get(word)
-        if p is None:
-            p = self.of(word)
-            if len(self.cache) > 500_000:
-                self.cache.clear()
-            self.cache[word] = p
-        return p
+        return self.of(word) if word[:3] in self.open else BASE
 
 
 def _beginnings(word: bytes) -> list[bytes]:
@@ -357,9 +438,8 @@ def _toxic_evidence(restorer):
         restore = restorer()
         for b in batches:
             out = []
-            for t in b["text"]:
-                w = words(t or "")
-                first: dict[bytes, bytes] = {x: b"" for x in restore.readings(t or "")}
+            for w, read, twice in restore.all_words(list(b["text"])):
+                first: dict[bytes, bytes] = {x: b"" for x in read.union(*map(restore.read_twice, twice))}
                 first.update(zip(reversed(w), [*reversed(w[:-1]), b""]))
                 out += [(x, zlib.crc32(before)) for x, before in first.items()]
             yield pd.DataFrame(out, columns=["word", "place"])
@@ -382,15 +462,17 @@ def _clean_words(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         below = shared.value
         starts = {k[:3] for k in below}
+        seen: set[bytes] = set()  # words that the task has handed on; bounded
         for b in batches:
-            found = {w for t in b["text"] for w in words(t or "") if w[:3] in starts}
+            found = {w for t in b["text"] for w in words(t or "") if w[:3] in starts} - seen
+            seen = found if len(seen) > 1_000_000 else seen | found
             yield pd.DataFrame([(w, k) for w in found for k in _beginnings(w) if k in below], columns=["word", "prefix"])
     return run
 
 
 def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-           train_rows: int = 60_000, name: str = "score") -> DataFrame:
-    """``docs`` with a new column ``name``: the toxicity score from 0 to 1."""
+           train_rows: int = 60_000, name: str = "score", restore: bool = True) -> DataFrame:
+    """``docs`` with a new column ``name``: the toxicity score from 0 to 1. ``restore=False`` decodes nothing."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     trigrams = trigram_counts(rows, "text").toPandas()  # at most SYMBOLS**3 rows
@@ -402,10 +484,8 @@ def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
             made["m"] = CharModel(*table.value)
         return made["m"]
 
-    frequent = spark.sparkContext.broadcast(frequent_doubled(rows, "text"))
-
     def restorer(open: set[bytes] | None = None) -> Restorer:
-        return Restorer(char_model(), frequent.value, open)
+        return Restorer(char_model(), True, open) if restore else Plain()
 
     taught = (labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -433,12 +513,12 @@ def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     model = spark.sparkContext.broadcast((of_word, of_prefix))
 
     def start():
-        toxic_share = WordModel(*model.value)
-        restore = restorer(toxic_share.open)
+        share_of = WordModel(*model.value)
+        restore = restorer(share_of.open)
+        scored_by = TextScores(share_of, restore)
 
         def step(c):
-            own = (set(words(t or "")) | restore.readings(t or "") for t in c[text])
-            return None, {name: [max(map(toxic_share, w), default=BASE) for w in own]}
+            return None, {name: [scored_by.of(*x) for x in restore.all_words(c[text])]}
         step.reads = (text,)
         return step
 

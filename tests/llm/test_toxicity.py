@@ -101,10 +101,10 @@ def test_gate_admits_ends_and_long_tokens(model, token, word):
 
 
 @pytest.mark.parametrize("token,word", [("iddiot", "idiot"), ("mooron", "moron"), ("sccum", "scum"), ("ééclown", "éclown"), ("啊啊b", "啊b")])
-def test_gate_admits_rare_doubled_letters(model, token, word):
-    assert word.encode() in X.Restorer(model, frozenset()).readings(f"you {token} well")
-    assert X.Restorer(model, frozenset([token.encode()])).readings(f"you {token}") == set()
-    assert word.encode() in X.Restorer(model, frozenset(), {word.encode()[:3]}).readings(f"you {token}")
+def test_gate_admits_doubled_letters(model, token, word):
+    assert word.encode() in X.Restorer(model, True).readings(f"you {token} well")
+    assert word.encode() in X.Restorer(model, True, {word.encode()[:3]}).readings(f"you {token}")
+    assert X.Restorer(model, True, {b"zzz"}).readings(f"you {token}") == set()
 
 
 @settings(max_examples=200, deadline=None)
@@ -118,12 +118,28 @@ def test_doubled_words_and_their_starts(text):
         assert {r.encode()[:3] for r in read} <= X._starts(w.decode())
 
 
-def test_frequent_doubled_words(spark):
-    df = spark.createDataFrame([("well well iddiot" if i == 7 else "Well, add",) for i in range(50)] + [(None,), ("",)], "text string")
-    assert X.frequent_doubled(df.repartition(3), "text") == {b"well", b"add"}
-    assert X.frequent_doubled(df, "text", least=1) == {b"well", b"add", b"iddiot"}
-    assert X.frequent_doubled(df, "text", least=1, share=0.1) == {b"well", b"add"}
-    assert X.frequent_doubled(df.limit(0), "text") == frozenset()
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="aab1! é啊.\nm0rn$", max_size=30), max_size=6))
+def test_texts_together_equal_each_alone(texts):
+    lines = [(k, line) for k, t in enumerate(texts) for line in t.split("\n") if X._ODD.search(line)]
+    assert set(lines) <= set(X.suspicious(texts))
+    assert X.doubled([X._plain(t) for t in texts]) == [X.doubled_words(X._plain(t)) for t in texts]
+    opens = {b"aab", b"mor", b"a"}
+    for w in {w for t in texts for w in X.words(t)}:
+        assert X.may_start(w, opens) == (not opens.isdisjoint(X._starts(w.decode())))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aabmor", min_size=1, max_size=9), max_size=8))
+def test_decoding_only_what_may_win_changes_no_score(model, tokens):
+    share = X.WordModel({b"amor": (9.0, 0.0), b"moa": (3.0, 2.0), b"roma": (5.0, 5.0)}, {b"mor": (2.0, 2.0), b"abb": (4.0, 1.0)})
+    restore = X.Restorer(model, True, share.open)
+    own, found, twice = next(restore.all_words([" ".join(tokens)]))
+    every = {*own, *found}.union(*map(restore.read_twice, twice))
+    scores = X.TextScores(share, restore)
+    assert scores.of(own, found, twice) == max(map(share, every), default=X.BASE) == scores.of(own, found, twice)
+    for w in {w for w in own if X._TWICE.search(w.decode())}:
+        assert X.decode(w.decode(), model).encode() in X.shrunk(w, 10**6) and X.decode(w.decode(), model, keep=2).encode() in X.shrunk(w, 10**6)
 
 
 def test_obfuscated_words_score(spark):
@@ -132,6 +148,8 @@ def test_obfuscated_words_score(spark):
     df = spark.createDataFrame(rows + [(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
     assert [r.predicted for r in X.scores(df, labels).where("doc_id >= 1000").orderBy("doc_id").collect()] == [1] * len(odd)
+    # nothing of this is seen without decoding
+    assert [r.predicted for r in X.scores(df, labels, restore=False).where("doc_id >= 1000").orderBy("doc_id").collect()] == [0] * len(odd)
 
 
 def test_trigrams_equal_slow_counts(spark):
@@ -163,6 +181,8 @@ def test_odd_rows(spark):
         if r.doc_id is not None:
             assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
             assert r.doc_id >= 200 or r.predicted == int(r.doc_id % 5 == 1)
+        else:
+            assert r.held_out is False
     assert [r.predicted for r in got if r.doc_id is None] == [1]
     assert {r.predicted for r in X.scores(df, labels.limit(0)).collect()} == {0}
     assert X.scores(df.limit(0), labels).count() == 0
