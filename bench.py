@@ -23,6 +23,7 @@ HEADLINE = [
     "kv_header_fields", "items_from_cells", "line_items_from_text", "infer_currency",
     "chunk_fixed", "chunk_recursive", "similarity_topk", "ask_answer", "gap_email",
     "price_pivot", "embed_topk", "index_append", "award_email", "records_by_type", "extract_documents", "link_records",
+    "price_blocks", "presentation_order", "gap_list_segments", "alias_table", "records_upsert", "index_versions", "index_statistics", "approx_topk",
 ]
 
 

@@ -137,7 +137,7 @@ FROM supplier
 _k = "p_partkey"
 _price = "CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR)"
 cte("lines_src")(f"""
-SELECT p_brand AS doc_id, p_partkey AS line_no,
+SELECT CAST(p_partkey // 1000 AS VARCHAR) || '/' || p_brand AS doc_id, p_partkey AS line_no,
        CASE WHEN {_k} % 11 = 0 THEN 'Total for ' || p_name ELSE
          p_name || '  Qty ' || {_z} || CASE WHEN {_k} % 5 = 0 THEN '' ELSE ' pcs' END || '  '
          || ['Unit Price Rs. ', 'unit price $', 'Unit Price '][{_k} % 3 + 1]
@@ -162,13 +162,13 @@ _t1 = ["p_name", f"{_z} || ' nos'", f"'INR ' || {_price}", f"{_price} || '.75'",
 
 cte("cells")(rf"""
 SELECT doc_id, table_no, row_no, c.col_no AS col_no, CAST(c.value AS VARCHAR) AS value FROM (
-  SELECT p_brand AS doc_id, CAST(p_size % 2 AS INTEGER) AS table_no, p_partkey + 1 AS row_no,
+  SELECT CAST(p_partkey // 1000 AS VARCHAR) || '/' || p_brand AS doc_id, CAST(p_size % 2 AS INTEGER) AS table_no, p_partkey + 1 AS row_no,
          unnest(CASE WHEN p_size % 2 = 0 THEN {_cells(_t0)} ELSE {_cells(_t1)} END) AS c
   FROM part)
 UNION ALL
 SELECT doc_id, table_no, CAST(0 AS BIGINT) AS row_no, CAST(generate_subscripts(h, 1) AS INTEGER) AS col_no,
        unnest(h) AS value FROM (
-  SELECT DISTINCT p_brand AS doc_id, CAST(p_size % 2 AS INTEGER) AS table_no,
+  SELECT DISTINCT CAST(p_partkey // 1000 AS VARCHAR) || '/' || p_brand AS doc_id, CAST(p_size % 2 AS INTEGER) AS table_no,
          CASE CAST(p_size % 2 AS INTEGER)
               + CASE WHEN CAST(regexp_extract(p_brand, '(\d+)$', 1) AS INTEGER) % 3 = 0 THEN 0 ELSE 2 END
               {' '.join(f"WHEN {i} THEN [{', '.join(lit(h) for h in hs)}]" for i, hs in TABLE_HEADERS.items())}
@@ -308,7 +308,7 @@ SELECT d.doc_id, file_type, 'Maker ' || {v('n')} AS supplier_name,
             ELSE '2027-' || {_two('n % 12 + 1')} || '-' || {_two('n % 28 + 1')} END AS deadline_date,
        CASE WHEN file_type = 'excel' AND n % 4 = 0 THEN '2 years' END AS warranty,
        CAST(coalesce(t.c, l.c, 0) AS INTEGER) AS n_items, round(coalesce(t.q, l.q, 0), 2) AS quantity, coalesce(t.f, l.f) AS first_name
-FROM (SELECT p_brand AS doc_id, min({_brand_n}) AS n, CASE WHEN min({_brand_n}) % 2 = 0 THEN 'excel' ELSE 'pdf' END AS file_type FROM part GROUP BY p_brand) d
+FROM (SELECT CAST(p_partkey // 1000 AS VARCHAR) || '/' || p_brand AS doc_id, min({_brand_n}) AS n, CASE WHEN min({_brand_n}) % 2 = 0 THEN 'excel' ELSE 'pdf' END AS file_type FROM part GROUP BY CAST(p_partkey // 1000 AS VARCHAR) || '/' || p_brand) d
 LEFT JOIN (SELECT doc_id, count(*) AS c, sum(coalesce(quantity, 0)) AS q, min(item_name) AS f FROM tab_items GROUP BY doc_id) t ON t.doc_id = d.doc_id
 LEFT JOIN (SELECT doc_id, count(*) AS c, sum(coalesce(quantity, 0)) AS q, min(item_name) AS f FROM line_items_all GROUP BY doc_id) l
        ON l.doc_id = d.doc_id AND d.file_type = 'pdf' AND t.doc_id IS NULL

@@ -14,6 +14,13 @@ def _docs(spark, d):
         "text", "raw_text")
 
 
+def _written(df):
+    """Rows that a query reads more than once, computed once."""
+    path = scratch(df.sparkSession, "chunks")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @query("chunk_fixed")
 def q_chunk_fixed(spark, d):
     return chunking.chunk_fixed(_docs(spark, d))
@@ -59,7 +66,7 @@ def q_ask_answer(spark, d):
     """Benchmark passages as questions against the chunks of every document,
     embedded by letter profile; excerpt answers with their sources."""
     embed = retrieve.letter_profile("text")
-    chunks = embed(chunking.chunk_fixed(_docs(spark, d)))
+    chunks = _written(embed(chunking.chunk_fixed(_docs(spark, d))))
     qs = embed(read_table(spark, d, "benchmark", "item_id", "text"))
     hits = retrieve.similarity_topk(qs, chunks, query_id="item_id", corpus_id=("doc_id", "chunk_index"))
     hits = hits.join(chunks.select("doc_id", "chunk_index", "text", "source", "supplier_name"), ["doc_id", "chunk_index"])
@@ -71,7 +78,7 @@ def q_ask_answer(spark, d):
 def embedded_hits(spark, d):
     """Benchmark passages against document chunks, embedded by the stand-in
     TF-IDF embedder fitted on the chunks: (hits, questions, chunks)."""
-    chunks = chunking.chunk_fixed(_docs(spark, d))
+    chunks = _written(chunking.chunk_fixed(_docs(spark, d)))
     embed = retrieve.embed_texts(chunks, "text", 256)
     qs, store = embed(read_table(spark, d, "benchmark", "item_id", "text")), embed(chunks)
     return retrieve.similarity_topk(qs, store, query_id="item_id", corpus_id=("doc_id", "chunk_index")), qs, store
@@ -158,9 +165,7 @@ def q_approx_topk(spark, d):
     bucket index, beside the exact search: per passage its number of hits,
     and whether all passages together find at least nine tenths."""
     embed = retrieve.letter_profile("text")
-    path = scratch(spark, "chunks")
-    embed(chunking.chunk_fixed(_docs(spark, d))).select("doc_id", "chunk_index", "embedding").write.parquet(path)
-    chunks, ids = spark.read.parquet(path), ["doc_id", "chunk_index"]
+    chunks, ids = _written(embed(chunking.chunk_fixed(_docs(spark, d))).select("doc_id", "chunk_index", "embedding")), ["doc_id", "chunk_index"]
     qs = embed(read_table(spark, d, "benchmark", "item_id", "text")).select(F.col("item_id").alias("query_id"), "embedding")
     index = approx.build_buckets(chunks, scratch(spark, "buckets"), ids, rows_a_bucket=256)
     found = approx.approx_topk(qs, index)

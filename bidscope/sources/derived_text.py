@@ -122,8 +122,14 @@ def brand_number(c="p_brand") -> Column:
     return F.regexp_extract(c, r"(\d+)$", 1).cast("int")
 
 
+def brand_document() -> Column:
+    """Document of a part: its brand's, one for each thousand part numbers, so that documents are of
+    bounded size and their number grows with the table."""
+    return F.concat_ws("/", F.floor(F.col("p_partkey") / 1000).cast("string"), "p_brand")
+
+
 def item_lines(spark: SparkSession, d: str) -> DataFrame:
-    """One priced text line per part, in the brand's document."""
+    """One priced text line per part, in its document."""
     p = read_table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size",
                    "p_retailprice")
     k, z = F.col("p_partkey"), s("p_size")
@@ -135,7 +141,7 @@ def item_lines(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 2 == 0, F.concat(F.lit("  Portion: "), F.col("p_type"))).otherwise(F.lit("")),
         F.when(k % 7 < 4, F.concat(F.lit("  Packaging: Box of "), z)).otherwise(F.lit("")))
     line = F.when(k % 11 == 0, F.concat(F.lit("Total for "), F.col("p_name"))).otherwise(line)
-    return p.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("line_no"),
+    return p.select(brand_document().alias("doc_id"), F.col("p_partkey").alias("line_no"),
                     line.alias("line"))
 
 
@@ -151,8 +157,8 @@ TABLE_HEADERS = {
 
 
 def table_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Long cells ``(doc_id, table_no, row_no, col_no, value)``: one document
-    per brand, one data row per part (every part), table = part size parity,
+    """Long cells ``(doc_id, table_no, row_no, col_no, value)``: the
+    documents of ``brand_document``, one data row per part (every part), table = part size parity,
     row 0 is the header. Brands whose number is a multiple of 3 use layouts
     with an item column; the others use the same tables without one."""
     p = read_table(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size",
@@ -171,12 +177,12 @@ def table_cells(spark: SparkSession, d: str) -> DataFrame:
         return F.array(*[F.struct(F.lit(i + 1).alias("col_no"), v.cast("string").alias("value"))
                          for i, v in enumerate(vals)])
     tno = (F.col("p_size") % 2).cast("int")
-    data = (p.select(F.col("p_brand").alias("doc_id"), tno.alias("table_no"),
+    data = (p.select(brand_document().alias("doc_id"), tno.alias("table_no"),
                      (k + 1).alias("row_no"),
                      F.explode(F.when(tno == 0, cells(t0)).otherwise(cells(t1))).alias("c"))
              .select("doc_id", "table_no", "row_no", "c.col_no", "c.value"))
     layout = F.when(brand_number() % 3 == 0, tno).otherwise(tno + 2)
-    tables = p.select(F.col("p_brand").alias("doc_id"), tno.alias("table_no"),
+    tables = p.select(brand_document().alias("doc_id"), tno.alias("table_no"),
                       layout.alias("layout")).distinct()
     header = None
     for i, names in TABLE_HEADERS.items():
@@ -191,7 +197,7 @@ def table_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def whole_documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_text, doc_cells): one document per brand, over every part. Even
+    """(doc_text, doc_cells): the documents of ``brand_document``, over every part. Even
     brands are workbooks with a field/value sheet beside their tables, odd
     ones PDF texts with the priced lines; both have the tables of
     ``table_cells``. Deadlines are ISO, and in the sheet a later d/m/y row."""
