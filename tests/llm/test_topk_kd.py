@@ -57,3 +57,30 @@ def test_tree_boxes_hold_their_points():
     assert sorted(np.concatenate(leaves)) == list(range(1000)) and max(map(len, leaves)) <= 50
     for own, a, b in zip(leaves, low, high):
         assert (x[own].min(0) == a).all() and (x[own].max(0) == b).all()
+
+
+def test_clustered_vectors_leave_most_shards_unvisited(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(16, 8)) * 6
+    x = centres[rng.integers(0, 16, 3200)] + rng.normal(size=(3200, 8)) * 0.3
+    rows = [(i, np.float32(v).tolist()) for i, v in enumerate(x)]
+    seen = {}
+    plain = K.visits
+
+    def counted(asking, shared, sizes):
+        out = plain(asking, shared, sizes)
+        seen["visits"], seen["queries"], seen["shards"] = out.count(), asking.count(), sizes.agg(F.sum("parts")).first()[0]
+        return out
+    monkeypatch.setattr(K, "visits", counted)
+    assert found(spark, rows, shard_rows=100, query_rows=50, leaf_rows=20) == slow(rows, 20, 20)
+    assert seen["shards"] >= 32 and seen["visits"] < 0.5 * seen["queries"] * (seen["shards"] - 1)
+
+
+def test_every_row_has_a_region_whatever_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(K, "SAMPLE", 10)
+    monkeypatch.setattr(K, "REGIONS", 4)
+    rows = vectors(600, 5, 3, 1) + [(700 + i, [0.5] * 5) for i in range(200)] + [(1000 + i, [float(i)]) for i in range(90)]
+    assert found(spark, rows, shard_rows=40, leaf_rows=10) == slow([(i, np.float32(v).tolist()) for i, v in rows], 20, 20)
+    tree = K.Splits(np.random.default_rng(0).normal(size=(500, 3)), 7)
+    assert tree.regions == 7 and set(tree.of(np.random.default_rng(1).normal(size=(2000, 3)))) == set(range(7))
+    assert K.Splits(np.ones((5, 2)), 8).regions == 1 and K.Splits(np.zeros((0, 2)), 8).regions == 1
