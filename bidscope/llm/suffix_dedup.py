@@ -123,14 +123,16 @@ class Texts:
 
     def spread(self, places: list[np.ndarray | None], before: int, after: int, length: int) -> np.ndarray:
         """Which starts with ``length`` bytes of room are from ``before`` bytes before to ``after`` bytes after a place."""
-        change = np.zeros(len(self.buffer) + 1, dtype=np.int32)
-        for d, offsets in enumerate(places):
-            if offsets is not None and len(offsets) and self.sizes[d] >= length:
-                low = self.first[d] + np.maximum(offsets - before, 0)
-                high = self.first[d] + np.minimum(offsets + after, self.sizes[d] - length) + 1
-                some = low < high
-                np.add.at(change, low[some], 1)
-                np.add.at(change, high[some], -1)
+        own = [(d, x) for d, x in enumerate(places) if x is not None and len(x) and self.sizes[d] >= length]
+        if not own:
+            return np.zeros(len(self.buffer), dtype=bool)
+        doc = np.repeat(np.array([d for d, _ in own]), [len(x) for _, x in own])
+        offsets = np.concatenate([x for _, x in own])
+        low = np.maximum(offsets - before, 0)
+        high = np.minimum(offsets + after, self.sizes[doc] - length) + 1
+        some = low < high
+        first, n = self.first[doc][some], len(self.buffer) + 1
+        change = np.bincount(first + low[some], minlength=n) - np.bincount(first + high[some], minlength=n)
         return np.cumsum(change[:-1]) > 0
 
     def named_at(self, survivors: list, marks: dict[int, list], length: int, v: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,13 +193,18 @@ def _encode(keys: np.ndarray, extra: np.ndarray | None) -> bytes:
     return keys.astype("<u8").tobytes() + (extra.tobytes() if extra is not None else b"")
 
 
-def _first_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, again): index of each key's first place, and whether a place repeats an earlier one."""
-    order = np.argsort(keys, kind="stable")
-    new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]]) if len(keys) else np.zeros(0, dtype=bool)
-    again = np.zeros(len(keys), dtype=bool)
-    again[order[~new]] = True
-    return np.flatnonzero(~again), again
+def _first_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, again, twice): index of each key's first place; whether a place repeats an earlier one; whether its key has several."""
+    again, twice = np.ones(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64), again, twice
+    order = np.argsort(keys)
+    some = keys[order]
+    edge = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+    again[np.minimum.reduceat(order, edge)] = False
+    times = np.diff(np.append(edge, len(keys)))
+    twice[order] = np.repeat(times > 1, times)
+    return np.flatnonzero(~again), again, twice
 
 
 def _emit(texts: Texts, doc: np.ndarray, at: np.ndarray, length: int, buckets: int, keep_all: bool, wide: bool, salt: int) -> pd.DataFrame:
@@ -206,21 +213,19 @@ def _emit(texts: Texts, doc: np.ndarray, at: np.ndarray, length: int, buckets: i
     ``keep_all``: every place of a repeated name is settled (step 1), otherwise all but the first (step 2).
     """
     keys, other = names(texts.buffer, at, length), names(texts.buffer, at, length, 1)
-    first, again = _first_places(keys)
+    first, again, twice = _first_places(keys)
     offset = at - texts.first[doc]
     if keep_all:
-        twice = np.isin(keys, keys[again])
         settled = np.flatnonzero(twice)
         known = twice[first]
     else:
         settled = np.flatnonzero(again)
         known = np.zeros(len(first), dtype=bool)
-    bucket = (other[first] % np.uint64(buckets)).astype(np.int64)
+    bucket = (other[first] % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")  # keeps places ascending within a bucket
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    edge = np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1))
     rows = []
-    for b in range(buckets):
-        own = order[cuts[b]:cuts[b + 1]]
+    for b, own in zip(bucket[order][edge].tolist(), np.split(order, edge[1:])):  # only buckets that occur
         if not len(own):
             continue
         i = first[own]
@@ -285,7 +290,7 @@ def _settled_bucket(blocks: list[tuple[bytes, bytes]], keep_all: bool, wide: boo
     keys = [_load(k, wide) for k, _ in blocks]
     sizes = [len(k) for k in keys]
     every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every)
     every = every[order]
     new = np.concatenate([[True], every[1:] != every[:-1]])
     del every
@@ -376,7 +381,7 @@ def _with_side(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[dict[int, dict
 def _compressed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import zstandard
 
-    small = zstandard.ZstdCompressor(level=3).compress
+    small = zstandard.ZstdCompressor(level=1).compress
     for b in batches:
         yield b.assign(text=[small(t.encode("utf-8", "surrogatepass")) for t in b["text"]])
 
