@@ -8,7 +8,8 @@ a window is hit; the hit runs are mapped back to offsets in the original text.
 
 The items are a stated query set. One block holds items of at most
 ``block_bytes`` of text, so what is broadcast and the automaton are bounded.
-Larger sets take several blocks whose runs are merged per document.
+Larger sets take several blocks whose runs are merged per document, with the
+same rows as from one block.
 
 Defined cases: null text or a text without words has no words and no hits;
 items without words have no window; a null ``item_id`` marks hits but is no
@@ -17,8 +18,9 @@ item; repeated document rows give a row each; empty tables give no hits.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import with_columns
@@ -86,17 +88,17 @@ def spans_of(text: str, runs: list[tuple[int, int]]) -> list[dict]:
     return [{"start": points(at[a][0]), "end": points(at[b][1])} for a, b in runs]
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> list[list[tuple[str | None, str | None]]]:
-    """The query set in blocks of at most ``block_bytes`` (or one item), read one after the other."""
-    blocks, size = [[]], 0
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The query set in blocks of at most ``block_bytes`` (or one item), read one after the other; at least one block."""
+    block, size = [], 0
     for row in items.toLocalIterator():
         n = len((row["t"] or "").encode("utf-8", "surrogatepass"))
-        if blocks[-1] and size + n > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["i"], row["t"]))
+        if block and size + n > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((row["i"], row["t"]))
         size += n
-    return blocks
+    yield block
 
 
 def contamination(docs: DataFrame, bench: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
@@ -106,12 +108,12 @@ def contamination(docs: DataFrame, bench: DataFrame, *, doc_id: str = "doc_id",
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     items = bench.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
-    blocks, keep, parts = _blocks(items, block_bytes), ["doc_id"], []
-    if len(blocks) > 1:
+    # once broadcast, a block leaves the driver's Python
+    shared = [spark.sparkContext.broadcast(block) for block in _blocks(items, block_bytes)]
+    keep = ["doc_id"]
+    if len(shared) > 1:
         source, keep = source.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)), ["doc_id", "sha"]
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
-        parts.append(with_columns(source, keep, _SCAN, lambda shared=shared: _scan(Automaton(shared.value, window))))
+    parts = [with_columns(source, keep, _SCAN, lambda own=own: _scan(Automaton(own.value, window))) for own in shared]
     return parts[0] if len(parts) == 1 else _merged(parts)
 
 
@@ -155,24 +157,25 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    merge = F.udf(_merge_runs, "array<struct<first:long,last:long>>")
-    merge_spans = F.udf(_merge_runs, "array<struct<start:long,end:long>>")
+    own = F.transform(F.arrays_zip("runs", "spans"), lambda z: F.struct(z["runs"]["first"].alias("first"), z["runs"]["last"].alias("last"), z["spans"]["start"].alias("start"), z["spans"]["end"].alias("end")))
     g = every.groupBy("doc_id", "sha", "n_words").agg(
-        F.flatten(F.collect_set("runs")).alias("runs"), F.flatten(F.collect_set("spans")).alias("spans"),
+        F.array_sort(F.flatten(F.collect_set(own))).alias("found"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), (F.count("*") / n).cast("int").alias("copies"))
-    return (g.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select("doc_id", "n_words", merge("runs").alias("runs"), merge_spans("spans").alias("spans"), "items"))
-
-
-def _merge_runs(runs):
-    inclusive = bool(runs) and "last" in runs[0].asDict()
-    out: list[list[int]] = []
-    for a, b in sorted((r[0], r[1]) for r in runs):
-        if out and a <= out[-1][1] + inclusive:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
+    g = g.withColumn("found", _joined("found")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    pick = lambda *names: F.transform("found", lambda r: F.struct(*[r[x].alias(x) for x in names]))
+    return g.select("doc_id", "n_words", pick("first", "last").alias("runs"), pick("start", "end").alias("spans"), "items")
+
+
+def _joined(found: str) -> Column:
+    """Sorted runs with their spans; runs that meet or touch are one, and so are their spans."""
+    empty = F.slice(found, 1, 0)
+
+    def add(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["last"], r["last"]).alias("last"), last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        apart = (F.size(done) == 0) | (r["first"] > F.get(done, F.size(done) - 1)["last"] + 1)
+        return F.when(apart, F.concat(done, F.array(r))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer)))
+    return F.aggregate(found, empty, add)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
