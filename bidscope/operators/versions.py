@@ -6,7 +6,9 @@ each bucket, the commits that are live in that version. A write first stages
 its rows in a commit folder of its own; publishing the next version's file
 makes them visible. A write that fails, or is empty, publishes nothing, and
 readers keep the version they had. Two writers cannot publish the same number:
-the later one makes its change anew on what the other left.
+the later one makes its change anew on what the other left. The rename must be
+atomic and refuse an existing name, as HDFS does; on an object store without
+that, a table must have one writer at a time.
 
 - ``append`` adds rows;
 - ``upsert`` keeps one row of each key, rewriting only the buckets that the
