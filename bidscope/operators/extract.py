@@ -4,7 +4,10 @@ Inputs are long tables: ``doc_text(doc_id, file_type, raw_text)`` and
 ``doc_cells(doc_id, table_no, row_no, col_no, value)`` (row 0 = header).
 Everything is expressed as explode / join / grouped aggregate, keyed by
 document, so documents are processed in parallel and no document's lines
-are gathered in one place except through partial aggregates.
+are gathered in one place except through partial aggregates. Both sides of
+a join grow with the documents, and the sizes that Spark estimates for
+exploded or compressed rows say little about that, so joins are shuffled
+(``_by_key``): nothing is broadcast through the driver.
 """
 from __future__ import annotations
 
@@ -33,6 +36,11 @@ HEURISTIC_NOTE = ("Extracted with local heuristics from document structure "
 NUMERIC_ITEM_FIELDS = ("quantity", "unit_price", "total_price")
 
 
+def _by_key(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a shuffled join, whatever its estimated size."""
+    return df.hint("merge")
+
+
 def text_lines(doc_text: DataFrame) -> DataFrame:
     """``(doc_id, file_type, line_no, line)``: one row per text line."""
     return doc_text.select("doc_id", "file_type",
@@ -109,10 +117,10 @@ def table_items(cells: DataFrame) -> DataFrame:
     """
     keys = header_map(cells)
     with_item = keys.filter(F.col("field") == "item_name").select("doc_id", "table_no").distinct()
-    keys = keys.join(with_item, ["doc_id", "table_no"], "left_semi")
+    keys = keys.join(_by_key(with_item), ["doc_id", "table_no"], "left_semi")
     v = F.col("value")
     data = (cells.filter(F.col("row_no") > 0)
-            .join(keys, ["doc_id", "table_no", "col_no"])
+            .join(_by_key(keys), ["doc_id", "table_no", "col_no"])
             .filter(v.isNotNull() & (strip(v) != "") & (F.lower(v) != "nan")))
     num = F.when(F.col("field").isin(*NUMERIC_ITEM_FIELDS), clean_number(v))
     txt = F.when(~F.col("field").isin(*NUMERIC_ITEM_FIELDS), strip(v))
@@ -125,6 +133,11 @@ def table_items(cells: DataFrame) -> DataFrame:
     return out.filter(F.col("item_name").isNotNull() & (F.col("item_name") != ""))
 
 
+def lines_without_tables(line_items: DataFrame, table_items: DataFrame) -> DataFrame:
+    """The line items of documents whose tables gave no item."""
+    return line_items.join(_by_key(table_items.select("doc_id").distinct()), "doc_id", "left_anti")
+
+
 def route_tables(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split tables into (field/value tables, item tables): a table whose
     normalised headers include both 'field' and 'value' holds header fields."""
@@ -134,8 +147,8 @@ def route_tables(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
              .agg((F.max((hk == "field").cast("int")) * F.max((hk == "value").cast("int")))
                   .alias("_kv")))
     kv_tables = flags.filter(F.col("_kv") == 1).select("doc_id", "table_no")
-    return (cells.join(kv_tables, ["doc_id", "table_no"], "left_semi"),
-            cells.join(kv_tables, ["doc_id", "table_no"], "left_anti"))
+    return (cells.join(_by_key(kv_tables), ["doc_id", "table_no"], "left_semi"),
+            cells.join(_by_key(kv_tables), ["doc_id", "table_no"], "left_anti"))
 
 
 def kv_table_rows(kv_cells: DataFrame) -> DataFrame:
@@ -143,7 +156,7 @@ def kv_table_rows(kv_cells: DataFrame) -> DataFrame:
     first two columns by position; both cells must be present."""
     cols = kv_cells.filter(F.col("row_no") == 0).groupBy("doc_id", "table_no").agg(
         F.array_sort(F.collect_list("col_no")).alias("_c"))
-    c = kv_cells.filter(F.col("row_no") > 0).join(cols, ["doc_id", "table_no"])
+    c = kv_cells.filter(F.col("row_no") > 0).join(_by_key(cols), ["doc_id", "table_no"])
     pair = (c.groupBy("doc_id", "table_no", "row_no").agg(
         F.max_by("value", F.when(F.col("col_no") == F.element_at("_c", 1), F.col("col_no"))).alias("k"),
         F.max_by("value", F.when(F.col("col_no") == F.element_at("_c", 2), F.col("col_no"))).alias("v")))
@@ -169,8 +182,8 @@ def extract_records(doc_text: DataFrame, cells: DataFrame | None = None) -> Data
     if cells is not None:
         # only workbooks have field/value sheets; all tables of other types may hold items
         excel = docs.filter(F.col("file_type") == "excel").select("doc_id")
-        kv_cells, item_cells = route_tables(cells.join(excel, "doc_id", "left_semi"))
-        item_cells = item_cells.unionByName(cells.join(excel, "doc_id", "left_anti"))
+        kv_cells, item_cells = route_tables(cells.join(_by_key(excel), "doc_id", "left_semi"))
+        item_cells = item_cells.unionByName(cells.join(_by_key(excel), "doc_id", "left_anti"))
         kv_tab = kv_table_rows(kv_cells)
         kv_all = kv_txt.unionByName(kv_tab)
         titems = table_items(item_cells).select(
@@ -183,13 +196,13 @@ def extract_records(doc_text: DataFrame, cells: DataFrame | None = None) -> Data
     lines = text_lines(docs.filter(F.col("file_type") == "pdf")).select("doc_id", "line_no", "line")
     litems = line_items(lines)
     if titems is not None:
-        litems = litems.join(titems.select("doc_id").distinct(), "doc_id", "left_anti")
+        litems = lines_without_tables(litems, titems)
     litems = litems.select("doc_id", F.lit(1 << 40).cast("bigint").alias("_t"),
                            F.col("line_no").cast("bigint").alias("_r"), *ITEM_FIELDS)
     allitems = litems if titems is None else titems.unionByName(litems)
     packed = allitems.groupBy("doc_id").agg(F.array_sort(F.collect_list(
         F.struct("_t", "_r", *ITEM_FIELDS))).alias("_items"))
-    rec = (docs.join(head, "doc_id", "left").join(packed, "doc_id", "left"))
+    rec = docs.join(_by_key(head), "doc_id", "left").join(_by_key(packed), "doc_id", "left")
     items = F.transform(F.coalesce("_items", F.array()),
                         lambda x: F.struct(*[x[f].alias(f) for f in ITEM_FIELDS]))
     return rec.select(
