@@ -77,8 +77,7 @@ def q_items_from_cells(spark, d):
 
 @query("line_items_from_text")
 def q_line_items_from_text(spark, d):
-    with_tables = extract.table_items(dt.table_cells(spark, d)).select("doc_id").distinct()
-    return extract.line_items(dt.item_lines(spark, d)).join(with_tables, "doc_id", "left_anti")
+    return extract.lines_without_tables(extract.line_items(dt.item_lines(spark, d)), extract.table_items(dt.table_cells(spark, d)))
 
 
 @query("extract_documents")

@@ -25,6 +25,13 @@ def test_table_items_broadcast_nothing(cells):
     assert [(r.doc_id, r.row_no, r.item_name, r.quantity) for r in rows] == [("a", 5, "Bolt", None)]
 
 
+def test_lines_without_tables_broadcast_nothing(spark, cells):
+    lines = spark.createDataFrame([("a", 1, "Bolt Qty 2 pcs Unit Price 3"), ("b", 1, "Nut Qty 2 pcs Unit Price 3")], "doc_id string, line_no long, line string")
+    rows, plan = _ran(extract.lines_without_tables(extract.line_items(lines), extract.table_items(cells)))
+    assert "Broadcast" not in plan
+    assert [(r.doc_id, r.item_name, r.unit_price) for r in rows] == [("b", "Nut", 3.0)]
+
+
 def test_extract_records_broadcast_nothing(spark, cells):
     docs = spark.createDataFrame([("a", "pdf", "Vendor: V"), ("b", "pdf", "Nut Qty 2 pcs Unit Price 3"), ("c", "excel", None)], "doc_id string, file_type string, raw_text string")
     rows, plan = _ran(extract.extract_records(docs, cells))
