@@ -1,7 +1,10 @@
 """Steps whose memory must not grow with the input: no broadcast of rows that grow, bounded batches in Python."""
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 
-from bidscope.operators import extract
+from bidscope.operators import chunking, extract
 
 
 def _ran(df) -> tuple[list, str]:
@@ -37,3 +40,23 @@ def test_extract_records_broadcast_nothing(spark, cells):
     rows, plan = _ran(extract.extract_records(docs, cells))
     assert "Broadcast" not in plan
     assert sorted((x.doc_id, x.supplier_name, len(x["items"])) for x in rows) == [("a", "V", 1), ("b", None, 1), ("c", "Maker", 0)]
+
+
+def test_chunks_leave_in_bounded_batches():
+    text = "word " * 20_000
+    docs = pa.RecordBatch.from_pylist([{"doc_id": i, "raw_text": text, "source": "s", "file_type": "t", "supplier_name": None} for i in range(64)])
+    seen = []
+    for out in chunking._chunk_batches(800, 120)(iter([docs])):
+        assert sum(map(len, out.column("text").to_pylist())) <= chunking.BATCH_CHARS + 800
+        seen += list(zip(out.column("doc_id").to_pylist(), out.column("chunk_index").to_pylist(), out.column("start").to_pylist(), out.column("text").to_pylist()))
+    want = [(at + 1, c) for at, c in chunking.recursive_spans(text)]
+    assert seen == [(d, i, *w) for d in range(64) for i, w in enumerate(want)]
+
+
+def test_spans_come_one_by_one():
+    spans = chunking.iter_spans("x " * 1_000_000)
+    tracemalloc.start()
+    first = [next(spans) for _ in range(3)]
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(c) for _, c in first] == [799, 799, 799] and used < 1_000_000
