@@ -201,7 +201,7 @@ def _found(asked: DataFrame, index: Buckets, k: int) -> DataFrame:
     """The k best of each query among its buckets, written once."""
     ids = index.ids
     schema = ", ".join(["query_id long", *[f"{i} long" for i in ids], "score double"])
-    pairs = index.blocks().join(asked, "bucket").drop("bucket").mapInPandas(_score_pairs(k, len(ids), ["query_id", *ids, "score"]), schema)
+    pairs = index.blocks().join(asked, "bucket").drop("bucket").mapInArrow(_score_pairs(k, len(ids), ["query_id", *ids, "score"]), schema)
     w = Window.partitionBy("query_id").orderBy("score", *ids)
     path = scratch(index.spark, "approx_hits")
     pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).write.parquet(path)

@@ -15,7 +15,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,24 +30,42 @@ QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
 _BLOCK = "ids binary, vectors binary, n int"
 
 
-def _to_blocks(ids: Sequence[str], vec: str, size: int):
-    """mapInPandas body: rows -> blocks of at most ``size`` vectors of one length."""
-    def block(rows):
-        return (np.array([r[:-1] for r in rows], dtype="<i8").tobytes(),
-                np.array([r[-1] for r in rows], dtype="<f8").tobytes(), len(rows))
+def _whole(column: pa.Array) -> np.ndarray:
+    if column.null_count:
+        raise ValueError("an id is null")
+    return column.to_numpy(zero_copy_only=False).astype("<i8")
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _to_blocks(ids: Sequence[str], vec: str, size: int):
+    """mapInArrow body: rows -> blocks of at most ``size`` vectors of one length.
+    A task holds the Arrow batch that Spark sends and less than a block of each length."""
+    def block(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        n = sum(len(i) for i, _ in rows)
+        both = [np.concatenate(x).tobytes() for x in zip(*rows)]
+        return pa.RecordBatch.from_arrays([pa.array([both[0]], pa.binary()), pa.array([both[1]], pa.binary()), pa.array([n], pa.int32())], names=["ids", "vectors", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        counts: dict[int, int] = {}
         for b in batches:
-            out = []
-            for row in zip(*[b[c] for c in ids], b[vec]):
-                own = held.setdefault(len(row[-1]), [])
-                own.append(row)
-                if len(own) >= size:
-                    out.append(block(held.pop(len(row[-1]))))
-            if out:
-                yield pd.DataFrame(out, columns=["ids", "vectors", "n"])
-        yield pd.DataFrame([block(r) for r in held.values()], columns=["ids", "vectors", "n"])
+            vectors, own = b.column(vec), np.stack([_whole(b.column(c)) for c in ids], axis=1)
+            flat = vectors.flatten().to_numpy(zero_copy_only=False)
+            lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths)
+            for length in map(int, np.unique(lengths)):
+                rows = np.flatnonzero(lengths == length)
+                at = 0
+                while at < len(rows):
+                    take = rows[at:at + size - counts.get(length, 0)]
+                    places = (ends[take] - length)[:, None] + np.arange(length)
+                    held.setdefault(length, []).append((own[take], flat[places].astype("<f8")))
+                    counts[length] = counts.get(length, 0) + len(take)
+                    at += len(take)
+                    if counts[length] >= size:
+                        counts.pop(length)
+                        yield block(held.pop(length))
+        for rows in held.values():
+            yield block(rows)
     return run
 
 
@@ -64,15 +83,18 @@ def _block_topk(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int):
 
 
 def _score_pairs(k: int, m: int, names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInArrow body: one pair of blocks at a time, read where the batch holds it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for qi, qv, qn, ci, cv, cn in zip(b["q_ids"], b["q_vectors"], b["q_n"], b["ids"], b["vectors"], b["n"]):
-                q, c = (np.frombuffer(v, dtype="<f8").reshape(n, -1) for v, n in ((qv, qn), (cv, cn)))
+            for at in range(b.num_rows):
+                qi, qv, ci, cv = (np.frombuffer(b.column(c)[at].as_buffer(), dtype=t) for c, t in (("q_ids", "<i8"), ("q_vectors", "<f8"), ("ids", "<i8"), ("vectors", "<f8")))
+                qn, cn = (b.column(c)[at].as_py() for c in ("q_n", "n"))
+                q, c, ids = qv.reshape(qn, -1), cv.reshape(cn, -1), ci.reshape(cn, m)
                 if q.shape[1] != c.shape[1]:
                     continue
-                qids, ids = np.frombuffer(qi, dtype="<i8"), np.frombuffer(ci, dtype="<i8").reshape(cn, m)
-                rows = [(qids[i], *ids[j], s) for i, j, s in _block_topk(q, c, ids, k)]
-                yield pd.DataFrame(rows, columns=names)
+                rows = [(qi[i], *ids[j], s) for i, j, s in _block_topk(q, c, ids, k)]
+                columns = list(zip(*rows)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64() if n == "score" else pa.int64()) for n, x in zip(names, columns)], names=names)
     return run
 
 
@@ -92,13 +114,13 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K,
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     q = queries.filter(F.col(query_vec).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("v"))
     c = corpus.filter(F.col(corpus_vec).isNotNull()).select(*[F.col(g).cast("long").alias(h) for g, h in zip(given, hit)], F.col(corpus_vec).alias("v"))
-    blocks = (q.mapInPandas(_to_blocks(["query_id"], "v", query_block), _BLOCK)
+    blocks = (q.mapInArrow(_to_blocks(["query_id"], "v", query_block), _BLOCK)
               .select(*[F.col(x).alias(f"q_{x}") for x in ("ids", "vectors", "n")],
                       F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket")))
-    slices = (c.mapInPandas(_to_blocks(hit, "v", corpus_block), _BLOCK)
+    slices = (c.mapInArrow(_to_blocks(hit, "v", corpus_block), _BLOCK)
               .withColumn("bucket", F.pmod(F.xxhash64("ids"), F.lit(buckets)).cast("int")))
     schema = ", ".join(["query_id long", *[f"{h} long" for h in hit], "score double"])
-    found = slices.join(blocks, "bucket").drop("bucket").mapInPandas(
+    found = slices.join(blocks, "bucket").drop("bucket").mapInArrow(
         _score_pairs(k, len(hit), ["query_id", *hit, "score"]), schema)
     w = Window.partitionBy("query_id").orderBy("score", *hit)
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

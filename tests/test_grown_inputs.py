@@ -1,10 +1,11 @@
 """Steps whose memory must not grow with the input: no broadcast of rows that grow, bounded batches in Python."""
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from bidscope.operators import chunking, extract
+from bidscope.operators import chunking, extract, retrieve
 
 
 def _ran(df) -> tuple[list, str]:
@@ -60,3 +61,17 @@ def test_spans_come_one_by_one():
     used = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert [len(c) for _, c in first] == [799, 799, 799] and used < 1_000_000
+
+
+def test_vector_blocks_from_batches_of_any_size():
+    rows = [{"a": i, "b": -i, "v": [float(i)] * (2 + i % 2)} for i in range(25)]
+    batches = [pa.RecordBatch.from_pylist(rows[i:j]) for i, j in ((0, 3), (3, 20), (20, 25))]
+    got, sizes = [], []
+    for out in retrieve._to_blocks(["a", "b"], "v", 4)(iter(batches)):
+        for ids, vectors, n in zip(*(out.column(c).to_pylist() for c in ("ids", "vectors", "n"))):
+            sizes.append(n)
+            got += zip(map(tuple, np.frombuffer(ids, "<i8").reshape(n, 2).tolist()), np.frombuffer(vectors, "<f8").reshape(n, -1).tolist())
+    assert max(sizes) == 4 and sum(s < 4 for s in sizes) <= 2
+    assert sorted(got) == sorted(((r["a"], r["b"]), r["v"]) for r in rows)
+    with pytest.raises(ValueError):
+        list(retrieve._to_blocks(["a"], "v", 4)(iter([pa.RecordBatch.from_pylist([{"a": None, "v": [1.0]}, {"a": 1, "v": [1.0]}])])))
