@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compare, gaps, outlay, recommend
+from ..session import scratch
 from ..sources import star_adapter as star
 from ..sources.tables import read_table
 
@@ -102,10 +103,16 @@ def q_best_supplier(spark, d):
 @query("presentation_order")
 def q_presentation_order(spark, d):
     """Position of each supplier (quotation) in the three sorted views of an RFQ."""
-    totals, rec = QUERIES["total_cost_rank"](spark, d), q_recommendation(spark, d)
-    views = (("total", recommend.with_position(totals, "total_quoted_cost", "supplier_name"), None),
-             ("gap", recommend.with_position(_gaps(spark, d), "gap_score", "supplier_name", "quote_seq"), "quote_seq"),
-             ("composite", recommend.with_position(rec, "composite_score", "supplier_name"), None))
+    path = scratch(spark, "totals")  # totals are read by two views
+    QUERIES["total_cost_rank"](spark, d).write.parquet(path)
+    totals, qi = spark.read.parquet(path), star.quote_items(spark, d)
+    rec = recommend.recommendation(totals, gaps.gap_scores(star.rfq_items(spark, d), star.quotations(spark, d), qi))
+
+    def view(df, *order):  # only the columns of the order are sorted and stored, no texts of lists
+        return recommend.with_position(df.select("rfq_id", *order), *order)
+    views = (("total", view(totals, "total_quoted_cost", "supplier_name"), None),
+             ("gap", view(_gaps(spark, d), "gap_score", "supplier_name", "quote_seq"), "quote_seq"),
+             ("composite", view(rec, "composite_score", "supplier_name"), None))
     rows = [v.select(F.lit(k).alias("view"), "rfq_id", "supplier_name", (F.col(q) if q else F.lit(None)).cast("long").alias("quote_seq"), "position") for k, v, q in views]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 

@@ -5,7 +5,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from bidscope.operators import chunking, extract, retrieve
+from bidscope.operators import chunking, extract, recommend, retrieve
+from bidscope.operators.hot_window import positions
+from bidscope.plans import queries
 
 
 def _ran(df) -> tuple[list, str]:
@@ -75,3 +77,16 @@ def test_vector_blocks_from_batches_of_any_size():
     assert sorted(got) == sorted(((r["a"], r["b"]), r["v"]) for r in rows)
     with pytest.raises(ValueError):
         list(retrieve._to_blocks(["a"], "v", 4)(iter([pa.RecordBatch.from_pylist([{"a": None, "v": [1.0]}, {"a": 1, "v": [1.0]}])])))
+
+
+def test_views_store_no_list_texts(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, 1, 1, 1, 2.0, 10.0, 0.0, "N", "O"), (2, 2, 2, 1, 1.0, 9.0, 0.1, "R", "F"), (3, 1, 2, 7, 1.0, 5.0, 0.0, "N", "F")],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "p", "Brand#11", "T", 3), (2, "q", "Brand#11", "U", 4)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, "S1", 1), (2, "S2", 2)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    stored = []
+    monkeypatch.setattr(recommend, "positions", lambda df, *a: stored.append(set(df.columns)) or positions(df, *a))
+    rows = queries.q_presentation_order(spark, str(tmp_path)).collect()
+    assert all(c <= {"rfq_id", "supplier_name", "quote_seq", "total_quoted_cost", "gap_score", "composite_score"} for c in stored) and len(stored) == 3
+    assert sorted((r.view, r.supplier_name, r.quote_seq, r.position) for r in rows) == [
+        ("composite", "S1", None, 1), ("composite", "S2", None, 2), ("gap", "S1", 1, 2), ("gap", "S2", 2, 1), ("total", "S1", None, 1), ("total", "S2", None, 2)]
