@@ -7,12 +7,16 @@ aggregates are grouped by quotation; nothing is windowed over a whole RFQ.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_falsy_num, is_falsy_str, or_default, strip
 from .compare import UNKNOWN_SUPPLIER
 from .hot_window import positions
+from ..session import scratch
 
 # Header fields checked for presence, with their labels, in
 # output order.
@@ -234,8 +238,8 @@ def missing_items_text(rfq_items: DataFrame, quotations: DataFrame,
                     _joined_or_none(F.col("missing_item_list")).alias("missing_items"))
 
 
-# Entries in one segment of a list.
-LIST_ENTRIES = 1000
+# Entries in one segment of a list; lists of up to so many entries are numbered in one task.
+LIST_ENTRIES, WHOLE_ENTRIES = 1000, 100_000
 
 
 def gap_entries(rfq_items: DataFrame, quotations: DataFrame, quote_items: DataFrame) -> DataFrame:
@@ -249,13 +253,33 @@ def gap_entries(rfq_items: DataFrame, quotations: DataFrame, quote_items: DataFr
     return missing.unionByName(lacking("packaging", "items_missing_packaging")).unionByName(lacking("portion", "items_missing_portion"))
 
 
-def list_segments(entries: DataFrame, entries_a_segment: int = LIST_ENTRIES) -> DataFrame:
+def list_segments(entries: DataFrame, entries_a_segment: int = LIST_ENTRIES, whole: int = WHOLE_ENTRIES) -> DataFrame:
     """Each list in numbered segments of a bounded number of entries:
     ``(rfq_id, quote_seq, kind, segment, n_entries, text)``. The texts of a
     list's segments, joined by ", ", are the text of ``gap_analysis``; a
-    quotation with millions of lines has more segments, not a larger row."""
+    quotation with millions of lines has more segments, not a larger row.
+
+    Entries are written once and counted. Lists of up to ``whole`` entries
+    are numbered by a window and put together in the same stage, after one
+    shuffle; only longer ones are placed by ``positions`` over all tasks."""
     groups = ["rfq_id", "quote_seq", "kind"]
-    placed = positions(entries, groups, [F.col("place"), F.col("entry")])
+    spark, path = entries.sparkSession, scratch(entries.sparkSession, "entries")
+    entries.write.parquet(path)
+    known = spark.read.schema(entries.schema).parquet(path)
     own = F.array_sort(F.collect_list(F.struct("position", "entry")))
-    return (placed.groupBy(*groups, F.floor(F.col("position") / entries_a_segment).cast("int").alias("segment"))
-            .agg(F.count("*").cast("int").alias("n_entries"), F.array_join(F.transform(own, lambda x: x["entry"]), ", ").alias("text")))
+
+    def put_together(placed):
+        return (placed.groupBy(*groups, F.floor(F.col("position") / entries_a_segment).cast("int").alias("segment"))
+                .agg(F.count("*").cast("int").alias("n_entries"), F.array_join(F.transform(own, lambda x: x["entry"]), ", ").alias("text")))
+
+    def numbered(rows):
+        w = Window.partitionBy(*groups).orderBy("place", "entry")
+        return put_together(rows.withColumn("position", F.row_number().over(w) - 1))
+
+    sizes = known.groupBy(*groups).agg(F.count("*").alias("_n"))
+    long = sizes.filter(F.col("_n") > whole).select(*[F.col(g).alias(f"_{g}") for g in groups])  # at most rows / whole
+    if long.isEmpty():
+        return numbered(known)
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups])
+    placed = positions(known.join(long, same, "left_semi"), groups, [F.col("place"), F.col("entry")])
+    return numbered(known.join(long, same, "left_anti")).unionByName(put_together(placed))

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from bidscope.operators import chunking, extract, recommend, retrieve
+from bidscope.operators import chunking, extract, gaps, recommend, retrieve
 from bidscope.operators.hot_window import positions
 from bidscope.plans import queries
 
@@ -79,6 +79,22 @@ def test_vector_blocks_from_batches_of_any_size():
         list(retrieve._to_blocks(["a"], "v", 4)(iter([pa.RecordBatch.from_pylist([{"a": None, "v": [1.0]}, {"a": 1, "v": [1.0]}])])))
 
 
+@pytest.mark.parametrize("whole", [0, 3, 100])
+def test_only_long_lists_are_placed_over_all_tasks(spark, monkeypatch, whole):
+    rows = [("r", 1, "a", i % 3, f"e{i}") for i in range(8)] + [("r", 2, "a", 0, "x"), ("r", 2, "a", None, None), (None, 2, "b", 1, "y"), ("r", None, "b", 0, "z")] + [(None, 5, "b", i, "same") for i in range(6)]
+    entries = spark.createDataFrame(rows, "rfq_id string, quote_seq long, kind string, place long, entry string")
+    sent = []
+    monkeypatch.setattr(gaps, "positions", lambda df, *a: sent.append(df.count()) or positions(df, *a))
+    got = {(r.rfq_id, r.quote_seq, r.kind, r.segment): (r.n_entries, r.text) for r in gaps.list_segments(entries, 2, whole).collect()}
+    assert sent == {0: [len(rows)], 3: [14], 100: []}[whole]
+    want = {}
+    for g in {r[:3] for r in rows}:
+        own = sorted(((r[3] is not None, r[3], r[4]) for r in rows if r[:3] == g), key=lambda x: (x[0], x[1] or 0, x[2] or ""))
+        for at in range(0, len(own), 2):
+            want[(*g, at // 2)] = (len(own[at:at + 2]), ", ".join(x[2] for x in own[at:at + 2] if x[2] is not None))
+    assert got == want
+
+
 def test_views_store_no_list_texts(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, 1, 1, 1, 2.0, 10.0, 0.0, "N", "O"), (2, 2, 2, 1, 1.0, 9.0, 0.1, "R", "F"), (3, 1, 2, 7, 1.0, 5.0, 0.0, "N", "F")],
                           "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
