@@ -2,9 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from bidscope.llm import suffix_dedup as S
 
@@ -87,3 +89,66 @@ def test_query_equals_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op1_suffix_dedup"](spark, sf).collect()}
     assert got == slow(docs, 100)
+
+
+class Measured(Exception):
+    pass
+
+
+def test_shipped_bytes_do_not_grow_with_the_number_of_buckets(spark, monkeypatch):
+    r = random.Random(7)
+    docs = [(i, "".join(r.choice("abcdefgh ") for _ in range(6000))) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    total = sum(len(t) for _, t in docs)
+
+    def settle(*_):
+        def run(batches):
+            for b in batches:
+                yield pd.DataFrame({"grp": [sum(len(x) + len(y) for x, y in zip(b["keys"], b["places"]))], "places": [b""]})
+        return run
+
+    def stored(t, tag):
+        raise Measured(t.agg(F.sum("grp")).first()[0])
+
+    monkeypatch.setattr(S, "_settle", settle)
+    monkeypatch.setattr(S, "stored", stored)
+
+    def shipped(buckets):
+        with pytest.raises(Measured) as e:
+            S.repeated_strings(df, bucket_names=total // (8 * buckets))
+        return e.value.args[0]
+
+    assert shipped(300) < 1.25 * shipped(5)
+
+
+def test_only_the_ends_of_repeats_are_named_at_every_start():
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(3000))
+    raw = [("".join(r.choice("ijklmnop ") for _ in range(500)) + passage).encode() for _ in range(2)]
+    b = S.Texts([0, len(raw[0])], raw)
+    n = 100
+
+    def repeated(doc, at, size, all_):
+        keys = S.names(b.buffer, at, size)
+        _, again, twice = S._first_places(keys)
+        return (b.bases[doc] + at - b.first[doc])[twice if all_ else again]
+
+    side = {-73: repeated(*b.sampled(n - 72, 73), n - 72, True)}
+    side[73] = repeated(*b.named_at(side, n, 73, False), n + 72, False)
+    side[-13] = repeated(*b.named_at(side, n, 13, True), n - 12, True)
+    doc, at = b.named_at(side, n, 1, False)
+    gone = S.spans_of([(repeated(doc, at, n, False), n), (side[73], n + 72)])
+    assert gone == [(4000, 7000)]
+    assert len(at) < 2 * 2 * (72 + 12)
+
+
+def test_equal_ids_and_many_groups(spark):
+    docs = [(i // 3, t) for i, (_, t) in enumerate(corpus(11, 90)) if t]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    got = sum(r.n_removed for r in S.repeated_strings(df, block_bytes=4000, merge_bytes=1500, bucket_names=50).collect())
+    order = df.select("doc_id", "text", F.xxhash64(F.lit(1), "doc_id", "text").alias("ref")).distinct().orderBy("doc_id", "ref").collect()
+    alone = slow([(k, r.text) for k, r in enumerate(order)], 100)
+    times = {}
+    for d in docs:
+        times[d] = times.get(d, 0) + 1
+    assert got == sum(alone[k][1] * times[(r.doc_id, r.text)] for k, r in enumerate(order))
